@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +17,20 @@ from pyspark.sql import types as T
 
 from .common import fanout, new_path
 
-#: Words a task remembers with their ids; the memory is emptied when full, so it is bounded and results don't depend on it.
-REMEMBERED = 300_000
+#: Words, and parts of words, that a worker remembers with their ids; a memory is emptied when full, so it is bounded and
+#: results don't depend on it.
+REMEMBERED = 450_000
+#: A word of ASCII and Latin-1 letters, with or without ASCII signs (no apostrophe) behind it. The pre-tokenizer always
+#: cuts between the two, whatever stands around them.
+_LETTERS_SIGNS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct word once.
+    """Encodes texts with the tokenizers library, each distinct part of a word once.
 
-    A word ends at a space or U+0009 to U+000D. Only for tokenizers that drop white space and treat each run of other characters alone (their normalizer and
-    pre-tokenizer look at no neighbour across white space): there encode(text) is the concatenation over its words.
-    `by_word` false encodes whole texts.
+    A word ends at a space or U+0009 to U+000D. Only for tokenizers that drop white space, fold ASCII case, and cut
+    letters from signs (their normalizer and pre-tokenizer look at no neighbour beyond): there encode(text) is the
+    concatenation over its words' parts. `by_word` false encodes whole texts.
     """
 
     def __init__(self, file: str, by_word: bool = True):
@@ -32,21 +39,39 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.by_word, self.known = by_word, {}
+        self.by_word, self.words, self.parts = by_word, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         words = [x.encode().split() for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list({w for ws in words for w in ws}.difference(self.known))
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        self._learn({w for ws in words for w in ws}.difference(self.words))
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in words]
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        cut = {}
+        for w in words:
+            m = _LETTERS_SIGNS.fullmatch(w)
+            cut[w] = (w,) if m is None else (m[1].lower(), m[2])
+        fresh = list({p for ps in cut.values() for p in ps}.difference(self.parts))
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in words]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                self.parts[p] = array("I", e.ids).tobytes()
+        parts = self.parts
+        for w, ps in cut.items():
+            self.words[w] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
+
+
+@lru_cache(maxsize=2)
+def _encoder(file: str, by_word: bool) -> WordEncoder:
+    """One encoder a worker, so that what a task has learned serves the next."""
+    return WordEncoder(file, by_word)
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", by_word: bool = True, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, dictionary: bool = True) -> None:
@@ -64,7 +89,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
     out = T.StructType([rows.schema.fields[0], T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def encode(batches):
-        coder, start, part = WordEncoder(tokenizer_file, by_word), 0, TaskContext.get().partitionId()
+        coder, start, part = _encoder(tokenizer_file, by_word), 0, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
