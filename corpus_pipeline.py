@@ -1,8 +1,72 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is the next one's documents."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result, written and read again, is the next one's documents."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from strandweave.llm.bpe import encode_digests
+from strandweave.llm.common import crc_of_id, stored, table
+from strandweave.llm.langid import fit_languages, identify
+from strandweave.llm.mixing import mix_sources
+from strandweave.llm.neardup import near_duplicates
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document is rejected when no language is found or the posterior of the best is below this.
+LEAST_POSTERIOR = 0.5
+
+
+def _row_key() -> Column:
+    """Tells rows apart: the id and a hash of the whole row. Rows equal in all columns share it."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(*COLUMNS).cast("string"))
+
+
+def _first_of(key: str) -> Column:
+    return F.row_number().over(W.Window.partitionBy(key).orderBy(F.xxhash64(*COLUMNS))) == 1
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised; texts that are null or hold no letter are rejected.
+
+    Learns outside fold 2 of crc32(doc_id) mod 4, as op5 does.
+    """
+    model = fit_languages(docs, crc_of_id("doc_id") % 4 != 2)
+    rows = identify(docs.select(*COLUMNS), model, lang_out="_lang", score_out="_score")
+    return rows.filter((F.col("_lang") != "und") & (F.col("_score") >= LEAST_POSTERIOR)).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate component: that with the smallest id, as one row. Rows without an id stay."""
+    ids = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").withColumn("_first", _first_of("doc_id")).filter("_first")
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it, so that sources meet their targets; documents not taken go."""
+    keyed = docs.select(*COLUMNS, _row_key().alias("_key"))
+    taken = mix_sources(keyed, id_col="_key").filter("taken > 0")
+    times = taken.groupBy("_key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    rows = keyed.join(times, "_key").withColumn("_first", _first_of("_key")).filter("_first")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left, each decoded again."""
+    rows = docs.select("doc_id", "text", "source")
+    return encode_digests(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mix", mix), ("bpe", bpe)]
+
+#: The stages hold a trained model and a tokenizer, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
