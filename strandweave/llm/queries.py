@@ -95,9 +95,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
             FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)
         ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        both AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         link AS (
-            SELECT u, v FROM both JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+            SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
         ), e AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
         reach(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.v FROM reach r JOIN e ON e.u = r.other),
         comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
