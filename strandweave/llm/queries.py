@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_digests
 from .common import table
+from .hpyp import score_texts
 from .langid import language_predictions
 from .mixing import mix_sources
 from .multiindex import nearest
@@ -19,6 +20,10 @@ from .topk import integer_neighbours
 from .warc import archive_and_index
 
 
+def op1_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hpyp": op1_hpyp,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_topk": op4_topk,
