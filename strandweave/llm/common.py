@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from strandweave.plans.shared import new_path, shared_dir, stored
 
-__all__ = ["WORD", "crc_of_id", "fanout", "new_path", "running", "shared_dir", "stored", "table"]
+__all__ = ["WORD", "crc_of_id", "fanout", "flagged", "new_path", "running", "shared_dir", "stored", "table"]
 
 #: A word is a run of bytes that are not a space or U+0009 to U+000D; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,25 @@ def crc_of_id(column: Column | str) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
+#: Bits of the bitmap of ids that flagged() broadcasts: 4 MB whatever the ids. More ids only flag more rows in vain.
+FLAG_BITS = 1 << 25
+_BITMAP = 1 << 15  # bits of one of Spark's bitmaps
+
+
+def flagged(rows: DataFrame, column: str, ids: DataFrame, flag: str = "_flag") -> DataFrame:
+    """Adds `flag`: false only where rows[column] is surely not among ids[column]. Null is not.
+
+    Ids are hashed into a bitmap of fixed size, so that wide rows can be sorted out before a join moves them.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAG_BITS))
+    found = ids.select(place(F.col(column)).alias("p")).groupBy((F.col("p") / _BITMAP).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg((F.col("p") % _BITMAP).cast("int")).alias("_bits"))
+    at = place(F.col(column))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at % _BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8).cast("int") + 1)) > 0
+    joined = rows.withColumn("_bucket", (at / _BITMAP).cast("int")).join(F.broadcast(found), "_bucket", "left")
+    return joined.withColumn(flag, F.coalesce(F.col(column).isNotNull() & bit, F.lit(False))).drop("_bucket", "_bits")
+
+
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
     """Adds to each row, for each (out, column) in `sums`, the sum of the column over all rows before it in `order`.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandweave.operators.components import connected_components
 
-from .common import stored
+from .common import flagged, stored
 
 U = np.uint64
 
@@ -225,6 +225,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, plan: Plan, id_col: str,
     dealt = sized.select("component", "id", "cut", other.alias("other"))
     dealt = dealt.select("component", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high"), "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = flagged(texts, "id", groups).filter("_flag").drop("_flag")  # only grouped documents' texts are moved
     rows = dealt.join(texts, "id").select("component", "low", "high", "id", "text")
 
     def confirm(batches):

@@ -20,26 +20,33 @@ from .common import fanout, new_path
 #: Words, and parts of words, that a worker remembers with their ids; a memory is emptied when full, so it is bounded and
 #: results don't depend on it.
 REMEMBERED = 450_000
-#: A word of ASCII and Latin-1 letters, with or without ASCII signs (no apostrophe) behind it. The pre-tokenizer always
-#: cuts between the two, whatever stands around them.
+#: ASCII signs but the apostrophe, and words of ASCII and Latin-1 letters with such signs behind them or not. The
+#: pre-tokenizer always cuts between the two, whatever stands around them, and keeps each whole.
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS_SIGNS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Parts that are encoded as one text.
+_TOGETHER = 200
 
 
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct part of a word once.
 
-    A word ends at a space or U+0009 to U+000D. Only for tokenizers that drop white space, fold ASCII case, and cut
-    letters from signs (their normalizer and pre-tokenizer look at no neighbour beyond): there encode(text) is the
-    concatenation over its words' parts. `by_word` false encodes whole texts.
+    A word ends at a space or U+0009 to U+000D. Only for tokenizers that drop white space, fold ASCII case, cut letters
+    from signs (their normalizer and pre-tokenizer look at no neighbour beyond) and mark the last token of each piece
+    with a suffix: there encode(text) is the concatenation over its words' parts, and the ids of many parts encoded as
+    one text fall apart at the marked tokens. `by_word` false encodes whole texts.
     """
 
-    def __init__(self, file: str, by_word: bool = True):
+    def __init__(self, file: str, by_word: bool = True, suffix: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.by_word, self.words, self.parts = by_word, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
@@ -47,25 +54,46 @@ class WordEncoder:
         words = [x.encode().split() for x in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        self._learn({w for ws in words for w in ws}.difference(self.words))
+        fresh = set()
+        for ws in words:
+            fresh.update(ws)
+        self._learn(fresh.difference(self.words))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in words]
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        cut = {}
+        cut, odd = {}, []
         for w in words:
-            m = _LETTERS_SIGNS.fullmatch(w)
-            cut[w] = (w,) if m is None else (m[1].lower(), m[2])
-        fresh = list({p for ps in cut.values() for p in ps}.difference(self.parts))
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                self.parts[p] = array("I", e.ids).tobytes()
+            letters = w.rstrip(_SIGNS)
+            if letters.isalpha():
+                cut[w] = letters.lower(), w[len(letters) :]
+            elif m := _LETTERS_SIGNS.fullmatch(w):
+                cut[w] = m[1].lower(), m[2]
+            else:
+                odd.append(w)
+        plain = {p for ps in cut.values() for p in ps}
+        plain.discard(b"")
+        self._encode_parts(list(plain.difference(self.parts)))
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
+            self.words[w] = array("I", e.ids).tobytes()
         parts = self.parts
-        for w, ps in cut.items():
-            self.words[w] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
+        for w, (letters, signs) in cut.items():
+            self.words[w] = parts[letters] + parts[signs] if signs else parts[letters]
+
+    def _encode_parts(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 50 * _TOGETHER):
+            groups = [parts[i : i + _TOGETHER] for i in range(at, min(len(parts), at + 50 * _TOGETHER), _TOGETHER)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+                if len(ends) != len(group):
+                    raise AssertionError("a part was not one piece")
+                raw, start = ids.tobytes(), 0
+                for p, end in zip(group, ends.tolist()):
+                    self.parts[p] = raw[start:end]
+                    start = end
 
 
 @lru_cache(maxsize=2)
