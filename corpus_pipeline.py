@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from strandweave.llm.bpe import encode_digests
-from strandweave.llm.common import crc_of_id, stored, table
+from strandweave.llm.common import crc_of_id, flagged, stored, table
 from strandweave.llm.langid import fit_languages, identify
 from strandweave.llm.mixing import mix_sources
 from strandweave.llm.neardup import near_duplicates
@@ -39,9 +39,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component: that with the smallest id, as one row. Rows without an id stay."""
-    ids = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").withColumn("_first", _first_of("doc_id")).filter("_first")
-    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    marks = stored(near_duplicates(docs).filter("doc_id IS NOT NULL"), "marks")
+    # Only documents that may go, or have their id twice, are moved; the others stay where they are read.
+    care = stored(marks.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).filter("n > 1 OR NOT kept").select("doc_id", "kept"), "care")
+    rows = flagged(docs.select(*COLUMNS), "doc_id", care)
+    checked = rows.filter("_flag").drop("_flag").join(care, "doc_id", "left").filter(F.coalesce("kept", F.lit(True)))
+    once = checked.withColumn("_first", _first_of("doc_id")).filter("_first")
+    return rows.filter("NOT _flag").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
