@@ -120,10 +120,10 @@ def pruned_forest(edges: DataFrame, least_branch: int = 10) -> DataFrame:
 def remove_bridges(edges: DataFrame, least_branch: int, length: int) -> DataFrame:
     """Edges without bridge vertices, found in the pruned forest again and again until there are none. 0 changes nothing."""
     while length > 0:
-        bad = bridges(pruned_forest(edges, least_branch), length).cache()
+        bad = stored(bridges(stored(pruned_forest(edges, least_branch), "forest"), length), "bridges")
         if bad.isEmpty():
             break
-        edges = without(edges, bad)
+        edges = stored(without(edges, bad), "unbridged")
     return edges
 
 
@@ -176,13 +176,13 @@ def backbones(edges: DataFrame, least_branch: int = 10, bridge_length: int = 0,
 def backbones_without_chimera(edges: DataFrame, support: int = 3, distance: int = 2, least_path: int = 200, **options) -> tuple[DataFrame, DataFrame]:
     """(paths, edges) after removing chimeric vertices and their spanners, until none is found."""
     while True:
-        paths = backbones(edges, **options).cache()
+        paths = stored(backbones(edges, **options), "paths")
         if not support:
             return paths, edges
-        weak = chimera(edges, paths, distance, support, least_path).cache()
+        weak = stored(chimera(edges, paths, distance, support, least_path), "chimera")
         if weak.isEmpty():
             return paths, edges
-        edges = without(edges, weak)
+        edges = stored(without(edges, weak), "unmixed")
 
 
 def backbone_graph(edges: DataFrame, support: int = 0, distance: int = 2, least_path: int = 200, **options) -> DataFrame:

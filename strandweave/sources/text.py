@@ -80,10 +80,11 @@ def read_graph(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
     rows = lines.join(F.broadcast(edge_head), "file", "left").withColumn("c", F.split("value", "\t")).filter("value <> '' AND NOT value RLIKE '^U\t'")
     of_edges = F.coalesce(F.col("line") > F.col("head"), F.lit(False))
     last = lambda key, *cols: F.max_by(F.struct(*cols), F.struct("file", "line")).alias("x")
+    # The check names of_edges, so that it stays above the join that decides it.
     check = lambda ok: F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a graph line: "), "value")))
-    v = rows.filter(~of_edges).filter(check(F.size("c").isin(2, 3)))
+    v = rows.filter(~of_edges).filter(check(of_edges | F.size("c").isin(2, 3)))
     v = v.groupBy(F.col("c")[0].alias("id")).agg(last("id", F.col("c")[1].cast("long").alias("m"), F.get("c", F.lit(2)).cast("int").alias("mol"))).select("id", "x.*")
-    e = rows.filter(of_edges).filter(check(F.size("c") == 3)).withColumn("a", F.least(F.col("c")[0], F.col("c")[1])).withColumn("b", F.greatest(F.col("c")[0], F.col("c")[1]))
+    e = rows.filter(of_edges).filter(check(~of_edges | (F.size("c") == 3))).withColumn("a", F.least(F.col("c")[0], F.col("c")[1])).withColumn("b", F.greatest(F.col("c")[0], F.col("c")[1]))
     e = e.groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(last("u", F.col("c")[2].cast("long").alias("m"))).select("u", "v", "x.m")
     return v, e
 
