@@ -19,7 +19,7 @@ from .common import fanout, new_path
 
 #: Words, and parts of words, that a worker remembers with their ids; a memory is emptied when full, so it is bounded and
 #: results don't depend on it.
-REMEMBERED = 450_000
+WORDS, PARTS = 250_000, 900_000
 #: ASCII signs but the apostrophe, and words of ASCII and Latin-1 letters with such signs behind them or not. The
 #: pre-tokenizer always cuts between the two, whatever stands around them, and keeps each whole.
 _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -48,11 +48,11 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        words = [x.encode().split() for x in texts]
-        if len(self.words) > REMEMBERED:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)]
+        words = [x.split() for x in texts]
+        if len(self.words) > WORDS:
             self.words.clear()
         fresh = set()
         for ws in words:
@@ -62,7 +62,7 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in words]
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > PARTS:
             self.parts.clear()
         cut, odd = {}, []
         for w in words:
@@ -112,7 +112,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
     Null text is just the end id, null ids come first, repeated rows are written each; other columns are left out.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.repartitionByRange(fanout(spark), F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64("text"))
     out = T.StructType([rows.schema.fields[0], T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
