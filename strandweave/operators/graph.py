@@ -11,30 +11,40 @@ from .components import connected_components
 from .overlap import both_ways, ends, induced
 
 
-def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
-    """The maximum spanning forest under the total order (m descending, u, v), which makes it unique.
+def _contract(left: DataFrame, name: DataFrame) -> DataFrame:
+    """Edges (u, v, m, a, b) between the trees a and b, renamed by name(id, tree); edges inside a tree go."""
+    left = left.join(name.select(F.col("id").alias("a"), F.col("tree").alias("ta")), "a", "left").join(name.select(F.col("id").alias("b"), F.col("tree").alias("tb")), "b", "left")
+    return stored(left.select("u", "v", "m", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).filter("a <> b"), "msf")
+
 
-    Boruvka's rounds: every component takes its best outgoing edge; components at least halve, so rounds are
-    logarithmic. Each round is one aggregate and two joins over the edges that still cross components.
+def labelled_forest(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(u, v, m, tree): the maximum spanning forest under the total order (m descending, u, v), which makes it unique;
+    a tree's name is its smallest vertex.
+
+    Boruvka's rounds: every tree takes its best outgoing edge; trees at least halve, so rounds are logarithmic. Each
+    round is one aggregate and some joins over the edges that still cross trees. `known` may hold part of the forest,
+    such as what is left of a larger graph's: an edge that is last on no cycle there is so on none here.
     """
-    left = stored(edges.select("u", "v", "m", F.col("u").alias("a"), F.col("v").alias("b")).filter("u <> v"), "msf")
-    parts = []
+    left = edges.select("u", "v", "m", F.col("u").alias("a"), F.col("v").alias("b")).filter("u <> v")
+    if known is None:
+        forest, left = left.select("u", "v", "m", F.col("a").alias("tree")).limit(0), stored(left, "msf")
+    else:
+        forest, left = known, _contract(left, known.select(F.explode(F.array("u", "v")).alias("id"), "tree").distinct())
     while True:
-        best = F.min(F.struct((-F.col("m")).alias("w"), "u", "v")).alias("best")
-        sides = left.select("u", "v", "m", F.explode(F.array("a", "b")).alias("side"))
-        chosen = stored(sides.groupBy("side").agg(best).select(F.col("best.u").alias("u"), F.col("best.v").alias("v"), (-F.col("best.w")).alias("m")).distinct(), "msf")
+        best = F.min(F.struct((-F.col("m")).alias("w"), "u", "v", "a", "b")).alias("best")
+        sides = left.select("u", "v", "m", "a", "b", F.explode(F.array("a", "b")).alias("side"))
+        chosen = stored(sides.groupBy("side").agg(best).select("best.*").distinct().select("u", "v", (-F.col("w")).alias("m"), "a", "b"), "msf")
         if chosen.isEmpty():
-            break
-        parts.append(chosen)
-        joined = chosen.join(left.select("u", "v", "a", "b"), ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        name = connected_components(joined)
-        left = left.join(name.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        left = left.select("u", "v", "m", F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
-        left = stored(left, "msf")
-    out = edges.select("u", "v", "m").limit(0)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+            return forest
+        name = stored(connected_components(chosen, "a", "b").withColumnRenamed("component", "tree"), "names")
+        grown = forest.unionByName(chosen.select("u", "v", "m", F.col("a").alias("tree"))).withColumnRenamed("tree", "id")
+        forest = stored(grown.join(name, "id", "left").select("u", "v", "m", F.coalesce("tree", "id").alias("tree")), "forest")
+        left = _contract(left, name)
+
+
+def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
+    """The unique maximum spanning forest under the order (m descending, u, v)."""
+    return labelled_forest(edges).drop("tree")
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -11,7 +11,7 @@ from strandweave.plans.shared import stored
 
 from .communities import components, cut_vertices, within
 from .components import connected_components
-from .graph import bridges, chimera, hops, maximum_spanning_forest, path_edges, without
+from .graph import chimera, hops, labelled_forest, path_edges, without
 
 Tree = dict  # vertex -> {neighbour: weight}
 
@@ -102,33 +102,67 @@ def backbones_of(t: Tree, least_branch: int, least_junction: int) -> list[list]:
     return found
 
 
-def _per_tree(edges: DataFrame, fold, schema: str) -> DataFrame:
-    named = edges.join(connected_components(edges), edges["u"] == F.col("id")).select("u", "v", "m", "component")
-    return named.groupBy("component").applyInPandas(fold, schema)
+def bridges_of(t: Tree, length: int) -> set:
+    """Vertices of pieces shorter than `length` between junctions, all of degree 2, and both ends of every edge between two junctions."""
+    cut = {u for u, vs in t.items() if len(vs) >= 3}
+    pieces = components({u: set(vs) - cut for u, vs in t.items() if u not in cut})
+    short = {u for p in pieces if len(p) < length and all(len(t[u]) == 2 for u in p) for u in p}
+    return short | {u for u in cut if cut & set(t[u])}
 
 
-def pruned_forest(edges: DataFrame, least_branch: int = 10) -> DataFrame:
-    """The maximum spanning forest without its short branches."""
+def _edge_schema(edges: DataFrame) -> str:
+    return ", ".join(f"{c} {dict(edges.dtypes)[c]}" for c in ("u", "v", "m"))
+
+
+def _per_tree(forest: DataFrame, fold, schema: str) -> DataFrame:
+    """Folds one tree of forest(u, v, m, tree) at a time."""
+    return forest.groupBy("tree").applyInPandas(fold, schema)
+
+
+def _prune_trees(forest: DataFrame, least_branch: int) -> DataFrame:
+    """(u, v, m, tree): a forest without its short branches."""
 
     def fold(group):
         t = prune(tree_of(group), least_branch)
-        return pd.DataFrame([(u, v, m) for u, vs in t.items() for v, m in vs.items() if u < v], columns=["u", "v", "m"])
+        return pd.DataFrame([(u, v, m, group["tree"].iloc[0]) for u, vs in t.items() for v, m in vs.items() if u < v], columns=["u", "v", "m", "tree"])
 
-    return _per_tree(maximum_spanning_forest(edges), fold, edges.select("u", "v", "m").schema.simpleString()[7:-1].replace(":", " "))
+    return _per_tree(forest, fold, f"{_edge_schema(forest)}, tree {dict(forest.dtypes)['tree']}")
 
 
-def remove_bridges(edges: DataFrame, least_branch: int, length: int) -> DataFrame:
-    """Edges without bridge vertices, found in the pruned forest again and again until there are none. 0 changes nothing."""
+def pruned_forest(edges: DataFrame, least_branch: int = 10) -> DataFrame:
+    """The maximum spanning forest without its short branches."""
+    return _prune_trees(labelled_forest(edges), least_branch).drop("tree")
+
+
+def unbridged(edges: DataFrame, least_branch: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, labelled forest) without bridge vertices, found in the pruned forest again and again until there are
+    none. Length 0 removes nothing. Every round keeps the trees' pieces that are left and joins them by the best edges."""
+    forest = labelled_forest(edges)
+
+    def fold(group):
+        t = tree_of(group)
+        bad = bridges_of(prune(t, least_branch), length)
+        rest = {u: set(vs) - bad for u, vs in t.items() if u not in bad}
+        rows = [(u, v, t[u][v], min(piece)) for piece in components(rest) for u in piece for v in rest[u] if u < v]
+        return pd.DataFrame(rows + [(u, None, None, u) for u in bad], columns=["u", "v", "m", "tree"]).astype(object)
+
     while length > 0:
-        bad = stored(bridges(stored(pruned_forest(edges, least_branch), "forest"), length), "bridges")
+        pieces = stored(_per_tree(forest, fold, f"{_edge_schema(forest)}, tree {dict(forest.dtypes)['tree']}"), "pieces")
+        bad = pieces.filter("v IS NULL").select(F.col("u").alias("id"))
         if bad.isEmpty():
             break
         edges = stored(without(edges, bad), "unbridged")
-    return edges
+        forest = labelled_forest(edges, pieces.filter("v IS NOT NULL"))
+    return edges, forest
+
+
+def remove_bridges(edges: DataFrame, least_branch: int, length: int) -> DataFrame:
+    """Edges without bridge vertices, as in unbridged."""
+    return unbridged(edges, least_branch, length)[0] if length > 0 else edges
 
 
 def spanning_tree(edges: DataFrame, least_branch: int = 10, bridge_length: int = 0) -> DataFrame:
-    return pruned_forest(remove_bridges(edges, least_branch, bridge_length), least_branch)
+    return _prune_trees(unbridged(edges, least_branch, bridge_length)[1], least_branch).drop("tree")
 
 
 def tree_with_branch_lengths(edges: DataFrame, least_branch: int = 10) -> DataFrame:
@@ -140,12 +174,12 @@ def tree_with_branch_lengths(edges: DataFrame, least_branch: int = 10) -> DataFr
         return pd.DataFrame([(u, v, m, min(length[u, v], length[v, u])) for u, vs in t.items() for v, m in vs.items() if u < v], columns=["u", "v", "m", "l"])
 
     kind = dict(edges.dtypes)["u"]
-    return _per_tree(pruned_forest(edges, least_branch), fold, f"u {kind}, v {kind}, m long, l int")
+    return _per_tree(_prune_trees(labelled_forest(edges), least_branch), fold, f"u {kind}, v {kind}, m long, l int")
 
 
 def junctions(edges: DataFrame, least_junction: int, depth: int = 0, least_branch: int = 10) -> DataFrame:
     """(id): junctions of the pruned forest; with depth, also what lies within depth - 1 hops in the forest and one hop on in the graph."""
-    forest = pruned_forest(edges, least_branch)
+    forest = stored(_prune_trees(labelled_forest(edges), least_branch), "pruned")
     kind = dict(edges.dtypes)["u"]
     found = _per_tree(forest, lambda group: pd.DataFrame({"id": list(junctions_of(tree_of(group), least_junction))}), f"id {kind}")
     if not depth:
@@ -160,7 +194,7 @@ def backbones(edges: DataFrame, least_branch: int = 10, bridge_length: int = 0,
     A tree is folded in one task; forests have as many tasks as trees. Paths are numbered over all trees, so their
     heads, a row a path, are ranked together.
     """
-    forest = maximum_spanning_forest(remove_bridges(edges, least_branch, bridge_length))
+    forest = unbridged(edges, least_branch, bridge_length)[1]
     kind = dict(edges.dtypes)["u"]
 
     def fold(group):
@@ -200,8 +234,8 @@ def without_cut_vertices(edges: DataFrame) -> DataFrame:
         kept = within(g, set(g) - cut_vertices(g))
         return pd.DataFrame([(u, v, t[u][v]) for u, vs in kept.items() for v in vs if u < v], columns=["u", "v", "m"])
 
-    kind = dict(edges.dtypes)["u"]
-    return _per_tree(edges, fold, f"u {kind}, v {kind}, m long")
+    named = edges.join(connected_components(edges).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u")
+    return _per_tree(named, fold, _edge_schema(edges))
 
 
-__all__ = ["backbones", "backbone_graph", "backbones_without_chimera", "junctions", "pruned_forest", "remove_bridges", "spanning_tree", "tree_with_branch_lengths", "without_cut_vertices"]
+__all__ = ["backbones", "backbone_graph", "backbones_without_chimera", "bridges_of", "junctions", "pruned_forest", "remove_bridges", "spanning_tree", "tree_with_branch_lengths", "unbridged", "without_cut_vertices"]

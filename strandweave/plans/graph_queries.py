@@ -185,6 +185,11 @@ def tree_junctions(spark, sf_dir):
     return trees.junctions(thinned(spark, sf_dir), 2, least_branch=2)
 
 
+@query()
+def without_bridges(spark, sf_dir):
+    return trees.remove_bridges(thinned(spark, sf_dir), 2, 4)
+
+
 @query()
 def backbone_paths(spark, sf_dir):
     return trees.backbones(thinned(spark, sf_dir), 3)
