@@ -178,7 +178,7 @@ def louvain(g: Graph) -> list[set]:
 def partition(g: Graph, strategy: str, seed: str = "", square_threshold: float = 0.75, small: int = 10) -> list[set]:
     """Communities of g by the steps of a strategy such as "bc+k3", each refining every community of the one before."""
     steps = {
-        "cc": components, "bc": blocks, "cn2": lambda h: well_linked(h, 2), "cn3": lambda h: well_linked(h, 3), "k3": lambda h: clique_percolation(h, 3), "k4": lambda h: clique_percolation(h, 4), "louvain": louvain,
+        "cc": components, "bc": blocks, "bicon": lambda h: [c - cut_vertices(h) for c in biconnected(h)], "cn2": lambda h: well_linked(h, 2), "cn3": lambda h: well_linked(h, 3), "k3": lambda h: clique_percolation(h, 3), "k4": lambda h: clique_percolation(h, 4), "louvain": louvain,
         "cos": lambda h: cosine_split(h, False, 0.4, small), "sqcos": lambda h: cosine_split(h, True, 0.7, small),
         "k3bin": lambda h: merge(h, [c for b in bins(set(h), seed) for c in clique_percolation(within(h, b), 3)]),
         "sqcosbin": lambda h: merge(h, [c for b in bins(set(h), seed) for c in cosine_split(within(h, b), True, square_threshold, small)]),

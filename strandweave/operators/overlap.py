@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from strandweave.functions.scalar import valid_pair
+
 from .components import connected_components
 from .incidence import barcode_size, histogram
 
@@ -183,3 +185,24 @@ def split_markers(edges: DataFrame, bxmx: DataFrame, vertices: DataFrame) -> Dat
     theirs = near.join(bxmx, "bx").select("id", "mx")
     kept = mine.join(theirs, ["id", "mx"], "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("mx")).alias("mxs"))
     return vertices.select("id").join(kept, "id", "left").select("id", F.coalesce("mxs", F.array().cast("array<bigint>")).alias("mxs"))
+
+
+def split_reads(pairs: DataFrame, markers: DataFrame, molecules: DataFrame, only_split: bool = True) -> DataFrame:
+    """Read pairs(pair, name1, name2, bx1, bx2, ...) with `bx`, the molecule they come from.
+
+    Of the molecules(id, mx) of a valid pair's barcode, named barcode_i, it is the one that shares the most markers
+    with markers(pair, bx, mx) (ties: smaller i); with none shared the bare barcode. Valid pairs whose barcode has no
+    molecules keep it and invalid pairs have null; both are only kept without `only_split`. Markers whose barcode is not
+    the pair's are an error.
+    """
+    base, i = F.regexp_extract("id", r"^(.*)_\d+$", 1), F.regexp_extract("id", r"_(\d+)$", 1).cast("int")
+    owned = molecules.select(base.alias("bx1"), i.alias("i"), "mx").distinct()
+    rows = pairs.withColumn("bx1", F.col("bx1").cast("string")).withColumn("bx2", F.col("bx2").cast("string"))
+    rows = rows.withColumn("_valid", valid_pair(F.col("bx1"), F.col("bx2"), F.col("name1"), F.col("name2")))
+    rows = rows.join(owned.select("bx1", F.lit(True).alias("_split")).distinct(), "bx1", "left").withColumn("_split", F.col("_valid") & F.coalesce("_split", F.lit(False)))
+    checked = F.when(F.col("bx1") == F.col("bx").cast("string"), F.col("mx")).otherwise(F.raise_error(F.lit("the markers are not those of the pair's barcode")))
+    held = rows.filter("_split").select("pair", "bx1").join(markers, "pair").select("pair", "bx1", checked.alias("mx")).distinct()
+    counts = held.join(owned, ["bx1", "mx"]).groupBy("pair", "i").agg(F.count("*").alias("n"))
+    best = counts.groupBy("pair").agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("_i"))
+    rows = rows.join(best, "pair", "left").withColumn("bx", F.when(F.col("_split"), F.concat("bx1", F.coalesce(F.concat(F.lit("_"), F.col("_i").cast("string")), F.lit("")))).when(F.col("_valid"), F.col("bx1")))
+    return (rows.filter("_split") if only_split else rows).select(*pairs.columns, "bx")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from strandweave.functions.scalar import oriented, significant_link
+from strandweave.functions.scalar import natural_key, oriented, significant_link
+from strandweave.plans.shared import numbered
 
 from .mapping import median_low
 
@@ -129,8 +130,8 @@ def orient_paths(paths: DataFrame, pairs: DataFrame) -> DataFrame:
 def number_scaffolds(assembled: DataFrame, unused: DataFrame) -> DataFrame:
     """(name, comment, seq): paths from the longest, then unused sequences by name, numbered from 0000001."""
     rows = assembled.select(F.lit(0).alias("part"), F.col("tid").cast("string").alias("key"), "seq", "n").unionByName(unused.select(F.lit(1).alias("part"), F.col("name").alias("key"), "seq", F.lit(1).cast("long").alias("n")))
-    number = F.row_number().over(W.Window.orderBy("part", F.when(F.col("part") == 0, -F.length("seq")).otherwise(0), "key"))
-    return rows.select(F.lpad(number.cast("string"), 7, "0").alias("name"), F.format_string("LN:i:%d xn:i:%d", F.length("seq").cast("long"), F.col("n")).alias("comment"), "seq")
+    rows = numbered(rows, [F.col("part"), F.when(F.col("part") == 0, -F.length("seq")).otherwise(0), F.col("key")], "number")
+    return rows.select(F.lpad(F.col("number").cast("string"), 7, "0").alias("name"), F.format_string("LN:i:%d xn:i:%d", F.length("seq").cast("long"), F.col("n")).alias("comment"), "seq")
 
 
 def gaps(sequences: DataFrame, letter: str = "N", least: int = 1) -> DataFrame:
@@ -181,3 +182,13 @@ def annotate_vertices(vertices: DataFrame, paths: DataFrame, bed: DataFrame) ->
     names = bed.select("qname").distinct()
     hues = names.select("qname", F.round((F.row_number().over(W.Window.orderBy("qname")) - 1) / F.count("*").over(W.Window.partitionBy()), 3).alias("hue"))
     return vertices.select("id").join(named, "id", "left").join(hues, "qname", "left").select("id", "qname", "hue")
+
+
+def annotate_chromosomes(vertices: DataFrame, chromosomes: DataFrame) -> DataFrame:
+    """(id, chrom, hue): vertices with their chromosome of chromosomes(bx, chrom) (repeated barcodes: the greatest name) and
+    its place among the distinct names, in natural order, on a colour circle. Names are few; they are ranked together."""
+    own = chromosomes.groupBy(F.col("bx").alias("id")).agg(F.max("chrom").alias("chrom"))
+    names = own.select("chrom").distinct()
+    place = F.row_number().over(W.Window.orderBy(*natural_key(F.col("chrom")), "chrom")) - 1
+    hues = names.select("chrom", F.round(place / F.count("*").over(W.Window.partitionBy()), 3).alias("hue"))
+    return vertices.select("id").join(own, "id", "left").join(hues, "chrom", "left").select("id", "chrom", "hue")

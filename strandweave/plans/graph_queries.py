@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandweave.operators import communities, components, graph, overlap, trees
 
-from .inputs import EDGES, FILTERED, GRAPH, PATHS, edges, filtered, ids, nation_paths, supplied
+from . import pipelines
+from .inputs import EDGES, FILTERED, GRAPH, PATHS, edges, filtered, ids, nation_paths, supplied, supplied_lines
 from .inputs import graph as thinned
 from .registry import query
 
@@ -170,6 +171,31 @@ def split_markers(spark, sf_dir):
     return overlap.split_markers(found, rows, vertices).select("id", F.size("mxs").alias("n"), F.array_join(F.transform("mxs", lambda x: x.cast("string")), " ").alias("mxs"))
 
 
+@query()
+def molecules_biconnected(spark, sf_dir):
+    return communities.molecules(thinned(spark, sf_dir), "bicon")
+
+
+@query("""WITH mol AS (SELECT DISTINCT l_suppkey AS bx, l_partkey % 3 AS i, l_partkey AS mx FROM lineitem WHERE l_suppkey % 3 <> 0),
+    pairs AS (SELECT l_orderkey AS pair, min(l_suppkey) AS bx FROM lineitem GROUP BY 1), mk AS (SELECT DISTINCT pair, bx, l_partkey AS mx FROM pairs JOIN lineitem ON l_orderkey = pair WHERE pair % 7 <> 0),
+    best AS (SELECT pair, i FROM (SELECT pair, i, count(*) AS n FROM mk JOIN mol USING (bx, mx) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY n DESC, i) = 1)
+    SELECT pair, CASE WHEN pair % 7 = 0 THEN NULL WHEN i IS NULL THEN CAST(bx AS VARCHAR) ELSE bx || '_' || i END AS bx FROM pairs LEFT JOIN best USING (pair)""")
+def split_reads(spark, sf_dir):
+    """A pair an order, of its first supplier; every seventh lacks a mate's barcode. A supplier's parts form three molecules, or, of every third supplier, none."""
+    lines = supplied_lines(spark, sf_dir)
+    pair = lines.groupBy(F.col("l_orderkey").alias("pair")).agg(F.min("l_suppkey").alias("bx1"))
+    name = F.col("pair").cast("string")
+    pair = pair.select("pair", F.concat(name, F.lit("/1")).alias("name1"), F.concat(name, F.lit("/2")).alias("name2"), "bx1", F.when(F.col("pair") % 7 != 0, F.col("bx1")).alias("bx2"))
+    markers = lines.join(pair.select(F.col("pair").alias("l_orderkey"), F.col("bx1").alias("bx")), "l_orderkey").select(F.col("l_orderkey").alias("pair"), "bx", F.col("l_partkey").alias("mx"))
+    own = lines.filter("l_suppkey % 3 <> 0").select(F.concat_ws("_", F.col("l_suppkey").cast("string"), (F.col("l_partkey") % 3).cast("string")).alias("id"), F.col("l_partkey").alias("mx"))
+    return overlap.split_reads(pair, markers, own, only_split=False).select("pair", "bx")
+
+
+@query()
+def physical_map(spark, sf_dir):
+    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=0, junction=2).paths
+
+
 @query()
 def pruned_forest(spark, sf_dir):
     return trees.pruned_forest(thinned(spark, sf_dir), 3)

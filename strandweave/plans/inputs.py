@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def supplied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+
+
 def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Barcodes are suppliers, markers the parts that they ship."""
     return incidence(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")

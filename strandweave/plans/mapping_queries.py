@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from strandweave.functions.scalar import significant_link
-from strandweave.operators import mapping, scaffold
+from strandweave.operators import mapping, reports, scaffold
 
+from . import pipelines
 from .inputs import BXMX, PATHS, QUERY, SEQUENCES, customer_markers, nation_paths, sequences, supplied, table
 from .registry import query
 from .shared import stored
@@ -204,3 +206,44 @@ def coverage(spark, sf_dir):
 def annotate_vertices(spark, sf_dir):
     vertices = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     return scaffold.annotate_vertices(vertices, nation_paths(spark, sf_dir), stored(bed(spark, sf_dir), "bed"))
+
+
+CHROMOSOMES = "chroms AS (SELECT s_suppkey AS bx, CASE WHEN s_nationkey % 2 = 0 THEN 'chr' || s_nationkey ELSE n_name END AS chrom FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 <> 0)"
+
+
+@query(f"""WITH {CHROMOSOMES}, k AS (SELECT DISTINCT chrom, regexp_replace(chrom, '^chr', '') AS bare FROM chroms),
+    h AS (SELECT chrom, round((row_number() OVER (ORDER BY NOT regexp_full_match(bare, '[0-9]+'), TRY_CAST(bare AS BIGINT), bare, chrom) - 1) / CAST(count(*) OVER () AS DOUBLE), 3) AS hue FROM k)
+    SELECT s_suppkey AS id, chrom, hue FROM supplier LEFT JOIN chroms ON bx = s_suppkey LEFT JOIN h USING (chrom)""")
+def annotate_chromosomes(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    name = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("chr"), F.col("s_nationkey").cast("string"))).otherwise(F.col("n_name"))
+    chroms = rows.filter("s_suppkey % 4 <> 0").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("bx"), name.alias("chrom"))
+    return scaffold.annotate_chromosomes(rows.select(F.col("s_suppkey").alias("id")), chroms)
+
+
+@query("""SELECT p_brand AS report, count(*) AS n, NULL::BIGINT AS size, 'Maker ' || regexp_extract(p_brand, '[0-9]+') AS title, NULL AS share FROM part GROUP BY p_brand
+    UNION ALL SELECT p_type, count(*), sum(p_size), NULL, format('{:.1f}%', ((2000 * count(*) + (SELECT count(*) FROM part)) // (2 * (SELECT count(*) FROM part))) / 10.0) FROM part GROUP BY p_type""")
+def stacked_reports(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    title = reports.picked(reports.readable(F.replace("p_brand", F.lit("#"), F.lit("_")), {"Brand-": "Maker "}), "^[A-Za-z]+", "[0-9]+$")
+    brands = parts.groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_size").alias("most")).select(F.col("p_brand").alias("report"), "n", "most", title.alias("title"))
+    types = parts.groupBy(F.col("p_type").alias("report")).agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+    shares = types.withColumn("share", reports.percent(F.col("n"), F.sum("n").over(W.Window.partitionBy())))
+    return reports.stack_reports([brands, shares], drop=["most"])
+
+
+def _map(spark, sf_dir):
+    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=0, junction=2)
+
+
+@query()
+def scaffolds(spark, sf_dir):
+    """Parts as draft sequences, each with the markers of the customer of its key."""
+    markers = customer_markers(spark, sf_dir).withColumn("qid", F.col("qid").cast("string"))
+    return pipelines.scaffolds(_map(spark, sf_dir), markers, sequences(spark, sf_dir), 2, 2, 10)
+
+
+@query()
+def map_quality(spark, sf_dir):
+    return pipelines.map_quality(_map(spark, sf_dir), customer_markers(spark, sf_dir), 20_000, 3)

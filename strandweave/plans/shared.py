@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +29,13 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`, each row's place from 1 in `order`: rows are sorted over all tasks and stored, and each task's rows
+    start where the tasks before it end. Only a row a task is ever together."""
+    rows = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_task", F.shiftright("_at", 33))
+    tasks = rows.groupBy("_task").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    starts = tasks.select("_task", "_low", F.coalesce(F.sum("_n").over(W.Window.orderBy("_task").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_task").withColumn(name, F.col("_start") + F.col("_at") - F.col("_low") + 1).drop("_task", "_at", "_low", "_start")

@@ -40,6 +40,17 @@ def graphviz_lines(vertices: DataFrame, edges: DataFrame, hue: Column | None = N
     return heads.unionByName(rows).unionByName(links)
 
 
+def chromosome_graphviz_lines(annotated: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, value) of a GraphViz file whose vertices annotated(id, chrom, hue) are labelled and coloured by chromosome."""
+    spark = annotated.sparkSession
+    heads = spark.createDataFrame([(0, "strict graph {\nnode [style=filled width=1 height=1]\nedge [color=lightgrey]"), (9, "}")], "part int, value string")
+    name = F.format_string('"%s"', F.col("id").cast("string"))
+    look = F.format_string(' [label="%s" color="%s,1,1"]', F.col("chrom"), F.col("hue").cast("string"))
+    rows = annotated.select(F.lit(1).alias("part"), F.concat(name, F.when(F.col("chrom").isNotNull(), look).otherwise("")).alias("value"))
+    a, b = F.least("u", "v").cast("string"), F.greatest("u", "v").cast("string")
+    return heads.unionByName(rows).unionByName(edges.select(F.lit(2).alias("part"), F.format_string('"%s" -- "%s" [label=%d]', a, b, F.col("m").cast("long")).alias("value")))
+
+
 def marker_lines(bxmx: DataFrame) -> DataFrame:
     """Barcode, tab, its markers as unsigned numbers in order."""
     rows = bxmx.groupBy("bx").agg(F.array_sort(F.collect_list("mx")).alias("mxs"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import scalar as fn
 from strandweave.operators import communities as com
-from strandweave.operators import graph, incidence, mapping, overlap, scaffold, trees
+from strandweave.operators import graph, incidence, mapping, overlap, reports, scaffold, trees
 from strandweave.sources import sinks, text
 
 
@@ -222,3 +222,71 @@ def test_gaps_and_modes(spark):
     hist = pairs(spark, [(1, 90), (2, 20), (3, 30), (4, 50), (5, 40)], "f int, n long")
     assert scaffold.depth_mode(hist).first().mode == 4
     assert scaffold.ngxx(pairs(spark, [(10,), (6,), (4,)], "size long"), 20, 0.5, 0.75, 2.0) == [10, 6, 0]
+
+
+def kruskal(edges):
+    root, kept = {x: x for e in edges for x in e[:2]}, []
+    for u, v, m in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        a, b = root[u], root[v]
+        if a != b:
+            kept.append((u, v, m))
+            root = {x: a if r == b else r for x, r in root.items()}
+    return kept
+
+
+def tree(edges):
+    t = {}
+    for u, v, m in edges:
+        t.setdefault(u, {})[v] = m
+        t.setdefault(v, {})[u] = m
+    return t
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_bridges_go_until_none_is_left(spark, seed):
+    edges = random_graph(seed + 20, 24, 0.12)
+    expected = edges
+    while bad := trees.bridges_of(trees.prune(tree(kruskal(expected)), 2), 4):
+        expected = [e for e in expected if not bad & set(e[:2])]
+    assert expected != edges
+    got, forest = trees.unbridged(pairs(spark, edges, "u long, v long, m long"), 2, 4)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    assert sorted(tuple(r)[:3] for r in forest.collect()) == sorted(kruskal(expected))
+    t = [(u, v, m) for u, vs in trees.prune(tree(kruskal(edges)), 2).items() for v, m in vs.items() if u < v]
+    assert {r.id for r in graph.bridges(pairs(spark, t, "u long, v long, m long"), 4).collect()} == trees.bridges_of(tree(t), 4)
+
+
+def test_bridges_of_nothing(spark):
+    none = spark.createDataFrame([], "u string, v string, m long")
+    assert trees.remove_bridges(none, 2, 4).isEmpty() and trees.unbridged(none, 2, 0)[1].isEmpty()
+
+
+def test_split_reads(spark):
+    pair = pairs(spark, [(1, "r/1", "r/2", "A", "A"), (2, "s/1", "s/2", "A", "A"), (3, "t", "t", "B", "B"), (4, "u", "u", "A", None), (5, "v", "w", "A", "A"), (6, "x", "x", "A", "A")], "pair long, name1 string, name2 string, bx1 string, bx2 string")
+    markers = pairs(spark, [(1, "A", 10), (1, "A", 11), (1, "A", 20), (2, "A", 99), (4, "A", 10), (6, "A", 10), (6, "A", 20)], "pair long, bx string, mx long")
+    molecules = pairs(spark, [("A_0", 10), ("A_0", 11), ("A_1", 20)], "id string, mx long")
+    assert {r.pair: r.bx for r in overlap.split_reads(pair, markers, molecules).collect()} == {1: "A_0", 2: "A", 6: "A_0"}
+    assert {r.pair: r.bx for r in overlap.split_reads(pair, markers, molecules, only_split=False).collect()} == {1: "A_0", 2: "A", 3: "B", 4: None, 5: None, 6: "A_0"}
+    with pytest.raises(Exception, match="not those of the pair"):
+        overlap.split_reads(pair, pairs(spark, [(1, "Z", 10)], "pair long, bx string, mx long"), molecules).collect()
+    assert overlap.split_reads(pair.limit(0), markers, molecules).isEmpty()
+
+
+def test_chromosomes_and_their_graphviz(spark):
+    vertices = pairs(spark, [("a",), ("b",), ("c",), ("d",)], "id string")
+    found = scaffold.annotate_chromosomes(vertices, pairs(spark, [("a", "10"), ("b", "9"), ("c", "X"), ("e", "X")], "bx string, chrom string"))
+    assert {r.id: (r.chrom, r.hue) for r in found.collect()} == {"a": ("10", 0.333), "b": ("9", 0.0), "c": ("X", 0.667), "d": (None, None)}
+    lines = sinks.chromosome_graphviz_lines(found, pairs(spark, [("b", "a", 7)], "u string, v string, m long")).orderBy("part", "value").collect()
+    assert [r.value for r in lines[1:]] == ['"a" [label="10" color="0.333,1,1"]', '"b" [label="9" color="0.0,1,1"]', '"c" [label="X" color="0.667,1,1"]', '"d"', '"a" -- "b" [label=7]', "}"]
+
+
+def test_biconnected_molecules_and_reports(spark):
+    cycle = {i: {(i - 1) % 6, (i + 1) % 6} for i in range(6)}
+    for cut, leaf in ((0, 6), (3, 7)):
+        cycle[cut].add(leaf)
+        cycle[leaf] = {cut}
+    assert sorted(sorted(c) for c in com.partition(cycle, "bicon") if len(c) > 1) == [[1, 2, 4, 5]]
+    a, b = pairs(spark, [("x_y.z", 1)], "name string, n long"), pairs(spark, [("q", 2, 3)], "name string, n long, extra long")
+    rows = reports.stack_reports([a, b], drop=["n"]).withColumn("title", reports.picked(reports.readable(F.col("name"), {"y": "Y", ".z": " z"}), "x", "Y z"))
+    assert sorted((r.name, r.extra, r.title) for r in rows.collect()) == [("q", 3, ""), ("x_y.z", None, "x Y z")]
+    assert spark.range(1).select(reports.percent(F.lit(343), F.lit(2000)).alias("p")).first().p == "17.2%"
