@@ -179,8 +179,8 @@ def annotate_vertices(vertices: DataFrame, paths: DataFrame, bed: DataFrame) ->
     found = bed.withColumn("t", F.col("tname").cast("string")).join(at, ["t", "tstart"])
     best = F.row_number().over(W.Window.partitionBy("id").orderBy(F.desc("score"), "qname"))
     named = found.withColumn("_r", best).filter("_r = 1").select("id", "qname")
-    names = bed.select("qname").distinct()
-    hues = names.select("qname", F.round((F.row_number().over(W.Window.orderBy("qname")) - 1) / F.count("*").over(W.Window.partitionBy()), 3).alias("hue"))
+    names = numbered(bed.select("qname").distinct(), [F.col("qname")], "at")
+    hues = names.select("qname", F.round((F.col("at") - 1) / F.lit(max(names.count(), 1)), 3).alias("hue"))
     return vertices.select("id").join(named, "id", "left").join(hues, "qname", "left").select("id", "qname", "hue")
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from strandweave.plans.shared import stored
+from strandweave.plans.shared import numbered, stored
 
 from .communities import components, cut_vertices, within
 from .components import connected_components
@@ -191,8 +190,7 @@ def junctions(edges: DataFrame, least_junction: int, depth: int = 0, least_branc
 def backbones(edges: DataFrame, least_branch: int = 10, bridge_length: int = 0, least_junction: int = 0) -> DataFrame:
     """(tid, pos, elem): the backbone paths, longest first (ties: smaller first element).
 
-    A tree is folded in one task; forests have as many tasks as trees. Paths are numbered over all trees, so their
-    heads, a row a path, are ranked together.
+    A tree is folded in one task; forests have as many tasks as trees. Paths are numbered by a global sort of their heads.
     """
     forest = unbridged(edges, least_branch, bridge_length)[1]
     kind = dict(edges.dtypes)["u"]
@@ -202,8 +200,7 @@ def backbones(edges: DataFrame, least_branch: int = 10, bridge_length: int = 0,
         return pd.DataFrame([(p[0], len(p), i, u) for p in found for i, u in enumerate(p)], columns=["head", "n", "pos", "elem"])
 
     rows = stored(_per_tree(forest, fold, f"head {kind}, n int, pos int, elem {kind}"), "backbones")
-    tid = F.row_number().over(W.Window.orderBy(F.desc("n"), "head")) - 1
-    tids = rows.filter("pos = 0").select("head", tid.alias("tid"))
+    tids = numbered(rows.filter("pos = 0").select("head", "n"), [F.desc("n"), F.col("head")], "at").select("head", (F.col("at") - 1).cast("int").alias("tid"))
     return rows.join(tids, "head").select("tid", "pos", "elem")
 
 

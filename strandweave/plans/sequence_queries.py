@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from strandweave.functions import scalar as fn
 from strandweave.operators import scaffold
@@ -11,6 +10,7 @@ from strandweave.streaming.counts import stream_marker_counts
 
 from .inputs import SEQUENCES, sequences, table
 from .registry import query
+from .shared import numbered
 
 
 @query(f"WITH {SEQUENCES} SELECT name, reverse(translate(seq, 'ACGTN', 'TGCAN')) AS rc FROM seqs")
@@ -75,7 +75,7 @@ def scaftigs(spark, sf_dir):
 def natural_order(spark, sf_dir):
     size = F.col("p_size")
     names = table(spark, sf_dir, "part").select(F.when(size % 3 == 0, F.concat(F.lit("chr"), size.cast("string"))).when(size % 3 == 1, size.cast("string")).otherwise(F.concat(F.lit("chr"), "p_brand")).alias("name")).distinct()
-    return names.select("name", F.row_number().over(W.Window.orderBy(*fn.natural_key(F.col("name")), "name")).cast("long").alias("place"))
+    return numbered(names.select("name"), [*fn.natural_key(F.col("name")), F.col("name")], "place")
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(l_partkey - (l_suppkey + 20), l_suppkey - (l_partkey + 10), 0) AS distance, l_partkey <= l_suppkey + 20 AND l_suppkey <= l_partkey + 10 AS overlap FROM lineitem")

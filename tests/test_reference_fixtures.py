@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import scalar as fn
 from strandweave.operators import communities as com
 from strandweave.operators import graph, incidence, mapping, overlap, reports, scaffold, trees
+from strandweave.plans.shared import numbered
 from strandweave.sources import sinks, text
 
 
@@ -258,7 +259,13 @@ def test_bridges_go_until_none_is_left(spark, seed):
 
 def test_bridges_of_nothing(spark):
     none = spark.createDataFrame([], "u string, v string, m long")
-    assert trees.remove_bridges(none, 2, 4).isEmpty() and trees.unbridged(none, 2, 0)[1].isEmpty()
+    assert trees.remove_bridges(none, 2, 4).isEmpty() and trees.unbridged(none, 2, 0)[1].isEmpty() and trees.backbones(none, 1).isEmpty()
+
+
+def test_numbering_goes_on_over_tasks(spark):
+    rows = numbered(spark.range(1000).repartition(7).withColumn("k", F.col("id") % 10), [F.desc("k"), F.col("id")], "at")
+    assert [(r.k, r.id) for r in rows.orderBy("at").collect()] == sorted(((i % 10, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+    assert rows.agg(F.min("at"), F.max("at"), F.count_distinct("at")).first() == (1, 1000, 1000) and numbered(spark.range(0), [F.col("id")], "at").isEmpty()
 
 
 def test_split_reads(spark):
