@@ -25,12 +25,14 @@ class Model:
     """Restaurants: one for each of 2**context_bits classes of the word before (by hash), all with one parent for words
     alone, whose base is uniform over the training words and one unknown word."""
 
-    context_bits: int = 10
+    context_bits: int = 12
     concentration: float = 1.0
     #: Gibbs steps before the first sample, samples, and steps between them.
-    burn_in: int = 4
+    burn_in: int = 5
     samples: int = 3
     thin: int = 2
+    #: Customers of a pair that a step moves, where the pair has up to 8, up to 64 and more of them.
+    moves: tuple[int, int, int] = (1, 6, 32)
     #: Tokens in a block of documents, the unit that a task holds.
     block_tokens: int = 4_000_000
     seed: int = 23
@@ -232,7 +234,7 @@ class Part:
         pull = (theta + d2 * 0.5 * corpus.context_counts[self.context]) * self.word_count[self.word] / max(1, corpus.tokens)
         start = np.where(self.count > 1, expected_tables(self.count, pull, d2), np.minimum(self.count, 1))
         tiers = []
-        for low, high, moves in ((2, 8, 1), (9, 64, 4), (65, 1 << 62, 16)):
+        for (low, high), moves in zip(((2, 8), (9, 64), (65, 1 << 62)), model.moves):
             at = np.flatnonzero((self.count >= low) & (self.count <= high))
             if len(at):
                 tiers.append((at, np.arange(len(at)), Seating(self.count[at], start[at], d2, random), moves))
@@ -345,8 +347,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
                 in_context, all_seated, all_customers = at[3:], at[1], at[2]
                 prior = (customers - d1 * seated + (theta + d1 * all_seated) / (vocabulary + 1)) / (theta + all_customers)
                 average = average + (mine.count - d2 * tables + (theta + d2 * in_context[mine.context]) * prior[mine.word]) / (theta + seen[mine.context])
-            # Rounded to 2^-14, which the packing shortens; a text's sum is off by less than its tokens * 2^-15.
-            logs = (np.round(np.log10(average / model.samples) * 16384) / 16384).astype(np.float32)
+            logs = np.log10(average / model.samples).astype(np.float32)
             pair, word = 0, 0
             for row, n_pairs, n_words, sizes in zip(rows, mine.row_pairs, mine.row_words, mine.row_sizes):
                 scores = logs[mine.of_row[pair : pair + n_pairs]]

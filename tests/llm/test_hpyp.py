@@ -99,3 +99,25 @@ def test_gibbs_moves_reach_the_exact_distribution():
         seats.add(groups, np.full(4000, new))
     assert (np.add.reduceat(seats.sizes, seats.start[:-1]) == c).all()
     assert np.abs(np.bincount(seats.tables(), minlength=c + 1)[1:] / 4000 - exact).max() < 0.035
+
+
+def test_the_model_is_not_cut(spark):
+    """At least 4096 context classes, 5 + 4 steps and 1, 6 and 32 moves; and scores that are not rounded to 2^-14."""
+    model = Model()
+    assert model.contexts >= 4096 and model.burn_in >= 5 and model.thin >= 2 and model.samples >= 3
+    assert all(a >= b for a, b in zip(model.moves, (1, 6, 32)))
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(100)], "doc_id long, text string")
+    steps = [r.score * 16384 for r in score_texts(docs).collect()]
+    assert sum(abs(s - round(s)) > 0.01 for s in steps) > 50
+
+
+@pytest.mark.parametrize("pairs, moves", [(5, 1), (30, 6), (200, 32)])
+def test_a_step_moves_customers(monkeypatch, pairs, moves):
+    """In one step, a pair of so many customers has so many of them moved."""
+    calls = []
+    monkeypatch.setattr(Seating, "remove", lambda self, groups: calls.append(len(groups)))
+    monkeypatch.setattr(Seating, "add", lambda self, groups, new: None)
+    part, _ = chain_of([(0, 1)] * pairs, Model(context_bits=2, burn_in=0, samples=1))
+    monkeypatch.setattr(hpyp, "expected_tables", lambda customers, pull, discount: np.minimum(customers, 1))
+    next(part.chain())
+    assert len(calls) == moves
