@@ -43,11 +43,13 @@ class Model:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """First bytes of all numbers, then second bytes and so on, which pack shorter than number by number."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 class _Ids(dict):
@@ -58,7 +60,7 @@ class _Ids(dict):
 
 # --- blocks: documents as codes of (word, context) pairs, and the pairs with their training counts, by part
 
-BLOCKS = "block long, part int, ids array<long>, held array<boolean>, lengths binary, codes binary, words binary, sizes binary, contexts binary, counts binary, context_counts array<long>, ones array<long>"
+BLOCKS = "block long, part int, ids array<long>, held array<boolean>, lengths binary, codes binary, words binary, sizes binary, contexts binary, counts binary, context_counts array<long>"
 _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
@@ -81,19 +83,17 @@ def _block_rows(block: int, parts: int, model: Model, ids: list, held: list, doc
     word_of = keys >> model.context_bits
     used, firsts, sizes = np.unique(word_of, return_index=True, return_counts=True)
     by_context = np.bincount(context[before][learned], minlength=model.contexts)
-    per_word = np.add.reduceat(counts, firsts)
-    ones = [int((x == i).sum()) for x in (per_word, counts) for i in (1, 2)]
-    yield block, -1, ids, held, _pack(lengths.astype(np.int32)), _pack(codes.astype(np.int32)), None, None, None, None, by_context.tolist(), ones
+    yield block, -1, ids, held, _pack(lengths.astype(np.int32)), _pack(codes.astype(np.int32)), None, None, None, None, by_context.tolist()
     ordered_hashes, ordered_part = hashes[order], part[order]
     cuts = np.flatnonzero(np.diff(ordered_part[used], prepend=-1, append=parts + 1))
     for a, b in zip(cuts, cuts[1:]):
         lo, hi = firsts[a], firsts[b] if b < len(firsts) else len(keys)
-        yield block, int(ordered_part[used[a]]), None, None, None, None, _pack(ordered_hashes[used[a:b]]), _pack(sizes[a:b].astype(np.int32)), _pack((keys[lo:hi] & (model.contexts - 1)).astype(np.int32)), _pack(counts[lo:hi].astype(np.int32)), None, None
+        yield block, int(ordered_part[used[a]]), None, None, None, None, _pack(ordered_hashes[used[a:b]]), _pack(sizes[a:b].astype(np.int32)), _pack((keys[lo:hi] & (model.contexts - 1)).astype(np.int32)), _pack(counts[lo:hi].astype(np.int32)), None
 
 
 def make_blocks(docs: DataFrame, held, parts: int, model: Model, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), held.alias("held"))
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 6, pa.list_(pa.int64())]
 
     def emit(task, n, ids, held, found, words):
         made = list(_block_rows((task << 24) + n, parts, model, ids, held, found, words))
@@ -200,7 +200,7 @@ class Corpus:
 class Part:
     """The words of one part: every pair with its training count, and the chain of seatings over them."""
 
-    def __init__(self, rows: list[dict], model: Model, corpus: Corpus, part: int):
+    def __init__(self, rows: list[dict], model: Model, corpus: Corpus | None, part: int):
         self.model, self.corpus, bits = model, corpus, model.context_bits
         words, sizes = [_unpack(r["words"], U) for r in rows], [_unpack(r["sizes"], np.int32) for r in rows]
         self.words, inverse = np.unique(np.concatenate(words), return_inverse=True)
@@ -214,6 +214,13 @@ class Part:
         self.word_count = np.bincount(self.word, counts, len(self.words)).astype(np.int64)
         self.random = np.random.default_rng([model.seed, part])
 
+    def whole(self) -> dict:
+        """The part as one row, its blocks summed, with how many words and pairs occur once and twice in the corpus."""
+        sizes = np.bincount(self.word, minlength=len(self.words)).astype(np.int32)
+        columns = {"words": self.words, "sizes": sizes, "contexts": self.context.astype(np.int32), "counts": self.count.astype(np.int32)}
+        ones = [int((x == i).sum()) for x in (self.word_count, self.count) for i in (1, 2)]
+        return {k: _pack(v) for k, v in columns.items()} | {"ones": ones}
+
     def chain(self):
         """Yields (tables of each pair, customers and tables of each word) at every sample.
 
@@ -284,6 +291,22 @@ class Part:
                 yield tables.copy(), customers.copy(), seated.copy()
 
 
+def discounts_of(ones: list[int]) -> tuple[float, float]:
+    """Discounts of the parent and the contexts from the words seen once and twice and the pairs seen once and twice."""
+    return tuple(min(0.95, max(0.3, a / (a + 2 * b))) if a else 0.6 for a, b in (ones[:2], ones[2:]))
+
+
+def whole_parts(dealt: DataFrame, model: Model) -> DataFrame:
+    """A row a part, of words that are in no other: its pairs with counts over all blocks, and what discounts_of() needs."""
+
+    def merge(batches):
+        for part, rows in _parts(batches, ["words", "sizes", "contexts", "counts"]):
+            row = Part(rows, model, None, part).whole()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([row[k]], pa.binary()) for k in ("words", "sizes", "contexts", "counts")), pa.array([row["ones"]], pa.list_(pa.int64()))], names=["part", "words", "sizes", "contexts", "counts", "ones"])
+
+    return stored(dealt.mapInArrow(merge, "part int, words binary, sizes binary, contexts binary, counts binary, ones array<long>"), "lm-parts", compression="none")
+
+
 def _parts(batches, columns):
     """(part, its rows) with the whole of a part together; input is sorted by part."""
     for rows, cuts in grouped(batches, 1):
@@ -298,7 +321,8 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
 
     Tokens: the words of the text with A-Z lowered, then one end. Blocks of documents turn tokens into pairs of word and
     context class; each word's pairs meet in one part (one entry a block and pair, so a frequent word is no larger than
-    its contexts), where its seating is sampled for all contexts at once. A first run of the chains sums each sample's
+    its contexts), where its counts over all blocks are summed, which give the discounts, and its seating is sampled for
+    all contexts at once. A first run of the chains sums each sample's
     tables over all parts; a second run repeats them by seed and gives every pair its probability, averaged over the
     samples, with those exact totals. Each block then adds up its documents. Nothing whole passes the driver: only one
     row a context class, and a few sums.
@@ -316,11 +340,11 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
     counts = np.zeros(model.contexts, np.int64)
     for r in heads.select(F.posexplode("context_counts").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
         counts[r["c"]] = r["n"]
-    ones = heads.agg(*(F.sum(F.col("ones")[i]) for i in range(4))).first()
-    discounts = tuple(min(0.95, max(0.3, a / (a + 2 * b))) if a else 0.6 for a, b in ((ones[0], ones[1]), (ones[2], ones[3])))
-    corpus = Corpus(counts, int(counts.sum()), discounts, parts)
-    known = spark.sparkContext.broadcast(corpus)
     dealt = pairs.repartition(min(parts, 4 * fanout(spark)), "part").sortWithinPartitions("part", "block")
+    whole = whole_parts(dealt, model)
+    ones = [n or 0 for n in whole.agg(*(F.sum(F.col("ones")[i]) for i in range(4))).first()]
+    corpus = Corpus(counts, int(counts.sum()), discounts_of(ones), parts)
+    known = spark.sparkContext.broadcast(corpus)
 
     def totals(batches):
         """(sample, key, n): tables by context; -1 and -2 for the parent's customers and tables; -3 for known words."""
@@ -334,7 +358,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
         yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k - 3), pa.array(sums[s, k])], names=["s", "k", "n"])
 
     sums = np.zeros((model.samples, model.contexts + 3), np.int64)
-    for r in dealt.mapInArrow(totals, "s long, k long, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).collect():
+    for r in whole.select("part", "words", "sizes", "contexts", "counts").mapInArrow(totals, "s long, k long, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).collect():
         sums[r["s"], r["k"] + 3] = r["n"]
     vocabulary, total = int(sums[0, 0]), spark.sparkContext.broadcast(sums)
 

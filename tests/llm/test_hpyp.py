@@ -121,3 +121,21 @@ def test_a_step_moves_customers(monkeypatch, pairs, moves):
     monkeypatch.setattr(hpyp, "expected_tables", lambda customers, pull, discount: np.minimum(customers, 1))
     next(part.chain())
     assert len(calls) == moves
+
+
+def test_blocks_do_not_matter_to_scores(spark):
+    """Discounts count words and pairs over the corpus, so how documents fall into blocks changes nothing."""
+    docs = table(spark, SF, "documents").coalesce(1)
+    small, large = ({r.doc_id: r.score for r in score_texts(docs, model=m).collect()} for m in (SMALL, Model(context_bits=4)))
+    assert small.keys() == large.keys() and all(abs(small[i] - large[i]) <= 1e-6 * abs(large[i]) for i in large)
+
+
+def test_once_in_each_block_is_not_once(spark):
+    docs = spark.createDataFrame([(i, f"all share these w{i}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    held = hpyp.crc_of_id("doc_id") % 5 == 1
+    model, words = Model(context_bits=12, block_tokens=5), sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(200))
+    blocks = hpyp.make_blocks(docs, held, 3, model, "doc_id", "text").filter("part >= 0")
+    dealt = blocks.select("part", "block", "words", "sizes", "contexts", "counts").repartition(2, "part").sortWithinPartitions("part", "block")
+    ones = [sum(r.ones[i] for r in hpyp.whole_parts(dealt, model).collect()) for i in range(4)]
+    assert ones[:2] == [words, 0]  # only the last words; each pair of them occurs once before it and once behind it
+    assert ones[2] >= words and hpyp.discounts_of(ones)[0] == 0.95
