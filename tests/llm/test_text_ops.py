@@ -1,7 +1,11 @@
 import hashlib
 import zlib
+from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,19 +56,86 @@ def test_bpe_digests(spark):
     assert bpe.encode_digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.one_of(st.text(max_size=200), st.text(st.sampled_from(list("abThésß×÷'’.,!…́0 19-\t漢")), max_size=60)))
-def test_words_encode_alone(text):
-    coder = tokenfile.WordEncoder(WORDS)
-    assert list(coder.encode([text.encode()])[0]) == coder.tokenizer.encode(text, add_special_tokens=False).ids
+@lru_cache
+def untouched():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORDS)
+
+
+@lru_cache
+def coder_of_pieces():
+    return tokenfile.PieceEncoder(WORDS)
+
+
+PIECES = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "don't", "x" * 30, "É", "e\u0301", "\u00a0", "\u3000", "İ", "ß", "×", "12", " ", "\t", "'", "''s", "!?", "\x1c", "\x00", "漢"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=200), st.text(st.sampled_from(list("abThésß×÷'’.,!…́0 19-\t漢<|>")), max_size=60), st.lists(st.sampled_from(PIECES), max_size=12).map("".join)), max_size=5))
+def test_pieces_encode_alone(texts):
+    coder, whole = coder_of_pieces(), untouched()
+    coder.forget()
+    for _ in range(2):  # from an empty memory, and from one that knows the pieces
+        ids, sizes = coder.encode([x.encode() for x in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][: len(texts)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_pieces_of_long_texts_and_full_memories(monkeypatch):
+    monkeypatch.setattr(tokenfile, "TOGETHER", 300)
+    monkeypatch.setattr(tokenfile, "PIECES", 40)
+    coder, whole = tokenfile.PieceEncoder(WORDS), untouched()
+    texts = ["".join(f"word{i} and-{i * 7}, l'été {'y' * (i % 40)} " for i in range(n)) for n in (0, 3, 400)] + ["a" * 5000]
+    for _ in range(2):
+        ids, sizes = coder.encode([x.encode() for x in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_equal_hashes_do_not_mix_pieces(monkeypatch):
+    monkeypatch.setattr(tokenfile.pd, "factorize", lambda h, real=tokenfile.pd.factorize: real(h % np.uint64(3)))
+    coder, whole = tokenfile.PieceEncoder(WORDS), untouched()
+    for text in ("some words share, a hash. 42", "others too! words again 7"):
+        assert coder.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_a_text(spark, tmp_path):
+    t = untouched()
+    docs = spark.createDataFrame([(1, "see <|endoftext|> here"), (2, "a<|startoftext|>b <|endoftext|><|endoftext|>"), (3, "after")], "doc_id long, text string")
+    tokenfile.write_token_file(docs, str(tmp_path / "added"), WORDS, 2)
+    rows = sorted(tokenfile.token_digests(tokenfile.read_token_file(spark, str(tmp_path / "added"))).collect())
+    at = 0
+    for r, d in zip(rows, sorted(docs.collect())):
+        ids = t.encode(d.text, add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+        at += len(ids)
+    assert rows[0].n_tokens == 4 and rows[0].ids_crc32 == 490378056
 
 
 @pytest.mark.parametrize("dictionary", [True, False])
-def test_token_file(spark, tmp_path, dictionary):
-    from tokenizers import Tokenizer
+def test_token_file_layout(spark, tmp_path, dictionary):
+    """Row groups of the asked size, page indexes on every column, and dictionary or delta encoding of the ids."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").coalesce(1)
+    path = str(tmp_path / "layout")
+    tokenfile.write_token_file(docs, path, WORDS, 2, row_group_bytes=64 << 10, page_bytes=8 << 10, dictionary=dictionary)
+    groups = 0
+    for file in Path(path).glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).total_byte_size < 2 << 20
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                assert column.has_offset_index and column.has_column_index
+                if column.path_in_schema.startswith("ids"):
+                    assert ("RLE_DICTIONARY" in column.encodings) == dictionary and ("DELTA_BINARY_PACKED" in column.encodings) == (not dictionary)
+    assert groups > len(list(Path(path).glob("*.parquet")))
+    lengths = spark.read.parquet(path).select("n_tokens")
+    assert "ReadSchema: struct<n_tokens:bigint>" in lengths._jdf.queryExecution().toString()
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
+
+@pytest.mark.parametrize("dictionary", [True, False])
+def test_token_file(spark, tmp_path, dictionary):
+    t = untouched()
     for i, frame in enumerate((table(spark, SF, "documents"), clashing(odd_documents(spark), "part", "start", "ids", "n_tokens"))):
         path = str(tmp_path / f"t{i}")
         tokenfile.write_token_file(frame, path, WORDS, 2, dictionary=dictionary)
