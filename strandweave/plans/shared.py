@@ -31,6 +31,15 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that stored() gave, once nothing will read it again."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `name`, each row's place from 1 in `order`: rows are sorted over all tasks and stored, and each task's rows
     start where the tasks before it end. Only a row a task is ever together."""
