@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +14,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fanout, stored
+from strandweave.plans.shared import discard
+
+from .common import crc_of_id, stored
 from .neardup import grouped, mixed
 
 U = np.uint64
 #: What no word can be (it holds a space): the end of a text, and what stands before its first word.
 END, START = b" end", b" start"
+#: Dishes of up to this many customers are seated by their exact law.
+EXACT = 256
+#: Greatest numbers of customers of the dishes that are seated in one matrix, and the cells of such a matrix.
+SIZES, CELLS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, EXACT), 1 << 19
 
 
 @dataclass(frozen=True)
@@ -25,22 +33,31 @@ class Model:
     """Restaurants: one for each of 2**context_bits classes of the word before (by hash), all with one parent for words
     alone, whose base is uniform over the training words and one unknown word."""
 
-    context_bits: int = 12
+    context_bits: int = 16
     concentration: float = 1.0
-    #: Gibbs steps before the first sample, samples, and steps between them.
+    #: Gibbs sweeps before the first sample, samples, and sweeps between them. A sweep seats every customer anew.
     burn_in: int = 5
     samples: int = 3
     thin: int = 2
-    #: Customers of a pair that a step moves, where the pair has up to 8, up to 64 and more of them.
-    moves: tuple[int, int, int] = (1, 6, 32)
+    #: The dishes of a part are seated in this many random groups a sweep; totals are brought up to date between them.
+    groups: int = 4
     #: Tokens in a block of documents, the unit that a task holds.
     block_tokens: int = 4_000_000
     seed: int = 23
+    #: Whether chains start with every customer at a table of their own instead of one table a dish.
+    start_apart: bool = False
 
     @property
     def contexts(self) -> int:
         return 1 << self.context_bits
 
+    @property
+    def sweeps(self) -> int:
+        return self.burn_in + 1 + (self.samples - 1) * self.thin
+
+    def is_sample(self, sweep: int) -> bool:
+        return sweep >= self.burn_in and (sweep - self.burn_in) % self.thin == 0
+
 
 def _pack(a: np.ndarray) -> bytes:
     """First bytes of all numbers, then second bytes and so on, which pack shorter than number by number."""
@@ -60,7 +77,7 @@ class _Ids(dict):
 
 # --- blocks: documents as codes of (word, context) pairs, and the pairs with their training counts, by part
 
-BLOCKS = "block long, part int, ids array<long>, held array<boolean>, lengths binary, codes binary, words binary, sizes binary, contexts binary, counts binary, context_counts array<long>"
+BLOCKS = "block long, part int, ids array<long>, held array<boolean>, lengths binary, codes binary, words binary, sizes binary, contexts binary, counts binary, context_counts binary"
 _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
@@ -83,7 +100,7 @@ def _block_rows(block: int, parts: int, model: Model, ids: list, held: list, doc
     word_of = keys >> model.context_bits
     used, firsts, sizes = np.unique(word_of, return_index=True, return_counts=True)
     by_context = np.bincount(context[before][learned], minlength=model.contexts)
-    yield block, -1, ids, held, _pack(lengths.astype(np.int32)), _pack(codes.astype(np.int32)), None, None, None, None, by_context.tolist()
+    yield block, -1, ids, held, _pack(lengths.astype(np.int32)), _pack(codes.astype(np.int32)), None, None, None, None, _pack(by_context)
     ordered_hashes, ordered_part = hashes[order], part[order]
     cuts = np.flatnonzero(np.diff(ordered_part[used], prepend=-1, append=parts + 1))
     for a, b in zip(cuts, cuts[1:]):
@@ -93,7 +110,7 @@ def _block_rows(block: int, parts: int, model: Model, ids: list, held: list, doc
 
 def make_blocks(docs: DataFrame, held, parts: int, model: Model, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), held.alias("held"))
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 6, pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7]
 
     def emit(task, n, ids, held, found, words):
         made = list(_block_rows((task << 24) + n, parts, model, ids, held, found, words))
@@ -123,188 +140,273 @@ def make_blocks(docs: DataFrame, held, parts: int, model: Model, id_col: str, te
 # --- seating
 
 
-class Seating:
-    """Customers of many groups (a dish in a restaurant) at tables: `sizes` lists every group's tables end to end."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, discount: float, random: np.random.Generator):
-        self.customers, self.discount, self.random = customers.astype(np.int64), discount, random
-        tables = np.clip(tables, np.minimum(1, customers), customers).astype(np.int64)
-        self.start = np.append(0, np.cumsum(tables))
-        # Start with sizes that fall by a power law; what rounding leaves goes to each group's first table.
-        place = np.arange(self.start[-1]) - np.repeat(self.start[:-1], tables)
-        weight = (place + 1.0) ** (-1 / discount)
-        spare = np.repeat((self.customers - tables).astype(float), tables)
-        some = tables > 0
-        sums = np.add.reduceat(weight, self.start[:-1][some]) if some.any() else np.zeros(0)
-        self.sizes = 1 + np.floor(spare * weight / np.repeat(sums, tables[some])).astype(np.int64)
-        if some.any():
-            self.sizes[self.start[:-1][some]] += self.customers[some] - np.add.reduceat(self.sizes, self.start[:-1][some])
-
-    def tables(self) -> np.ndarray:
-        return np.diff(self.start)
-
-    def remove(self, groups: np.ndarray) -> None:
-        """A customer of each group (distinct, none empty) leaves, each as likely as any other; empty tables go."""
-        ends = np.cumsum(self.sizes)
-        first = self.start[groups]
-        seat = ends[first] - self.sizes[first] + (self.random.random(len(groups)) * self.customers[groups]).astype(np.int64)
-        at = np.searchsorted(ends, seat, "right")
-        self.sizes[at] -= 1
-        self.customers[groups] -= 1
-        gone = self.sizes[at] == 0
-        if gone.any():
-            self.sizes = np.delete(self.sizes, at[gone])
-            fewer = np.zeros(len(self.start), np.int64)
-            fewer[groups[gone] + 1] = 1
-            self.start = self.start - np.cumsum(fewer)
-
-    def add(self, groups: np.ndarray, new: np.ndarray) -> None:
-        """A customer joins each group: a new table with weight `new`, a table of n with weight n - discount."""
-        old = self.customers[groups] - self.discount * (self.start[groups + 1] - self.start[groups])
-        fresh = (self.random.random(len(groups)) * (new + old) < new) | (self.customers[groups] == 0)
-        joins = groups[~fresh]
-        if len(joins):
-            ends = np.cumsum(self.sizes - self.discount)
-            first = self.start[joins]
-            seat = ends[first] - (self.sizes[first] - self.discount) + self.random.random(len(joins)) * old[~fresh]
-            self.sizes[np.clip(np.searchsorted(ends, seat, "right"), first, self.start[joins + 1] - 1)] += 1
-        self.customers[groups] += 1
-        if fresh.any():
-            opened = groups[fresh]
-            self.sizes = np.insert(self.sizes, self.start[opened + 1], 1)
-            more = np.zeros(len(self.start), np.int64)
-            more[opened + 1] = 1
-            self.start = self.start + np.cumsum(more)
-
-
-def expected_tables(customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
-    """Tables that `customers` of one dish would open when a new table has weight `pull`, by integrating the seating rule."""
-    t, seen = np.minimum(customers, 1).astype(float), np.minimum(customers, 1).astype(float)
-    for step in np.diff(np.linspace(0, 1, 41)):
-        n = np.maximum(customers, 1.0) ** step * np.maximum(seen, 1e-9) - seen  # equal ratios from 1 to all customers
-        t += n * pull / (pull + np.maximum(seen - discount * t, 1e-9))
-        seen += n
-    return np.clip(np.round(t), 1, np.maximum(customers, 1))
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for positive numbers, by Stirling's series seven places on."""
+    x = np.asarray(x, float)
+    y = x + 7
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return series - np.log(x * (x + 1) * (x + 2)) - np.log((x + 3) * (x + 4) * (x + 5) * (x + 6))
+
+
+@lru_cache(maxsize=4)
+def log_seatings(discount: float, most: int = EXACT) -> np.ndarray:
+    """[c, t]: log of the summed weights of all seatings of c customers at t tables (generalised Stirling numbers)."""
+    law = np.full((most + 1, most + 1), -np.inf)
+    law[0, 0] = law[1, 1] = 0
+    tables = np.arange(1, most + 1)
+    for c in range(1, most):
+        with np.errstate(divide="ignore"):
+            law[c + 1, 1:] = np.logaddexp(law[c, :-1], law[c, 1:] + np.log(np.maximum(c - discount * tables, 0)))
+    return law
+
+
+def vast_law(customers: np.ndarray, new: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(m, q): one plus a binomial of mean m and chance q is nearly the law of the tables of many customers, new tables of
+    weight `new`; under q = 1e-6 one plus a Poisson of mean m.
+
+    Table sizes are independent draws of one law and their number is Poisson, given that the sizes sum to the customers;
+    m and q give the mean and variance of that number when the law is tilted to the sum.
+    """
+    low, high = np.full(len(customers), -5000.0), np.full(len(customers), -1e-12)
+    for _ in range(60):  # log(1 - tilt) by halving
+        half = (low + high) / 2
+        over = np.log(new) + np.log1p(-np.exp(half)) + (discount - 1) * half > np.log(customers)
+        low, high = np.where(over, half, low), np.where(over, high, half)
+    gap = np.exp(low)
+    tilt = 1 - gap
+    mean = new / discount * (1 - gap**discount)
+    size = customers / mean
+    square = tilt**2 * (1 - discount) * np.maximum(gap, 1e-150) ** (discount - 2) * new / mean + size
+    share = size**2 / square
+    return np.maximum(0, mean - share), share
+
+
+def draw_vast(random: np.random.Generator, customers: np.ndarray, new: np.ndarray, discount: float) -> np.ndarray:
+    mean, q = vast_law(customers, new, discount)
+    rare = q < 1e-6
+    trials = np.round(mean / np.where(rare, 1, q)).astype(np.int64)
+    more = np.where(rare, random.poisson(np.minimum(mean, 1e9)), random.binomial(np.where(rare, 0, trials), np.clip(q, 0, 1)))
+    return np.clip(1 + more, 1, customers)
+
+
+Steps = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def draw_tables(random: np.random.Generator, customers: np.ndarray, now: np.ndarray, discount: float, step: Steps, log_steps: Steps) -> np.ndarray:
+    """Seats all customers of many dishes anew, each dish given all others, and returns their tables.
+
+    step(dishes, i) is the weight of a new table where the dish has i, so t tables weigh log_steps(dishes, t), the sum of
+    log step from 1 to t - 1, times the seatings of the customers at t tables. Up to EXACT customers t is drawn from that law itself;
+    beyond, from the near law of a fixed weight, and kept or refused against `now` by the ratio of the two (Metropolis).
+    """
+    tables = np.minimum(customers, 1).astype(np.int64)
+    law, low = log_seatings(discount), 1
+    for high in SIZES:
+        dishes = np.flatnonzero((customers > low) & (customers <= high))
+        low, rows, i = high, max(1, CELLS // high), np.arange(1, high)[None, :]
+        for at in range(0, len(dishes), rows):
+            some = dishes[at : at + rows]
+            weight = law[customers[some], 1 : high + 1]
+            weight[:, 1:] += np.cumsum(np.log(step(some[:, None], i)), 1)
+            upto = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            tables[some] = 1 + (upto < (random.random(len(some)) * upto[:, -1])[:, None]).sum(1)
+    vast = np.flatnonzero(customers > EXACT)
+    if len(vast):
+        many, old = customers[vast].astype(float), np.clip(now[vast], 1, customers[vast])
+        mean, _ = vast_law(many, step(vast, np.ones(len(vast))), discount)
+        fixed = step(vast, np.clip(mean, 1, many - 1))
+        new = draw_vast(random, many, fixed, discount).astype(np.int64)
+        gain = log_steps(vast, new) - log_steps(vast, old) - (new - old) * np.log(fixed)
+        tables[vast] = np.where(np.log(np.maximum(random.random(len(vast)), 1e-300)) < gain, new, old)
+    return tables
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What every task knows before sampling: customers of each context, their sum, discounts, and how many parts there are."""
+    """What every task knows before sampling: customers of each context, their sum, discounts, and distinct words."""
 
     context_counts: np.ndarray
     tokens: int
     discounts: tuple[float, float]
-    parts: int
+    vocabulary: int
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Tables in each context restaurant, and customers and tables of the parent, over all parts."""
+
+    in_context: np.ndarray
+    customers: int
+    seated: int
+
+    @staticmethod
+    def of(sums: np.ndarray) -> Totals:
+        return Totals(sums[:-2], int(sums[-2]), int(sums[-1]))
+
+    def base(self, corpus: Corpus, theta: float) -> float:
+        """Weight of a new table of any one word in the parent restaurant."""
+        return (theta + corpus.discounts[0] * self.seated) / (corpus.vocabulary + 1)
 
 
 class Part:
-    """The words of one part: every pair with its training count, and the chain of seatings over them."""
-
-    def __init__(self, rows: list[dict], model: Model, corpus: Corpus | None, part: int):
-        self.model, self.corpus, bits = model, corpus, model.context_bits
-        words, sizes = [_unpack(r["words"], U) for r in rows], [_unpack(r["sizes"], np.int32) for r in rows]
-        self.words, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        pair_word = np.repeat(inverse, np.concatenate(sizes))
-        contexts = np.concatenate([_unpack(r["contexts"], np.int32) for r in rows])
-        keys, self.of_row = np.unique((pair_word << bits) | contexts, return_inverse=True)
-        counts = np.bincount(self.of_row, np.concatenate([_unpack(r["counts"], np.int32) for r in rows]), len(keys)).astype(np.int64)
-        self.word, self.context, self.count = keys >> bits, keys & (model.contexts - 1), counts
-        self.row_pairs, self.row_words = [int(s.sum()) for s in sizes], [len(w) for w in words]
-        self.inverse, self.row_sizes = inverse, sizes
-        self.word_count = np.bincount(self.word, counts, len(self.words)).astype(np.int64)
-        self.random = np.random.default_rng([model.seed, part])
-
-    def whole(self) -> dict:
-        """The part as one row, its blocks summed, with how many words and pairs occur once and twice in the corpus."""
-        sizes = np.bincount(self.word, minlength=len(self.words)).astype(np.int32)
-        columns = {"words": self.words, "sizes": sizes, "contexts": self.context.astype(np.int32), "counts": self.count.astype(np.int32)}
-        ones = [int((x == i).sum()) for x in (self.word_count, self.count) for i in (1, 2)]
-        return {k: _pack(v) for k, v in columns.items()} | {"ones": ones}
-
-    def chain(self):
-        """Yields (tables of each pair, customers and tables of each word) at every sample.
-
-        A step moves customers of every dish in every context restaurant (more of them where there are more customers),
-        with the parent's probabilities as they stand; then the parent seats or unseats what tables were opened or
-        closed, and moves a customer of every word. Totals that other parts' words add are scaled from the rate here,
-        leaving out words so frequent that another part need not have their like.
-        """
-        model, corpus, random = self.model, self.corpus, self.random
+    """The words of one part, which are in no other: every pair with its training count, and its tables as they stand."""
+
+    def __init__(self, row: dict, model: Model):
+        self.model, self.context = model, _unpack(row["contexts"], np.int32).astype(np.int64)
+        sizes = _unpack(row["sizes"], np.int32)
+        self.word, self.n_words = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        self.count = _unpack(row["counts"], np.int32).astype(np.int64)
+        self.tables = np.where(model.start_apart, self.count, np.minimum(self.count, 1)).astype(np.int64)
+        self.seated = np.minimum(self.customers(), 1)
+        if row.get("tables") is not None:
+            self.tables, self.seated = _unpack(row["tables"], np.int32).astype(np.int64), _unpack(row["seated"], np.int32).astype(np.int64)
+
+    def customers(self) -> np.ndarray:
+        """Customers of each word in the parent restaurant: its tables in all contexts."""
+        return np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
+
+    def sums(self) -> np.ndarray:
+        """The part's share of the totals."""
+        by_context = np.bincount(self.context, self.tables, self.model.contexts).astype(np.int64)
+        return np.concatenate([by_context, [self.tables.sum(), self.seated.sum()]])
+
+    def sweep(self, corpus: Corpus, totals: Totals, random: np.random.Generator) -> None:
+        """Seats all customers anew: every dish of every context restaurant, in random groups, then every word's tables in
+        the parent. Each draw is conditional on all other tables: this part's as they stand, other parts' as they
+        stood after the last sweep. The parent's seating is summed out while the contexts' is drawn."""
+        d1, d2 = corpus.discounts
+        theta, base = self.model.concentration, totals.base(corpus, self.model.concentration)
+        in_context, customers, all_customers = totals.in_context.astype(np.int64), self.customers(), totals.customers
+        # Customers a word gains weigh like this where it has n: n - d1 * tables + base, averaged over the seatings of n.
+        law = log_seatings(d1) + np.arange(EXACT + 1) * np.log(base)
+        whole = np.logaddexp.reduce(law, 1)
+        joining = np.append(np.exp(np.diff(whole)), EXACT - d1)
+        open_ = np.flatnonzero(self.count > 1)
+        for dishes in np.array_split(random.permutation(open_), self.model.groups) if len(open_) else []:
+            dishes = np.sort(dishes)
+            context, word, old = self.context[dishes], self.word[dishes], self.tables[dishes]
+            others, rest = in_context[context] - old, customers[word] - old
+            total = all_customers
+
+            def step(at, i, others=others, rest=rest, total=total):
+                n = rest[at] + i
+                return (theta + d2 * (others[at] + i)) * np.where(n <= EXACT, joining[np.minimum(n, EXACT).astype(np.int64)], n - d1) / (theta + total + i)
+
+            def log_steps(at, t, others=others, rest=rest, total=total):
+                ratio = lambda x: log_gamma(x + t) - log_gamma(x + 1)  # noqa: E731  the sum of log(x + i) over i from 1 to t - 1
+                return ratio(theta / d2 + others[at]) + (t - 1) * np.log(d2) + ratio(rest[at] - d1 + (rest[at] == 0)) - ratio(theta + total + 0.0)
+
+            new = draw_tables(random, self.count[dishes], old, d2, step, log_steps)
+            self.tables[dishes] = new
+            in_context += np.bincount(context, new - old, self.model.contexts).astype(np.int64)
+            customers += np.bincount(word, new - old, self.n_words).astype(np.int64)
+            all_customers += int((new - old).sum())
+        used = np.flatnonzero(customers > 0)
+        fixed = lambda at, i: np.full(np.broadcast(at, i).shape, base)
+        self.seated = np.zeros(self.n_words, np.int64)
+        self.seated[used] = draw_tables(random, customers[used], np.ones(len(used), np.int64), d1, fixed, lambda at, t: (t - 1) * np.log(base))
+
+    def probabilities(self, corpus: Corpus, totals: Totals) -> np.ndarray:
+        """P(word | context) of every pair with the tables as they stand; totals must be of the same seating."""
         d1, d2 = corpus.discounts
-        theta, n_words = model.concentration, len(self.words)
-        plain = self.word_count < max(2, corpus.tokens / corpus.parts / 4)
-        own = np.bincount(self.context, self.count, model.contexts)
-        rest = np.maximum(corpus.context_counts - own, 0)
-        unseen = max(0, corpus.tokens - int(self.count.sum()))
-        uniform = 1.0 / (max(1, int((self.word_count > 0).sum())) * corpus.parts + 1)
-
-        pull = (theta + d2 * 0.5 * corpus.context_counts[self.context]) * self.word_count[self.word] / max(1, corpus.tokens)
-        start = np.where(self.count > 1, expected_tables(self.count, pull, d2), np.minimum(self.count, 1))
-        tiers = []
-        for (low, high), moves in zip(((2, 8), (9, 64), (65, 1 << 62)), model.moves):
-            at = np.flatnonzero((self.count >= low) & (self.count <= high))
-            if len(at):
-                tiers.append((at, np.arange(len(at)), Seating(self.count[at], start[at], d2, random), moves))
-        tables = start.astype(np.int64)
-        for at, _, seats, _ in tiers:
-            tables[at] = seats.tables()
-        customers = np.bincount(self.word, tables, n_words).astype(np.int64)
-        # Frequent words are seated apart, so that seating their many new customers touches few tables.
-        pull, parents = np.full(n_words, theta + d1 * customers.sum()) * uniform, []
-        for some in (self.word_count <= 100, self.word_count > 100):
-            if some.any():
-                at = np.flatnonzero(some)
-                parents.append((at, Seating(customers[at], expected_tables(customers[at], pull[at], d1) * (customers[at] > 0), d1, random)))
-        seated = np.zeros(n_words, np.int64)
-
-        for step in range(model.burn_in + 1 + (model.samples - 1) * model.thin):
-            usual = plain[self.word]
-            rate = tables[usual].sum() / max(1, self.count[usual].sum())
-            in_context = np.bincount(self.context, tables, model.contexts) + rate * rest
-            for at, seats in parents:
-                seated[at] = seats.tables()
-            base = (theta + d1 * seated.sum() * corpus.parts) * uniform
-            prior = (customers - d1 * seated + base) / (theta + customers.sum() + rate * unseen)
-            for at, groups, seats, moves in tiers:
-                new = (theta + d2 * in_context[self.context[at]]) * prior[self.word[at]]
-                for _ in range(moves):
-                    seats.remove(groups)
-                    seats.add(groups, new)
-                tables[at] = seats.tables()
-            customers = np.bincount(self.word, tables, n_words).astype(np.int64)
-            for at, seats in parents:
-                change = customers[at] - seats.customers
-                while change.any():
-                    fewer, more = np.flatnonzero(change < 0), np.flatnonzero(change > 0)
-                    if len(fewer):
-                        seats.remove(fewer)
-                        change[fewer] += 1
-                    if len(more):
-                        seats.add(more, np.full(len(more), base))
-                        change[more] -= 1
-                many = np.flatnonzero(seats.customers > 1)
-                if len(many):
-                    seats.remove(many)
-                    seats.add(many, np.full(len(many), base))
-                seated[at] = seats.tables()
-            if step >= model.burn_in and (step - model.burn_in) % model.thin == 0:
-                yield tables.copy(), customers.copy(), seated.copy()
+        theta = self.model.concentration
+        prior = (self.customers() - d1 * self.seated + totals.base(corpus, theta)) / (theta + totals.customers)
+        return (self.count - d2 * self.tables + (theta + d2 * totals.in_context[self.context]) * prior[self.word]) / (theta + corpus.context_counts[self.context])
 
 
 def discounts_of(ones: list[int]) -> tuple[float, float]:
     """Discounts of the parent and the contexts from the words seen once and twice and the pairs seen once and twice."""
-    return tuple(min(0.95, max(0.3, a / (a + 2 * b))) if a else 0.6 for a, b in (ones[:2], ones[2:]))
+    return tuple(min(0.95, max(0.3, a / (a + 2 * b))) if a else 0.6 for a, b in (ones[:2], ones[2:4]))
+
+
+STATE = "part int, words binary, sizes binary, contexts binary, counts binary, tables binary, seated binary, samples array<binary>, sums binary"
+_STATE = [c.split()[0] for c in STATE.split(", ")]
+
+
+def _state_row(part: int, row: dict, tables, seated, samples: list, sums) -> pa.RecordBatch:
+    values = [part, row["words"], row["sizes"], row["contexts"], row["counts"], tables, seated, samples, sums]
+    kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=_STATE)
 
 
 def whole_parts(dealt: DataFrame, model: Model) -> DataFrame:
-    """A row a part, of words that are in no other: its pairs with counts over all blocks, and what discounts_of() needs."""
+    """A row a part: its pairs with counts over all blocks, before any seating. `sums` holds the words and then the pairs
+    that occur once and twice in the corpus, and the number of words that occur."""
 
     def merge(batches):
         for part, rows in _parts(batches, ["words", "sizes", "contexts", "counts"]):
-            row = Part(rows, model, None, part).whole()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([row[k]], pa.binary()) for k in ("words", "sizes", "contexts", "counts")), pa.array([row["ones"]], pa.list_(pa.int64()))], names=["part", "words", "sizes", "contexts", "counts", "ones"])
+            words, sizes = [_unpack(r["words"], U) for r in rows], [_unpack(r["sizes"], np.int32) for r in rows]
+            distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
+            contexts = np.concatenate([_unpack(r["contexts"], np.int32) for r in rows])
+            keys, of_row = np.unique((np.repeat(inverse, np.concatenate(sizes)) << model.context_bits) | contexts, return_inverse=True)
+            counts = np.bincount(of_row, np.concatenate([_unpack(r["counts"], np.int32) for r in rows]), len(keys)).astype(np.int64)
+            word = keys >> model.context_bits
+            by_word = np.bincount(word, counts, len(distinct)).astype(np.int64)
+            columns = {"words": distinct, "sizes": np.bincount(word, minlength=len(distinct)).astype(np.int32), "contexts": (keys & (model.contexts - 1)).astype(np.int32), "counts": counts.astype(np.int32)}
+            ones = [int((x == i).sum()) for x in (by_word, counts) for i in (1, 2)]
+            yield _state_row(part, {k: _pack(v) for k, v in columns.items()}, None, None, [], _pack(np.array([*ones, (by_word > 0).sum()], np.int64)))
+
+    return stored(dealt.mapInArrow(merge, STATE), "lm-parts", compression="none")
+
+
+def added(rows: DataFrame, column: str) -> np.ndarray | None:
+    """The sum of packed arrays of longs of one length, by way of about the square root of their number of tasks: no task
+    and not the driver holds more than two such arrays at a time. None where there are no rows."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                mine = _unpack(x.as_py(), np.int64)
+                total = mine if total is None else total + mine
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary())], names=[column])
+
+    some = rows.select(column)
+    middle = max(1, int(some.rdd.getNumPartitions() ** 0.5))
+    found = some.repartition(middle).mapInArrow(add, f"{column} binary").coalesce(1).mapInArrow(add, f"{column} binary").first()
+    return None if found is None else _unpack(found[0], np.int64)
 
-    return stored(dealt.mapInArrow(merge, "part int, words binary, sizes binary, contexts binary, counts binary, ones array<long>"), "lm-parts", compression="none")
+
+def gibbs(state: DataFrame, model: Model, corpus: Corpus) -> tuple[DataFrame, list[Totals]]:
+    """The parts after all sweeps with the tables of every sample, and each sample's totals.
+
+    A sweep is one pass over the parts, and their totals are summed before the next, so all parts sample one model. The
+    passes' tables replace each other in the shared folder; the samples' tables ride along, packed.
+    """
+    spark = state.sparkSession
+    known = spark.sparkContext.broadcast(corpus)
+
+    def begin(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = Part(row, model)
+                yield _state_row(row["part"], row, _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32)), [], _pack(part.sums()))
+
+    def replaced(old: DataFrame, run) -> tuple[DataFrame, Totals]:
+        new = stored(old.mapInArrow(run, STATE), "lm-seating", compression="none")
+        sums = added(new, "sums")
+        discard(old)
+        return new, Totals.of(np.zeros(model.contexts + 2, np.int64) if sums is None else sums)
+
+    state, totals = replaced(state, begin)
+    kept = []
+    for sweep in range(model.sweeps):
+        shared = spark.sparkContext.broadcast(totals)
+
+        def seat(batches, sweep=sweep, shared=shared):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    part = Part(row, model)
+                    part.sweep(known.value, shared.value, np.random.default_rng([model.seed, row["part"], sweep]))
+                    tables, seated = _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32))
+                    yield _state_row(row["part"], row, tables, seated, row["samples"] + [tables, seated] * model.is_sample(sweep), _pack(part.sums()))
+
+        state, totals = replaced(state, seat)
+        if model.is_sample(sweep):
+            kept.append(totals)
+        shared.unpersist()
+    return state, kept
 
 
 def _parts(batches, columns):
@@ -321,65 +423,59 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
 
     Tokens: the words of the text with A-Z lowered, then one end. Blocks of documents turn tokens into pairs of word and
     context class; each word's pairs meet in one part (one entry a block and pair, so a frequent word is no larger than
-    its contexts), where its counts over all blocks are summed, which give the discounts, and its seating is sampled for
-    all contexts at once. A first run of the chains sums each sample's
-    tables over all parts; a second run repeats them by seed and gives every pair its probability, averaged over the
-    samples, with those exact totals. Each block then adds up its documents. Nothing whole passes the driver: only one
-    row a context class, and a few sums.
+    its contexts), where its counts over all blocks are summed, which give the discounts. Sweeps then seat all customers
+    (gibbs), and every pair's probability is averaged over the samples. Each block adds up its documents. Nothing whole
+    passes the driver: only one number a context class, and a few sums.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is the end alone; a
-    null id counts as the empty text in the fold; repeated rows learn and score each; an empty table gives no rows, and
-    with no training rows every word is the unknown one, of probability 1. Other columns are ignored.
+    very long text is one document of its block, and tokens in training count each time they occur; words tied in count
+    are seated alike; a null id counts as the empty text in the fold; repeated rows learn and score each; an empty table
+    gives no rows, and with no training rows every word is the unknown one, of probability 1. Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = max(1, min(2 * docs.rdd.getNumPartitions(), 4 * fanout(spark)))
+    parts = max(1, 2 * docs.rdd.getNumPartitions())  # so a part keeps its size when the table grows
     held = crc_of_id(id_col) % folds == held_fold
     blocks = make_blocks(docs, held, parts, model, id_col, text_col)
     heads, pairs = blocks.filter("part < 0"), blocks.filter("part >= 0").select("part", "block", "words", "sizes", "contexts", "counts")
-
-    counts = np.zeros(model.contexts, np.int64)
-    for r in heads.select(F.posexplode("context_counts").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
-        counts[r["c"]] = r["n"]
-    dealt = pairs.repartition(min(parts, 4 * fanout(spark)), "part").sortWithinPartitions("part", "block")
-    whole = whole_parts(dealt, model)
-    ones = [n or 0 for n in whole.agg(*(F.sum(F.col("ones")[i]) for i in range(4))).first()]
-    corpus = Corpus(counts, int(counts.sum()), discounts_of(ones), parts)
-    known = spark.sparkContext.broadcast(corpus)
-
-    def totals(batches):
-        """(sample, key, n): tables by context; -1 and -2 for the parent's customers and tables; -3 for known words."""
-        sums = np.zeros((model.samples, model.contexts + 3), np.int64)
-        for part, rows in _parts(batches, ["words", "sizes", "contexts", "counts"]):
-            mine = Part(rows, model, known.value, part)
-            for s, (tables, customers, seated) in enumerate(mine.chain()):
-                sums[s, 3:] += np.bincount(mine.context, tables, model.contexts).astype(np.int64)
-                sums[s, :3] += (mine.word_count > 0).sum(), seated.sum(), customers.sum()
-        s, k = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k - 3), pa.array(sums[s, k])], names=["s", "k", "n"])
-
-    sums = np.zeros((model.samples, model.contexts + 3), np.int64)
-    for r in whole.select("part", "words", "sizes", "contexts", "counts").mapInArrow(totals, "s long, k long, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).collect():
-        sums[r["s"], r["k"] + 3] = r["n"]
-    vocabulary, total = int(sums[0, 0]), spark.sparkContext.broadcast(sums)
+    counts = added(heads, "context_counts")
+    counts = np.zeros(model.contexts, np.int64) if counts is None else counts
+    state = whole_parts(pairs.repartition(parts, "part").sortWithinPartitions("part", "block"), model)
+    ones = added(state, "sums")
+    *ones, vocabulary = [0] * 5 if ones is None else ones.tolist()
+    corpus = Corpus(counts, int(counts.sum()), discounts_of(ones), vocabulary)
+    state, totals = gibbs(state, model, corpus)
+    known = spark.sparkContext.broadcast((corpus, totals))
 
     def predict(batches):
-        d1, d2 = known.value.discounts
-        theta, seen = model.concentration, known.value.context_counts
-        for part, rows in _parts(batches, ["block", "words", "sizes", "contexts", "counts"]):
-            mine, average = Part(rows, model, known.value, part), 0.0
-            for (tables, customers, seated), at in zip(mine.chain(), total.value):
-                in_context, all_seated, all_customers = at[3:], at[1], at[2]
-                prior = (customers - d1 * seated + (theta + d1 * all_seated) / (vocabulary + 1)) / (theta + all_customers)
-                average = average + (mine.count - d2 * tables + (theta + d2 * in_context[mine.context]) * prior[mine.word]) / (theta + seen[mine.context])
-            logs = np.log10(average / model.samples).astype(np.float32)
-            pair, word = 0, 0
-            for row, n_pairs, n_words, sizes in zip(rows, mine.row_pairs, mine.row_words, mine.row_sizes):
-                scores = logs[mine.of_row[pair : pair + n_pairs]]
-                learned = mine.word_count[mine.inverse[word : word + n_words]]
-                pair, word = pair + n_pairs, word + n_words
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([part], pa.int32()), pa.array([_pack(scores)], pa.binary()), pa.array([_pack(learned)], pa.binary()), pa.array([_pack(sizes)], pa.binary())], names=["block", "part", "scores", "learned", "sizes"])
-
-    scored = dealt.mapInArrow(predict, "block long, part int, scores binary, learned binary, sizes binary")
+        """Logs of every pair's probability, and every word's training count."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                part, average = Part(row, model), 0.0
+                for i, at in enumerate(known.value[1]):
+                    part.tables, part.seated = (_unpack(x, np.int32).astype(np.int64) for x in row["samples"][2 * i : 2 * i + 2])
+                    average = average + part.probabilities(known.value[0], at)
+                logs, learned = np.log10(average / len(known.value[1])).astype(np.float32), np.bincount(part.word, part.count, part.n_words).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((row["part"], -1, row["words"], row["sizes"], row["contexts"], _pack(logs), _pack(learned)), kinds)], names=names)
+
+    names, kinds = ["part", "block", "words", "sizes", "contexts", "scores", "learned"], [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    schema = "part int, block long, words binary, sizes binary, contexts binary, scores binary, learned binary"
+    sized = state.mapInArrow(predict, schema).unionByName(pairs.drop("counts"), allowMissingColumns=True)
+    dealt = sized.repartition(parts, "part").sortWithinPartitions("part", "block")
+
+    def spread(batches):
+        """Gives each block's pairs what the whole part, which comes first, says of them."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, sizes, contexts = _unpack(row["words"], U), _unpack(row["sizes"], np.int32), _unpack(row["contexts"], np.int32)
+                if row["block"] < 0:
+                    all_words, logs, learned = words, _unpack(row["scores"], np.float32), _unpack(row["learned"], np.int64)
+                    all_keys = (np.repeat(np.arange(len(words)), sizes) << model.context_bits) | contexts
+                    continue
+                at = np.searchsorted(all_words, words)
+                found = np.searchsorted(all_keys, (np.repeat(at, sizes) << model.context_bits) | contexts)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((row["block"], row["part"], _pack(logs[found]), _pack(learned[at]), row["sizes"]), (pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["block", "part", "scores", "learned", "sizes"])
+
+    scored = dealt.mapInArrow(spread, "block long, part int, scores binary, learned binary, sizes binary")
     both = heads.select("block", "part", "ids", "held", "lengths", "codes").unionByName(scored, allowMissingColumns=True)
     tokens = corpus.tokens
 
