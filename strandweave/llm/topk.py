@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Queries are taken in blocks of at most this many bytes of vectors, so that what is broadcast has a fixed bound.
-BLOCK_BYTES = 8 << 20
+from .common import new_path, stored
+
+#: Queries are taken in blocks of at most this many bytes of vectors, and of a task's work arrays (a query's bins and its
+#: scores of a chunk of rows, three of each), so that what is broadcast and what a task holds have fixed bounds.
+BLOCK_BYTES, WORK_BYTES = 8 << 20, 64 << 20
 #: Bins a pass: an interval of integer scores shrinks by this factor each time.
 BINS = 1024
 #: Rows scored at once in a task.
@@ -64,21 +67,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     scores above it, and of those equal to it each task's k smallest ids; at most 2k rows a query and task meet.
     Returns query_id, rank (from 1), vec_id, score. Queries with fewer candidates get all. Repeated ids are rows of
     their own as candidates (rows with the query's id never count), and a repeated query is answered once; vectors of
-    another length are no candidates.
+    another length are no candidates; an empty table gives no rows. Each block's answers are written before the next
+    block starts, so the plan does not grow with the blocks.
     """
     spark = vectors.sparkSession
     asked = queries.dropDuplicates(["id"]) if queries is not vectors else queries
     width = asked.agg(F.max(F.size("v"))).first()[0] or 0
-    per_block = max(1, BLOCK_BYTES // (8 * max(width, 1)))
+    per_block = max(1, min(BLOCK_BYTES // (8 * max(width, 1)), WORK_BYTES // (24 * (BINS + CHUNK))))
     blocks = max(1, -(-asked.count() // per_block))
-    parts = []
+    if blocks == 1:
+        return _top_k_block(spark, vectors, asked.collect(), k)
+    path = new_path(spark, "top-k")
     for b in range(blocks):  # a block's vectors are bounded by BLOCK_BYTES, hash imbalance aside
-        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        parts.append(_top_k_block(spark, vectors, mine.collect(), k))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        _top_k_block(spark, vectors, mine.collect(), k).write.mode("append").parquet(path)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
 
 
 def _top_k_block(spark, vectors: DataFrame, asked: list, k: int) -> DataFrame:
@@ -152,6 +155,11 @@ def _top_k_block(spark, vectors: DataFrame, asked: list, k: int) -> DataFrame:
 
 
 def integer_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """top_k over the quantised vectors, with the rows whose id is divisible by `every` as queries."""
-    rows = quantised(vectors, id_col, vector_col)
+    """top_k over the quantised vectors, with the rows whose id is divisible by `every` as queries: query_id, rank, vec_id, score.
+
+    Rows with a null id, and vectors null or holding null or non-finite components, take no part; an empty vector is
+    compared with empty vectors; other columns are ignored. Repeated rows, ties and empty tables are as in top_k. The
+    quantised vectors are stored, since several passes read them.
+    """
+    rows = stored(quantised(vectors, id_col, vector_col), "quantised")
     return top_k(rows, rows.filter(F.col("id") % every == 0), k)
