@@ -12,15 +12,18 @@ from .common import WORD, running, stored
 
 #: Seeded order is cut into this many runs of hash values per (source, length); only one run of each is ever ranked.
 RUNS = 4096
-#: Width in tokens of the exact knapsack; a larger remaining budget is first brought below it by whole documents.
+#: Tokens that whole documents leave for the exact knapsack, which so has the choice between many fills.
 WIDTH = 1 << 16
+#: Where there are few lengths the knapsack is wider: this many tokens by the number of lengths.
+FEW = 1 << 24
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, width: int = WIDTH) -> np.ndarray:
     """How many documents of each length to take so that the lengths add up to `budget` as nearly as possible from below.
 
     First each length gets its proportional share (so the mix keeps the source's length profile), then whole documents,
-    longest first, until less than `width` remains, then a bounded knapsack finds the best fill of the rest.
+    longest first, until about `width` remains, or no more than that and the longest document left; then a bounded
+    knapsack finds the best fill of the rest, however long the documents are.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
@@ -29,6 +32,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, width: int
     take = np.array([int(n) * budget // total for n in counts], np.int64)
     take = np.minimum(take, counts)
     rest = budget - int((lengths * take).sum())
+    width = max(width, FEW // len(lengths))
     for i in np.argsort(-lengths):
         if rest < width:
             break
@@ -39,8 +43,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, width: int
     rest = min(rest, int((lengths * (counts - take)).sum()))
     if rest <= 0:
         return take
-    cap = min(rest, max(width, 1))
-    reached, via, parts = np.zeros(cap + 1, bool), np.full(cap + 1, -1, np.int64), []
+    cap = rest
+    reached, via, parts = np.zeros(cap + 1, bool), np.full(cap + 1, -1, np.int32), []
     reached[0] = True
     for i in np.argsort(-lengths):
         left, size = int(counts[i] - take[i]), int(lengths[i])
@@ -90,14 +94,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     histogram of exact lengths (fit_budget, one small histogram a source), and of each length the first documents in
     seeded hash order are taken. Only one hash run per (source, length) is ranked, so a hot length never meets in a task.
     Returns id, size, source_size, target, taken. Null text has size 0, null source is one source that comes last, null
-    ids take part by size; repeated rows are documents of their own; empty tables give no rows; other columns are
-    ignored. Reruns agree: order is a hash of seed, id and size, and rows equal in all three are interchangeable.
+    ids take part by size (they are dealt over the runs, so many of them don't meet either); repeated rows are documents
+    of their own; a very long text counts whole; empty tables give no rows; other columns are ignored. Reruns agree:
+    order is a hash of seed, id and size, and rows equal in all three, or without an id, are interchangeable.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size"))
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size"))
-    rows = stored(rows.withColumn("order", order), "mix")
+    # Rows without an id are interchangeable, so their order may be any: they are dealt over the runs.
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string")))
+    rows = stored(rows.withColumn("order", F.xxhash64(F.lit(seed), name, F.col("size"))), "mix")
     rows = rows.withColumn("run", F.shiftrightunsigned("order", 64 - RUNS.bit_length() + 1).cast("int"))
     runs = rows.groupBy("key", "size", "run").agg(F.count("*").alias("n"))
     sizes = stored(runs.groupBy("key", "size").agg(F.sum("n").alias("n")), "mix-sizes")

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandweave.llm.common import table
 from strandweave.llm.mixing import fit_budget, mix_sources
@@ -55,6 +56,35 @@ def test_fit_budget_is_exact_where_it_can_be():
         assert (lengths * fit_budget(lengths, np.ones_like(lengths), budget)).sum() == budget
 
 
+def test_fit_budget_takes_documents_longer_than_the_knapsack():
+    for lengths, counts, budget, best in (([70_000, 300_000], [1, 1], 100_000, 70_000), ([90_000, 40_000, 7], [1, 2, 1], 130_000, 130_000), ([400_000, 10], [3, 5], 800_049, 800_040)):
+        assert (np.array(lengths) * fit_budget(np.array(lengths), np.array(counts), budget)).sum() == best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=8), st.integers(0, 120), st.sampled_from([2, 8, 1 << 16]))
+def test_fit_budget_of_few_documents_is_near_the_best(sizes, budget, width):
+    """Against all subsets: the best fill is missed by less than the longest document, and not at all within the knapsack."""
+    lengths, counts = np.unique(sizes, return_counts=True)
+    sums = {0}
+    for x in sizes:
+        sums |= {s + x for s in sums}
+    best = max(s for s in sums if s <= budget)
+    filled = (lengths * fit_budget(lengths, counts, budget, width)).sum()
+    assert best - max(sizes) < filled <= best
+
+
+def test_rows_without_an_id_do_not_meet_in_one_run(spark):
+    docs = spark.createDataFrame([(None, "some four word text", "a" if i % 4 else "b") for i in range(4000)], "doc_id long, text string, source string").repartition(3)
+    rows = mix_sources(docs).collect()
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r.source_size] += r.taken
+    assert len(rows) == 4000 and all(abs(taken[s] - t) < 4 for s, t in {(r.source_size, r.target) for r in rows})
+    name = F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string"))
+    assert docs.select(F.shiftrightunsigned(F.xxhash64(F.lit(17), name, F.lit(4)), 52)).distinct().count() > 1000
+
+
 def brute_targets(sizes):
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
     target, free, left = {}, set(sizes), float(sum(sizes.values()))
