@@ -19,12 +19,24 @@ FILE_BYTES = 8 << 20
 LEAST_REVISIT = 100
 #: Seconds since 1970 of page 0's capture where a table has no capture times.
 FIRST_CAPTURE = 1_704_067_200
+#: Index entries that a task merges.
+RANGE_ROWS = 100_000
+#: What a revisit record of a payload with an equal digest names as its profile (fixed value of the format).
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _header_safe(column: Column) -> Column:
     return F.regexp_replace(column, "[\\r\\n]", " ")
 
 
+def _utc(seconds: Column) -> Column:
+    """Seconds since 1970 as a UTC date and time, whatever the session's time zone: dates and numbers have none."""
+    of_day = F.pmod(seconds, F.lit(86_400))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    clock = [two(F.floor(of_day / 3600)), two(F.floor(of_day / 60) % 60), two(of_day % 60)]
+    return F.concat(F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string"), F.lit("T"), F.concat_ws(":", *clock), F.lit("Z"))
+
+
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, least: int = LEAST_REVISIT) -> DataFrame:
     """(id, url, date, payload, digest, payload_bytes, record_type, refers_to) for every page.
 
@@ -33,9 +45,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     text = F.coalesce(F.col(payload_col), F.lit(""))
     raw = text.cast("binary")
-    date = F.col(date_col).cast("timestamp") if date_col else F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(10**9)))
+    capture = F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(10**9))
+    date = F.coalesce(F.unix_seconds(F.col(date_col).cast("timestamp")), F.lit(FIRST_CAPTURE)) if date_col else capture
     rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), date.alias("date"), text.alias("payload"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).cast("long").alias("payload_bytes")
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), _utc(date).alias("date"), text.alias("payload"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).cast("long").alias("payload_bytes")
     )
     repeated = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     rows = rows.join(stored(repeated, "repeated-payloads"), "digest", "left")
@@ -54,8 +67,9 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
     header = F.concat_ws(
         line,
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), _header_safe(F.col("url"))), F.concat(F.lit("WARC-Date: "), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
+        F.concat(F.lit("WARC-Target-URI: "), _header_safe(F.col("url"))), F.concat(F.lit("WARC-Date: "), F.col("date")), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes")), F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to"), F.lit(">"))),
+        F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
         F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))),
     )
     n, total = records.agg(F.count("*"), F.sum("payload_bytes")).first()
@@ -177,7 +191,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     """
     spark = runs.sparkSession
     keys = [F.col("url_key"), F.col("captured"), F.col("page_id").asc_nulls_first()]
-    dealt = runs.repartitionByRange(fanout(spark), *keys).sortWithinPartitions("file", *keys, "offset")
+    ranges = max(fanout(spark), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(ranges, *keys).sortWithinPartitions("file", *keys, "offset")
 
     def merge(batches):
         slices: dict[str, list] = {}
@@ -208,7 +223,8 @@ def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null payloads are empty, null URLs the empty text, and a null id stands as it is (it revisits if its payload is
     another page's). Rows that repeat the smallest id of a payload are responses all. An empty table gives no rows;
-    other columns are left out. Without `date_col` a page's capture time is FIRST_CAPTURE plus its id in seconds.
+    other columns are left out; payloads of any length are whole. Without `date_col` a page's capture time is
+    FIRST_CAPTURE plus its id in seconds; a null date is FIRST_CAPTURE. Dates are written in UTC.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")

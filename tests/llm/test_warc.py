@@ -1,5 +1,9 @@
 import hashlib
 import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
 
 from strandweave.llm.common import table
 from strandweave.llm.warc import LoserTree, archive_and_index, parse_records, plan_records, sorted_runs, url_key, write_archives
@@ -51,6 +55,36 @@ def test_records_are_found_at_their_offsets(spark, tmp_path):
         assert length == r.length and (len(block) == r.payload_bytes or r.record_type == "revisit")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_dates_are_utc_in_any_zone(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        pages = spark.createDataFrame([(2, "http://a", "x", 1_700_000_000), (3, "http://b", "y", None), (4, "http://c", "z", -1)], "page_id long, url string, html string, at long")
+        plain = {r.page_id: r.captured for r in archive_and_index(pages).collect()}
+        assert plain == {2: "2024-01-01T00:00:02Z", 3: "2024-01-01T00:00:03Z", 4: "2024-01-01T00:00:04Z"}
+        dated = archive_and_index(pages.withColumn("at", F.timestamp_seconds("at")), date_col="at").collect()
+        assert {r.page_id: r.captured for r in dated} == {2: "2023-11-14T22:13:20Z", 3: "2024-01-01T00:00:00Z", 4: "1969-12-31T23:59:59Z"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_revisits_name_their_profile(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    write_archives(plan_records(odd_pages(spark)), path)
+    headers = [h for f in Path(path).glob("part-*") for _, _, h, _ in parse_records(f.read_bytes())]
+    assert len(headers) == 13 and all((h["WARC-Type"] == "revisit") == ("WARC-Profile" in h) for h in headers)
+
+
+def test_ranges_are_bounded_by_rows(spark, monkeypatch):
+    from strandweave.llm import warc
+
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    pages = table(spark, SF, "pages")
+    got = sorted(archive_and_index(pages).collect(), key=lambda r: r.capture_rank)
+    assert [r.capture_rank for r in got] == list(range(pages.count())) and [(r.url_key, r.captured) for r in got] == sorted((r.url_key, r.captured) for r in got)
+
+
 def test_loser_tree_merges():
     seeded = random.Random(2)
     for k in range(9):
