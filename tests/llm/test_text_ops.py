@@ -1,5 +1,7 @@
 import hashlib
+import math
 import zlib
+from collections import Counter, defaultdict
 from functools import lru_cache
 from pathlib import Path
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import bpe, tokenfile
 from strandweave.llm.common import table
-from strandweave.llm.langid import identify, language_predictions
+from strandweave.llm.langid import fit_languages, identify, language_predictions
 
 from .helpers import SF, clashing, odd_documents
 
@@ -160,6 +162,53 @@ def test_langid_held_out_accuracy(spark):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97
 
 
+def plain_bayes(rows, texts, orders, bits, smooth):
+    """Brute force: n-grams hashed one by one with Python's own numbers, counts in dicts, logs summed term by term."""
+
+    def grams(text):
+        codes = [ord(c) for c in text.lower()]
+        for n in orders:
+            for i in range(len(codes) - n + 1):
+                h = n
+                for c, m in zip(codes[i : i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                    h = (h ^ c) * m % 2**32
+                    h ^= h >> 15
+                yield h * 0x27D4EB2F % 2**32 >> (32 - bits)
+
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        counts[lang].update(grams(text))
+        docs[lang] += 1
+    total = {lang: sum(c.values()) + smooth * 2**bits for lang, c in counts.items()}
+    found = []
+    for text in texts:
+        mine = Counter(grams(text))
+        logs = {lang: math.log(docs[lang] / sum(docs.values())) + sum(n * math.log((counts[lang][b] + smooth) / total[lang]) for b, n in mine.items()) for lang in counts}
+        best = min(logs, key=lambda lang: (-logs[lang], lang))
+        found.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return found
+
+
+@pytest.mark.parametrize("bits", [15, 4])
+def test_langid_is_naive_bayes(spark, bits):
+    docs = table(spark, SF, "documents")
+    rows = [r for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    model = fit_languages(docs, F.col("doc_id") % 2 == 0, bits=bits)
+    texts = [r.text[:300] for r in rows[:60]] + ["İstanbul ﬁ", "x", "été"]
+    names, sure = model.predict(texts)
+    true = plain_bayes([(r.text, r.lang) for r in docs.collect() if r.text is not None and r.lang is not None and r.doc_id % 2 == 0], texts, (1, 2, 3), bits, 0.5)
+    assert names == [x for x, _ in true] and np.allclose(sure, [x for _, x in true], rtol=1e-6)
+    assert model.predict(texts[:7] + [None] + texts[7:])[0] == names[:7] + ["und"] + names[7:]
+
+
+@pytest.mark.parametrize("most", [20, 40, 60, 79])
+def test_langid_samples_rows_without_ids(spark, most):
+    rows = [(None, f"the words of number {i} are here" if i % 2 else f"les mots du nombre {i} sont ici", "en" if i % 2 else "fr") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs, F.lit(True), max_docs=most)
+    assert model.languages == ["en", "fr"] and model.predict(["the words are here", "les mots sont ici"])[0] == ["en", "fr"]
+
+
 def test_langid_odd_rows(spark):
     docs = clashing(odd_documents(spark), "lang_pred", "score", "held_out")
     rows = {r.doc_id: r for r in language_predictions(docs).collect()}
