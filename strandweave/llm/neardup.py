@@ -33,8 +33,9 @@ class Plan:
     sketch_floor: float = 0.65
     #: Members of a bucket that are compared by sketch in one task; a larger bucket is taken as one candidate group.
     bucket: int = 20_000
-    #: Documents of a candidate group that one task confirms; a larger group is cut and every pair of cuts confirmed.
-    group: int = 8_000
+    #: Shingles of a candidate group that one task confirms (8 bytes each, and its texts); a larger group is cut and every
+    #: pair of cuts confirmed. A document of more is a cut of its own.
+    group: int = 2_000_000
 
     @property
     def samples(self) -> int:
@@ -216,10 +217,11 @@ def candidate_groups(nodes: DataFrame, plan: Plan) -> DataFrame:
 
 
 def confirmed_links(docs: DataFrame, groups: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """(u, v) of documents in one candidate group whose full sets are similar enough, as a forest of each task's links."""
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component")
-    cuts = F.ceil(2 * F.col("members") / plan.group).cast("int")
-    sized = sized.withColumn("cuts", F.when(F.col("members") <= plan.group, 1).otherwise(cuts)).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    """(u, v) of documents in one candidate group of groups(id, component, n_shingles) whose full sets are similar enough,
+    as a forest of each task's links."""
+    sized = groups.join(groups.groupBy("component").agg(F.sum("n_shingles").alias("held")), "component")
+    cuts = F.ceil(2 * F.col("held") / plan.group).cast("int")
+    sized = sized.withColumn("cuts", F.when(F.col("held") <= plan.group, 1).otherwise(cuts)).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     # A cut meets every other in a task of its own; the task is named by the two.
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     dealt = sized.select("component", "id", "cut", other.alias("other"))
@@ -260,7 +262,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     known = signed.filter(F.col("id").isNotNull() & F.col("digest").isNotNull())
     sets = stored(known.groupBy("digest").agg(F.min("id").alias("node"), F.min_by(F.struct("n_shingles", "sketch", "bands"), "id").alias("s")), "sets")
     nodes = sets.select("node", "s.*")
-    groups = stored(candidate_groups(nodes, plan), "groups")
+    groups = candidate_groups(nodes, plan).join(nodes.select(F.col("node").alias("id"), "n_shingles"), "id")
+    groups = stored(groups, "groups")
     links = confirmed_links(docs, groups, plan, id_col, text_col)
     # A repeated id with several texts ties its nodes together.
     texts = known.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("id")

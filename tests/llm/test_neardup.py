@@ -15,8 +15,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    """doc_id -> (n, component): every pair's full sets, components by union."""
+def brute(rows, percent=85):
+    """doc_id -> component: every pair's full sets, components by union."""
     sets = [(r.doc_id, shingles(r.text)) for r in rows if r.doc_id is not None]
     root = {i: i for i, _ in sets}
 
@@ -27,7 +27,7 @@ def brute(rows):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if a and b and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in root}
@@ -56,7 +56,7 @@ def test_odd_rows(spark):
     check(spark.createDataFrame([(5, "one two three four five six seven"), (9, "other words altogether in this text"), (5, "other words altogether in this text")], "doc_id long, text string"))
 
 
-@pytest.mark.parametrize("plan", [Plan(), Plan(bucket=3, group=6)])
+@pytest.mark.parametrize("plan", [Plan(), Plan(bucket=3, group=4000)])
 def test_large_group_of_near_copies(spark, plan):
     seeded = random.Random(4)
     base = [f"w{seeded.randrange(4000)}" for _ in range(300)]
@@ -70,6 +70,18 @@ def test_large_group_of_near_copies(spark, plan):
     check(spark.createDataFrame(rows, "doc_id long, text string"), plan)
 
 
+def test_groups_are_bounded_by_shingles(spark):
+    """A group of 40 documents of 2000 words is confirmed in tasks of a few of them each."""
+    words = [f"w{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(i, " ".join(words[:-1] + [f"x{i}"])) for i in range(40)], "doc_id long, text string")
+    plan = Plan(group=20_000)
+    groups = spark.createDataFrame([(i, 0, 1996) for i in range(40)], "id long, component long, n_shingles long")
+    links = neardup.confirmed_links(docs, groups, plan, "doc_id", "text")
+    assert {x for r in links.collect() for x in r} == set(range(40))
+    dealt = links._jdf.queryExecution().toString()
+    assert "low" in dealt and "high" in dealt
+
+
 def test_sketch_estimates_similarity():
     plan, random_ = Plan(), np.random.default_rng(5)
     errors = []

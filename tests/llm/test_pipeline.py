@@ -33,7 +33,7 @@ def test_stages(spark, which):
     assert not kept - heard
     assert not any(r[1] and any(map(str.isalpha, r[1])) for r in heard - kept) and all(any(map(str.isalpha, r[1] or "")) for r in kept)
 
-    true = brute(spoken.collect())
+    true = brute(spoken.collect(), 80)
     assert Counter(r.doc_id for r in single.collect() if r.doc_id is not None) == Counter({i for i, c in true.items() if i == c})
     assert single.filter("doc_id IS NULL").count() == spoken.filter("doc_id IS NULL").count()
 
