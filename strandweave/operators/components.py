@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 
 from strandweave.plans.shared import stored
 
+#: Neighbours that never make a vertex a hub.
+HUB = 256
+
 
 def _smallest(near: DataFrame) -> DataFrame:
-    """near(x, y) -> (x, m): the least of x and its neighbours."""
-    return near.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    """near(x, y) -> (x, m, n): the least of x and its neighbours, and how many these are."""
+    return near.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+
+
+def _with_least(near: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """near(x, y) with the m of its x. Rows of an x with over `hub` of them stay where they are: there are few such x (at
+    most the rows / hub), so theirs are broadcast, and no task gathers the neighbours of a hub."""
+    hubs = least.filter(F.col("n") > hub).select("x", F.col("m").alias("hub_m"))
+    marked = near.join(F.broadcast(hubs), "x", "left")
+    rest = marked.filter("hub_m IS NULL").select("x", "y").join(least.filter(F.col("n") <= hub).select("x", "m"), "x")
+    return marked.filter("hub_m IS NOT NULL").select("x", "y", F.col("hub_m").alias("m")).unionByName(rest)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     near = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    linked = near.join(_smallest(near), "x").filter(F.col("y") > F.col("x"))
+    linked = _with_least(near, _smallest(near), hub).filter(F.col("y") > F.col("x"))
     return linked.select(F.col("m").alias("u"), F.col("y").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     near = edges.select(F.col("v").alias("x"), F.col("u").alias("y"))  # u < v: the smaller neighbours of v
     least = _smallest(near)
-    linked = near.join(least, "x").select(F.col("m").alias("u"), F.col("y").alias("v"))
+    linked = _with_least(near, least, hub).select(F.col("m").alias("u"), F.col("y").alias("v"))
     return linked.unionByName(least.select(F.col("m").alias("u"), F.col("x").alias("v"))).filter("u < v").distinct()
 
 
@@ -30,17 +42,19 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """(id, component) for every vertex of an edge; the component is its smallest id. Ids may be longs or strings.
 
     Each round costs two joins over the edges, which never grow in number; after O(log^2) rounds every edge leads to
-    its component's smallest id. Loops keep their vertex; edges with a null end are dropped; no edges give no rows.
+    its component's smallest id. A vertex with more than its part of all edges (twice the edges by the number of shuffle
+    partitions) is a hub, whose neighbours no task gathers. Loops keep their vertex; edges with a null end are dropped; no edges give no rows.
     """
     ends = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).dropna()
     ends = stored(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc")
     alone = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     stars, before = ends.filter("u < v"), None
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
-        stars = stored(_small_star(_large_star(stars)), "cc")
+        before, hub = now, max(HUB, 2 * now[0] // tasks)
+        stars = stored(_small_star(_large_star(stars, hub), hub), "cc")
     found = stars.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return alone.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
