@@ -31,9 +31,12 @@ def _first_of(key: str) -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; texts that are null or hold no letter are rejected.
+    """Keeps documents whose language is recognised; texts that are null, empty or hold no letter are rejected.
 
-    Learns outside fold 2 of crc32(doc_id) mod 4, as op5 does.
+    Learns outside fold 2 of crc32(doc_id) mod 4, as op5 does; a null id counts as the empty text there, and rows with a
+    null text or language teach nothing. Texts of any length are judged whole; repeated rows are judged alike and all kept
+    or all rejected; ties between languages are one recognised language of a low posterior; an empty table, or one
+    without a labelled row, gives no rows; other columns are left out.
     """
     model = fit_languages(docs, crc_of_id("doc_id") % 4 != 2)
     rows = identify(docs.select(*COLUMNS), model, lang_out="_lang", score_out="_score")
@@ -41,7 +44,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component: that with the smallest id, as one row. Rows without an id stay."""
+    """Keeps one document of each near-duplicate component: that with the smallest id, as one row. Rows without an id stay.
+
+    Null and empty texts and such without words are linked with nothing and stay; texts of any length are compared
+    whole; of rows that share an id one stays, the first by a hash of the row; an empty table gives no rows; other
+    columns are left out.
+    """
     marks = stored(near_duplicates(docs, NEAR).filter("doc_id IS NOT NULL"), "marks")
     # Only documents that may go, or have their id twice, are moved; the others stay where they are read.
     care = stored(marks.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).filter("n > 1 OR NOT kept").select("doc_id", "kept"), "care")
@@ -52,7 +60,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it, so that sources meet their targets; documents not taken go."""
+    """Repeats each document as often as the mix takes it, so that sources meet their targets; documents not taken go.
+
+    A null text has no words and goes, a null source is a source, and a null id is as good as any; rows equal in all
+    columns are taken as one document whose copies add up; ties are broken by a seeded hash; very long documents count
+    whole; an empty table gives no rows; other columns are left out.
+    """
     keyed = docs.select(*COLUMNS, _row_key().alias("_key"))
     taken = mix_sources(keyed, id_col="_key").filter("taken > 0")
     times = taken.groupBy("_key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
@@ -61,7 +74,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left, each decoded again."""
+    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of every row that is left, each text decoded again.
+
+    A null text counts as empty (no tokens); texts of any length are encoded whole; repeated rows are encoded each;
+    null ids and sources stay as they are; an empty table gives no rows; other columns are left out.
+    """
     rows = docs.select("doc_id", "text", "source")
     return encode_digests(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
@@ -73,6 +90,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the whole documents table; every stage's result is stored for the next one. An empty
+    table gives no rows; what becomes of nulls, ties, repeated rows and long texts is each stage's to say."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
