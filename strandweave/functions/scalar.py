@@ -160,16 +160,48 @@ def shingles(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def hash_kmer(kmer: Column) -> Column:
+    """hash_long of the packed k-mer (see pack_kmer)."""
+    return hash_long(pack_kmer(kmer))
+
+
+def unhash_kmer(code: Column, k: int) -> Column:
+    """The k-mer whose hash_kmer is `code`."""
+    return unpack_kmer(unhash_long(code), k)
+
+
 def kmers(seq: Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used: the optimizer repeats an expression for every
+    use, but not the variable of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def window_minimizers(hashes: Column, w: int) -> Column:
     """array<struct(pos, mx)> of the minimum of every w consecutive hashes (the right-most of equal ones), each position once.
 
-    Null hashes are masked: they lose to all others and are not given out. Fewer than w hashes give none.
+    Null hashes are masked: they lose to all others and are not given out. Fewer than w hashes give none. Time is in
+    proportion to the hashes times w: each hash is computed once, and of the picks, whose positions never fall, runs of
+    equal ones become one.
     """
-    place = F.transform(hashes, lambda h, i: F.struct(h.isNull().alias("masked"), F.coalesce(h, F.lit(0)).alias("mx"), (-i).alias("back")))
-    picks = F.transform(F.sequence(F.lit(1), F.size(hashes) - (w - 1)), lambda i: F.array_min(F.slice(place, i, w)))
-    kept = F.transform(F.filter(F.array_distinct(picks), lambda p: ~p["masked"]), lambda p: F.struct((-p["back"]).alias("pos"), p["mx"].alias("mx")))
-    return F.when(F.size(hashes) >= w, kept).otherwise(F.array().cast("array<struct<pos:int,mx:bigint>>"))
+
+    def pick(place: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(place) - (w - 1)), lambda i: F.array_min(F.slice(place, i, w)))
+
+    def distinct(picks: Column) -> Column:
+        new = F.filter(picks, lambda p, i: ~p["masked"] & ((i == 0) | (F.get(picks, i - 1)["back"] != p["back"])))
+        return F.transform(new, lambda p: F.struct((-p["back"]).alias("pos"), p["mx"].alias("mx")))
+
+    def minimizers(place: Column) -> Column:
+        return F.when(F.size(place) >= w, once(pick(place), distinct)).otherwise(F.array().cast("array<struct<pos:int,mx:bigint>>"))
+
+    return once(F.transform(hashes, lambda h, i: F.struct(h.isNull().alias("masked"), F.coalesce(h, F.lit(0)).alias("mx"), (-i).alias("back"))), minimizers)
+
+
+def ordered_minimizers(kmers: Column, w: int, order, emit) -> Column:
+    """array<struct(pos, mx)> of window_minimizers with two hashes a k-mer: order(kmer) says which of w consecutive k-mers is
+    least (null: masked), emit(kmer) is what is given out for it."""
+    return once(kmers, lambda ks: F.transform(window_minimizers(F.transform(ks, order), w), lambda p: F.struct(p["pos"].alias("pos"), emit(F.get(ks, p["pos"])).alias("mx"))))

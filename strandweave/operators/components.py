@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strandweave.plans.shared import stored
 
-#: Neighbours that never make a vertex a hub.
-HUB = 256
+#: Neighbours that never make a vertex a hub, and edges in all that any task may gather.
+HUB, FEW = 256, 10_000
 
 
 def _smallest(near: DataFrame) -> DataFrame:
@@ -18,7 +18,9 @@ def _smallest(near: DataFrame) -> DataFrame:
 
 def _with_least(near: DataFrame, least: DataFrame, hub: int) -> DataFrame:
     """near(x, y) with the m of its x. Rows of an x with over `hub` of them stay where they are: there are few such x (at
-    most the rows / hub), so theirs are broadcast, and no task gathers the neighbours of a hub."""
+    most the rows / hub), so theirs are broadcast, and no task gathers the neighbours of a hub. With `hub` 0 there is none."""
+    if not hub:
+        return near.join(least.select("x", "m"), "x")
     hubs = least.filter(F.col("n") > hub).select("x", F.col("m").alias("hub_m"))
     marked = near.join(F.broadcast(hubs), "x", "left")
     rest = marked.filter("hub_m IS NULL").select("x", "y").join(least.filter(F.col("n") <= hub).select("x", "m"), "x")
@@ -54,7 +56,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before, hub = now, max(HUB, 2 * now[0] // tasks)
+        before, hub = now, max(HUB, 2 * now[0] // tasks) if now[0] > FEW else 0
         stars = stored(_small_star(_large_star(stars, hub), hub), "cc")
     found = stars.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return alone.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

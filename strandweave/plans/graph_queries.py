@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from strandweave.operators import communities, components, graph, overlap, trees
 
 from . import pipelines
-from .inputs import EDGES, FILTERED, GRAPH, PATHS, edges, filtered, ids, nation_paths, supplied, supplied_lines
+from .inputs import EDGES, FILTERED, GRAPH, PATHS, edges, filtered, ids, nation_paths, supplied, supplied_lines, table
 from .inputs import graph as thinned
 from .registry import query
+from .shared import stored
 
 NODES = "n AS (SELECT DISTINCT u AS id FROM s)"
 REACH = f"{NODES}, reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, s.v FROM reach r JOIN s ON s.u = r.other), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"
@@ -20,7 +21,7 @@ REACH = f"{NODES}, reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id,
 def flagship_overlap_degree(spark, sf_dir):
     rows = filtered(spark, sf_dir)
     vertices, found = overlap.overlap_graph(rows, 10)
-    return overlap.degrees(vertices, overlap.filter_percentile(found, 90))
+    return overlap.degrees(vertices, overlap.filter_percentile(stored(found, "edges"), 90))
 
 
 @query(f"WITH {EDGES} SELECT u, v, m FROM e")
@@ -28,10 +29,9 @@ def overlap_edges(spark, sf_dir):
     return overlap.overlap_edges(filtered(spark, sf_dir), 10)
 
 
-@query(f"WITH {FILTERED} SELECT a.bx AS u, b.bx AS v, string_agg(a.mx, ' ' ORDER BY a.mx) AS mxs FROM fx a JOIN fx b ON a.mx = b.mx AND a.bx < b.bx WHERE a.bx < 12 AND b.bx < 12 GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(f"WITH {FILTERED} SELECT a.bx AS u, b.bx AS v, string_agg(a.mx, ' ' ORDER BY a.mx) AS mxs FROM fx a JOIN fx b ON a.mx = b.mx AND a.bx < b.bx GROUP BY 1, 2 HAVING count(*) >= 2")
 def shared_markers(spark, sf_dir):
-    rows = filtered(spark, sf_dir)
-    found = overlap.shared_markers(rows, 2, rows.select("bx").distinct().filter("bx < 12"))
+    found = overlap.shared_markers(filtered(spark, sf_dir), 2)
     return found.select("u", "v", F.array_join(F.transform("mxs", lambda x: x.cast("string")), " ").alias("mxs"))
 
 
@@ -96,25 +96,26 @@ def maximum_spanning_forest(spark, sf_dir):
     return graph.maximum_spanning_forest(thinned(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {GRAPH}, {NODES}, walk(seed, id, d) AS (SELECT id, id, 0 FROM n WHERE id % 10 = 3 UNION SELECT w.seed, s.v, w.d + 1 FROM walk w JOIN s ON s.u = w.id WHERE w.d < 2) SELECT seed, id, min(d) AS d FROM walk GROUP BY seed, id")
+@query(f"WITH RECURSIVE {GRAPH}, {NODES}, walk(seed, id, d) AS (SELECT id, id, 0 FROM n UNION SELECT w.seed, s.v, w.d + 1 FROM walk w JOIN s ON s.u = w.id WHERE w.d < 2) SELECT seed, id, min(d) AS d FROM walk GROUP BY seed, id")
 def hops_from_seeds(spark, sf_dir):
     g = thinned(spark, sf_dir)
-    return graph.hops(g, ids(g).filter("id % 10 = 3").select(F.col("id").alias("seed")), 2)
+    return graph.hops(g, ids(g).select(F.col("id").alias("seed")), 2)
 
 
-@query(f"WITH {GRAPH}, x AS (SELECT u AS id FROM s WHERE u % 20 = 3 UNION SELECT v FROM s WHERE u % 20 = 3) SELECT u, v, m FROM g WHERE u IN (SELECT id FROM x) AND v IN (SELECT id FROM x) AND (SELECT count(DISTINCT u) FROM s WHERE u % 20 = 3) > 1")
+@query(f"""WITH {GRAPH}, seeds AS (SELECT DISTINCT u AS id FROM s JOIN supplier ON s_suppkey = u WHERE s_acctbal < 0), x AS (SELECT id FROM seeds UNION SELECT v FROM s JOIN seeds ON id = u),
+    y AS (SELECT id FROM x WHERE (SELECT count(*) FROM seeds) <> 1 OR id NOT IN (SELECT id FROM seeds)) SELECT u, v, m FROM g WHERE u IN (SELECT id FROM y) AND v IN (SELECT id FROM y)""")
 def subgraph(spark, sf_dir):
+    """Around the suppliers in debt."""
     g = thinned(spark, sf_dir)
-    vertices = ids(g)
-    seeds = vertices.filter("id % 20 = 3")
-    return graph.subgraph(vertices, g, seeds, 1)[1] if seeds.count() > 1 else g.limit(0)
+    seeds = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("id"))
+    return graph.subgraph(ids(g), g, seeds, 1)[1]
 
 
-@query(f"""WITH {GRAPH}, x AS (SELECT DISTINCT u AS seed, u AS id FROM s WHERE u % 20 = 3 UNION SELECT u, v FROM s WHERE u % 20 = 3)
+@query(f"""WITH {GRAPH}, x AS (SELECT DISTINCT u AS seed, u AS id FROM s UNION SELECT u, v FROM s)
     SELECT a.seed, g.u, g.v, g.m FROM g JOIN x a ON a.id = g.u JOIN x b ON b.id = g.v AND b.seed = a.seed""")
 def subgraphs(spark, sf_dir):
     g = thinned(spark, sf_dir)
-    return graph.subgraphs(g, ids(g).filter("id % 20 = 3").select(F.col("id").alias("seed")), 1)
+    return graph.subgraphs(g, ids(g).select(F.col("id").alias("seed")), 1)
 
 
 @query(f"WITH {GRAPH}, d AS (SELECT u AS id, count(*) AS d FROM s GROUP BY u) SELECT id FROM d WHERE d >= 3")
@@ -154,7 +155,21 @@ def molecules_distributed(spark, sf_dir):
     return communities.molecules(thinned(spark, sf_dir), "distributed+sqcosbin")
 
 
-@query()
+#: The neighbour graph of every vertex; its edges whose ends have two common neighbours there; what each vertex x leaves
+#: connected when it goes; the cut vertices; components without them, numbered by falling size.
+CN2 = f"""{GRAPH}, i AS (SELECT a.u AS ego, g.u AS v, g.v AS w FROM s g JOIN s a ON a.v = g.u JOIN s b ON b.u = a.u AND b.v = g.v),
+    k AS (SELECT i.ego, i.v, i.w FROM i JOIN i a ON a.ego = i.ego AND a.v = i.v JOIN i b ON b.ego = i.ego AND b.v = i.w AND b.w = a.w GROUP BY ALL HAVING count(*) >= 2),
+    gone(ego, x, a, b) AS (SELECT DISTINCT k.ego, q.v, k.v, k.v FROM k JOIN (SELECT DISTINCT ego, v FROM k) q ON q.ego = k.ego AND q.v <> k.v
+        UNION SELECT r.ego, r.x, r.a, k.w FROM gone r JOIN k ON k.ego = r.ego AND k.v = r.b AND k.w <> r.x),
+    cuts AS (SELECT DISTINCT p.ego, p.v AS x FROM k p JOIN k q ON q.ego = p.ego AND q.v = p.v AND q.w <> p.w WHERE NOT EXISTS (SELECT 1 FROM gone r WHERE r.ego = p.ego AND r.x = p.v AND r.a = p.w AND r.b = q.w)),
+    h AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.ego = k.ego AND c.x IN (k.v, k.w))),
+    walk(ego, a, b) AS (SELECT DISTINCT ego, v, v FROM h UNION SELECT t.ego, t.a, h.w FROM walk t JOIN h ON h.ego = t.ego AND h.v = t.b),
+    c AS (SELECT ego, a AS nbr, min(b) AS c FROM walk GROUP BY ego, a), z AS (SELECT ego, c, count(*) AS n FROM c GROUP BY ego, c),
+    mids AS (SELECT u, v, dense_rank() OVER (PARTITION BY u ORDER BY n DESC, c) - 1 AS i FROM (SELECT c.ego AS u, nbr AS v, n, c.c AS c FROM c JOIN z ON z.ego = c.ego AND z.c = c.c))"""
+
+
+@query(f"""WITH RECURSIVE {CN2}, e2 AS (SELECT g.u || '_' || a.i AS x, g.v || '_' || b.i AS y, m FROM g JOIN mids a ON a.u = g.u AND a.v = g.v JOIN mids b ON b.u = g.v AND b.v = g.u)
+    SELECT least(x, y) AS u, greatest(x, y) AS v, m FROM e2""")
 def molecule_graph(spark, sf_dir):
     return communities.molecule_graph(thinned(spark, sf_dir), "cn2")[1]
 
@@ -164,7 +179,16 @@ def count_molecules(spark, sf_dir):
     return communities.count_molecules(thinned(spark, sf_dir))
 
 
-@query()
+#: Molecules by components of the neighbour graphs (two members or more), and the graph rewired to them.
+CC = f"""{GRAPH}, walk(ego, a, b) AS (SELECT u, v, v FROM s UNION SELECT w.ego, w.a, s.v FROM walk w JOIN s ON s.u = w.b JOIN s t ON t.u = w.ego AND t.v = s.v),
+    c AS (SELECT ego, a AS nbr, min(b) AS c FROM walk GROUP BY ego, a), z AS (SELECT ego, c, count(*) AS n FROM c GROUP BY ego, c HAVING count(*) > 1),
+    mids AS (SELECT c.ego AS u, nbr AS v, dense_rank() OVER (PARTITION BY c.ego ORDER BY n DESC, c.c) - 1 AS i FROM c JOIN z ON z.ego = c.ego AND z.c = c.c),
+    e2 AS (SELECT g.u AS bu, a.i AS iu, g.v AS bv, b.i AS iv, m FROM g JOIN mids a ON a.u = g.u AND a.v = g.v JOIN mids b ON b.u = g.v AND b.v = g.u),
+    s2 AS (SELECT bu, iu, bv FROM e2 UNION SELECT bv, iv, bu FROM e2)"""
+
+
+@query(f"""WITH RECURSIVE {CC}, k AS (SELECT DISTINCT s2.bu, s2.iu, o.mx FROM s2 JOIN bxmx o ON o.bx = s2.bu JOIN bxmx t ON t.bx = s2.bv AND t.mx = o.mx)
+    SELECT bu || '_' || iu AS id, CAST(count(mx) AS INTEGER) AS n, coalesce(string_agg(mx, ' ' ORDER BY mx), '') AS mxs FROM (SELECT DISTINCT bu, iu FROM s2) LEFT JOIN k USING (bu, iu) GROUP BY bu, iu""")
 def split_markers(spark, sf_dir):
     vertices, found = communities.molecule_graph(thinned(spark, sf_dir), "cc")
     rows = supplied(spark, sf_dir).select(F.col("bx").cast("string").alias("bx"), "mx")
@@ -193,7 +217,7 @@ def split_reads(spark, sf_dir):
 
 @query()
 def physical_map(spark, sf_dir):
-    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=0, junction=2).paths
+    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=3, junction=2).paths
 
 
 @query()
@@ -231,11 +255,72 @@ def without_cut_vertices(spark, sf_dir):
     return trees.without_cut_vertices(thinned(spark, sf_dir))
 
 
-@query()
+def support_of(d: int) -> str:
+    """Common table expressions: diag, and spanners by position, for windows of d positions on both sides."""
+    return f"""win AS (SELECT p.tid, p.pos, p.elem AS v, q.elem AS x, q.pos > p.pos AS after FROM paths p JOIN paths q ON q.tid = p.tid AND q.pos <> p.pos AND abs(q.pos - p.pos) <= {d}),
+    cnt AS (SELECT tid, pos, v, count(*) FILTER (NOT after) AS us, count(*) FILTER (after) AS ws FROM win GROUP BY ALL HAVING count(*) FILTER (NOT after) > 0 AND count(*) FILTER (after) > 0),
+    near AS (SELECT win.*, s.v AS y FROM win JOIN s ON s.u = win.x),
+    over AS (SELECT n.tid, n.pos, count(DISTINCT n.x) AS o FROM near n JOIN win w ON w.tid = n.tid AND w.pos = n.pos AND w.x = n.y AND w.after <> n.after GROUP BY 1, 2),
+    outer_ AS (SELECT tid, pos, y, bool_or(after) AS at_all, bool_and(after) AS wholly FROM near n WHERE y <> v AND NOT EXISTS (SELECT 1 FROM win w WHERE w.tid = n.tid AND w.pos = n.pos AND w.x = n.y) GROUP BY ALL),
+    spanners AS (SELECT tid, pos, y FROM outer_ WHERE at_all AND NOT wholly),
+    only_ AS (SELECT tid, pos, y, at_all AS after FROM outer_ WHERE at_all = wholly),
+    mates AS (SELECT a.tid, a.pos, count(DISTINCT a.y) FILTER (a.after) AS wb, count(DISTINCT a.y) FILTER (NOT a.after) AS ub FROM only_ a JOIN s ON s.u = a.y JOIN only_ b ON b.tid = a.tid AND b.pos = a.pos AND b.y = s.v AND b.after <> a.after GROUP BY 1, 2),
+    sp AS (SELECT tid, pos, count(*) AS n FROM spanners GROUP BY 1, 2),
+    diag AS (SELECT cnt.tid, cnt.pos, v AS elem, us, ws, coalesce(o, 0) AS overlap, coalesce(o, 0) + coalesce(n, 0) AS depth, coalesce(o, 0) + coalesce(n, 0) + least(coalesce(wb, 0), coalesce(ub, 0)) AS support
+        FROM cnt LEFT JOIN over ON over.tid = cnt.tid AND over.pos = cnt.pos LEFT JOIN sp ON sp.tid = cnt.tid AND sp.pos = cnt.pos LEFT JOIN mates ON mates.tid = cnt.tid AND mates.pos = cnt.pos)"""
+
+
+@query(f"WITH {GRAPH}, {PATHS}, {support_of(2)} SELECT * FROM diag")
 def chimera_diagnostics(spark, sf_dir):
     return graph.chimera_diagnostics(thinned(spark, sf_dir), nation_paths(spark, sf_dir), 2, 1)
 
 
-@query()
+@query(f"""WITH {GRAPH}, {PATHS}, {support_of(1)}, weak AS (SELECT * FROM diag WHERE overlap = 0 AND support < 3),
+    bad AS (SELECT elem AS id FROM weak UNION SELECT y FROM spanners JOIN weak USING (tid, pos)),
+    marked AS (SELECT tid, pos, elem, elem IN (SELECT id FROM bad) AS bad FROM paths),
+    starts AS (SELECT *, NOT bad AND coalesce(lag(bad) OVER (PARTITION BY tid ORDER BY pos), true) AS fresh FROM marked),
+    pieces AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY pos) - 1 AS piece FROM starts)
+    SELECT tid, CAST(piece AS INTEGER) AS piece, pos, elem FROM pieces WHERE NOT bad""")
 def cut_chimera(spark, sf_dir):
     return graph.cut_chimera(nation_paths(spark, sf_dir), thinned(spark, sf_dir), 1, 3, 1)
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, d AS (SELECT u AS id, count(*) AS mol FROM s GROUP BY u), w AS (SELECT g.* FROM g WHERE m >= (SELECT min(m) + 1 FROM g)),
+    f AS (SELECT w.* FROM w JOIN d a ON a.id = w.u JOIN d b ON b.id = w.v WHERE a.mol < 12 AND b.mol < 12), t AS (SELECT u, v FROM f UNION ALL SELECT v, u FROM f),
+    reach(id, other) AS (SELECT DISTINCT u, u FROM t UNION SELECT r.id, t.v FROM reach r JOIN t ON t.u = r.other), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+    SELECT f.u, f.v, f.m FROM f JOIN comp ON comp.id = f.u WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 3)""")
+def filter_graph(spark, sf_dir):
+    """Edges above the lightest, vertices of degree below 12 (in the place of molecules), components of three or more."""
+    g = thinned(spark, sf_dir)
+    vertices = overlap.degrees(ids(g).withColumn("m", F.lit(1)), g).withColumnRenamed("degree", "mol")
+    return overlap.filter_graph(vertices, g, g.agg(F.min("m")).first()[0] + 1, 12, 3)[1]
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {REACH}, z AS (SELECT component, count(*) AS n FROM comp GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT id FROM comp JOIN z USING (component)")
+def largest_component(spark, sf_dir):
+    return overlap.largest_component(components.connected_components(thinned(spark, sf_dir)))
+
+
+@query(f"WITH {GRAPH}, r AS (SELECT u, v, m, row_number() OVER (PARTITION BY u ORDER BY m DESC, v) AS r FROM s) SELECT u, v, m FROM r WHERE r > 2")
+def edges_beyond_two(spark, sf_dir):
+    return overlap.edges_beyond(thinned(spark, sf_dir), 2)
+
+
+@query()
+def spanning_tree(spark, sf_dir):
+    return trees.spanning_tree(thinned(spark, sf_dir), 2, 3)
+
+
+@query()
+def junctions_and_around(spark, sf_dir):
+    return trees.junctions(thinned(spark, sf_dir), 2, 2, least_branch=2)
+
+
+@query()
+def backbones_without_chimera(spark, sf_dir):
+    return trees.backbones_without_chimera(thinned(spark, sf_dir), 3, 2, 3, least_branch=2)[0]
+
+
+@query()
+def tiling_graph(spark, sf_dir):
+    return graph.tiling_graph(thinned(spark, sf_dir), nation_paths(spark, sf_dir))

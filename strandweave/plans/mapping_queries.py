@@ -116,18 +116,20 @@ def bed_to_path(spark, sf_dir):
     return scaffold.bed_to_path(bed(spark, sf_dir))
 
 
-@query(f"WITH {PATHS}, r AS (SELECT 'bed' AS tname, l_linenumber AS tstart, l_linenumber + 1 AS tend, l_suppkey AS qname, CAST(l_quantity AS BIGINT) AS score, '.' AS orientation FROM lineitem WHERE l_suppkey % 3 = 1 AND l_linenumber >= 6) SELECT tid, pos, r.* FROM paths JOIN r ON qname = elem")
+@query(f"WITH {PATHS}, r AS (SELECT 'bed' AS tname, l_linenumber AS tstart, l_linenumber + 1 AS tend, l_suppkey AS qname, CAST(l_quantity AS BIGINT) AS score, '.' AS orientation FROM lineitem) SELECT tid, pos, r.* FROM paths JOIN r ON qname = elem")
 def filter_bed(spark, sf_dir):
     return scaffold.filter_bed(nation_paths(spark, sf_dir), _lines_as_bed(spark, sf_dir))
 
 
-@query(f"WITH {PATHS} SELECT DISTINCT elem FROM paths WHERE elem NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 1 AND l_linenumber >= 6)")
+@query(f"WITH {PATHS} SELECT DISTINCT elem FROM paths WHERE elem NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 5000)")
 def missing_elements(spark, sf_dir):
-    return scaffold.missing_elements(nation_paths(spark, sf_dir), _lines_as_bed(spark, sf_dir))
+    from .format_queries import suppliers_as_bed
+
+    return scaffold.missing_elements(nation_paths(spark, sf_dir), suppliers_as_bed(spark, sf_dir))
 
 
 def _lines_as_bed(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey % 3 = 1 AND l_linenumber >= 6")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.lit("bed").alias("tname"), F.col("l_linenumber").alias("tstart"), (F.col("l_linenumber") + 1).alias("tend"), F.col("l_suppkey").alias("qname"), F.col("l_quantity").cast("long").alias("score"), F.lit(".").alias("orientation"))
 
 
@@ -177,11 +179,11 @@ EVIDENCE = "pairs AS (SELECT l_suppkey % 40 AS u, l_partkey % 40 + 40 AS v, coun
 @query(f"""WITH {EVIDENCE}, x AS (SELECT *, list_sort([hh, ht, th, tt], 'DESC') AS o FROM pairs)
     SELECT u, v, CASE WHEN o[1] + o[2] > 0 AND o[1] - (o[1] + o[2]) / 2.0::DOUBLE > 1.6448536269514722::DOUBLE * sqrt((o[1] + o[2]) / 4.0::DOUBLE) THEN CAST(list_position([hh, ht, th, tt], o[1]) AS INTEGER) - 1 ELSE -1 END AS place FROM x""")
 def significant_links(spark, sf_dir):
-    rows = _evidence(spark, sf_dir)
+    rows = evidence(spark, sf_dir)
     return rows.select("u", "v", significant_link([F.col(c) for c in ("hh", "ht", "th", "tt")]).alias("place"))
 
 
-def _evidence(spark, sf_dir):
+def evidence(spark, sf_dir):
     n = F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("u"), (F.col("l_partkey") % 40 + 40).alias("v")).agg(*(F.count_if(c).alias(k) for k, c in (("hh", n == 1), ("ht", n == 2), ("th", n == 3), ("tt", n >= 4))))
 
@@ -189,7 +191,7 @@ def _evidence(spark, sf_dir):
 @query()
 def orient_paths(spark, sf_dir):
     paths = signed_paths(spark, sf_dir)
-    pairs = _evidence(spark, sf_dir)
+    pairs = evidence(spark, sf_dir)
     return scaffold.orient_paths(paths, pairs.withColumns({"u": F.col("u").cast("string"), "v": (F.col("v") - 39).cast("string")}))
 
 
@@ -234,7 +236,7 @@ def stacked_reports(spark, sf_dir):
 
 
 def _map(spark, sf_dir):
-    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=0, junction=2)
+    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=3, junction=2)
 
 
 @query()
@@ -247,3 +249,66 @@ def scaffolds(spark, sf_dir):
 @query()
 def map_quality(spark, sf_dir):
     return pipelines.map_quality(_map(spark, sf_dir), customer_markers(spark, sf_dir), 20_000, 3)
+
+
+@query(f"WITH {BXMX}, {PATHS} SELECT DISTINCT mx, tid, pos AS tpos FROM bxmx JOIN paths ON elem = bx")
+def positional_index_by_bare_names(spark, sf_dir):
+    """Every supplier stands in its path under its own name, or with one or two numbers behind it, by its place."""
+    name = F.col("elem").cast("string")
+    more = F.when(F.col("pos") % 3 == 0, name).when(F.col("pos") % 3 == 1, F.concat(name, F.lit("_7"))).otherwise(F.concat(name, F.lit("_7_0")))
+    return mapping.positional_index(nation_paths(spark, sf_dir).withColumn("elem", more), supplied(spark, sf_dir))
+
+
+@query(f"""WITH {BED}, top AS (SELECT qname FROM bed GROUP BY qname ORDER BY count(*) DESC, qname LIMIT 7)
+    SELECT tname, tstart, tend, CASE WHEN qname IN (SELECT qname FROM top) THEN CAST(qname AS VARCHAR) ELSE 'Other' END AS qname, score, orientation FROM bed""")
+def lumped_names(spark, sf_dir):
+    return reports.lumped(stored(bed(spark, sf_dir), "bed"), "qname", 7)
+
+
+@query(f"""WITH {BED}, w AS (SELECT qname, sum(score) AS w FROM bed GROUP BY qname), top AS (SELECT qname FROM w ORDER BY w DESC, qname LIMIT 26)
+    SELECT tname, tstart, tend, CASE WHEN qname IN (SELECT qname FROM top) THEN CAST(qname AS VARCHAR) ELSE 'Other' END AS qname, score, orientation FROM bed""")
+def lumped_names_by_score(spark, sf_dir):
+    return reports.lumped(stored(bed(spark, sf_dir), "bed"), "qname", 26, F.col("score"))
+
+
+@query(f"""WITH {PATHS}, r AS (SELECT n_name AS tname, s_suppkey AS tstart, s_suppkey + 1 AS tend, s_suppkey AS qname, CAST(round(s_acctbal) AS BIGINT) AS score, '.' AS orientation FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal < 5000),
+    b AS (SELECT tid, pos, r.* FROM paths JOIN r ON qname = elem), t AS (SELECT tid, row_number() OVER (ORDER BY tid) AS n FROM (SELECT DISTINCT tid FROM b WHERE tid <> 0)),
+    a AS (SELECT b.*, coalesce(n, 0) AS boundary FROM b LEFT JOIN t USING (tid) UNION ALL SELECT tid, -1, NULL, NULL, NULL, NULL, NULL, NULL, n FROM t),
+    f AS (SELECT tname, min(tid * 1000000 + pos) AS o FROM a GROUP BY tname), i AS (SELECT tname, row_number() OVER (ORDER BY o) AS "index" FROM f)
+    SELECT a.*, "index" FROM a JOIN i ON i.tname IS NOT DISTINCT FROM a.tname""")
+def contig_boundaries(spark, sf_dir):
+    from .format_queries import suppliers_as_bed
+
+    rows = reports.with_boundaries(scaffold.filter_bed(nation_paths(spark, sf_dir), suppliers_as_bed(spark, sf_dir)))
+    return reports.appearance_index(stored(rows, "boundaries"), "tname", [F.col("tid"), F.col("pos")])
+
+
+@query(f"""WITH {WHISKERS}, f AS (SELECT qname, row_number() OVER (ORDER BY max(qlength) DESC, qname) AS i FROM paf GROUP BY qname)
+    SELECT paf.qname, qstart, tname, tstart, CAST((i + row_number() OVER (PARTITION BY paf.qname ORDER BY qstart, tname, tstart)) % 2 AS INTEGER) AS colour FROM paf JOIN f ON f.qname = paf.qname""")
+def alternating_colours(spark, sf_dir):
+    rows = reports.appearance_index(stored(paf(spark, sf_dir), "paf"), "qname", [-F.col("qlength"), F.col("qname")])
+    return reports.alternating(rows, "qname", F.col("index"), F.col("qstart"), F.col("tname"), F.col("tstart")).select("qname", "qstart", "tname", "tstart", "colour")
+
+
+@query(f"""WITH {SEQUENCES}, c AS (SELECT name, i, substr(seq, i, 1) AS c FROM (SELECT name, seq, unnest(generate_series(1, length(seq))) AS i FROM seqs)),
+    r AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM c WHERE c = 'N'), g AS (SELECT name, min(i) - 1 AS s, max(i) AS e, count(*) AS n FROM r GROUP BY name, k),
+    x AS (SELECT CAST(s_suppkey AS VARCHAR) AS name, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS "index" FROM supplier)
+    SELECT name, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", n AS length, "index" FROM g JOIN x USING (name)""")
+def gaps_with_index(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), "s_acctbal", "s_suppkey")
+    index = reports.appearance_index(suppliers, "name", [-F.col("s_acctbal"), F.col("s_suppkey")])
+    return scaffold.with_index(scaffold.gaps(sequences(spark, sf_dir)), index)
+
+
+@query(f"""WITH {BXMX}, x AS (SELECT count(*) AS f FROM bxmx GROUP BY mx), h AS (SELECT f, count(*) AS n FROM x GROUP BY f),
+    i AS (SELECT f, n, row_number() OVER (ORDER BY f) AS i, n > lag(n) OVER (ORDER BY f) AS rises FROM h), low AS (SELECT coalesce(min(CASE WHEN rises THEN i END) - 1, 1) AS low FROM i),
+    m AS (SELECT i AS mode FROM i, low WHERE i >= low ORDER BY n DESC, f LIMIT 1) SELECT 3 * mode AS threshold FROM m""")
+def repeat_threshold(spark, sf_dir):
+    depth = supplied(spark, sf_dir).groupBy("mx").agg(F.count("*").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
+    return scaffold.repeat_threshold(depth)
+
+
+@query()
+def assemble_with_evidence(spark, sf_dir):
+    pairs = evidence(spark, sf_dir).withColumns({"u": F.col("u").cast("string"), "v": (F.col("v") - 39).cast("string")})
+    return scaffold.assemble_with_evidence(signed_paths(spark, sf_dir), sequences(spark, sf_dir), pairs, 10)

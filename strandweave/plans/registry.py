@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import graph_queries, incidence_queries, mapping_queries, sequence_queries  # noqa: E402, F401
+from . import format_queries, graph_queries, incidence_queries, mapping_queries, sequence_queries  # noqa: E402, F401

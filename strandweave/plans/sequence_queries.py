@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandweave.functions import scalar as fn
-from strandweave.operators import scaffold
+from strandweave.operators import reports, scaffold
 from strandweave.streaming.counts import stream_marker_counts
 
 from .inputs import SEQUENCES, sequences, table
@@ -52,7 +52,20 @@ def masked_minimizers(spark, sf_dir):
     return lists.select("name", F.inline(fn.window_minimizers(F.transform("hs", lambda x: x["h"]), 5)))
 
 
-@query()
+#: Two to the 64th, in numbers of 128 bits.
+TOP = "CAST(18446744073709551616 AS HUGEINT)"
+
+
+def mixed(x: str, table_: str, keys: str) -> str:
+    """Common table expressions h0 ... h6 over table_(keys, x): hash_long step by step, then `mix`(keys, hash)."""
+    shift = lambda i, n: f"h{i + 1} AS (SELECT {keys}, CAST(xor(CAST(h AS UBIGINT), CAST(h AS UBIGINT) >> {n}) AS HUGEINT) AS h FROM h{i})"
+    times = lambda i, f: f"h{i + 1} AS (SELECT {keys}, (h * {f}) % {TOP} AS h FROM h{i})"
+    first = f"h0 AS (SELECT {keys}, ((CAST({x} AS HUGEINT) + {TOP}) % {TOP} * 2097151 + {TOP} - 1) % {TOP} AS h FROM {table_})"
+    steps = [shift(0, 24), times(1, 265), shift(2, 14), times(3, 21), shift(4, 28), times(5, 2147483649)]
+    return ", ".join([first, *steps, f"mix AS (SELECT {keys}, CAST(CASE WHEN h >= {TOP} // 2 THEN h - {TOP} ELSE h END AS BIGINT) AS hash FROM h6)"])
+
+
+@query(f"WITH {mixed('p_partkey', 'part', 'p_partkey')} SELECT p_partkey AS key, hash, p_partkey AS back FROM mix")
 def hashed_keys(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), fn.hash_long(F.col("p_partkey")).alias("hash"))
     return rows.select("key", "hash", fn.unhash_long(F.col("hash")).alias("back"))
@@ -92,3 +105,36 @@ def streamed_counts(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL 6 hours, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_windows(spark, sf_dir):
     return stream_marker_counts(spark, sf_dir, ["event_type"], "6 hours")
+
+
+PACKED = """k AS (SELECT name, i - 1 AS pos, substr(seq, i, 8) AS kmer FROM seqs, (SELECT unnest(generate_series(1, 25)) AS i)),
+    c AS (SELECT name, pos, kmer, unnest(generate_series(1, 8)) AS j FROM k WHERE kmer NOT LIKE '%N%'),
+    code AS (SELECT name, pos, kmer, CAST(sum((position(substr(kmer, j, 1) IN 'ACGT') - 1) * CAST(pow(4, 8 - j) AS BIGINT)) AS BIGINT) AS code FROM c GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {SEQUENCES}, {PACKED}, {mixed('code', 'code', 'name, pos, kmer')} SELECT name, CAST(pos AS INTEGER) AS pos, kmer, hash, kmer AS back FROM mix")
+def hashed_kmers(spark, sf_dir):
+    rows = sequences(spark, sf_dir).select("name", F.posexplode(fn.kmers(F.col("seq"), 8)).alias("pos", "kmer")).filter("NOT contains(kmer, 'N')")
+    rows = rows.withColumn("hash", fn.hash_kmer(F.col("kmer")))
+    return rows.withColumn("back", fn.unhash_kmer(F.col("hash"), 8))
+
+
+@query(f"""WITH {SEQUENCES}, k AS (SELECT name, i - 1 AS pos, substr(seq, i, 8) AS kmer FROM seqs, (SELECT unnest(generate_series(1, 25)) AS i)),
+    h AS (SELECT name, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS o, ('0x' || substr(md5(reverse(kmer)), 1, 15))::BIGINT AS e FROM k),
+    w AS (SELECT a.name, b.pos, b.e, row_number() OVER (PARTITION BY a.name, a.pos ORDER BY b.o, b.pos DESC) AS r FROM h a JOIN h b ON b.name = a.name AND b.pos BETWEEN a.pos AND a.pos + 4 WHERE a.pos <= 20)
+    SELECT DISTINCT name, CAST(pos AS INTEGER) AS pos, e AS mx FROM w WHERE r = 1""")
+def two_hash_minimizers(spark, sf_dir):
+    """One hash of a k-mer orders a window, another is given out."""
+    found = fn.ordered_minimizers(fn.kmers(F.col("seq"), 8), 5, fn.fixed_md5, lambda k: fn.fixed_md5(F.reverse(k)))
+    return sequences(spark, sf_dir).select("name", F.inline(found))
+
+
+@query(f"WITH {SEQUENCES} SELECT CAST(sum(length(seq)) AS BIGINT) AS bases FROM seqs")
+def genome_size(spark, sf_dir):
+    return scaffold.genome_size(sequences(spark, sf_dir))
+
+
+@query("""SELECT event_type AS step, sum(60 * extract(hour FROM ts) + extract(minute FROM ts) + extract(second FROM ts) / 60.0::DOUBLE) AS minutes, max(value) AS most FROM events GROUP BY event_type""")
+def run_totals(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").select(F.col("event_type").alias("step"), F.date_format("ts", "H:m:s").alias("elapsed"), F.col("value").alias("memory"))
+    return reports.run_totals(steps)

@@ -69,6 +69,13 @@ def fleshed_lines(paths: DataFrame, placed: DataFrame) -> DataFrame:
     return path_lines(rows.select("tid", "pos", F.concat_ws(" ", F.col("elem").cast("string"), "group").alias("elem")))
 
 
+def bed_lines(rows: DataFrame) -> DataFrame:
+    """(tid, pos, value) of BED records along paths, as filter_bed or with_boundaries give them: a row of nulls between two paths is
+    NA in all six columns. Sort by tid and pos."""
+    cells = (F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("tname", "tstart", "tend", "qname", "score", "orientation"))
+    return rows.select("tid", "pos", F.concat_ws("\t", *cells).alias("value"))
+
+
 def tab_lines(rows: DataFrame) -> DataFrame:
     """BED, PAF, statistics: all columns apart by tabs."""
     return rows.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in rows.columns)).alias("value"))
@@ -84,9 +91,23 @@ def fastq_lines(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(F.lit("@"), "name", tag, F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
 
 
-def write_by_seed(rows: DataFrame, path: str) -> None:
-    """One folder a seed."""
-    rows.write.partitionBy("seed").parquet(path)
+def write_by_seed(rows: DataFrame, path: str, form: str = "parquet") -> None:
+    """One folder a seed of rows(seed, u, v, m): as Parquet, or as graph text (tsv or gv) whose vertices are the edges' ends,
+    each with its number of edges."""
+    if form == "parquet":
+        rows.write.partitionBy("seed").parquet(path)
+        return
+    if form not in ("tsv", "gv"):
+        raise ValueError("the form must be parquet, tsv or gv")
+    seeds = rows.select("seed").distinct()
+    heads = {"tsv": [(0, "U\tm"), (2, ""), (3, "U\tV\tm")], "gv": [(0, "strict graph {"), (9, "}")]}[form]
+    fixed = seeds.select("seed", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(v).alias("value")) for p, v in heads))).alias("h")).select("seed", "h.*")
+    text = {"tsv": ("%s\t%d", "%s\t%s\t%d"), "gv": ('"%s" [m=%d]', '"%s" -- "%s" [m=%d]')}[form]
+    ids = rows.select("seed", F.explode(F.array("u", "v")).alias("id")).groupBy("seed", "id").agg(F.count("*").alias("m"))
+    vertices = ids.select("seed", F.lit(1).alias("part"), F.format_string(text[0], F.col("id").cast("string"), "m").alias("value"))
+    edges = rows.select("seed", F.lit(4).alias("part"), F.format_string(text[1], F.col("u").cast("string"), F.col("v").cast("string"), F.col("m").cast("long")).alias("value"))
+    lines = fixed.unionByName(vertices).unionByName(edges)
+    lines.repartition("seed").sortWithinPartitions("seed", "part", "value").select("seed", "value").write.partitionBy("seed").text(path)
 
 
 def graph_statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:

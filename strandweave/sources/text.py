@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -30,11 +32,16 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Records are split at line starts with >, so a file is read by many tasks.
     """
-    rows = spark.read.option("lineSep", "\n>").text(path).filter(F.length(F.trim("value")) > 0)
+    return _fasta_records(spark.read.option("lineSep", "\n>").text(path))
+
+
+def _fasta_records(text: DataFrame, *more: Column) -> DataFrame:
     value = F.regexp_replace(F.col("value"), "^>", "")
     head = F.split(value, "\r?\n", 2)
     name = F.split(head[0], r"\s", 2)
-    return rows.select(name[0].alias("name"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("seq"), _barcode(F.get(name, F.lit(1))).alias("bx"))
+    rows = text.select("value", *more).filter(F.length(F.trim("value")) > 0)
+    kept = [c for c in rows.columns if c != "value"]
+    return rows.select(name[0].alias("name"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("seq"), _barcode(F.get(name, F.lit(1))).alias("bx"), *kept)
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -47,6 +54,18 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select("file", "ord", name[0].alias("name"), "seq", _barcode(F.get(name, F.lit(1))).alias("bx"), whole.alias("qual"))
 
 
+def fasta_dictionary(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(name, seq, bx) with each name once: of records of one name the last counts, by order of the files and within them."""
+    given = [path] if isinstance(path, str) else list(path)
+    meta = F.col("_metadata")
+    rows = None
+    for i, p in enumerate(given):
+        text = spark.read.option("lineSep", "\n>").text(p)
+        part = _fasta_records(text, F.struct(F.lit(i).alias("i"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("mid")).alias("at"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("name").agg(F.max_by(F.struct("seq", "bx"), "at").alias("x")).select("name", "x.*")
+
+
 def linked_barcode(name: Column, bx: Column, fastq: Column) -> Column:
     """The barcode of a linked read: its tag up to a space, else a FASTA record's name, else what stands between # and the last / of the name, else NA."""
     combined = F.regexp_extract(name, "#(.*)/", 1)
@@ -60,25 +79,31 @@ def read_markers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.filter("t <> ''").select("bx", parse_unsigned(F.split("t", ":")[0]).alias("mx")).distinct()
 
 
-def read_marker_lists(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(qid, qpos, mx, pos): ordered markers with repeats; pos is null where the file has none. Repeated ids are an error."""
+def read_marker_lists(spark: SparkSession, path: str | list[str], positions: bool = False) -> DataFrame:
+    """(qid, qpos, mx, pos): ordered markers with repeats; pos is null where the file has none. Repeated ids are an error, and
+    with `positions` so is a marker without one, when the rows are read."""
     parts = F.split(F.rtrim("value"), r"\s+", 2)
     lists = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(parts[0].alias("qid"), F.split(F.get(parts, F.lit(1)), r"\s+").alias("ts"))
     if not lists.groupBy("qid").count().filter("count > 1").isEmpty():
         raise ValueError("an id has two marker lists")
     rows = lists.select("qid", F.posexplode("ts").alias("qpos", "t")).filter("t <> ''")
-    return rows.select("qid", "qpos", parse_unsigned(F.split("t", ":")[0]).alias("mx"), F.get(F.split("t", ":"), F.lit(1)).cast("long").alias("pos"))
+    pos = F.get(F.split("t", ":"), F.lit(1)).cast("long")
+    if positions:
+        pos = F.coalesce(pos, F.raise_error(F.concat(F.lit("a marker without a position: "), "t")).cast("long"))
+    return rows.select("qid", "qpos", parse_unsigned(F.split("t", ":")[0]).alias("mx"), pos.alias("pos"))
 
 
 def read_graph(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(vertices(id, m, mol), edges(u, v, m)) of files with a vertex table (U m [mol]), an empty line and an edge table (U V m).
 
-    Of repeated vertices or edges the last line counts. Any other shape is an error when the rows are read.
+    Of repeated vertices or edges the last line counts. Any other shape is an error when the rows are read. A folder that
+    Spark wrote is one file in parts.
     """
-    lines = numbered_lines(spark, path)
-    edge_head = lines.filter(F.col("value").rlike("^U\tV\t")).groupBy("file").agg(F.min("line").alias("head"))
-    rows = lines.join(F.broadcast(edge_head), "file", "left").withColumn("c", F.split("value", "\t")).filter("value <> '' AND NOT value RLIKE '^U\t'")
-    of_edges = F.coalesce(F.col("line") > F.col("head"), F.lit(False))
+    at = F.struct("file", "line").alias("at")
+    lines = numbered_lines(spark, path).withColumn("whole", F.regexp_replace("file", "/part-[^/]*$", "/part")).withColumn("at", at)
+    edge_head = lines.filter(F.col("value").rlike("^U\tV\t")).groupBy("whole").agg(F.min("at").alias("head"))
+    rows = lines.join(F.broadcast(edge_head), "whole", "left").withColumn("c", F.split("value", "\t")).filter("value <> '' AND NOT value RLIKE '^U\t'")
+    of_edges = F.coalesce(F.col("at") > F.col("head"), F.lit(False))
     last = lambda key, *cols: F.max_by(F.struct(*cols), F.struct("file", "line")).alias("x")
     # The check names of_edges, so that it stays above the join that decides it.
     check = lambda ok: F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a graph line: "), "value")))
@@ -99,9 +124,14 @@ def read_graphviz(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame
 
 
 def read_paths(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(tid, pos, elem): a path a line, its elements apart by white space."""
-    rows = numbered_lines(spark, path).filter(F.length(F.trim("value")) > 0)
-    return rows.select(F.col("line").alias("tid"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "elem"))
+    """(tid, pos, elem): a path a line, its elements apart by white space. tid counts the lines, empty ones too, over all files
+    in the order given (files of one folder by name), so paths of several files are never one."""
+    given = [path] if isinstance(path, str) else list(path)
+    lines = reduce(DataFrame.unionByName, (numbered_lines(spark, p).withColumn("given", F.lit(i)) for i, p in enumerate(given)))
+    before = F.coalesce(F.sum("n").over(W.Window.orderBy("given", "file").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    files = lines.groupBy("given", "file").agg(F.count("*").alias("n")).select("given", "file", before.alias("before"))  # a row a file
+    rows = lines.join(F.broadcast(files), ["given", "file"]).filter(F.length(F.trim("value")) > 0)
+    return rows.select((F.col("line") + F.col("before")).alias("tid"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "elem"))
 
 
 BED = "tname string, tstart long, tend long, qname string, score long, orientation string"

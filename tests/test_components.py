@@ -18,3 +18,16 @@ def test_components(spark):
     frame = spark.createDataFrame([*edges, (None, 3), (4, None)], "u long, v long")
     assert {r.id: r.component for r in connected_components(frame).collect()} == root
     assert connected_components(frame.limit(0)).collect() == []
+
+
+def test_hubs_are_not_gathered(spark, monkeypatch):
+    """With a hub of any size split off, the components stay the same."""
+    from strandweave.operators import components
+
+    edges = [(5, i) for i in range(50, 120)] + [(i, i + 1) for i in range(130, 150)] + [(119, 130), (300, 301)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    expected = {i: 300 if i >= 300 else 5 for e in edges for i in e}
+    for hub in (1, 8, 10**6):
+        monkeypatch.setattr(components, "HUB", hub)
+        monkeypatch.setattr(components, "FEW", 0)
+        assert {r.id: r.component for r in connected_components(frame).collect()} == expected
