@@ -262,9 +262,10 @@ def biconnected(g: Graph) -> list[set]:
                 if parent is not None:
                     low[parent] = min(low[parent], low[u])
                     if low[u] >= order[parent]:
-                        cut = edges.index((parent, u))
-                        found.append({x for e in edges[cut:] for x in e})
-                        del edges[cut:]
+                        block: set = set()
+                        while (parent, u) != (last := edges.pop()):
+                            block.update(last)
+                        found.append(block | {parent, u})
             elif step not in order:
                 order[step] = low[step] = len(order)
                 edges.append((u, step))

@@ -129,39 +129,50 @@ def path_edges(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return edges.join(a, "u").join(b, ["tid", "v"]).select("u", "v", "m").distinct()
 
 
-def shortest_path(edges: DataFrame, source, target, most: int = 1000) -> DataFrame:
-    """(pos, id) of a shortest path by hops; of several, each vertex is reached from its smallest predecessor. Empty if there is none."""
+def shortest_paths(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """(tid, pos, id): a shortest path by hops from a to b for every row of tips(tid, a, b), all searched at once, level by
+    level; of several, each vertex is reached from its smallest predecessor. No rows where there is none.
+
+    A search ends with its target or when nothing new is reached. Costs what the searches reach: (tid, vertex) once each.
+    """
     near = both_ways(edges).select(F.col("u").alias("from"), F.col("v").alias("id"))
-    spark = edges.sparkSession
+    tips = stored(tips.select("tid", "a", "b"), "tips")
     kind = edges.schema["u"].dataType
-    reached = spark.createDataFrame([(source, None, 0)], f"id {kind.simpleString()}, parent {kind.simpleString()}, d int")
-    front = reached
-    for d in range(1, most + 1):
-        if not reached.filter(F.col("id") == F.lit(target)).isEmpty():
-            break
-        front = front.select(F.col("id").alias("from")).join(near, "from").groupBy("id").agg(F.min("from").alias("parent"))
-        front = stored(front.join(reached.select("id"), "id", "left_anti").withColumn("d", F.lit(d)), "bfs")
+    reached = [tips.select("tid", F.col("a").alias("id"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("d"))]
+    goal = tips.select("tid", F.col("b").alias("id"))
+    found = [reached[0].join(goal, ["tid", "id"], "left_semi")]
+    front = reached[0].join(tips.filter("a <> b").select("tid"), "tid", "left_semi")
+    while True:
+        step = front.select("tid", F.col("id").alias("from")).join(near, "from").groupBy("tid", "id").agg(F.min("from").alias("parent"))
+        # In an undirected graph a level's neighbours lie in it, in the one before or in the next.
+        known = front.select("tid", "id") if len(reached) < 2 else front.select("tid", "id").unionByName(reached[-2].select("tid", "id"))
+        front = stored(step.join(known, ["tid", "id"], "left_anti").withColumn("d", F.lit(len(reached))), "bfs")
         if front.isEmpty():
             break
-        reached = reached.unionByName(front)
-    chain = reached.filter(F.col("id") == F.lit(target))
-    path = chain.select(F.col("d").alias("pos"), "id", "parent")
-    step = path
-    length = (chain.agg(F.max("d")).first()[0] or 0)
-    for _ in range(length):
-        step = reached.join(step.select(F.col("parent").alias("id")), "id", "left_semi").select(F.col("d").alias("pos"), "id", "parent")
-        path = path.unionByName(step)
-    return path.select("pos", "id")
+        reached.append(front)
+        found.append(front.join(goal, ["tid", "id"], "left_semi"))
+        front = front.join(found[-1].select("tid"), "tid", "left_anti")
+    path, step = None, None
+    for level, ends_here in zip(reversed(reached), reversed(found)):  # back along the parents, a level at a time
+        step = ends_here if step is None else ends_here.unionByName(level.join(step.select("tid", F.col("parent").alias("id")), ["tid", "id"], "left_semi"))
+        step = stored(step.select("tid", "id", "parent", "d"), "back")
+        path = step if path is None else path.unionByName(step)
+    return path.select("tid", F.col("d").alias("pos"), "id")
+
+
+def shortest_path(edges: DataFrame, source, target) -> DataFrame:
+    """(pos, id) of a shortest path by hops between two vertices, as in shortest_paths; empty if there is none."""
+    kind = edges.schema["u"].dataType.simpleString()
+    return shortest_paths(edges, edges.sparkSession.createDataFrame([(0, source, target)], f"tid long, a {kind}, b {kind}")).select("pos", "id")
 
 
 def tiling_graph(edges: DataFrame, paths: DataFrame, least: int = 0) -> DataFrame:
     """Edges induced by the union of the shortest paths, by hops, between the two ends of every path of paths(tid, pos, elem)."""
-    kept = edges.filter(F.col("m") >= least) if least else edges
-    tips = paths.groupBy("tid").agg(F.min_by("elem", "pos").alias("a"), F.max_by("elem", "pos").alias("b")).collect()  # a row a path
-    ids = kept.select(F.col("u").alias("id")).limit(0)
-    for tip in tips:
-        ids = ids.unionByName(shortest_path(kept, tip["a"], tip["b"]).select("id"))
-    return induced(kept, ids.distinct())
+    kept = stored(edges.filter(F.col("m") >= least), "heavy") if least else edges
+    tips = paths.groupBy("tid").agg(F.min_by("elem", "pos").alias("a"), F.max_by("elem", "pos").alias("b"))
+    there = ends(kept)
+    tips = tips.join(there.withColumnRenamed("id", "a"), "a", "left_semi").join(there.withColumnRenamed("id", "b"), "b", "left_semi")
+    return induced(kept, shortest_paths(kept, tips).select("id").distinct())
 
 
 def chimera_diagnostics(edges: DataFrame, paths: DataFrame, distance: int = 2, least_path: int = 200, spanners_too: bool = False):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -90,28 +91,69 @@ def map_to_paf(queries: DataFrame, index: DataFrame, paths: DataFrame, least: in
     )
 
 
-def mann_kendall(x: np.ndarray, eps: float = 1.0) -> tuple[float, float, float]:
-    """(S, slope sign, p) of the trend of x: pairs within eps are ties; p is half the normal tail, 0.5 without trend."""
-    n = len(x)
-    gaps = np.subtract.outer(x, x)
-    gaps[np.abs(gaps) <= eps] = 0
-    s = float(np.sign(gaps[np.tril_indices(n, -1)]).sum())
-    left, ties = np.sort(x), []
-    while len(left):  # groups of values within eps of the least of them
-        same = np.abs(left - left[0]) <= eps
-        ties.append(int(same.sum()))
-        left = left[~same]
-    spread = (n * (n - 1) * (2 * n + 5) - sum(t * (t - 1) * (2 * t + 5) for t in ties)) / 18
-    z = (s - np.sign(s)) / np.sqrt(spread) if spread > 0 else 0.0
-    p = 0.5 * (1 - NormalDist().cdf(abs(z))) if abs(s) > eps else 0.5
-    return s, float(np.sign(s)), p
+class Trend(NamedTuple):
+    """S of the Mann-Kendall test, its normal score, its p (see mann_kendall), whether the alternative is accepted, and the fitted line."""
+
+    s: int
+    z: float
+    p: float
+    accepted: bool
+    slope: float
+    intercept: float
+
+
+def _earlier(x: np.ndarray, eps: float) -> tuple[int, int]:
+    """Pairs of an earlier and a later value that rise, and that fall, by more than eps: blocks of 1, 2, 4, ... values are
+    counted against their left neighbours, so it takes n log^2 n steps and memory for a few arrays."""
+    n, ordered = len(x), np.sort(x)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(x, kind="stable")] = np.arange(n)
+    below, upto = np.searchsorted(ordered, x - eps, "left"), np.searchsorted(ordered, x + eps, "right")
+    place, rises, falls, width = np.arange(n), 0, 0, 1
+    while width < n:
+        block = place // width
+        left, right = block % 2 == 0, block % 2 == 1
+        keys = np.sort(block[left] * (n + 1) + rank[left])
+        base = (block[right] - 1) * (n + 1)
+        starts = np.searchsorted(keys, base)
+        rises += int((np.searchsorted(keys, base + below[right]) - starts).sum())
+        falls += int((np.searchsorted(keys, base + n) - np.searchsorted(keys, base + upto[right])).sum())
+        width *= 2
+    return rises, falls
+
+
+def mann_kendall(x: np.ndarray, t: np.ndarray | None = None, eps: float = 1.0, alpha: float = 0.05, alternative: str = "upordown") -> Trend:
+    """Tests the values x, in their order, for a trend: differences of up to eps are ties.
+
+    `alternative` is up, down or upordown; it is accepted where the score reaches the normal quantile of 1 - alpha (of
+    1 - alpha / 2 for upordown). p is the upper tail of the score for up, the lower for down, half the outer tail for
+    upordown, and 0.5 where S is within eps of 0. The line is fitted by least squares over t (by default 0, 1, ...).
+    """
+    if alternative not in ("up", "down", "upordown"):
+        raise ValueError("the alternative must be up, down or upordown")
+    n, law = len(x), NormalDist()
+    t = np.arange(n) if t is None else np.asarray(t, float)
+    rises, falls = _earlier(x, eps)
+    s = rises - falls
+    ordered = np.sort(x)
+    values = np.unique(x)
+    ties = np.searchsorted(ordered, values + eps, "left") - np.searchsorted(ordered, values - eps, "right")
+    spread = (n * (n - 1) * (2 * n + 5) - int((ties * (ties - 1) * (2 * ties + 5)).sum())) / 18
+    z = float((s - np.sign(s)) / np.sqrt(spread)) if spread > 0 and abs(s) > eps else 0.0
+    tails = {"up": 1 - law.cdf(z), "down": law.cdf(z), "upordown": 0.5 * (1 - law.cdf(abs(z)))}
+    limit = law.inv_cdf(1 - alpha / 2 if alternative == "upordown" else 1 - alpha)
+    accepted = {"up": z >= limit, "down": z <= -limit, "upordown": abs(z) >= limit}[alternative]
+    around = t - t.mean()
+    slope = float((around * (x - x.mean())).sum() / (around**2).sum()) if n and (around**2).sum() else 0.0
+    return Trend(s, z, tails[alternative] if abs(s) > eps else 0.5, accepted, slope, float(x.mean() - slope * t.mean()) if n else 0.0)
 
 
 def map_trend(queries: DataFrame, index: DataFrame, least: int = 1, p_value: float = 0.01, most: int = 50) -> DataFrame:
     """BED rows as map_to_bed, oriented by a Mann-Kendall trend of query positions along each path.
 
     Positions without a neighbour one before or after do not count. With more than `most` positions, or 50000 points,
-    each position's lower median stands for it. Points follow the order in which the query first meets a position.
+    each position's lower median stands for it. Points follow the order in which the query first meets a position; their
+    trend says whether there is an orientation, and the slope of their line over the path which it is.
     """
     found = hits(queries, index)
     spots = scored_positions(found)
@@ -124,9 +166,10 @@ def map_trend(queries: DataFrame, index: DataFrame, least: int = 1, p_value: flo
         first = group.groupby("tpos")["qpos"].transform("min")
         group = group.assign(first=first).sort_values(["first", "tpos", "qpos"])
         spots_ = group.drop_duplicates("tpos")
-        x = spots_["median"] if len(spots_) > most or len(group) > 50_000 else group["qpos"]
-        s, sign, p = mann_kendall(x.to_numpy(float)) if len(x) > 1 else (0.0, 0.0, 0.5)
-        return pd.DataFrame({"qid": group["qid"].iloc[:1], "tid": group["tid"].iloc[:1], "trend": ["+" if sign > 0 else "-"] if p < p_value and sign else ["."]})
+        points, column = (spots_, "median") if len(spots_) > most or len(group) > 50_000 else (group, "qpos")
+        found = mann_kendall(points[column].to_numpy(float), points["tpos"].to_numpy(float), alpha=p_value)
+        sign = "." if found.p >= p_value or not found.slope else "+" if found.slope > 0 else "-"
+        return pd.DataFrame({"qid": group["qid"].iloc[:1], "tid": group["tid"].iloc[:1], "trend": [sign]})
 
     kinds = dict(points.dtypes)
     trends = points.groupBy("qid", "tid").applyInPandas(trend, f"qid {kinds['qid']}, tid {kinds['tid']}, trend string")

@@ -206,3 +206,15 @@ def split_reads(pairs: DataFrame, markers: DataFrame, molecules: DataFrame, only
     best = counts.groupBy("pair").agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("_i"))
     rows = rows.join(best, "pair", "left").withColumn("bx", F.when(F.col("_split"), F.concat("bx1", F.coalesce(F.concat(F.lit("_"), F.col("_i").cast("string")), F.lit("")))).when(F.col("_valid"), F.col("bx1")))
     return (rows.filter("_split") if only_split else rows).select(*pairs.columns, "bx")
+
+
+def edges_beyond(edges: DataFrame, best: int) -> DataFrame:
+    """(u, v, m): of every vertex u, its edges behind the `best` heaviest (ties: smaller neighbour); none where there are no more."""
+    rank = F.row_number().over(W.Window.partitionBy("u").orderBy(F.desc("m"), "v"))
+    return both_ways(edges).withColumn("_r", rank).filter(F.col("_r") > best).select("u", "v", "m")
+
+
+def largest_component(named: DataFrame) -> DataFrame:
+    """(id) of the component of (id, component) with the most vertices (ties: the smaller name)."""
+    sizes = named.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return named.join(F.broadcast(sizes.select("component")), "component", "left_semi").select("id")

@@ -64,11 +64,12 @@ def missing_elements(paths: DataFrame, bed: DataFrame) -> DataFrame:
     return paths.withColumn("_k", key).join(bed.select(F.col("qname").cast("string").alias("_k")), "_k", "left_anti").select("elem").distinct()
 
 
-def assemble(paths: DataFrame, sequences: DataFrame, gap: int = 100, least: int = 0, distances: DataFrame | None = None) -> DataFrame:
+def assemble(paths: DataFrame, sequences: DataFrame, gap: int = 100, least: int = 0, distances: DataFrame | None = None, unplaced_too: bool = False) -> DataFrame:
     """(tid, seq, n): the sequences of each path's oriented elements (name and + - or .), joined by gaps of N.
 
     An unoriented element is as many N as its length. With distances(u, v, d), two oriented neighbours stand d apart,
-    or `gap` where none is known. Paths without an oriented element, and results shorter than `least`, are left out.
+    or `gap` where none is known. Paths without an oriented element (unless `unplaced_too`), and results shorter than
+    `least`, are left out. Names of sequences(name, seq) must be distinct, as fasta_dictionary gives them.
     """
     sign, name = F.right("elem", F.lit(1)), F.expr("substring(elem, 1, length(elem) - 1)")
     rows = paths.select("tid", "pos", "elem", sign.alias("sign"), name.alias("name")).join(sequences.select("name", "seq"), "name")
@@ -83,10 +84,16 @@ def assemble(paths: DataFrame, sequences: DataFrame, gap: int = 100, least: int
     piece = F.when(F.col("sign") == ".", F.repeat(F.lit("N"), F.length("seq"))).otherwise(oriented(F.col("seq"), F.col("elem")))
     text = F.when(F.col("before").isNull(), piece).otherwise(F.concat(F.repeat(F.lit("N"), F.greatest(F.col("gap"), F.lit(0)).cast("int")), piece))
     parts = rows.select("tid", "pos", text.alias("text"), (F.col("sign") != ".").alias("placed"))
-    joined = parts.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"), F.count("*").alias("n"), F.max("placed").alias("placed")).filter("placed")
+    joined = parts.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"), F.count("*").alias("n"), F.max("placed").alias("placed"))
+    joined = joined if unplaced_too else joined.filter("placed")
     return joined.select("tid", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("seq"), "n").filter(F.length("seq") >= least)
 
 
+def assemble_with_evidence(paths: DataFrame, sequences: DataFrame, pairs: DataFrame, gap: int = 100, least: int = 0, distances: DataFrame | None = None) -> DataFrame:
+    """assemble() after orient_paths() by pairs(u, v, hh, ht, th, tt); paths that stay without an oriented element are kept, as N."""
+    return assemble(orient_paths(paths, pairs), sequences, gap, least, distances, unplaced_too=True)
+
+
 def unused_sequences(paths: DataFrame, sequences: DataFrame, least: int = 0) -> DataFrame:
     """Sequences that no path holds oriented, in full."""
     used = paths.filter(F.right("elem", F.lit(1)) != ".").select(F.expr("substring(elem, 1, length(elem) - 1)").alias("name"))
@@ -192,3 +199,18 @@ def annotate_chromosomes(vertices: DataFrame, chromosomes: DataFrame) -> DataFra
     place = F.row_number().over(W.Window.orderBy(*natural_key(F.col("chrom")), "chrom")) - 1
     hues = names.select("chrom", F.round(place / F.count("*").over(W.Window.partitionBy()), 3).alias("hue"))
     return vertices.select("id").join(own, "id", "left").join(hues, "chrom", "left").select("id", "chrom", "hue")
+
+
+def genome_size(sequences: DataFrame) -> DataFrame:
+    """One row, bases: the length of all sequences(name, seq)."""
+    return sequences.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("bases"))
+
+
+def repeat_threshold(hist: DataFrame, times: int = 3) -> DataFrame:
+    """One row, threshold: `times` the mode of a depth histogram (see depth_mode), above which k-mers count as repeats."""
+    return depth_mode(hist).select((times * F.col("mode")).cast("long").alias("threshold"))
+
+
+def with_index(rows: DataFrame, index: DataFrame, name: str = "name") -> DataFrame:
+    """rows(name, ...) with the number that index(name, index) gives their name; names it does not hold are left out."""
+    return rows.join(index.select(name, "index"), name)

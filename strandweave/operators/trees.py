@@ -1,16 +1,25 @@
-"""Backbones of spanning trees: branch lengths, pruning, junctions, diameters. A task folds one tree at a time."""
+"""Backbones of spanning trees: branch lengths, pruning, junctions, diameters.
+
+Trees of up to FOLD edges are folded in a task each, by the kernels in the first half of this file. A larger tree goes
+through DataFrame rounds that give the same rows: messages along edges (as many rounds as the least length asked for),
+and a tour of the tree, numbered by pointer doubling, whose running sums give distances.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from strandweave.plans.shared import numbered, stored
 
 from .communities import components, cut_vertices, within
 from .components import connected_components
-from .graph import chimera, hops, labelled_forest, path_edges, without
+from .graph import bridges, chimera, hops, labelled_forest, path_edges, without
+
+#: Edges of a tree that one task folds.
+FOLD = 100_000
 
 Tree = dict  # vertex -> {neighbour: weight}
 
@@ -118,6 +127,139 @@ def _per_tree(forest: DataFrame, fold, schema: str) -> DataFrame:
     return forest.groupBy("tree").applyInPandas(fold, schema)
 
 
+def by_size(forest: DataFrame, small, vast) -> DataFrame:
+    """small(trees of up to FOLD edges) and vast(larger trees) together; both give the same for the same trees."""
+    forest = stored(forest, "forest")
+    large = stored(forest.groupBy("tree").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD).select("tree"), "large")
+    if large.isEmpty():
+        return small(forest)
+    return small(forest.join(large, "tree", "left_anti")).unionByName(vast(stored(forest.join(large, "tree", "left_semi").select(*forest.columns), "vast")))
+
+
+def branch_reach(forest: DataFrame, most: int) -> DataFrame:
+    """forest with lu, the vertices on the longest path that starts with u, away from v, and lv for the other end; both up to `most`.
+
+    Round i: the branch of u (away from v) reaches i where another edge of u leads to a branch that reaches i - 1. Only
+    counts of such edges meet at a vertex, so a vertex of many edges is no burden.
+    """
+    rows = forest.withColumn("lu", F.lit(1)).withColumn("lv", F.lit(1))
+    for i in range(2, most + 1):
+        # Branches of i - 1: of v as seen from u (an edge that leaves u), and of u as seen from v.
+        leaving = F.explode(F.filter(F.array(F.when(F.col("lv") == i - 1, F.col("u")), F.when(F.col("lu") == i - 1, F.col("v"))), lambda x: x.isNotNull())).alias("id")
+        n = stored(rows.select(leaving).groupBy("id").agg(F.count("*").alias("n")), "reach-counts")
+        if n.isEmpty():
+            break
+        rows = rows.join(n.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u", "left").join(n.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v", "left")
+        more = lambda count, own: F.coalesce(F.col(count), F.lit(0)) > (F.col(own) == i - 1).cast("int")
+        rows = rows.withColumns({"lu": F.when(more("nu", "lv"), i).otherwise(F.col("lu")), "lv": F.when(more("nv", "lu"), i).otherwise(F.col("lv"))})
+        rows = stored(rows.select(*forest.columns, "lu", "lv"), "reach")
+    return rows
+
+
+def _prune_vast(forest: DataFrame, least: int) -> DataFrame:
+    """prune() of forest(u, v, m, tree) by rounds: short branches at vertices of three edges or more are cut off and dropped."""
+    while True:
+        reach = stored(branch_reach(forest, least), "lengths")
+        degree = reach.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n >= 3").select("id")
+        forked = reach.join(degree.select(F.col("id").alias("u"), F.lit(True).alias("fu")), "u", "left").join(degree.select(F.col("id").alias("v"), F.lit(True).alias("fv")), "v", "left")
+        low_v, low_u = F.coalesce("fu", F.lit(False)) & (F.col("lv") < least), F.coalesce("fv", F.lit(False)) & (F.col("lu") < least)
+        marked = stored(forked.withColumns({"cv": low_v, "cu": low_u}).select(*forest.columns, "cu", "cv"), "marked")
+        roots = stored(marked.filter("cv").select(F.col("v").alias("id")).unionByName(marked.filter("cu").select(F.col("u").alias("id"))).distinct(), "roots")
+        if roots.isEmpty():
+            return forest
+        rest = stored(marked.filter("NOT cu AND NOT cv").select(*forest.columns), "rest")
+        named = connected_components(rest)
+        short = named.join(roots, "id", "left_semi").select("component").distinct()
+        gone = named.join(short, "component", "left_semi").select("id").unionByName(roots).distinct()
+        forest = stored(rest.join(gone.select(F.col("id").alias("u")), "u", "left_anti").select(*forest.columns), "pruned")
+
+
+def _junctions_vast(forest: DataFrame, least: int) -> DataFrame:
+    """(id): vertices with three branches of at least `least` vertices."""
+    reach = branch_reach(forest, max(1, least))
+    long = F.explode(F.filter(F.array(F.when(F.col("lv") >= least, F.col("u")), F.when(F.col("lu") >= least, F.col("v"))), lambda x: x.isNotNull())).alias("id")
+    return reach.select(long).groupBy("id").agg(F.count("*").alias("n")).filter("n >= 3").select("id")
+
+
+def _tour(forest: DataFrame) -> DataFrame:
+    """(tree, a, b, m, left): both directions of every edge as the steps of a walk around their tree, and how many steps are
+    left from each to the walk's end.
+
+    Behind (a, b) comes (b, c), c being b's neighbour after a in cyclic order. The walk is broken before one edge of each
+    tree and numbered by pointer doubling: in round i every step knows how far the end is, or the step 2**i on.
+    """
+    arcs = forest.select("tree", F.col("u").alias("a"), F.col("v").alias("b"), "m").unionByName(forest.select("tree", F.col("v").alias("a"), F.col("u").alias("b"), "m"))
+    around = W.Window.partitionBy("a").orderBy("b")
+    after = F.coalesce(F.lead("b").over(around), F.first("b").over(around.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
+    # The step behind (x, y) is (y, the neighbour of y after x).
+    turn = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), after.alias("c"))
+    steps = arcs.join(turn, ["a", "b"]).select("tree", "a", "b", "m", F.struct(F.col("b").alias("a"), F.col("c").alias("b")).alias("next"))
+    steps = steps.withColumn("key", F.struct("a", "b"))
+    first = steps.groupBy("tree").agg(F.min("key").alias("start"))
+    steps = steps.join(first, "tree").withColumn("next", F.when(F.col("next") != F.col("start"), F.col("next")))
+    now = stored(steps.select("tree", "m", "key", "next", F.lit(1).cast("long").alias("left")), "tour")
+    while not now.filter("next IS NOT NULL").isEmpty():
+        on = now.select(F.col("key").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
+        moved = now.filter("next IS NOT NULL").join(on, "next").select("tree", "m", "key", F.col("far").alias("next"), (F.col("left") + F.col("more")).alias("left"))
+        now = stored(now.filter("next IS NULL").unionByName(moved), "tour")
+    return now.select("tree", F.col("key")["a"].alias("a"), F.col("key")["b"].alias("b"), "m", "left")
+
+
+def _distances(tour: DataFrame, starts: DataFrame) -> DataFrame:
+    """(tree, id, gap, since, until): the distance by weight of every vertex from its tree's start of starts(tree, id), and the places
+    in the tour, begun there, where the vertex is entered and left. A window runs over a whole tree; it is a sorted scan."""
+    sizes = tour.groupBy("tree").agg(F.max("left").alias("n"))
+    begin = tour.join(starts.select("tree", F.col("id").alias("a")), ["tree", "a"], "left_semi").groupBy("tree").agg(F.max("left").alias("begin"))
+    turned = tour.join(sizes, "tree").join(begin, "tree").withColumn("at", F.pmod(F.col("begin") - F.col("left"), F.col("n")))
+    back = turned.select("tree", F.col("b").alias("a"), F.col("a").alias("b"), F.col("at").alias("other"))
+    walk = turned.join(back, ["tree", "a", "b"]).withColumn("signed", F.when(F.col("at") < F.col("other"), F.col("m")).otherwise(-F.col("m")))
+    upto = F.sum("signed").over(W.Window.partitionBy("tree").orderBy("at"))
+    seen = walk.withColumn("gap", upto).filter(F.col("at") < F.col("other")).select("tree", F.col("b").alias("id"), "gap", F.col("at").alias("since"), F.col("other").alias("until"))
+    return seen.unionByName(starts.join(sizes, "tree").select("tree", "id", F.lit(0).cast("long").alias("gap"), F.lit(-1).cast("long").alias("since"), F.col("n").alias("until")))
+
+
+def _far_paths_vast(forest: DataFrame) -> DataFrame:
+    """(tree, pos, elem): far_path() of every tree from its smallest vertex, all at once."""
+    tour = stored(_tour(forest), "tour")
+    farthest = lambda d: d.groupBy("tree").agg(F.min(F.struct((-F.col("gap")).alias("g"), "id")).alias("x")).select("tree", F.col("x")["id"].alias("id"))
+    start = tour.groupBy("tree").agg(F.min("a").alias("id"))
+    one = stored(farthest(_distances(tour, start)), "one")
+    seen = stored(_distances(tour, one), "seen")
+    other = farthest(seen)
+    # On the path to the other end lie the vertices that the walk has entered by then and not left.
+    end = seen.join(other, ["tree", "id"], "left_semi").select("tree", F.col("since").alias("here"))
+    on = seen.join(end, "tree").filter((F.col("since") <= F.col("here")) & (F.col("until") > F.col("here")))
+    place = F.row_number().over(W.Window.partitionBy("tree").orderBy("since")) - 1
+    return on.select("tree", place.alias("pos"), F.col("id").alias("elem"))
+
+
+def _backbones_vast(forest: DataFrame, least_branch: int, least_junction: int) -> DataFrame:
+    """(head, n, pos, elem) of backbones_of() for every tree: paths are peeled off all trees at once, round after round."""
+    keep = max(1, least_branch)
+    left, found = stored(_prune_vast(forest, least_branch), "left"), None
+    alone = left.select(F.col("u").alias("id")).limit(0)
+    while not left.isEmpty():
+        cut = stored(_junctions_vast(left, least_junction), "cut") if least_junction else left.select(F.col("u").alias("id")).limit(0)
+        vertices = left.select(F.explode(F.array("u", "v")).alias("id")).distinct().unionByName(alone).distinct()
+        inside = stored(without(left, cut), "inside")
+        named = connected_components(inside)
+        pieces = inside.join(named.select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
+        paths = _far_paths_vast(stored(pieces, "pieces"))
+        single = vertices.join(named, "id", "left_anti").select(F.col("id").alias("tree"), F.lit(0).alias("pos"), F.col("id").alias("elem"))
+        paths = stored(paths.unionByName(single), "paths")
+        heads = paths.groupBy("tree").agg(F.min_by("elem", "pos").alias("head"), F.count("*").cast("int").alias("n"))
+        kept = paths.join(heads.filter(F.col("n") >= keep), "tree").select("head", "n", F.col("pos").cast("int").alias("pos"), "elem")
+        found = kept if found is None else found.unionByName(kept)
+        gone = paths.select(F.col("elem").alias("id"))
+        rest = stored(left.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select(*left.columns), "rest")
+        stay = vertices.join(gone, "id", "left_anti")
+        left = stored(_prune_vast(rest, least_branch), "left")
+        linked = left.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        dropped = rest.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(linked, "id", "left_anti")
+        alone = stored(stay.join(linked, "id", "left_anti").join(dropped, "id", "left_anti"), "alone")
+    return found if found is not None else left.select(F.col("u").alias("head"), F.lit(0).alias("n"), F.lit(0).alias("pos"), F.col("u").alias("elem")).limit(0)
+
+
 def _prune_trees(forest: DataFrame, least_branch: int) -> DataFrame:
     """(u, v, m, tree): a forest without its short branches."""
 
@@ -125,7 +267,8 @@ def _prune_trees(forest: DataFrame, least_branch: int) -> DataFrame:
         t = prune(tree_of(group), least_branch)
         return pd.DataFrame([(u, v, m, group["tree"].iloc[0]) for u, vs in t.items() for v, m in vs.items() if u < v], columns=["u", "v", "m", "tree"])
 
-    return _per_tree(forest, fold, f"{_edge_schema(forest)}, tree {dict(forest.dtypes)['tree']}")
+    schema = f"{_edge_schema(forest)}, tree {dict(forest.dtypes)['tree']}"
+    return by_size(forest.select("u", "v", "m", "tree"), lambda f: _per_tree(f, fold, schema), lambda f: _prune_vast(f, least_branch).select("u", "v", "m", "tree"))
 
 
 def pruned_forest(edges: DataFrame, least_branch: int = 10) -> DataFrame:
@@ -145,8 +288,16 @@ def unbridged(edges: DataFrame, least_branch: int, length: int) -> tuple[DataFra
         rows = [(u, v, t[u][v], min(piece)) for piece in components(rest) for u in piece for v in rest[u] if u < v]
         return pd.DataFrame(rows + [(u, None, None, u) for u in bad], columns=["u", "v", "m", "tree"]).astype(object)
 
+    def vast(trees: DataFrame) -> DataFrame:
+        bad = stored(bridges(_prune_vast(trees, least_branch), length), "bad")
+        kept = stored(without(trees, bad), "kept")
+        named = connected_components(kept).select(F.col("id").alias("u"), F.col("component").alias("tree"))
+        gone = bad.select(F.col("id").alias("u"), F.lit(None).cast(trees.schema["v"].dataType).alias("v"), F.lit(None).cast(trees.schema["m"].dataType).alias("m"), F.col("id").alias("tree"))
+        return kept.join(named, "u").select("u", "v", "m", "tree").unionByName(gone)
+
     while length > 0:
-        pieces = stored(_per_tree(forest, fold, f"{_edge_schema(forest)}, tree {dict(forest.dtypes)['tree']}"), "pieces")
+        schema = f"{_edge_schema(forest)}, tree {dict(forest.dtypes)['tree']}"
+        pieces = stored(by_size(forest.select("u", "v", "m", "tree"), lambda f, schema=schema: _per_tree(f, fold, schema), vast), "pieces")
         bad = pieces.filter("v IS NULL").select(F.col("u").alias("id"))
         if bad.isEmpty():
             break
@@ -180,7 +331,8 @@ def junctions(edges: DataFrame, least_junction: int, depth: int = 0, least_branc
     """(id): junctions of the pruned forest; with depth, also what lies within depth - 1 hops in the forest and one hop on in the graph."""
     forest = stored(_prune_trees(labelled_forest(edges), least_branch), "pruned")
     kind = dict(edges.dtypes)["u"]
-    found = _per_tree(forest, lambda group: pd.DataFrame({"id": list(junctions_of(tree_of(group), least_junction))}), f"id {kind}")
+    fold = lambda group: pd.DataFrame({"id": list(junctions_of(tree_of(group), least_junction))})
+    found = by_size(forest, lambda f: _per_tree(f, fold, f"id {kind}"), lambda f: _junctions_vast(f, least_junction))
     if not depth:
         return found
     near = hops(forest, found.select(F.col("id").alias("seed")), depth - 1).select(F.col("id").alias("seed")).distinct()
@@ -190,7 +342,7 @@ def junctions(edges: DataFrame, least_junction: int, depth: int = 0, least_branc
 def backbones(edges: DataFrame, least_branch: int = 10, bridge_length: int = 0, least_junction: int = 0) -> DataFrame:
     """(tid, pos, elem): the backbone paths, longest first (ties: smaller first element).
 
-    A tree is folded in one task; forests have as many tasks as trees. Paths are numbered by a global sort of their heads.
+    Paths are numbered by a global sort of their heads.
     """
     forest = unbridged(edges, least_branch, bridge_length)[1]
     kind = dict(edges.dtypes)["u"]
@@ -199,7 +351,9 @@ def backbones(edges: DataFrame, least_branch: int = 10, bridge_length: int = 0,
         found = backbones_of(tree_of(group), least_branch, least_junction)
         return pd.DataFrame([(p[0], len(p), i, u) for p in found for i, u in enumerate(p)], columns=["head", "n", "pos", "elem"])
 
-    rows = stored(_per_tree(forest, fold, f"head {kind}, n int, pos int, elem {kind}"), "backbones")
+    schema = f"head {kind}, n int, pos int, elem {kind}"
+    rows = by_size(forest.select("u", "v", "m", "tree"), lambda f: _per_tree(f, fold, schema), lambda f: _backbones_vast(f, least_branch, least_junction))
+    rows = stored(rows, "backbones")
     tids = numbered(rows.filter("pos = 0").select("head", "n"), [F.desc("n"), F.col("head")], "at").select("head", (F.col("at") - 1).cast("int").alias("tid"))
     return rows.join(tids, "head").select("tid", "pos", "elem")
 

@@ -156,13 +156,49 @@ def test_subgraph_rules(spark):
     assert {r.id for r in graph.seed_vertices(names, pairs(spark, [("a_0",), ("a_1",), ("a_3",), ("b",)], "id string")).collect()} == {"a_0", "a_1", "b"}
 
 
-def test_mann_kendall():
+def brute_trend(x, eps):
+    gaps = [b - a for i, a in enumerate(x) for b in x[i + 1 :]]
+    s = sum((g > eps) - (g < -eps) for g in gaps)
+    ties = [sum(abs(y - v) < eps for y in x) for v in set(x)]
+    n = len(x)
+    spread = (n * (n - 1) * (2 * n + 5) - sum(q * (q - 1) * (2 * q + 5) for q in ties)) / 18
+    return s, (s - (s > 0) + (s < 0)) / math.sqrt(spread) if spread > 0 and abs(s) > eps else 0.0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mann_kendall(seed):
+    import numpy as np
+
+    r = random.Random(seed)
+    x = [float(r.randrange(12)) + i * (seed - 2) / 4 for i in range(r.randrange(2, 70))]
+    for eps in (1.0, 0.3, 2.0):
+        found = mapping.mann_kendall(np.array(x), eps=eps)
+        s, z = brute_trend(x, eps)
+        assert (found.s, round(found.z, 9)) == (s, round(z, 9))
+    up, down = (mapping.mann_kendall(np.array(x), alternative=a) for a in ("up", "down"))
+    both = mapping.mann_kendall(np.array(x), alpha=0.1)
+    assert up.accepted == (up.z >= 1.6448536269514722) and down.accepted == (down.z <= -1.6448536269514722) and both.accepted == (up.accepted or down.accepted)
+    assert abs(up.p + down.p - 1) < 1e-12 and abs(both.p - 0.5 * min(up.p, down.p)) < 1e-12
+    slope, intercept = np.polyfit(np.arange(len(x)), x, 1)
+    assert abs(both.slope - slope) < 1e-9 and abs(both.intercept - intercept) < 1e-9
+
+
+def test_mann_kendall_of_many_and_of_ties():
     import numpy as np
 
-    s, sign, p = mapping.mann_kendall(np.arange(0, 40, 2.0))
-    assert s == 190 and sign == 1 and p < 1e-6
-    assert mapping.mann_kendall(np.zeros(9))[2] == 0.5
-    assert mapping.mann_kendall(-np.arange(0, 40, 2.0))[1] == -1
+    rising = mapping.mann_kendall(np.arange(0, 400_000, 2.0))
+    assert rising.s == 200_000 * 199_999 // 2 and rising.p < 0.01 and rising.accepted
+    assert mapping.mann_kendall(np.zeros(9)).p == 0.5 and mapping.mann_kendall(-np.arange(0, 40, 2.0)).z < 0
+    with pytest.raises(ValueError):
+        mapping.mann_kendall(np.zeros(3), alternative="sideways")
+
+
+def test_trend_orients_by_the_path(spark):
+    """A query whose markers lie backwards on a path: the trend along the query is sure, the orientation is the path's."""
+    queries = pairs(spark, [("q", i, i) for i in range(30)], "qid string, qpos int, mx long")
+    for order, sign in ((range(30), "+"), (range(29, -1, -1), "-")):
+        index = pairs(spark, [(m, 0, t) for t, m in enumerate(order)], "mx long, tid long, tpos int")
+        assert {r.orientation for r in mapping.map_trend(queries, index).collect()} == {sign}
 
 
 def test_scalar_functions(spark):
@@ -297,3 +333,95 @@ def test_biconnected_molecules_and_reports(spark):
     rows = reports.stack_reports([a, b], drop=["n"]).withColumn("title", reports.picked(reports.readable(F.col("name"), {"y": "Y", ".z": " z"}), "x", "Y z"))
     assert sorted((r.name, r.extra, r.title) for r in rows.collect()) == [("q", 3, ""), ("x_y.z", None, "x Y z")]
     assert spark.range(1).select(reports.percent(F.lit(343), F.lit(2000)).alias("p")).first().p == "17.2%"
+
+
+def test_vast_trees_give_the_same(spark, monkeypatch):
+    """Pruning, junctions, bridges and backbones by rounds over all trees at once, against one tree a task."""
+    r = random.Random(1)
+    edges = [(r.randrange(max(0, i - 4), i), i, r.randrange(1, 9)) for i in range(1, 20)]
+    frame = pairs(spark, edges, "u long, v long, m long").coalesce(1)
+    forest = trees.labelled_forest(frame)
+    found = {}
+    for fold in (1 << 30, 0):
+        monkeypatch.setattr(trees, "FOLD", fold)
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        found[fold] = [rows(trees._prune_trees(forest, 3)), rows(trees.junctions(frame, 2, least_branch=2)), rows(trees.unbridged(frame, 2, 3)[1].select("u", "v", "m", "tree")), rows(trees.backbones(frame, 1, 0, 2))]
+    assert found[0] == found[1 << 30] and all(found[0])
+
+
+def test_branches_are_measured_by_messages(spark):
+    r = random.Random(9)
+    edges = [(r.randrange(max(0, i - 3), i), i, 1) for i in range(1, 30)]
+    length = trees.branch_lengths(tree(edges))
+    for most in (1, 3, 40):
+        rows = trees.branch_reach(pairs(spark, edges, "u long, v long, m long"), most).collect()
+        assert all((x.lv, x.lu) == (min(most, length[x.u, x.v]), min(most, length[x.v, x.u])) for x in rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_shortest_paths_all_at_once(spark, seed):
+    edges = random_graph(seed + 40, 25, 0.12)
+    g = as_graph(edges)
+    tips = [(i, a, b) for i, (a, b) in enumerate([(0, 9), (3, 20), (5, 5), (7, 24), (1, 2)]) if a in g and b in g]
+    got = {}
+    for x in graph.shortest_paths(pairs(spark, edges, "u long, v long, m long"), pairs(spark, tips, "tid long, a long, b long")).collect():
+        got.setdefault(x.tid, {})[x.pos] = x.id
+    for tid, a, b in tips:
+        gap, parent, front = {a: 0}, {a: None}, [a]
+        while front:
+            new = {}
+            for u in sorted(front):
+                for v in g[u]:
+                    if v not in gap and v not in new:
+                        new[v] = u
+            gap.update({v: gap[u] + 1 for v, u in new.items()})
+            parent.update(new)
+            front = list(new)
+        path = [b] if b in gap else []
+        while path and parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+        assert [got.get(tid, {}).get(i) for i in range(len(path))] == path[::-1] and len(got.get(tid, {})) == len(path)
+
+
+def test_files_of_paths_markers_and_names(spark, tmp_path):
+    (tmp_path / "a").write_text("x y\n\nz\n")
+    (tmp_path / "b").write_text("x\n")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    assert sorted(map(tuple, text.read_paths(spark, [b, a]).collect())) == [(0, 0, "x"), (1, 0, "x"), (1, 1, "y"), (3, 0, "z")]
+    (tmp_path / "m").write_text("q\t5:1 7\n")
+    assert [r.pos for r in text.read_marker_lists(spark, str(tmp_path / "m")).orderBy("qpos").collect()] == [1, None]
+    with pytest.raises(Exception, match="without a position"):
+        text.read_marker_lists(spark, str(tmp_path / "m"), positions=True).collect()
+    (tmp_path / "f").write_text(">n one\nAC\nGT\n>o\nA\n>n\nTT\n")
+    (tmp_path / "g").write_text(">o\nCC\n")
+    once = lambda *names: {r.name: r.seq for r in text.fasta_dictionary(spark, [str(tmp_path / n) for n in names]).collect()}
+    assert once("f", "g") == {"n": "TT", "o": "CC"} and once("g", "f") == {"n": "TT", "o": "A"}
+
+
+def test_evidence_keeps_paths_without_orientation(spark):
+    paths = pairs(spark, [(0, 0, "a."), (0, 1, "b."), (1, 0, "c+")], "tid long, pos int, elem string")
+    seqs = pairs(spark, [("a", "AC"), ("b", "G"), ("c", "T")], "name string, seq string")
+    none = pairs(spark, [], "u string, v string, hh long, ht long, th long, tt long")
+    assert {r.tid: r.seq for r in scaffold.assemble(paths, seqs, 2).collect()} == {1: "T"}
+    assert {r.tid: r.seq for r in scaffold.assemble_with_evidence(paths, seqs, none, 2).collect()} == {0: "NNNNN", 1: "T"}
+
+
+def test_minimizers_take_time_in_proportion(spark):
+    """Ten times the length takes about ten times as long, not a hundred times."""
+    import time
+
+    took = []
+    for n in (3_000, 30_000):
+        seq = "".join(random.Random(n).choice("ACGT") for _ in range(n))
+        frame = pairs(spark, [("s", seq)], "name string, seq string")
+        began = time.time()
+        rows = frame.select(F.inline(fn.window_minimizers(F.transform(fn.kmers(F.col("seq"), 12), fn.fixed_md5), 10))).collect()
+        took.append(time.time() - began)
+    assert 3_000 < len(rows) < 12_000 and took[1] < 25 * took[0] + 5
+
+
+def test_names_lumped_and_numbered(spark):
+    rows = pairs(spark, [("a", 1), ("a", 1), ("b", 5), ("c", 1), (None, 9)], "k string, w long")
+    assert sorted(str(r.k) for r in reports.lumped(rows, "k", 1).collect()) == ["None", "Other", "Other", "a", "a"]
+    assert sorted(str(r.k) for r in reports.lumped(rows, "k", 1, F.col("w")).collect()) == ["None", "Other", "Other", "Other", "b"]
+    assert {r.k: r["index"] for r in reports.appearance_index(rows, "k", [-F.col("w"), F.col("k")]).collect()} == {None: 1, "b": 2, "a": 3, "c": 4}
