@@ -21,6 +21,7 @@ def _with_least(near: DataFrame, least: DataFrame, hub: int) -> DataFrame:
     most the rows / hub), so theirs are broadcast, and no task gathers the neighbours of a hub. With `hub` 0 there is none."""
     if not hub:
         return near.join(least.select("x", "m"), "x")
+    least = stored(least, "least")  # read three times
     hubs = least.filter(F.col("n") > hub).select("x", F.col("m").alias("hub_m"))
     marked = near.join(F.broadcast(hubs), "x", "left")
     rest = marked.filter("hub_m IS NULL").select("x", "y").join(least.filter(F.col("n") <= hub).select("x", "m"), "x")
@@ -35,9 +36,8 @@ def _large_star(edges: DataFrame, hub: int) -> DataFrame:
 
 def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     near = edges.select(F.col("v").alias("x"), F.col("u").alias("y"))  # u < v: the smaller neighbours of v
-    least = _smallest(near)
-    linked = _with_least(near, least, hub).select(F.col("m").alias("u"), F.col("y").alias("v"))
-    return linked.unionByName(least.select(F.col("m").alias("u"), F.col("x").alias("v"))).filter("u < v").distinct()
+    linked = _with_least(near, _smallest(near), hub).select(F.col("m").alias("u"), F.col("y").alias("v"))
+    return linked.unionByName(_smallest(near).select(F.col("m").alias("u"), F.col("x").alias("v"))).filter("u < v").distinct()
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -57,6 +57,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         if now == before:
             break
         before, hub = now, max(HUB, 2 * now[0] // tasks) if now[0] > FEW else 0
-        stars = stored(_small_star(_large_star(stars, hub), hub), "cc")
+        large = _large_star(stars, hub)
+        stars = stored(_small_star(stored(large, "large") if hub else large, hub), "cc")
     found = stars.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return alone.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

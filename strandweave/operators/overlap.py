@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from strandweave.functions.scalar import valid_pair
+from strandweave.plans.shared import stored
 
 from .components import connected_components
 from .incidence import barcode_size, histogram
 
+#: Edges of a component that one task folds.
+FOLD = 100_000
+
 
 def overlap_edges(bxmx: DataFrame, least: int = 10) -> DataFrame:
     """Pairs of barcodes with at least `least` common markers.
@@ -148,11 +152,13 @@ def mutual_best_edges(edges: DataFrame, best: int) -> DataFrame:
 def best_edges(edges: DataFrame, best: int) -> DataFrame:
     """Vertices by falling degree (ties: smaller id) keep the `best` heaviest of the edges still left (ties: smaller neighbour).
 
-    Sequential within a component, so a component is folded in one task; the rule has no set form.
+    A component of up to FOLD edges is folded in one task. In larger ones each round settles the vertices whose neighbours
+    that come earlier are settled; no two of these are neighbours.
     """
     if best is None:
         return edges
-    named = edges.join(connected_components(edges), edges["u"] == F.col("id")).select("u", "v", "m", "component")
+    named = stored(edges.join(connected_components(edges), edges["u"] == F.col("id")).select("u", "v", "m", "component"), "named")
+    large = stored(named.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD).select("component"), "large")
 
     def fold(group):
         left: dict = {}
@@ -165,7 +171,30 @@ def best_edges(edges: DataFrame, best: int) -> DataFrame:
         keep = [u in left and v in left[u] for u, v in zip(group["u"], group["v"])]
         return group.loc[keep, ["u", "v", "m"]]
 
-    return named.groupBy("component").applyInPandas(fold, edges.select("u", "v", "m").schema)
+    schema = edges.select("u", "v", "m").schema
+    if large.isEmpty():
+        return named.groupBy("component").applyInPandas(fold, schema)
+    small = named.join(large, "component", "left_anti").groupBy("component").applyInPandas(fold, schema)
+    return small.unionByName(_best_edges_by_rounds(named.join(large, "component", "left_semi").select("u", "v", "m"), best))
+
+
+def _best_edges_by_rounds(edges: DataFrame, best: int) -> DataFrame:
+    degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    rows = edges.join(degree.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(degree.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    first = (F.col("nu") > F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    end = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    rows = stored(rows.select(end("u", "v").alias("a"), end("v", "u").alias("b"), "m", F.lit(False).alias("sa"), F.lit(False).alias("sb")), "rounds")
+    while not rows.filter("NOT sa OR NOT sb").isEmpty():
+        ends_ = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("sa").alias("done"), F.lit(False).alias("waits")), F.struct(F.col("b").alias("id"), F.col("sb").alias("done"), (~F.col("sa")).alias("waits")))).alias("e")
+        ready = stored(rows.select(ends_).select("e.*").groupBy("id").agg(F.max("done").alias("done"), F.max("waits").alias("waits")).filter("NOT done AND NOT waits").select("id"), "ready")
+        flagged = rows.join(ready.select(F.col("id").alias("a"), F.lit(True).alias("ra")), "a", "left").join(ready.select(F.col("id").alias("b"), F.lit(True).alias("rb")), "b", "left").withColumns({"ra": F.coalesce("ra", F.lit(False)), "rb": F.coalesce("rb", F.lit(False))})
+        # Of the two ends of an edge one at most is ready.
+        who, other = F.when(F.col("ra"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ra"), F.col("b")).otherwise(F.col("a"))
+        asked = flagged.filter("ra OR rb").withColumns({"who": who, "other": other})
+        kept = asked.withColumn("r", F.row_number().over(W.Window.partitionBy("who").orderBy(F.desc("m"), "other"))).filter(F.col("r") <= best)
+        both = flagged.filter("NOT ra AND NOT rb").unionByName(kept.select(*flagged.columns))
+        rows = stored(both.select("a", "b", "m", (F.col("sa") | F.col("ra")).alias("sa"), (F.col("sb") | F.col("rb")).alias("sb")), "rounds")
+    return rows.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "m")
 
 
 def relabel_molecules(edges: DataFrame, molecules: DataFrame) -> DataFrame:

@@ -324,7 +324,9 @@ def tree_with_branch_lengths(edges: DataFrame, least_branch: int = 10) -> DataFr
         return pd.DataFrame([(u, v, m, min(length[u, v], length[v, u])) for u, vs in t.items() for v, m in vs.items() if u < v], columns=["u", "v", "m", "l"])
 
     kind = dict(edges.dtypes)["u"]
-    return _per_tree(_prune_trees(labelled_forest(edges), least_branch), fold, f"u {kind}, v {kind}, m long, l int")
+    pruned = _prune_trees(labelled_forest(edges), least_branch)
+    # A vast tree takes as many rounds as its longest path has vertices.
+    return by_size(pruned, lambda f: _per_tree(f, fold, f"u {kind}, v {kind}, m long, l int"), lambda f: branch_reach(f, 1 << 30).select("u", "v", F.col("m").cast("long").alias("m"), F.least("lu", "lv").alias("l")))
 
 
 def junctions(edges: DataFrame, least_junction: int, depth: int = 0, least_branch: int = 10) -> DataFrame:

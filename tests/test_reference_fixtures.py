@@ -345,7 +345,7 @@ def test_vast_trees_give_the_same(spark, monkeypatch):
     for fold in (1 << 30, 0):
         monkeypatch.setattr(trees, "FOLD", fold)
         rows = lambda df: sorted(map(tuple, df.collect()))
-        found[fold] = [rows(trees._prune_trees(forest, 3)), rows(trees.junctions(frame, 2, least_branch=2)), rows(trees.unbridged(frame, 2, 3)[1].select("u", "v", "m", "tree")), rows(trees.backbones(frame, 1, 0, 2))]
+        found[fold] = [rows(trees._prune_trees(forest, 3)), rows(trees.junctions(frame, 2, least_branch=2)), rows(trees.unbridged(frame, 2, 3)[1].select("u", "v", "m", "tree")), rows(trees.backbones(frame, 1, 0, 2)), rows(trees.tree_with_branch_lengths(frame, 2))]
     assert found[0] == found[1 << 30] and all(found[0])
 
 
@@ -425,3 +425,12 @@ def test_names_lumped_and_numbered(spark):
     assert sorted(str(r.k) for r in reports.lumped(rows, "k", 1).collect()) == ["None", "Other", "Other", "a", "a"]
     assert sorted(str(r.k) for r in reports.lumped(rows, "k", 1, F.col("w")).collect()) == ["None", "Other", "Other", "Other", "b"]
     assert {r.k: r["index"] for r in reports.appearance_index(rows, "k", [-F.col("w"), F.col("k")]).collect()} == {None: 1, "b": 2, "a": 3, "c": 4}
+
+
+def test_best_edges_by_rounds(spark, monkeypatch):
+    frame = pairs(spark, random_graph(3, 18, 0.3), "u long, v long, m long").coalesce(1)
+    found = []
+    for fold in (1 << 30, 0):
+        monkeypatch.setattr(overlap, "FOLD", fold)
+        found.append(sorted(map(tuple, overlap.best_edges(frame, 2).collect())))
+    assert found[0] == found[1] and found[0]
