@@ -44,6 +44,20 @@ def test_long_runs(tree, text):
     assert tree.encode(text) == tree.core.encode_ordinary(text)
 
 
+def test_other_patterns_have_no_firm_places():
+    assert bpe.FIRM_PATTERN == public_tokenizers.PATTERN
+    other = bpe.TreeBPE(RANKS, r"[a-z]+ [a-z]+|\s|\S", leaf=4)
+    for text in ("some words here and there", "ab cd ef gh 12", "x" * 50):
+        assert other.encode(text) == other.core.encode_ordinary(text) and other.decode(other.encode(text)) == text.encode()
+
+
+def test_most_documents_have_more_than_a_leaf(spark, tree):
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect() if r.text]
+    assert sum(len(x) > bpe.LEAF for x in texts) > len(texts) / 4
+    usual = bpe.TreeBPE(RANKS, public_tokenizers.PATTERN)
+    assert all(usual.encode(x) == usual.core.encode_ordinary(x) for x in texts)
+
+
 def test_bpe_digests(spark):
     docs = clashing(odd_documents(spark), "n_tokens", "ids", "decoded")
     whole = bpe.TreeBPE(RANKS, public_tokenizers.PATTERN).core
