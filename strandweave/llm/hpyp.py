@@ -319,13 +319,15 @@ def discounts_of(ones: list[int]) -> tuple[float, float]:
     return tuple(min(0.95, max(0.3, a / (a + 2 * b))) if a else 0.6 for a, b in (ones[:2], ones[2:4]))
 
 
-STATE = "part int, words binary, sizes binary, contexts binary, counts binary, tables binary, seated binary, samples array<binary>, sums binary"
+#: A part: what is fixed (of_block: for each block, the steps from each of its pairs to the next among the part's), and what a sweep changes.
+FIXED = "part int, sizes binary, contexts binary, counts binary, blocks array<long>, of_block array<binary>"
+STATE = f"{FIXED}, tables binary, seated binary, samples array<binary>, sums binary"
 _STATE = [c.split()[0] for c in STATE.split(", ")]
 
 
-def _state_row(part: int, row: dict, tables, seated, samples: list, sums) -> pa.RecordBatch:
-    values = [part, row["words"], row["sizes"], row["contexts"], row["counts"], tables, seated, samples, sums]
-    kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary()), pa.binary()]
+def _state_row(row: dict, tables, seated, samples: list, sums) -> pa.RecordBatch:
+    values = [*(row[c.split()[0]] for c in FIXED.split(", ")), tables, seated, samples, sums]
+    kinds = [pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.binary()), *[pa.binary()] * 2, pa.list_(pa.binary()), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=_STATE)
 
 
@@ -334,7 +336,7 @@ def whole_parts(dealt: DataFrame, model: Model) -> DataFrame:
     that occur once and twice in the corpus, and the number of words that occur."""
 
     def merge(batches):
-        for part, rows in _parts(batches, ["words", "sizes", "contexts", "counts"]):
+        for part, rows in _parts(batches, ["block", "words", "sizes", "contexts", "counts"]):
             words, sizes = [_unpack(r["words"], U) for r in rows], [_unpack(r["sizes"], np.int32) for r in rows]
             distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
             contexts = np.concatenate([_unpack(r["contexts"], np.int32) for r in rows])
@@ -342,9 +344,12 @@ def whole_parts(dealt: DataFrame, model: Model) -> DataFrame:
             counts = np.bincount(of_row, np.concatenate([_unpack(r["counts"], np.int32) for r in rows]), len(keys)).astype(np.int64)
             word = keys >> model.context_bits
             by_word = np.bincount(word, counts, len(distinct)).astype(np.int64)
-            columns = {"words": distinct, "sizes": np.bincount(word, minlength=len(distinct)).astype(np.int32), "contexts": (keys & (model.contexts - 1)).astype(np.int32), "counts": counts.astype(np.int32)}
+            columns = {"sizes": np.bincount(word, minlength=len(distinct)).astype(np.int32), "contexts": (keys & (model.contexts - 1)).astype(np.int32), "counts": counts.astype(np.int32)}
             ones = [int((x == i).sum()) for x in (by_word, counts) for i in (1, 2)]
-            yield _state_row(part, {k: _pack(v) for k, v in columns.items()}, None, None, [], _pack(np.array([*ones, (by_word > 0).sum()], np.int64)))
+            ends = np.cumsum([s.sum() for s in sizes])
+            steps = [_pack(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(of_row, ends[:-1])]  # a block's pairs are in order
+            row = {"part": part, **{k: _pack(v) for k, v in columns.items()}, "blocks": [r["block"] for r in rows], "of_block": steps}
+            yield _state_row(row, None, None, [], _pack(np.array([*ones, (by_word > 0).sum()], np.int64)))
 
     return stored(dealt.mapInArrow(merge, STATE), "lm-parts", compression="none")
 
@@ -381,7 +386,7 @@ def gibbs(state: DataFrame, model: Model, corpus: Corpus) -> tuple[DataFrame, li
         for batch in batches:
             for row in batch.to_pylist():
                 part = Part(row, model)
-                yield _state_row(row["part"], row, _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32)), [], _pack(part.sums()))
+                yield _state_row(row, _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32)), [], _pack(part.sums()))
 
     def replaced(old: DataFrame, run) -> tuple[DataFrame, Totals]:
         new = stored(old.mapInArrow(run, STATE), "lm-seating", compression="none")
@@ -400,7 +405,7 @@ def gibbs(state: DataFrame, model: Model, corpus: Corpus) -> tuple[DataFrame, li
                     part = Part(row, model)
                     part.sweep(known.value, shared.value, np.random.default_rng([model.seed, row["part"], sweep]))
                     tables, seated = _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32))
-                    yield _state_row(row["part"], row, tables, seated, row["samples"] + [tables, seated] * model.is_sample(sweep), _pack(part.sums()))
+                    yield _state_row(row, tables, seated, row["samples"] + [tables, seated] * model.is_sample(sweep), _pack(part.sums()))
 
         state, totals = replaced(state, seat)
         if model.is_sample(sweep):
@@ -447,7 +452,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
     known = spark.sparkContext.broadcast((corpus, totals))
 
     def predict(batches):
-        """Logs of every pair's probability, and every word's training count."""
+        """For every block, the logs of its pairs' probabilities, and the training count of each of its words in this part."""
         for batch in batches:
             for row in batch.to_pylist():
                 part, average = Part(row, model), 0.0
@@ -455,27 +460,14 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
                     part.tables, part.seated = (_unpack(x, np.int32).astype(np.int64) for x in row["samples"][2 * i : 2 * i + 2])
                     average = average + part.probabilities(known.value[0], at)
                 logs, learned = np.log10(average / len(known.value[1])).astype(np.float32), np.bincount(part.word, part.count, part.n_words).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((row["part"], -1, row["words"], row["sizes"], row["contexts"], _pack(logs), _pack(learned)), kinds)], names=names)
-
-    names, kinds = ["part", "block", "words", "sizes", "contexts", "scores", "learned"], [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    schema = "part int, block long, words binary, sizes binary, contexts binary, scores binary, learned binary"
-    sized = state.mapInArrow(predict, schema).unionByName(pairs.drop("counts"), allowMissingColumns=True)
-    dealt = sized.repartition(parts, "part").sortWithinPartitions("part", "block")
-
-    def spread(batches):
-        """Gives each block's pairs what the whole part, which comes first, says of them."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, sizes, contexts = _unpack(row["words"], U), _unpack(row["sizes"], np.int32), _unpack(row["contexts"], np.int32)
-                if row["block"] < 0:
-                    all_words, logs, learned = words, _unpack(row["scores"], np.float32), _unpack(row["learned"], np.int64)
-                    all_keys = (np.repeat(np.arange(len(words)), sizes) << model.context_bits) | contexts
-                    continue
-                at = np.searchsorted(all_words, words)
-                found = np.searchsorted(all_keys, (np.repeat(at, sizes) << model.context_bits) | contexts)
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((row["block"], row["part"], _pack(logs[found]), _pack(learned[at]), row["sizes"]), (pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["block", "part", "scores", "learned", "sizes"])
-
-    scored = dealt.mapInArrow(spread, "block long, part int, scores binary, learned binary, sizes binary")
+                for block, steps in zip(row["blocks"], row["of_block"]):
+                    pairs = np.cumsum(_unpack(steps, np.int32), dtype=np.int64)
+                    starts = np.flatnonzero(np.diff(part.word[pairs], prepend=-1))
+                    sizes = np.diff(starts, append=len(pairs)).astype(np.int32)
+                    values = (block, row["part"], _pack(logs[pairs]), _pack(learned[part.word[pairs[starts]]]), _pack(sizes))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["block", "part", "scores", "learned", "sizes"])
+
+    scored = state.mapInArrow(predict, "block long, part int, scores binary, learned binary, sizes binary")
     both = heads.select("block", "part", "ids", "held", "lengths", "codes").unionByName(scored, allowMissingColumns=True)
     tokens = corpus.tokens
 
@@ -494,7 +486,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(finish, schema)
+    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(finish, schema)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
