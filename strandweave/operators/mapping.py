@@ -105,7 +105,11 @@ class Trend(NamedTuple):
 def _earlier(x: np.ndarray, eps: float) -> tuple[int, int]:
     """Pairs of an earlier and a later value that rise, and that fall, by more than eps: blocks of 1, 2, 4, ... values are
     counted against their left neighbours, so it takes n log^2 n steps and memory for a few arrays."""
-    n, ordered = len(x), np.sort(x)
+    n = len(x)
+    if n <= 64:  # few pairs are compared outright
+        gaps = (x[None, :] - x[:, None])[np.triu_indices(n, 1)]
+        return int((gaps > eps).sum()), int((gaps < -eps).sum())
+    ordered = np.sort(x)
     rank = np.empty(n, np.int64)
     rank[np.argsort(x, kind="stable")] = np.arange(n)
     below, upto = np.searchsorted(ordered, x - eps, "left"), np.searchsorted(ordered, x + eps, "right")
@@ -163,11 +167,15 @@ def map_trend(queries: DataFrame, index: DataFrame, least: int = 1, p_value: flo
     points = found.join(trended, ["qid", "tid", "tpos"])
 
     def trend(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.groupby("tpos")["qpos"].transform("min")
-        group = group.assign(first=first).sort_values(["first", "tpos", "qpos"])
-        spots_ = group.drop_duplicates("tpos")
-        points, column = (spots_, "median") if len(spots_) > most or len(group) > 50_000 else (group, "qpos")
-        found = mann_kendall(points[column].to_numpy(float), points["tpos"].to_numpy(float), alpha=p_value)
+        t, q, median = (group[c].to_numpy() for c in ("tpos", "qpos", "median"))
+        order = np.lexsort((q, t))
+        t, q, median = t[order], q[order], median[order]
+        starts = np.flatnonzero(np.diff(t, prepend=t[0] - 1))
+        first = np.repeat(q[starts], np.diff(starts, append=len(t)))  # where the query first meets each position
+        if len(starts) > most or len(t) > 50_000:
+            t, q, first = t[starts], median[starts], first[starts]
+        order = np.lexsort((q, t, first))
+        found = mann_kendall(q[order].astype(float), t[order].astype(float), alpha=p_value)
         sign = "." if found.p >= p_value or not found.slope else "+" if found.slope > 0 else "-"
         return pd.DataFrame({"qid": group["qid"].iloc[:1], "tid": group["tid"].iloc[:1], "trend": [sign]})
 

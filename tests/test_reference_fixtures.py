@@ -170,7 +170,7 @@ def test_mann_kendall(seed):
     import numpy as np
 
     r = random.Random(seed)
-    x = [float(r.randrange(12)) + i * (seed - 2) / 4 for i in range(r.randrange(2, 70))]
+    x = [float(r.randrange(12)) + i * (seed - 2) / 4 for i in range(r.choice([2, 3, 30, 64, 65, 130]))]
     for eps in (1.0, 0.3, 2.0):
         found = mapping.mann_kendall(np.array(x), eps=eps)
         s, z = brute_trend(x, eps)
@@ -178,7 +178,10 @@ def test_mann_kendall(seed):
     up, down = (mapping.mann_kendall(np.array(x), alternative=a) for a in ("up", "down"))
     both = mapping.mann_kendall(np.array(x), alpha=0.1)
     assert up.accepted == (up.z >= 1.6448536269514722) and down.accepted == (down.z <= -1.6448536269514722) and both.accepted == (up.accepted or down.accepted)
-    assert abs(up.p + down.p - 1) < 1e-12 and abs(both.p - 0.5 * min(up.p, down.p)) < 1e-12
+    if abs(both.s) > 1:
+        assert abs(up.p + down.p - 1) < 1e-12 and abs(both.p - 0.5 * min(up.p, down.p)) < 1e-12
+    else:  # no trend that is more than a tie
+        assert up.p == down.p == both.p == 0.5
     slope, intercept = np.polyfit(np.arange(len(x)), x, 1)
     assert abs(both.slope - slope) < 1e-9 and abs(both.intercept - intercept) < 1e-9
 
