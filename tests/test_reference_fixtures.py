@@ -415,7 +415,7 @@ def test_minimizers_take_time_in_proportion(spark):
 
     took = []
     for n in (3_000, 30_000):
-        seq = "".join(random.Random(n).choice("ACGT") for _ in range(n))
+        seq = "".join(random.Random(n).choices("ACGT", k=n))
         frame = pairs(spark, [("s", seq)], "name string, seq string")
         began = time.time()
         rows = frame.select(F.inline(fn.window_minimizers(F.transform(fn.kmers(F.col("seq"), 12), fn.fixed_md5), 10))).collect()
