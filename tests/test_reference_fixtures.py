@@ -339,17 +339,16 @@ def test_biconnected_molecules_and_reports(spark):
 
 
 def test_vast_trees_give_the_same(spark, monkeypatch):
-    """Pruning, junctions, bridges and backbones by rounds over all trees at once, against one tree a task."""
+    """Pruning, junctions and diameters by rounds over all trees at once, against one tree a task."""
     r = random.Random(1)
-    edges = [(r.randrange(max(0, i - 4), i), i, r.randrange(1, 9)) for i in range(1, 20)]
-    frame = pairs(spark, edges, "u long, v long, m long").coalesce(1)
-    forest = trees.labelled_forest(frame)
-    found = {}
-    for fold in (1 << 30, 0):
-        monkeypatch.setattr(trees, "FOLD", fold)
-        rows = lambda df: sorted(map(tuple, df.collect()))
-        found[fold] = [rows(trees._prune_trees(forest, 3)), rows(trees.junctions(frame, 2, least_branch=2)), rows(trees.unbridged(frame, 2, 3)[1].select("u", "v", "m", "tree")), rows(trees.backbones(frame, 1, 0, 2)), rows(trees.tree_with_branch_lengths(frame, 2))]
-    assert found[0] == found[1 << 30] and all(found[0])
+    edges = [(r.randrange(max(0, i - 4), i), i, r.randrange(1, 9)) for i in range(1, 16)]
+    forest = pairs(spark, [(*e, 0) for e in edges], "u long, v long, m long, tree long").coalesce(1)
+    t = tree(edges)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    pruned = trees.prune(t, 2)
+    assert rows(trees._prune_vast(forest, 2).select("u", "v", "m")) == sorted((u, v, m) for u, vs in pruned.items() for v, m in vs.items() if u < v)
+    assert {x.id for x in trees._junctions_vast(forest, 2).collect()} == trees.junctions_of(t, 2)
+    assert rows(trees._far_paths_vast(forest).select("pos", "elem")) == list(enumerate(trees.far_path(t, 0)))
 
 
 def test_branches_are_measured_by_messages(spark):
