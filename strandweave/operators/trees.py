@@ -1,8 +1,8 @@
-"""Backbones of spanning trees: branch lengths, pruning, junctions, diameters.
+"""Backbones of spanning trees: branch lengths, pruning, junctions, diameters, bridges, cut vertices.
 
-Trees of up to FOLD edges are folded in a task each, by the kernels in the first half of this file. A larger tree goes
-through DataFrame rounds that give the same rows: messages along edges (as many rounds as the least length asked for),
-and a tour of the tree, numbered by pointer doubling, whose running sums give distances.
+Trees (or components) of up to FOLD edges are folded in a task each, by the kernels in the first half of this file. Larger
+ones go through DataFrame rounds that give the same rows: messages along edges (as many rounds as the least length asked
+for) where only short branches matter, and else the walks of tours.py.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from strandweave.plans.shared import numbered, stored
 
+from . import tours
 from .communities import components, cut_vertices, within
 from .components import connected_components
 from .graph import bridges, chimera, hops, labelled_forest, path_edges, without
@@ -118,6 +118,36 @@ def bridges_of(t: Tree, length: int) -> set:
     return short | {u for u in cut if cut & set(t[u])}
 
 
+def blocks_of(t: Tree) -> dict[tuple, object]:
+    """(u, v) -> block of every edge in both directions, by depth-first low points: edges are stacked as they are met, and
+    those above a branch that reaches no higher than its start are a block, named by the branch's first vertex."""
+    order, low, found = {}, {}, {}
+    for root in sorted(t):
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        path, held = [(root, None, iter(sorted(t[root])))], []
+        while path:
+            u, parent, rest = path[-1]
+            v = next(rest, None)
+            if v is None:
+                path.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[u])
+                    if low[u] >= order[parent]:
+                        while (parent, u) not in found:
+                            a, b = held.pop()
+                            found[a, b] = found[b, a] = u
+            elif v not in order:
+                order[v] = low[v] = len(order)
+                held.append((u, v))
+                path.append((v, u, iter(sorted(t[v]))))
+            elif v != parent and order[v] < order[u]:
+                held.append((u, v))
+                low[u] = min(low[u], order[v])
+    return found
+
+
 def _edge_schema(edges: DataFrame) -> str:
     return ", ".join(f"{c} {dict(edges.dtypes)[c]}" for c in ("u", "v", "m"))
 
@@ -181,58 +211,6 @@ def _junctions_vast(forest: DataFrame, least: int) -> DataFrame:
     return reach.select(long).groupBy("id").agg(F.count("*").alias("n")).filter("n >= 3").select("id")
 
 
-def _tour(forest: DataFrame) -> DataFrame:
-    """(tree, a, b, m, left): both directions of every edge as the steps of a walk around their tree, and how many steps are
-    left from each to the walk's end.
-
-    Behind (a, b) comes (b, c), c being b's neighbour after a in cyclic order. The walk is broken before one edge of each
-    tree and numbered by pointer doubling: in round i every step knows how far the end is, or the step 2**i on.
-    """
-    arcs = forest.select("tree", F.col("u").alias("a"), F.col("v").alias("b"), "m").unionByName(forest.select("tree", F.col("v").alias("a"), F.col("u").alias("b"), "m"))
-    around = W.Window.partitionBy("a").orderBy("b")
-    after = F.coalesce(F.lead("b").over(around), F.first("b").over(around.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
-    # The step behind (x, y) is (y, the neighbour of y after x).
-    turn = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), after.alias("c"))
-    steps = arcs.join(turn, ["a", "b"]).select("tree", "a", "b", "m", F.struct(F.col("b").alias("a"), F.col("c").alias("b")).alias("next"))
-    steps = steps.withColumn("key", F.struct("a", "b"))
-    first = steps.groupBy("tree").agg(F.min("key").alias("start"))
-    steps = steps.join(first, "tree").withColumn("next", F.when(F.col("next") != F.col("start"), F.col("next")))
-    now = stored(steps.select("tree", "m", "key", "next", F.lit(1).cast("long").alias("left")), "tour")
-    while not now.filter("next IS NOT NULL").isEmpty():
-        on = now.select(F.col("key").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
-        moved = now.filter("next IS NOT NULL").join(on, "next").select("tree", "m", "key", F.col("far").alias("next"), (F.col("left") + F.col("more")).alias("left"))
-        now = stored(now.filter("next IS NULL").unionByName(moved), "tour")
-    return now.select("tree", F.col("key")["a"].alias("a"), F.col("key")["b"].alias("b"), "m", "left")
-
-
-def _distances(tour: DataFrame, starts: DataFrame) -> DataFrame:
-    """(tree, id, gap, since, until): the distance by weight of every vertex from its tree's start of starts(tree, id), and the places
-    in the tour, begun there, where the vertex is entered and left. A window runs over a whole tree; it is a sorted scan."""
-    sizes = tour.groupBy("tree").agg(F.max("left").alias("n"))
-    begin = tour.join(starts.select("tree", F.col("id").alias("a")), ["tree", "a"], "left_semi").groupBy("tree").agg(F.max("left").alias("begin"))
-    turned = tour.join(sizes, "tree").join(begin, "tree").withColumn("at", F.pmod(F.col("begin") - F.col("left"), F.col("n")))
-    back = turned.select("tree", F.col("b").alias("a"), F.col("a").alias("b"), F.col("at").alias("other"))
-    walk = turned.join(back, ["tree", "a", "b"]).withColumn("signed", F.when(F.col("at") < F.col("other"), F.col("m")).otherwise(-F.col("m")))
-    upto = F.sum("signed").over(W.Window.partitionBy("tree").orderBy("at"))
-    seen = walk.withColumn("gap", upto).filter(F.col("at") < F.col("other")).select("tree", F.col("b").alias("id"), "gap", F.col("at").alias("since"), F.col("other").alias("until"))
-    return seen.unionByName(starts.join(sizes, "tree").select("tree", "id", F.lit(0).cast("long").alias("gap"), F.lit(-1).cast("long").alias("since"), F.col("n").alias("until")))
-
-
-def _far_paths_vast(forest: DataFrame) -> DataFrame:
-    """(tree, pos, elem): far_path() of every tree from its smallest vertex, all at once."""
-    tour = stored(_tour(forest), "tour")
-    farthest = lambda d: d.groupBy("tree").agg(F.min(F.struct((-F.col("gap")).alias("g"), "id")).alias("x")).select("tree", F.col("x")["id"].alias("id"))
-    start = tour.groupBy("tree").agg(F.min("a").alias("id"))
-    one = stored(farthest(_distances(tour, start)), "one")
-    seen = stored(_distances(tour, one), "seen")
-    other = farthest(seen)
-    # On the path to the other end lie the vertices that the walk has entered by then and not left.
-    end = seen.join(other, ["tree", "id"], "left_semi").select("tree", F.col("since").alias("here"))
-    on = seen.join(end, "tree").filter((F.col("since") <= F.col("here")) & (F.col("until") > F.col("here")))
-    place = F.row_number().over(W.Window.partitionBy("tree").orderBy("since")) - 1
-    return on.select("tree", place.alias("pos"), F.col("id").alias("elem"))
-
-
 def _backbones_vast(forest: DataFrame, least_branch: int, least_junction: int) -> DataFrame:
     """(head, n, pos, elem) of backbones_of() for every tree: paths are peeled off all trees at once, round after round."""
     keep = max(1, least_branch)
@@ -244,7 +222,7 @@ def _backbones_vast(forest: DataFrame, least_branch: int, least_junction: int) -
         inside = stored(without(left, cut), "inside")
         named = connected_components(inside)
         pieces = inside.join(named.select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
-        paths = _far_paths_vast(stored(pieces, "pieces"))
+        paths = tours.far_paths(stored(pieces, "pieces"))
         single = vertices.join(named, "id", "left_anti").select(F.col("id").alias("tree"), F.lit(0).alias("pos"), F.col("id").alias("elem"))
         paths = stored(paths.unionByName(single), "paths")
         heads = paths.groupBy("tree").agg(F.min_by("elem", "pos").alias("head"), F.count("*").cast("int").alias("n"))
@@ -271,39 +249,104 @@ def _prune_trees(forest: DataFrame, least_branch: int) -> DataFrame:
     return by_size(forest.select("u", "v", "m", "tree"), lambda f: _per_tree(f, fold, schema), lambda f: _prune_vast(f, least_branch).select("u", "v", "m", "tree"))
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(u, v, m, tree): graph.labelled_forest(edges); components of up to FOLD edges are folded in a task each."""
+
+    def fold(group):
+        rows = sorted(group[["u", "v", "m"]].itertuples(index=False, name=None), key=lambda e: (-e[2], e[0], e[1]))
+        found = [(u, v, m, name) for name, (t, own) in _kruskal(rows).items() for u, v, m in own if v in t[u]]
+        return pd.DataFrame(found, columns=["u", "v", "m", "tree"])
+
+    schema = f"{_edge_schema(edges)}, tree {dict(edges.dtypes)['u']}"
+    return by_size(_components_named(edges), lambda f: _per_tree(f, fold, schema), lambda f: labelled_forest(f.select("u", "v", "m")))
+
+
 def pruned_forest(edges: DataFrame, least_branch: int = 10) -> DataFrame:
     """The maximum spanning forest without its short branches."""
-    return _prune_trees(labelled_forest(edges), least_branch).drop("tree")
+    return _prune_trees(spanning_forest(edges), least_branch).drop("tree")
+
+
+def _kruskal(edges: list[tuple]) -> dict:
+    """smallest vertex -> (tree, edges) of every component; edges(u, v, m) come in the forest's order."""
+    root: dict = {}
+
+    def find(u):
+        while root.setdefault(u, u) != u:
+            root[u] = u = root[root[u]]
+        return u
+
+    joined = []
+    for u, v, m in edges:
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            joined.append((u, v, m))
+    found: dict = {}
+    for u, v, m in joined:
+        t = found.setdefault(find(u), ({}, []))[0]
+        t.setdefault(u, {})[v] = m
+        t.setdefault(v, {})[u] = m
+    for e in edges:
+        found[find(e[0])][1].append(e)
+    return found
+
+
+def unbridge(edges: list[tuple], least_branch: int, length: int) -> list[tuple]:
+    """(u, v, m, tree, inside) of the edges(u, v, m) that are left, inside being those of the spanning forest: bridges of the
+    pruned tree go, component by component, and what is left of a component that had any is looked at again."""
+    found, left = [], sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
+    while left:
+        again = []
+        for name, (t, own) in _kruskal(left).items():
+            bad = bridges_of(prune(t, least_branch), length)
+            if bad:
+                again += [e for e in own if e[0] not in bad and e[1] not in bad]
+            else:
+                found += [(u, v, m, name, v in t[u]) for u, v, m in own]
+        left = again
+        left.sort(key=lambda e: (-e[2], e[0], e[1]))
+    return found
 
 
 def unbridged(edges: DataFrame, least_branch: int, length: int) -> tuple[DataFrame, DataFrame]:
-    """(edges, labelled forest) without bridge vertices, found in the pruned forest again and again until there are
-    none. Length 0 removes nothing. Every round keeps the trees' pieces that are left and joins them by the best edges."""
-    forest = labelled_forest(edges)
+    """(edges, labelled forest) without bridge vertices, found in the pruned forest again and again until there are none.
+    Length 0 removes nothing.
+
+    A component of up to FOLD edges is folded in a task. Of a larger one the forest is kept from round to round: it is cut
+    at its bridges, and its pieces are joined by the best edges between them. Components without bridges are done, and
+    what falls below FOLD edges is folded, so a round looks only at what the round before has changed and left large.
+    """
+    if length <= 0:
+        return edges, spanning_forest(edges)
+    named, forest, found = _components_named(edges), None, None
+    schema = f"{_edge_schema(edges)}, tree {dict(named.dtypes)['tree']}, inside boolean"
 
     def fold(group):
-        t = tree_of(group)
-        bad = bridges_of(prune(t, least_branch), length)
-        rest = {u: set(vs) - bad for u, vs in t.items() if u not in bad}
-        rows = [(u, v, t[u][v], min(piece)) for piece in components(rest) for u in piece for v in rest[u] if u < v]
-        return pd.DataFrame(rows + [(u, None, None, u) for u in bad], columns=["u", "v", "m", "tree"]).astype(object)
-
-    def vast(trees: DataFrame) -> DataFrame:
-        bad = stored(bridges(_prune_vast(trees, least_branch), length), "bad")
-        kept = stored(without(trees, bad), "kept")
-        named = connected_components(kept).select(F.col("id").alias("u"), F.col("component").alias("tree"))
-        gone = bad.select(F.col("id").alias("u"), F.lit(None).cast(trees.schema["v"].dataType).alias("v"), F.lit(None).cast(trees.schema["m"].dataType).alias("m"), F.col("id").alias("tree"))
-        return kept.join(named, "u").select("u", "v", "m", "tree").unionByName(gone)
-
-    while length > 0:
-        schema = f"{_edge_schema(forest)}, tree {dict(forest.dtypes)['tree']}"
-        pieces = stored(by_size(forest.select("u", "v", "m", "tree"), lambda f, schema=schema: _per_tree(f, fold, schema), vast), "pieces")
-        bad = pieces.filter("v IS NULL").select(F.col("u").alias("id"))
-        if bad.isEmpty():
+        rows = unbridge(list(group[["u", "v", "m"]].itertuples(index=False, name=None)), least_branch, length)
+        return pd.DataFrame(rows, columns=["u", "v", "m", "tree", "inside"])
+
+    while True:
+        named = stored(named, "named")
+        large = stored(named.groupBy("tree").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD).select("tree"), "large")
+        done = large.isEmpty()
+        folded = _per_tree(named if done else named.join(large, "tree", "left_anti"), fold, schema)
+        found = folded if found is None else found.unionByName(folded)
+        if done:
             break
-        edges = stored(without(edges, bad), "unbridged")
-        forest = labelled_forest(edges, pieces.filter("v IS NOT NULL"))
-    return edges, forest
+        named = stored(named.join(large, "tree", "left_semi").select("u", "v", "m", "tree"), "named")
+        forest = labelled_forest(named) if forest is None else stored(forest.join(large, "tree", "left_semi").select("u", "v", "m", "tree"), "forest")
+        bad = stored(bridges(_prune_vast(forest, least_branch), length), "bad")
+        member = forest.select(F.explode(F.array("u", "v")).alias("id"), "tree").distinct()
+        hurt = stored(member.join(bad, "id", "left_semi").select("tree").distinct(), "hurt")
+        calm = named.join(hurt, "tree", "left_anti").join(forest.select("u", "v", F.lit(True).alias("inside")), ["u", "v"], "left")
+        found = found.unionByName(calm.select("u", "v", "m", "tree", F.coalesce("inside", F.lit(False)).alias("inside")))
+        rest = stored(without(named.join(hurt, "tree", "left_semi"), bad), "rest")
+        kept = stored(without(forest.join(hurt, "tree", "left_semi"), bad), "kept")
+        pieces = kept.join(connected_components(kept).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
+        forest = labelled_forest(rest, stored(pieces, "pieces"))
+        named = rest.join(forest.select(F.explode(F.array("u", "v")).alias("u"), "tree").distinct(), "u").select("u", "v", "m", "tree")
+    found = stored(found, "unbridged")
+    return found.select("u", "v", "m"), found.filter("inside").select("u", "v", "m", "tree")
 
 
 def remove_bridges(edges: DataFrame, least_branch: int, length: int) -> DataFrame:
@@ -324,14 +367,13 @@ def tree_with_branch_lengths(edges: DataFrame, least_branch: int = 10) -> DataFr
         return pd.DataFrame([(u, v, m, min(length[u, v], length[v, u])) for u, vs in t.items() for v, m in vs.items() if u < v], columns=["u", "v", "m", "l"])
 
     kind = dict(edges.dtypes)["u"]
-    pruned = _prune_trees(labelled_forest(edges), least_branch)
-    # A vast tree takes as many rounds as its longest path has vertices.
-    return by_size(pruned, lambda f: _per_tree(f, fold, f"u {kind}, v {kind}, m long, l int"), lambda f: branch_reach(f, 1 << 30).select("u", "v", F.col("m").cast("long").alias("m"), F.least("lu", "lv").alias("l")))
+    pruned = _prune_trees(spanning_forest(edges), least_branch)
+    return by_size(pruned, lambda f: _per_tree(f, fold, f"u {kind}, v {kind}, m long, l int"), lambda f: tours.branch_lengths(f).select("u", "v", F.col("m").cast("long").alias("m"), F.least("lu", "lv").alias("l")))
 
 
 def junctions(edges: DataFrame, least_junction: int, depth: int = 0, least_branch: int = 10) -> DataFrame:
     """(id): junctions of the pruned forest; with depth, also what lies within depth - 1 hops in the forest and one hop on in the graph."""
-    forest = stored(_prune_trees(labelled_forest(edges), least_branch), "pruned")
+    forest = stored(_prune_trees(spanning_forest(edges), least_branch), "pruned")
     kind = dict(edges.dtypes)["u"]
     fold = lambda group: pd.DataFrame({"id": list(junctions_of(tree_of(group), least_junction))})
     found = by_size(forest, lambda f: _per_tree(f, fold, f"id {kind}"), lambda f: _junctions_vast(f, least_junction))
@@ -378,8 +420,24 @@ def backbone_graph(edges: DataFrame, support: int = 0, distance: int = 2, least_
     return path_edges(kept, paths)
 
 
+def biconnected_components(edges: DataFrame) -> DataFrame:
+    """(u, v, m, block): edges on a common simple cycle share a block; a block is named by some vertex of it."""
+
+    def fold(group):
+        found = blocks_of(tree_of(group))
+        return pd.DataFrame([(u, v, m, found[u, v]) for u, v, m in group[["u", "v", "m"]].itertuples(index=False)], columns=["u", "v", "m", "block"])
+
+    kind = dict(edges.dtypes)["u"]
+    return by_size(_components_named(edges), lambda f: _per_tree(f, fold, f"{_edge_schema(edges)}, block {kind}"), lambda f: tours.blocks(f.select("u", "v", "m")))
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """(id): vertices that lie in two blocks or more, which connect what falls apart without them."""
+    return tours.block_cut_vertices(biconnected_components(edges))
+
+
 def without_cut_vertices(edges: DataFrame) -> DataFrame:
-    """Edges left when every cut vertex of the graph is gone; a component is folded in one task."""
+    """Edges left when every cut vertex of the graph is gone. Small components are folded, larger ones go by their blocks."""
 
     def fold(group):
         t = tree_of(group)
@@ -387,8 +445,14 @@ def without_cut_vertices(edges: DataFrame) -> DataFrame:
         kept = within(g, set(g) - cut_vertices(g))
         return pd.DataFrame([(u, v, t[u][v]) for u, vs in kept.items() for v in vs if u < v], columns=["u", "v", "m"])
 
-    named = edges.join(connected_components(edges).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u")
-    return _per_tree(named, fold, _edge_schema(edges))
+    def vast(named: DataFrame) -> DataFrame:
+        return without(named, stored(tours.block_cut_vertices(tours.blocks(named.select("u", "v", "m"))), "cuts"))
+
+    return by_size(_components_named(edges), lambda f: _per_tree(f, fold, _edge_schema(edges)), vast)
+
+
+def _components_named(edges: DataFrame) -> DataFrame:
+    return edges.join(connected_components(edges).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
 
 
-__all__ = ["backbones", "backbone_graph", "backbones_without_chimera", "bridges_of", "junctions", "pruned_forest", "remove_bridges", "spanning_tree", "tree_with_branch_lengths", "unbridged", "without_cut_vertices"]
+__all__ = ["articulation_points", "backbones", "backbone_graph", "backbones_without_chimera", "biconnected_components", "bridges_of", "junctions", "pruned_forest", "remove_bridges", "spanning_tree", "tree_with_branch_lengths", "unbridged", "without_cut_vertices"]

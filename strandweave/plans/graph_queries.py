@@ -12,6 +12,30 @@ from .inputs import graph as thinned
 from .registry import query
 from .shared import stored
 
+#: The maximum spanning forest f: edges whose ends no path of earlier edges (heavier, or equal and smaller) joins.
+FOREST = f"""{GRAPH}, r AS (SELECT u, v, m, row_number() OVER (ORDER BY m DESC, u, v) AS r FROM g), b AS (SELECT u, v, r FROM r UNION ALL SELECT v, u, r FROM r),
+    walk(r, target, spot) AS (SELECT r, v, u FROM r UNION SELECT w.r, w.target, b.v FROM walk w JOIN b ON b.u = w.spot AND b.r < w.r),
+    f AS (SELECT u, v, m FROM r WHERE r NOT IN (SELECT r FROM walk WHERE spot = target)), f2 AS (SELECT u, v, m FROM f UNION ALL SELECT v, u, m FROM f)"""
+
+
+def pruned(least: int) -> str:
+    """FOREST, and p: both directions of its edges when branches of one vertex (least 2) or of up to two (least 3) are cut at
+    vertices of three edges or more, round after round. A branch of two is a vertex whose other neighbours are all leaves."""
+    short = lambda own, leaves, other: f"({own} = 1" + (f" OR {leaves} - CAST({other} = 1 AS INTEGER) = {own} - 1)" if least == 3 else ")")
+    return f"""{FOREST}, rounds(k, u, v, m) AS (SELECT 0, u, v, m FROM f2 UNION ALL
+        SELECT k + 1, u, v, m FROM (SELECT *, bool_or(du >= 3 AND {short("dv", "lv", "du")}) OVER (PARTITION BY v) AS gone_v, bool_or(dv >= 3 AND {short("du", "lu", "dv")}) OVER (PARTITION BY u) AS gone_u
+            FROM (SELECT *, count(*) FILTER (du = 1) OVER (PARTITION BY v) AS lv, count(*) FILTER (dv = 1) OVER (PARTITION BY u) AS lu
+                FROM (SELECT *, count(*) OVER (PARTITION BY u) AS du, count(*) OVER (PARTITION BY v) AS dv FROM rounds))) WHERE k < 60 AND NOT gone_u AND NOT gone_v),
+    p AS (SELECT u, v, m FROM rounds WHERE k = 60)"""
+
+
+#: From p: l, the vertices on the longest path that starts with v, away from u; t, the junctions of 2 vertices a branch.
+LENGTHS = """along(u, v, spot, before, n) AS (SELECT u, v, v, u, 1 FROM p UNION ALL SELECT a.u, a.v, p.v, a.spot, n + 1 FROM along a JOIN p ON p.u = a.spot AND p.v <> a.before),
+    l AS (SELECT u, v, max(n) AS l FROM along GROUP BY u, v), t AS (SELECT u AS id FROM l WHERE l >= 2 GROUP BY u HAVING count(*) >= 3)"""
+#: What each vertex x leaves connected: hub(x, a, c) names the piece, without x, of every neighbour a of x; cut vertices have two.
+WITHOUT = """gone(x, a, b) AS (SELECT u, v, v FROM s UNION SELECT r.x, r.a, s.v FROM gone r JOIN s ON s.u = r.b AND s.v <> r.x),
+    hub AS (SELECT x, a, min(b) AS c FROM gone GROUP BY x, a), cuts AS (SELECT x AS id FROM hub GROUP BY x HAVING count(DISTINCT c) > 1)"""
+
 NODES = "n AS (SELECT DISTINCT u AS id FROM s)"
 REACH = f"{NODES}, reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, s.v FROM reach r JOIN s ON s.u = r.other), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"
 
@@ -89,9 +113,7 @@ def drop_small_components(spark, sf_dir):
     return overlap.drop_small_components(ids(g), g, 4)[1]
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, r AS (SELECT u, v, m, row_number() OVER (ORDER BY m DESC, u, v) AS r FROM g), b AS (SELECT u, v, r FROM r UNION ALL SELECT v, u, r FROM r),
-    walk(r, target, spot) AS (SELECT r, v, u FROM r UNION SELECT w.r, w.target, b.v FROM walk w JOIN b ON b.u = w.spot AND b.r < w.r)
-    SELECT u, v, m FROM r WHERE r NOT IN (SELECT r FROM walk WHERE spot = target)""")
+@query(f"WITH RECURSIVE {FOREST} SELECT u, v, m FROM f")
 def maximum_spanning_forest(spark, sf_dir):
     return graph.maximum_spanning_forest(thinned(spark, sf_dir))
 
@@ -217,20 +239,20 @@ def split_reads(spark, sf_dir):
 
 @query()
 def physical_map(spark, sf_dir):
-    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=0, junction=2).paths
+    return pipelines.physical_map(supplied(spark, sf_dir), 2, None, branch=2, bridge=3, junction=2).paths
 
 
-@query()
+@query(f"WITH RECURSIVE {pruned(3)} SELECT u, v, m FROM p WHERE u < v")
 def pruned_forest(spark, sf_dir):
     return trees.pruned_forest(thinned(spark, sf_dir), 3)
 
 
-@query()
+@query(f"WITH RECURSIVE {pruned(2)}, {LENGTHS} SELECT p.u, p.v, p.m, CAST(least(a.l, b.l) AS INTEGER) AS l FROM p JOIN l a ON a.u = p.u AND a.v = p.v JOIN l b ON b.u = p.v AND b.v = p.u WHERE p.u < p.v")
 def tree_branch_lengths(spark, sf_dir):
     return trees.tree_with_branch_lengths(thinned(spark, sf_dir), 2)
 
 
-@query()
+@query(f"WITH RECURSIVE {pruned(2)}, {LENGTHS} SELECT id FROM t")
 def tree_junctions(spark, sf_dir):
     return trees.junctions(thinned(spark, sf_dir), 2, least_branch=2)
 
@@ -250,11 +272,27 @@ def backbone_graph(spark, sf_dir):
     return trees.backbone_graph(thinned(spark, sf_dir), least_branch=3)
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAPH}, {WITHOUT} SELECT u, v, m FROM g WHERE u NOT IN (SELECT id FROM cuts) AND v NOT IN (SELECT id FROM cuts)")
 def without_cut_vertices(spark, sf_dir):
     return trees.without_cut_vertices(thinned(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {GRAPH}, {WITHOUT} SELECT id FROM cuts")
+def articulation_points(spark, sf_dir):
+    return trees.articulation_points(thinned(spark, sf_dir))
+
+
+#: Edges at x whose other ends stay connected without x share a block; so do those that such steps join.
+@query(f"""WITH RECURSIVE {GRAPH}, {WITHOUT}, side AS (SELECT least(x, a) AS u, greatest(x, a) AS v, x, c FROM hub),
+    same(u, v, a, b) AS (SELECT u, v, u, v FROM g UNION SELECT r.u, r.v, q.u, q.v FROM same r JOIN side p ON p.u = r.a AND p.v = r.b JOIN side q ON q.x = p.x AND q.c = p.c)
+    SELECT g.u, g.v, g.m, first.a AS block_u, first.b AS block_v FROM g JOIN (SELECT u, v, a, b FROM same QUALIFY row_number() OVER (PARTITION BY u, v ORDER BY a, b) = 1) first USING (u, v)""")
+def biconnected_components(spark, sf_dir):
+    """Blocks, told by their first edge."""
+    named = stored(trees.biconnected_components(thinned(spark, sf_dir)), "blocks")
+    first = named.groupBy("block").agg(F.min(F.struct("u", "v")).alias("first"))
+    return named.join(first, "block").select("u", "v", "m", F.col("first")["u"].alias("block_u"), F.col("first")["v"].alias("block_v"))
+
+
 def support_of(d: int) -> str:
     """Common table expressions: diag, and spanners by position, for windows of d positions on both sides."""
     return f"""win AS (SELECT p.tid, p.pos, p.elem AS v, q.elem AS x, q.pos > p.pos AS after FROM paths p JOIN paths q ON q.tid = p.tid AND q.pos <> p.pos AND abs(q.pos - p.pos) <= {d}),
@@ -311,7 +349,7 @@ def spanning_tree(spark, sf_dir):
     return trees.spanning_tree(thinned(spark, sf_dir), 2, 3)
 
 
-@query()
+@query(f"WITH RECURSIVE {pruned(2)}, {LENGTHS}, near AS (SELECT id FROM t UNION SELECT v FROM p JOIN t ON t.id = p.u) SELECT id FROM near UNION SELECT v FROM s JOIN near ON near.id = s.u")
 def junctions_and_around(spark, sf_dir):
     return trees.junctions(thinned(spark, sf_dir), 2, 2, least_branch=2)
 

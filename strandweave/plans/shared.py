@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 
@@ -50,3 +54,28 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     tasks = rows.groupBy("_task").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
     starts = tasks.select("_task", "_low", F.coalesce(F.sum("_n").over(W.Window.orderBy("_task").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return rows.join(F.broadcast(starts), "_task").withColumn(name, F.col("_start") + F.col("_at") - F.col("_low") + 1).drop("_task", "_at", "_low", "_start")
+
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each (out, column) of `sums`, the sum of the long column over all rows up to this one in `order`.
+
+    Rows are sorted over all tasks and stored; each task adds up its own and starts where the tasks before it end. Only a
+    row a task is ever together.
+    """
+    names = [*df.columns, *sums, "_task"]
+
+    def add(batches):
+        task, ends = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
+        for batch in batches:
+            made = {}
+            for out, column in sums.items():
+                made[out] = np.cumsum(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False), dtype=np.int64) + ends[out]
+                ends[out] = int(made[out][-1]) if len(made[out]) else ends[out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made.values()), pa.array(np.full(batch.num_rows, task, np.int64))], names=names)
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in (*sums, "_task"))])
+    rows = stored(df.orderBy(*order).mapInArrow(add, schema), "sums")
+    before = W.Window.orderBy("_task").rowsBetween(W.Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("_task").agg(*(F.sum(c).alias(f"_{o}") for o, c in sums.items()))
+    starts = tasks.select("_task", *(F.coalesce(F.sum(f"_{o}").over(before), F.lit(0)).alias(f"_{o}") for o in sums))
+    rows = rows.join(F.broadcast(starts), "_task")
+    return rows.withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums}).select(*names[:-1])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import scalar as fn
 from strandweave.operators import communities as com
-from strandweave.operators import graph, incidence, mapping, overlap, reports, scaffold, trees
+from strandweave.operators import graph, incidence, mapping, overlap, reports, scaffold, tours, trees
 from strandweave.plans.shared import numbered
 from strandweave.sources import sinks, text
 
@@ -348,7 +348,7 @@ def test_vast_trees_give_the_same(spark, monkeypatch):
     pruned = trees.prune(t, 2)
     assert rows(trees._prune_vast(forest, 2).select("u", "v", "m")) == sorted((u, v, m) for u, vs in pruned.items() for v, m in vs.items() if u < v)
     assert {x.id for x in trees._junctions_vast(forest, 2).collect()} == trees.junctions_of(t, 2)
-    assert rows(trees._far_paths_vast(forest).select("pos", "elem")) == list(enumerate(trees.far_path(t, 0)))
+    assert rows(tours.far_paths(forest).select("pos", "elem")) == list(enumerate(trees.far_path(t, 0)))
 
 
 def test_branches_are_measured_by_messages(spark):
