@@ -10,8 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.plans.shared import numbered, stored
+
+from . import hubs, tours
 from .overlap import both_ways, ego_edges, relabel_molecules
 
+#: Rows (neighbours and edges) of a neighbour graph that one task folds.
+FOLD = 100_000
+
 Graph = dict  # vertex -> set of neighbours
 
 
@@ -69,14 +75,33 @@ def blocks(g: Graph) -> list[set]:
 
 def well_linked(g: Graph, least: int) -> list[set]:
     """Edges with fewer than `least` common neighbours go, then cut vertices; the components."""
-    return blocks({u: {v for v in vs if len(g[u] & g[v]) >= least} for u, vs in g.items()})
+    at, bits = bitsets(g)
+    return blocks({u: {v for v in vs if (bits[at[u]] & bits[at[v]]).bit_count() >= least} for u, vs in g.items()})
+
+
+def bitsets(g: Graph) -> tuple[dict, list[int]]:
+    """The place of every vertex in order, and the neighbours of the vertex at each place as bits of a number."""
+    at = {u: i for i, u in enumerate(sorted(g))}
+    return at, [sum(1 << at[v] for v in g[u]) for u in at]
+
+
+def _places(bits: int):
+    """The places of the bits that are set, from the lowest."""
+    while bits:
+        low = bits & -bits
+        yield low.bit_length() - 1
+        bits ^= low
 
 
 def clique_percolation(g: Graph, k: int) -> list[set]:
     """Unions of k-cliques that share k - 1 vertices, step by step; they may share vertices."""
-    cliques = [(u,) for u in sorted(g)]
+    at, bits = bitsets(g)
+    names = list(at)
+    # A clique, and the vertices above its last that all of it is linked to.
+    grown = [((i,), bits[i] >> i + 1 << i + 1) for i in range(len(names))]
     for _ in range(k - 1):
-        cliques = [(*c, v) for c in cliques for v in sorted(set.intersection(*(g[u] for u in c))) if v > c[-1]]
+        grown = [((*c, i), more & bits[i] >> i + 1 << i + 1) for c, more in grown for i in _places(more)]
+    cliques = [tuple(names[i] for i in c) for c, _ in grown]
     of_face: dict = {}
     root = list(range(len(cliques)))
 
@@ -197,7 +222,9 @@ def molecules(edges: DataFrame, strategy: str = "bc+k3", only: DataFrame | None
 
     Communities of two or more are numbered by falling size (ties: smallest member); where they share a neighbour the
     later one has it. With only(id), other vertices are not split: all their neighbours are molecule 0.
-    A task holds one vertex's neighbour graph at a time; thin the edges first where degrees are large.
+
+    A task folds a neighbour graph of up to FOLD rows. A larger one goes through the steps of hubs.py, all such graphs at
+    once; only the steps cos, sqcos and louvain need a whole graph in a task.
     """
     near = both_ways(edges).select(F.col("u").alias("ego"), F.col("v").alias("a"), F.lit(None).cast(edges.schema["u"].dataType).alias("b"))
     rows = near.unionByName(ego_edges(edges).select("ego", F.col("v").alias("a"), F.col("w").alias("b")))
@@ -220,7 +247,37 @@ def molecules(edges: DataFrame, strategy: str = "bc+k3", only: DataFrame | None
         return pd.DataFrame({"u": [ego] * len(mids), "nbr": list(mids), "mid": list(mids.values())})
 
     kind = dict(edges.dtypes)["u"]
-    return rows.groupBy("ego").applyInPandas(fold, f"u {kind}, nbr {kind}, mid int")
+    rows = stored(rows, "egos")
+    vast = rows.filter("split").groupBy("ego").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD).select("ego")
+    vast = stored(vast, "vast")
+    if vast.isEmpty() or not set(strategy.split("+")) <= set(VAST):
+        return rows.groupBy("ego").applyInPandas(fold, f"u {kind}, nbr {kind}, mid int")
+    small = rows.join(vast, "ego", "left_anti").groupBy("ego").applyInPandas(fold, f"u {kind}, nbr {kind}, mid int")
+    return small.unionByName(_vast_molecules(stored(rows.join(vast, "ego", "left_semi"), "hubs"), strategy, **options))
+
+
+def _vast_molecules(rows: DataFrame, strategy: str, square_threshold: float = 0.75, small: int = 10) -> DataFrame:
+    """molecules() of the neighbour graphs in rows(ego, a, b) by the steps of hubs.py."""
+    egos = numbered(rows.select("ego").distinct(), [F.col("ego")], "g")
+    named = rows.join(egos, "ego")
+    member = stored(named.filter("b IS NULL").select("g", "ego", F.col("a").alias("v")), "member")
+    links = stored(named.filter("b IS NOT NULL").select("g", F.col("a").alias("v"), F.col("b").alias("w")), "links")
+    for step in strategy.split("+"):
+        member, links = VAST[step](member, links, square_threshold, small)
+    return hubs.numbered_molecules(member)
+
+
+def _distributed_vast(member: DataFrame, links: DataFrame, *_):
+    return hubs.binned(*hubs.without_cuts(member, links), lambda h: [c for inner in blocks(h) for c in clique_percolation(within(h, inner), 3)])
+
+
+#: The steps of a strategy for neighbour graphs beyond a task.
+VAST = {
+    "cc": lambda m, e, *_: hubs.by_components(m, e), "bc": lambda m, e, *_: hubs.without_cuts(m, e), "bicon": lambda m, e, *_: hubs.by_blocks(m, e),
+    "cn2": lambda m, e, *_: hubs.well_linked(m, e, 2), "cn3": lambda m, e, *_: hubs.well_linked(m, e, 3), "k3": lambda m, e, *_: hubs.percolated(m, e, 3), "k4": lambda m, e, *_: hubs.percolated(m, e, 4),
+    "k3bin": lambda m, e, *_: hubs.binned(m, e, lambda h: clique_percolation(h, 3)),
+    "sqcosbin": lambda m, e, threshold, small: hubs.binned(m, e, lambda h: cosine_split(h, True, threshold, small)), "distributed": _distributed_vast,
+}
 
 
 def molecule_graph(edges: DataFrame, strategy: str = "bc+k3", only: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -230,8 +287,10 @@ def molecule_graph(edges: DataFrame, strategy: str = "bc+k3", only: DataFrame |
 
 
 def count_molecules(edges: DataFrame, least: int = 4) -> DataFrame:
-    """(id, mol): biconnected components of at least `least` vertices in every vertex's neighbour graph."""
-    rows = ego_edges(edges).select("ego", "v", "w")
+    """(id, mol): biconnected components of at least `least` vertices in every vertex's neighbour graph; graphs of more than
+    FOLD edges are cut into blocks all at once."""
+    rows = stored(ego_edges(edges).select("ego", "v", "w"), "egos")
+    vast = stored(rows.groupBy("ego").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD).select("ego"), "vast")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         g: Graph = {}
@@ -241,7 +300,14 @@ def count_molecules(edges: DataFrame, least: int = 4) -> DataFrame:
         return pd.DataFrame({"id": group["ego"].iloc[:1], "mol": [sum(len(c) >= least for c in biconnected(g))]})
 
     kind = dict(edges.dtypes)["u"]
-    counted = rows.groupBy("ego").applyInPandas(fold, f"id {kind}, mol long")
+    if vast.isEmpty():
+        counted = rows.groupBy("ego").applyInPandas(fold, f"id {kind}, mol long")
+    else:
+        counted = rows.join(vast, "ego", "left_anti").groupBy("ego").applyInPandas(fold, f"id {kind}, mol long")
+        node = lambda c: F.struct("ego", F.col(c).alias("v"))
+        named = tours.blocks(stored(rows.join(vast, "ego", "left_semi").select(node("v").alias("u"), node("w").alias("v"), F.lit(1).cast("long").alias("m")), "hubs"))
+        sizes = named.select("block", F.explode(F.array("u", "v")).alias("id")).distinct().groupBy("block", F.col("id")["ego"].alias("id")).agg(F.count("*").alias("n"))
+        counted = counted.unionByName(sizes.groupBy("id").agg(F.count_if(F.col("n") >= least).alias("mol")))
     ids = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     return ids.join(counted, "id", "left").select("id", F.coalesce("mol", F.lit(0)).cast("long").alias("mol"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 from typing import NamedTuple
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from strandweave.functions.scalar import bare_name, direction
+from strandweave.plans.shared import stored
 
 
 def positional_index(paths: DataFrame, bxmx: DataFrame, split: bool = False) -> DataFrame:
@@ -42,9 +44,55 @@ def hits(queries: DataFrame, index: DataFrame) -> DataFrame:
     return queries.join(index, "mx").select("qid", "qpos", "tid", "tpos")
 
 
-def scored_positions(found: DataFrame) -> DataFrame:
+#: Rows of a group whose values are gathered in one array; ranks of larger groups are found by chunks of WIDTH values.
+LONG, WIDTH = 1_000_000, 1024
+
+
+def large_groups(rows: DataFrame, key: str) -> DataFrame | None:
+    """(key) of the groups of more than LONG rows, None if there is none. They are fewer than the rows by LONG."""
+    found = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > LONG).select(key)
+    found = stored(found, "large")
+    return None if found.isEmpty() else found
+
+
+def values_at(rows: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, n, a column a place): the values of each group at 0-based places in ascending order; a place is computed from
+    the number n of the group's rows.
+
+    Equal values are counted. WIDTH neighbouring values make a chunk; only the chunks' counts meet a group, which tell the
+    chunk of each place, and that chunk alone is opened. So a group of any size is spread over tasks.
+    """
+    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    chunks = counted.groupBy(*keys, F.floor(F.col("_v") / WIDTH).alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_v", "_k"))).alias("_a"), F.sum("_k").alias("_n"))
+    chunks = stored(chunks, "chunks")
+    group = W.Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy("_c"))
+    spread = chunks.select(*keys, "_c", (upto - F.col("_n")).alias("_from"), upto.alias("_to"), F.sum("_n").over(group).alias("n"))
+    wanted = spread.select("*", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), at(F.col("n")).cast("long").alias("at")) for name, at in places.items()))).alias("p"))
+    wanted = wanted.filter((F.col("p.at") >= F.col("_from")) & (F.col("p.at") < F.col("_to")))
+    opened = wanted.join(chunks.select(*keys, "_c", "_a"), [*keys, "_c"])
+    # The running count within the chunk passes the place first at the value that stands there.
+    start = F.struct((F.col("p.at") - F.col("_from")).alias("left"), F.lit(None).cast(rows.schema[value].dataType).alias("v"))
+    step = lambda acc, x: F.struct((acc["left"] - x["_k"]).alias("left"), F.when((acc["left"] >= 0) & (acc["left"] < x["_k"]), x["_v"]).otherwise(acc["v"]).alias("v"))
+    found = opened.select(*keys, "n", F.col("p.name").alias("name"), F.aggregate("_a", start, step)["v"].alias("v"))
+    return found.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places))
+
+
+def _in_two(found: DataFrame, queries: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """small(hits) for the hits of most queries and large(hits) for those of queries of more than LONG markers: no position
+    has more hits of a query than that has markers."""
+    long = large_groups(queries, "qid")
+    if long is None:
+        return small(found)
+    return small(found.join(F.broadcast(long), "qid", "left_anti")).unionByName(large(found.join(F.broadcast(long), "qid", "left_semi")))
+
+
+def scored_positions(found: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, tid, tpos, score, median): hits of each query at each position and the lower median of their query positions."""
-    return found.groupBy("qid", "tid", "tpos").agg(F.count("*").alias("score"), median_low(F.array_sort(F.collect_list("qpos"))).alias("median"))
+    keys = ["qid", "tid", "tpos"]
+    gathered = lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("score"), median_low(F.array_sort(F.collect_list("qpos"))).alias("median"))
+    chunked = lambda rows: values_at(rows, keys, "qpos", {"median": lambda n: F.floor((n - 1) / 2)}).withColumnRenamed("n", "score")
+    return _in_two(found, queries, gathered, chunked)
 
 
 def _neighbour_direction(here: str, reach: int) -> Column:
@@ -64,7 +112,7 @@ def map_to_bed(queries: DataFrame, index: DataFrame, least: int = 1, reach: int
     """
     if reach < 1:
         raise ValueError("reach must be 1 or more")
-    rows = scored_positions(hits(queries, index)).withColumn("orientation", _neighbour_direction("median", reach)).filter(F.col("score") >= least)
+    rows = scored_positions(hits(queries, index), queries).withColumn("orientation", _neighbour_direction("median", reach)).filter(F.col("score") >= least)
     return rows.select(F.col("tid").alias("tname"), F.col("tpos").alias("tstart"), (F.col("tpos") + 1).alias("tend"), F.col("qid").alias("qname"), "score", "orientation")
 
 
@@ -80,10 +128,20 @@ def map_to_paf(queries: DataFrame, index: DataFrame, paths: DataFrame, least: in
     """
     sizes = queries.groupBy("qid").agg(F.count("*").alias("qlength"))
     lengths = paths.groupBy("tid").agg(F.count("*").alias("tlength"))
-    grouped = hits(queries, index).groupBy("qid", "tid", "tpos").agg(F.array_sort(F.collect_list("qpos")).alias("q"), F.count("*").alias("score"))
-    q0, q1, q2, q3, q4 = (rank_value(F.col("q"), p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))
+    keys, shares = ["qid", "tid", "tpos"], {f"q{i}": i / 4 for i in range(5)}
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("qpos")).alias("q"), F.count("*").alias("score"))
+        return arrays.withColumns({c: rank_value(F.col("q"), p) for c, p in shares.items()}).drop("q")
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        places = {c: lambda n, p=p: F.rint(F.lit(p) * (n - 1)) for c, p in shares.items()}
+        return values_at(rows, keys, "qpos", places).withColumnRenamed("n", "score")
+
+    grouped = _in_two(hits(queries, index), queries, gathered, chunked)
+    q0, q1, q3, q4 = (F.col(c) for c in ("q0", "q1", "q3", "q4"))
     reach = coef * (q3 - q1)
-    rows = grouped.withColumns({"q2": q2, "qstart": F.greatest(q0, (q1 - reach).cast("int")), "qend": F.least(q4, (q3 + reach).cast("int"))})
+    rows = grouped.withColumns({"qstart": F.greatest(q0, (q1 - reach).cast("int")), "qend": F.least(q4, (q3 + reach).cast("int"))})
     rows = rows.withColumn("orientation", _neighbour_direction("q2", 1)).filter(F.col("score") >= least).join(sizes, "qid").join(lengths, "tid")
     mapq = F.coalesce(F.try_divide(100 * F.col("score"), F.col("qend") - F.col("qstart")).cast("int"), F.lit(0))
     return rows.select(
@@ -160,7 +218,7 @@ def map_trend(queries: DataFrame, index: DataFrame, least: int = 1, p_value: flo
     trend says whether there is an orientation, and the slope of their line over the path which it is.
     """
     found = hits(queries, index)
-    spots = scored_positions(found)
+    spots = scored_positions(found, queries)
     along = W.Window.partitionBy("qid", "tid").orderBy("tpos").rangeBetween
     joined = (F.max("median").over(along(-1, -1)).isNotNull()) | (F.max("median").over(along(1, 1)).isNotNull())
     trended = spots.withColumn("joined", joined).filter("joined").select("qid", "tid", "tpos", "median")

@@ -112,11 +112,26 @@ def filter_graph(vertices: DataFrame, edges: DataFrame, least: int = 0, below_mo
     return drop_small_components(vertices, edges, least_component)
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """(a, b, c, ab, ac, bc): every three vertices with an edge between each two, once, and those edges' weights.
+
+    An edge leads from the end of fewer edges (ties: the smaller) to the other; two edges that leave a vertex make a
+    triangle where an edge joins their heads. A vertex leaves at most the square root of twice the edges, so a hub's
+    neighbours are not paired with each other.
+    """
+    count = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    rows = edges.join(count.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(count.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    ahead = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    end = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
+    out = stored(rows.select(end("u", "v").alias("a"), end("v", "u").alias("b"), "m"), "out")
+    wedge = out.select("a", "b", F.col("m").alias("ab")).join(out.select("a", F.col("b").alias("c"), F.col("m").alias("ac")), "a").filter("b < c")
+    return wedge.join(edges.select(F.least("u", "v").alias("b"), F.greatest("u", "v").alias("c"), F.col("m").alias("bc")), ["b", "c"]).select("a", "b", "c", "ab", "ac", "bc")
+
+
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """(u, v, m) with m the number of common neighbours of the ends, 0 included."""
-    near = both_ways(edges).select("u", "v")
-    a, b = near.select("u", F.col("v").alias("w")), near.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    counts = edges.select("u", "v").join(a, "u").join(b, ["v", "w"]).groupBy("u", "v").agg(F.count("*").alias("m"))
+    side = lambda x, y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    counts = triangles(edges).select(F.explode(F.array(side("a", "b"), side("a", "c"), side("b", "c"))).alias("e")).groupBy("e.u", "e.v").agg(F.count("*").alias("m"))
     return edges.select("u", "v").join(counts, ["u", "v"], "left").select("u", "v", F.coalesce("m", F.lit(0)).cast("long").alias("m"))
 
 
@@ -126,11 +141,10 @@ def supported_edges(edges: DataFrame) -> DataFrame:
 
 
 def ego_edges(edges: DataFrame) -> DataFrame:
-    """(ego, v, w, m): the edges among each vertex's neighbours. Costs the sum of squared degrees: filter edges first."""
-    near = both_ways(edges)
-    a, b = near.select(F.col("u").alias("ego"), "v"), near.select(F.col("u").alias("ego"), F.col("v").alias("w"))
-    inner = edges.select(F.col("u").alias("v"), F.col("v").alias("w"), "m")
-    return a.join(inner, "v").join(b, ["ego", "w"]).select("ego", "v", "w", "m")
+    """(ego, v, w, m), v < w: the edges among each vertex's neighbours, three rows a triangle."""
+    seen = lambda ego, x, y, m: F.struct(F.col(ego).alias("ego"), F.least(x, y).alias("v"), F.greatest(x, y).alias("w"), F.col(m).alias("m"))
+    corners = F.array(seen("a", "b", "c", "bc"), seen("b", "a", "c", "ac"), seen("c", "a", "b", "ab"))
+    return triangles(edges).select(F.explode(corners).alias("e")).select("e.ego", "e.v", "e.w", "e.m")
 
 
 def ego_statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:

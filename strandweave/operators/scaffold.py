@@ -10,14 +10,23 @@ from pyspark.sql import window as W
 from strandweave.functions.scalar import natural_key, oriented, significant_link
 from strandweave.plans.shared import numbered
 
-from .mapping import median_low
+from .mapping import large_groups, median_low, values_at
 
 
 def bed_to_path(bed: DataFrame, least: int = 0) -> DataFrame:
     """(tid, pos, elem): each sequence on the target that holds most of its records (ties: the smaller name), at the lower
     median of its starts, with its commonest orientation (. on a tie), in order of start, orientation and name."""
     rows = bed.filter(F.col("score") >= least).withColumn("t", F.col("tname").cast("string"))
-    counts = rows.groupBy("qname", "t").agg(F.count("*").alias("n"), median_low(F.array_sort(F.collect_list("tstart"))).alias("start"), *(F.count_if(F.col("orientation") == s).alias(f"n{i}") for i, s in enumerate("+-.")))
+    signs = [F.count_if(F.col("orientation") == s).alias(f"n{i}") for i, s in enumerate("+-.")]
+    gathered = lambda some: some.groupBy("qname", "t").agg(F.count("*").alias("n"), median_low(F.array_sort(F.collect_list("tstart"))).alias("start"), *signs)
+    large = large_groups(rows, "qname")
+    if large is None:
+        counts = gathered(rows)
+    else:  # sequences of very many records: their medians by chunks
+        some = rows.join(F.broadcast(large), "qname", "left_semi")
+        medians = values_at(some, ["qname", "t"], "tstart", {"start": lambda n: F.floor((n - 1) / 2)})
+        chunked = medians.join(some.groupBy("qname", "t").agg(*signs), ["qname", "t"])
+        counts = gathered(rows.join(F.broadcast(large), "qname", "left_anti")).unionByName(chunked)
     best = F.row_number().over(W.Window.partitionBy("qname").orderBy(F.desc("n"), "t"))
     a, b, c = F.col("n0"), F.col("n1"), F.col("n2")
     sign = F.when((a > b) & (a > c), "+").when((b > a) & (b > c), "-").otherwise(".")

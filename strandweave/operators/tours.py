@@ -109,7 +109,7 @@ def extremes(values: DataFrame, spans: DataFrame) -> DataFrame:
     inner = F.when(first == last, F.array(part(first, F.col("since"), F.col("until")))).otherwise(F.array(part(first, F.col("since"), (first + 1) * BLOCK - 1), part(last, last * BLOCK, F.col("until"))))
     ends = spans.select("since", "until", F.explode(inner).alias("p")).select("since", "until", "p.*")
 
-    def search(key, here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def search(key, here, asked):
         zero = key[0] * BLOCK
         low, high = np.full(BLOCK, _MOST), np.full(BLOCK, _LEAST)
         low[here["place"] - zero], high[here["place"] - zero] = here["low"], here["high"]
