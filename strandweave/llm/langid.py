@@ -85,8 +85,8 @@ def fit_languages(docs: DataFrame, learn: Column, text_col: str = "text", lang_c
     """Learns from rows where `learn` holds and text and language are not null.
 
     At most about `max_docs` rows are learned from: a documented bound; where more are labelled, each row takes part
-    with the chance that fits, by a seeded draw of its own, so null and repeated ids and texts are thinned like others. Each task counts its rows into one matrix, so at most a row a task and language is
-    shuffled. More than `max_languages` languages raise an error, since the matrix is broadcast. Rows without a letter
+    with the chance that fits, by a seeded draw of its own, so null and repeated ids and texts are thinned like others. Each task counts its rows into one matrix and
+    sends what is not zero; counts are added by language and bucket, so no task holds more than a row a bucket. More than `max_languages` languages raise an error, since the matrix is broadcast. Rows without a letter
     teach nothing; repeated rows count again; no rows give a model that answers "und".
     """
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -112,14 +112,17 @@ def fit_languages(docs: DataFrame, learn: Column, text_col: str = "text", lang_c
                         sums[lang] += np.bincount(buckets, minlength=1 << bits)
                 docs_of[lang] += len(texts)
         for lang, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [docs_of[lang]], "counts": [total.tobytes()]}, pa.schema([("lang", pa.string()), ("n", pa.int64()), ("counts", pa.binary())]))
+            found = np.flatnonzero(total)
+            buckets, n = np.append(found, 1 << bits), np.append(total[found], docs_of[lang])  # the last bucket counts rows
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(buckets), pa.array(n)], names=["lang", "bucket", "n"])
 
-    def add(key, group):
-        yield pa.table({"lang": [key[0].as_py()], "n": [sum(group.column("n").to_pylist())], "counts": [sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()).tobytes()]})
+    def pack(key, group):
+        counts = np.zeros((1 << bits) + 1, np.int64)
+        counts[group.column("bucket").to_numpy()] = group.column("n").to_numpy()
+        return pa.table({"lang": [key[0].as_py()], "n": [int(counts[-1])], "counts": [counts[:-1].tobytes()]})
 
-    schema = "lang string, n long, counts binary"
-    parts = rows.mapInArrow(count, schema)
-    summed = parts.groupBy("lang").applyInArrow(lambda key, group: next(add(key, group)), schema)
+    parts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = parts.groupBy("lang").applyInArrow(pack, "lang string, n long, counts binary")  # a row a bucket
     found = sorted(summed.limit(max_languages + 1).collect())
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
