@@ -229,7 +229,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = rows.repartitionByRange(fanout(spark), F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64("text"))
+    order = F.col(id_col).asc_nulls_first(), F.xxhash64("text")  # texts that share an id, or have none, are spread too
+    rows = rows.repartitionByRange(fanout(spark), *order).sortWithinPartitions(*order)
     out = T.StructType([rows.schema.fields[0], T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def encode(batches):
