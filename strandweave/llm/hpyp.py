@@ -24,6 +24,8 @@ U = np.uint64
 END, START = b" end", b" start"
 #: Dishes of up to this many customers are seated by their exact law.
 EXACT = 256
+#: Bytes of text for one part of the words.
+PART_BYTES = 8 << 20
 #: Greatest numbers of customers of the dishes that are seated in one matrix, and the cells of such a matrix.
 SIZES, CELLS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, EXACT), 1 << 19
 
@@ -197,7 +199,8 @@ def draw_tables(random: np.random.Generator, customers: np.ndarray, now: np.ndar
 
     step(dishes, i) is the weight of a new table where the dish has i, so t tables weigh log_steps(dishes, t), the sum of
     log step from 1 to t - 1, times the seatings of the customers at t tables. Up to EXACT customers t is drawn from that law itself;
-    beyond, from the near law of a fixed weight, and kept or refused against `now` by the ratio of the two (Metropolis).
+    beyond, from the near law of a fixed weight, which stays approximate: it is kept or refused against `now` by the ratio
+    of the weights of new tables (Metropolis), not by that of the seatings themselves.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     law, low = log_seatings(discount), 1
@@ -429,7 +432,8 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
     Tokens: the words of the text with A-Z lowered, then one end. Blocks of documents turn tokens into pairs of word and
     context class; each word's pairs meet in one part (one entry a block and pair, so a frequent word is no larger than
     its contexts), where its counts over all blocks are summed, which give the discounts. Sweeps then seat all customers
-    (gibbs), and every pair's probability is averaged over the samples. Each block adds up its documents. Nothing whole
+    (gibbs), and every pair's probability is averaged over the samples; its logarithm goes to the blocks as a 32-bit float,
+    which errs by less than one in 10 million. Each block adds up its documents. Nothing whole
     passes the driver: only one number a context class, and a few sums.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is the end alone; a
@@ -438,7 +442,9 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
     gives no rows, and with no training rows every word is the unknown one, of probability 1. Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = max(1, 2 * docs.rdd.getNumPartitions())  # so a part keeps its size when the table grows
+    # Parts grow with the text alone, not with how the table is cut up: so scores don't depend on that.
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
     held = crc_of_id(id_col) % folds == held_fold
     blocks = make_blocks(docs, held, parts, model, id_col, text_col)
     heads, pairs = blocks.filter("part < 0"), blocks.filter("part >= 0").select("part", "block", "words", "sizes", "contexts", "counts")

@@ -235,3 +235,13 @@ def test_once_in_each_block_is_not_once(spark):
     ones = hpyp.added(hpyp.whole_parts(dealt, model), "sums").tolist()
     assert ones[:2] == [words, 0] and ones[4] == words + 4  # only the last words; each pair of them occurs once before it and once behind it
     assert ones[2] >= words and hpyp.discounts_of(ones)[0] == 0.95
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Parts are cut by bytes of text and draws are seeded by part, so one task or six give the same scores."""
+    from strandweave.llm import hpyp
+
+    monkeypatch.setattr(hpyp, "PART_BYTES", 100_000)
+    docs = table(spark, SF, "documents")
+    one, six = (sorted((r.doc_id, round(r.score, 6)) for r in hpyp.score_texts(docs.repartition(n)).collect()) for n in (1, 6))
+    assert one == six
