@@ -9,8 +9,8 @@ from strandweave.functions import scalar as fn
 from strandweave.operators import graph, scaffold
 from strandweave.sources import sinks, text
 
-from .graph_queries import thinned
-from .inputs import BXMX, GRAPH, PATHS, QUERY, SEQUENCES, customer_markers, ids, nation_paths, sequences, supplied, table
+from .graph_queries import FLESH, thinned
+from .inputs import BXMX, GRAPH, PATHS, QUERY, SEQUENCES, customer_markers, edges, ids, nation_paths, sequences, supplied, table
 from .mapping_queries import BED, EVIDENCE, WHISKERS, bed, evidence, paf
 from .registry import query
 from .shared import new_path
@@ -73,6 +73,25 @@ def paths_file(spark, sf_dir):
     return text.read_paths(spark, kept(sinks.path_lines(nation_paths(spark, sf_dir)).orderBy("tid"), "paths"))
 
 
+def _fleshed(spark, sf_dir):
+    paths = nation_paths(spark, sf_dir)
+    return sinks.fleshed_lines(paths, graph.flesh_paths(edges(spark, sf_dir), paths))
+
+
+@query(f"""WITH {FLESH}, groups AS (SELECT tid, "after" AS pos, '(' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) || ')' AS members FROM placed GROUP BY 1, 2)
+    SELECT paths.tid, string_agg(CAST(elem AS VARCHAR) || coalesce(' ' || members, ''), ' ' ORDER BY pos) AS "value" FROM paths LEFT JOIN groups USING (tid, pos) GROUP BY paths.tid""")
+def fleshed_paths(spark, sf_dir):
+    return _fleshed(spark, sf_dir)
+
+
+@query(f"WITH {FLESH} SELECT tid, CAST(elem AS VARCHAR) AS elem FROM paths UNION ALL SELECT tid, CAST(id AS VARCHAR) FROM placed")
+def unfleshed_elements(spark, sf_dir):
+    """The fleshed paths, written, read back as tokens and taken apart into their elements."""
+    lines = spark.read.text(kept(_fleshed(spark, sf_dir).select(F.concat_ws("\t", F.col("tid").cast("string"), "value").alias("value")), "fleshed"))
+    rows = lines.select(F.split("value", "\t").alias("x")).select(F.col("x")[0].cast("long").alias("tid"), F.explode(F.split(F.col("x")[1], " ")).alias("token"))
+    return rows.select("tid", F.explode(fn.plain_elements(F.col("token"))).alias("elem"))
+
+
 TEXT_BED = "SELECT CAST(tname AS VARCHAR) AS tname, CAST(tstart AS BIGINT) AS tstart, CAST(tend AS BIGINT) AS tend, CAST(qname AS VARCHAR) AS qname, score, orientation FROM"
 
 

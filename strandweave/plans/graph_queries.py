@@ -140,6 +140,30 @@ def subgraphs(spark, sf_dir):
     return graph.subgraphs(g, ids(g).select(F.col("id").alias("seed")), 1)
 
 
+#: Suppliers' lines by line number, where there are no fewer than on average: vertices supplier_number, with gaps; suppliers in
+#: debt are vertices of their own name too.
+NUMBERED = """cells AS (SELECT l_suppkey, l_linenumber - 1 AS i, count(*) AS n FROM lineitem GROUP BY 1, 2), nv AS (SELECT l_suppkey, i FROM cells WHERE n * (SELECT count(*) FROM cells) >= (SELECT sum(n) FROM cells)),
+    own AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"""
+
+
+@query(f"""WITH {NUMBERED}, r AS (SELECT l_suppkey, i, row_number() OVER (PARTITION BY l_suppkey ORDER BY i) - 1 AS place FROM nv WHERE l_suppkey NOT IN (SELECT s_suppkey FROM own))
+    SELECT CAST(s_suppkey AS VARCHAR) AS name, CAST(s_suppkey AS VARCHAR) AS id FROM own UNION ALL SELECT CAST(l_suppkey AS VARCHAR), l_suppkey || '_' || i FROM r JOIN supplier ON s_suppkey = l_suppkey WHERE i = place""")
+def seed_vertices(spark, sf_dir):
+    from pyspark.sql import window as W
+
+    name = F.col("l_suppkey").cast("string")
+    cells = supplied_lines_by_number(spark, sf_dir)
+    often = F.col("n") * F.count("*").over(W.Window.partitionBy()) >= F.sum("n").over(W.Window.partitionBy())
+    some = cells.withColumn("often", often).filter("often").select(F.concat_ws("_", name, F.col("i").cast("string")).alias("id"))
+    suppliers = table(spark, sf_dir, "supplier")
+    own = suppliers.filter("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("id"))
+    return graph.seed_vertices(suppliers.select(F.col("s_suppkey").cast("string").alias("name")), some.unionByName(own))
+
+
+def supplied_lines_by_number(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_linenumber") - 1).alias("i")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {GRAPH}, d AS (SELECT u AS id, count(*) AS d FROM s GROUP BY u) SELECT id FROM d WHERE d >= 3")
 def forest_free_junctions(spark, sf_dir):
     return graph.contiguous_paths(thinned(spark, sf_dir))[1]
@@ -150,11 +174,15 @@ def path_induced_edges(spark, sf_dir):
     return graph.path_edges(thinned(spark, sf_dir), nation_paths(spark, sf_dir))
 
 
-@query(f"""WITH {EDGES}, {PATHS}, b AS (SELECT u, v, m FROM e UNION ALL SELECT v, u, m FROM e), sz AS (SELECT tid, count(*) AS n FROM paths GROUP BY tid),
+#: placed: behind which position of a path each neighbour off it goes.
+FLESH = f"""{EDGES}, {PATHS}, b AS (SELECT u, v, m FROM e UNION ALL SELECT v, u, m FROM e), sz AS (SELECT tid, count(*) AS n FROM paths GROUP BY tid),
     x AS (SELECT p.tid, p.pos, b.v AS id, b.m FROM paths p JOIN b ON b.u = p.elem WHERE NOT EXISTS (SELECT 1 FROM paths q WHERE q.tid = p.tid AND q.elem = b.v)),
     y AS (SELECT x.*, coalesce(l.m, 0) AS lm, coalesce(r.m, 0) AS rm, row_number() OVER (PARTITION BY x.tid, x.id ORDER BY x.m DESC, x.pos) AS k
-          FROM x LEFT JOIN x l ON l.tid = x.tid AND l.id = x.id AND l.pos = x.pos - 1 LEFT JOIN x r ON r.tid = x.tid AND r.id = x.id AND r.pos = x.pos + 1)
-    SELECT y.tid, CAST(CASE WHEN pos = 0 THEN 0 WHEN pos = n - 1 THEN pos - 1 WHEN lm > rm THEN pos - 1 ELSE pos END AS INTEGER) AS "after", id FROM y JOIN sz ON sz.tid = y.tid WHERE k = 1""")
+          FROM x LEFT JOIN x l ON l.tid = x.tid AND l.id = x.id AND l.pos = x.pos - 1 LEFT JOIN x r ON r.tid = x.tid AND r.id = x.id AND r.pos = x.pos + 1),
+    placed AS (SELECT y.tid, CAST(CASE WHEN pos = 0 THEN 0 WHEN pos = n - 1 THEN pos - 1 WHEN lm > rm THEN pos - 1 ELSE pos END AS INTEGER) AS "after", id FROM y JOIN sz ON sz.tid = y.tid WHERE k = 1)"""
+
+
+@query(f'WITH {FLESH} SELECT tid, "after", id FROM placed')
 def flesh_paths(spark, sf_dir):
     return graph.flesh_paths(edges(spark, sf_dir), nation_paths(spark, sf_dir))
 
@@ -222,18 +250,19 @@ def molecules_biconnected(spark, sf_dir):
     return communities.molecules(thinned(spark, sf_dir), "bicon")
 
 
-@query("""WITH mol AS (SELECT DISTINCT l_suppkey AS bx, l_partkey % 3 AS i, l_partkey AS mx FROM lineitem WHERE l_suppkey % 3 <> 0),
+@query("""WITH mol AS (SELECT DISTINCT l_suppkey AS bx, l_partkey % 3 AS i, l_partkey AS mx FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal >= 2000),
     pairs AS (SELECT l_orderkey AS pair, min(l_suppkey) AS bx FROM lineitem GROUP BY 1), mk AS (SELECT DISTINCT pair, bx, l_partkey AS mx FROM pairs JOIN lineitem ON l_orderkey = pair WHERE pair % 7 <> 0),
     best AS (SELECT pair, i FROM (SELECT pair, i, count(*) AS n FROM mk JOIN mol USING (bx, mx) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY n DESC, i) = 1)
     SELECT pair, CASE WHEN pair % 7 = 0 THEN NULL WHEN i IS NULL THEN CAST(bx AS VARCHAR) ELSE bx || '_' || i END AS bx FROM pairs LEFT JOIN best USING (pair)""")
 def split_reads(spark, sf_dir):
-    """A pair an order, of its first supplier; every seventh lacks a mate's barcode. A supplier's parts form three molecules, or, of every third supplier, none."""
+    """A pair an order, of its first supplier; every seventh lacks a mate's barcode. A supplier's parts form three molecules, or none where its balance is below 2000."""
     lines = supplied_lines(spark, sf_dir)
     pair = lines.groupBy(F.col("l_orderkey").alias("pair")).agg(F.min("l_suppkey").alias("bx1"))
     name = F.col("pair").cast("string")
     pair = pair.select("pair", F.concat(name, F.lit("/1")).alias("name1"), F.concat(name, F.lit("/2")).alias("name2"), "bx1", F.when(F.col("pair") % 7 != 0, F.col("bx1")).alias("bx2"))
     markers = lines.join(pair.select(F.col("pair").alias("l_orderkey"), F.col("bx1").alias("bx")), "l_orderkey").select(F.col("l_orderkey").alias("pair"), "bx", F.col("l_partkey").alias("mx"))
-    own = lines.filter("l_suppkey % 3 <> 0").select(F.concat_ws("_", F.col("l_suppkey").cast("string"), (F.col("l_partkey") % 3).cast("string")).alias("id"), F.col("l_partkey").alias("mx"))
+    rich = table(spark, sf_dir, "supplier").filter("s_acctbal >= 2000").select(F.col("s_suppkey").alias("l_suppkey"))
+    own = lines.join(rich, "l_suppkey", "left_semi").select(F.concat_ws("_", F.col("l_suppkey").cast("string"), (F.col("l_partkey") % 3).cast("string")).alias("id"), F.col("l_partkey").alias("mx"))
     return overlap.split_reads(pair, markers, own, only_split=False).select("pair", "bx")
 
 

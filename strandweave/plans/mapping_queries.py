@@ -150,16 +150,37 @@ def assemble_paths(spark, sf_dir):
 
 @query(f"""WITH {SIGNED}, d AS (SELECT CAST(elem AS VARCHAR) AS u, CAST(lead(elem) OVER (PARTITION BY tid ORDER BY pos) AS VARCHAR) AS v, CAST(elem % 7 AS INTEGER) AS d FROM paths),
     x AS (SELECT signed.*, seq, lag(name) OVER (PARTITION BY tid ORDER BY pos) AS before, sign <> '.' AND lag(sign) OVER (PARTITION BY tid ORDER BY pos) <> '.' AS b FROM signed JOIN seqs USING (name)),
-    y AS (SELECT x.*, CASE WHEN b THEN coalesce(d.d, 10) ELSE 10 END AS gap FROM x LEFT JOIN (SELECT * FROM d WHERE CAST(u AS BIGINT) % 2 = 0) d ON d.u = before AND d.v = name)
+    y AS (SELECT x.*, CASE WHEN b THEN coalesce(d.d, 10) ELSE 10 END AS gap FROM x LEFT JOIN (SELECT * FROM d JOIN supplier ON s_suppkey = CAST(u AS BIGINT) WHERE s_acctbal >= 2000) d ON d.u = before AND d.v = name)
     SELECT tid, string_agg(CASE WHEN before IS NULL THEN '' ELSE repeat('N', gap) END || {PIECE}, '' ORDER BY pos) AS seq, count(*) AS n FROM y GROUP BY tid HAVING bool_or(sign <> '.')""")
 def assemble_with_distances(spark, sf_dir):
     from pyspark.sql import window as W
 
     along = W.Window.partitionBy("tid").orderBy("pos")
-    known = nation_paths(spark, sf_dir).select(F.col("elem").cast("string").alias("u"), F.lead("elem").over(along).cast("string").alias("v"), (F.col("elem") % 7).cast("int").alias("d")).filter("v IS NOT NULL AND cast(u AS BIGINT) % 2 = 0")
+    known = nation_paths(spark, sf_dir).select(F.col("elem").cast("string").alias("u"), F.lead("elem").over(along).cast("string").alias("v"), (F.col("elem") % 7).cast("int").alias("d")).filter("v IS NOT NULL")
+    rich = table(spark, sf_dir, "supplier").filter("s_acctbal >= 2000").select(F.col("s_suppkey").cast("string").alias("u"))
+    known = known.join(rich, "u", "left_semi")
     return scaffold.assemble(signed_paths(spark, sf_dir), sequences(spark, sf_dir), 10, 0, known)
 
 
+#: Sequences of a part's size, 32 bases at most.
+SIZED = f"{SIGNED}, sized AS (SELECT name, substr(seq, 1, p_size) AS seq FROM seqs JOIN part ON CAST(p_partkey AS VARCHAR) = name)"
+
+
+def sized_sequences(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), "p_size")
+    return sequences(spark, sf_dir).join(sizes, "name").select("name", F.substring("seq", F.lit(1), F.col("p_size").cast("int")).alias("seq"))
+
+
+@query(f"WITH {SIZED}, a AS (SELECT tid, string_agg({PIECE}, repeat('N', 10) ORDER BY pos) AS seq, count(*) AS n FROM signed JOIN sized USING (name) GROUP BY tid HAVING bool_or(sign <> '.')) SELECT * FROM a WHERE length(seq) >= 120")
+def assemble_long_paths(spark, sf_dir):
+    return scaffold.assemble(signed_paths(spark, sf_dir), sized_sequences(spark, sf_dir), 10, 120)
+
+
+@query(f"WITH {SIZED} SELECT name, seq FROM sized WHERE name NOT IN (SELECT name FROM signed WHERE sign <> '.') AND length(seq) >= 20")
+def unused_long_sequences(spark, sf_dir):
+    return scaffold.unused_sequences(signed_paths(spark, sf_dir), sized_sequences(spark, sf_dir), 20)
+
+
 @query(f"WITH {SIGNED} SELECT name, seq FROM seqs WHERE name NOT IN (SELECT name FROM signed WHERE sign <> '.')")
 def unused_sequences(spark, sf_dir):
     return scaffold.unused_sequences(signed_paths(spark, sf_dir), sequences(spark, sf_dir))
@@ -210,17 +231,17 @@ def annotate_vertices(spark, sf_dir):
     return scaffold.annotate_vertices(vertices, nation_paths(spark, sf_dir), stored(bed(spark, sf_dir), "bed"))
 
 
-CHROMOSOMES = "chroms AS (SELECT s_suppkey AS bx, CASE WHEN s_nationkey % 2 = 0 THEN 'chr' || s_nationkey ELSE n_name END AS chrom FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 <> 0)"
+CHROMOSOMES = "chroms AS (SELECT s_suppkey AS bx, CASE WHEN s_nationkey % 2 = 0 THEN 'chr' || s_nationkey ELSE n_name END AS chrom FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal >= 0)"
 
 
 @query(f"""WITH {CHROMOSOMES}, k AS (SELECT DISTINCT chrom, regexp_replace(chrom, '^chr', '') AS bare FROM chroms),
     h AS (SELECT chrom, round((row_number() OVER (ORDER BY NOT regexp_full_match(bare, '[0-9]+'), TRY_CAST(bare AS BIGINT), bare, chrom) - 1) / CAST(count(*) OVER () AS DOUBLE), 3) AS hue FROM k)
     SELECT s_suppkey AS id, chrom, hue FROM supplier LEFT JOIN chroms ON bx = s_suppkey LEFT JOIN h USING (chrom)""")
 def annotate_chromosomes(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     name = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("chr"), F.col("s_nationkey").cast("string"))).otherwise(F.col("n_name"))
-    chroms = rows.filter("s_suppkey % 4 <> 0").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("bx"), name.alias("chrom"))
+    chroms = rows.filter("s_acctbal >= 0").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("bx"), name.alias("chrom"))
     return scaffold.annotate_chromosomes(rows.select(F.col("s_suppkey").alias("id")), chroms)
 
 
