@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from strandweave.functions.scalar import parse_unsigned
+from strandweave.plans.shared import stored
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -46,14 +49,75 @@ def _fasta_records(text: DataFrame, *more: Column) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, ord, name, seq, bx, qual) of four-line records; ord is the record's number in its file. A record cut off at the end of
-    the file has a null quality."""
-    lines = numbered_lines(spark, path).withColumn("ord", F.floor(F.col("line") / 4)).withColumn("part", F.col("line") % 4)
-    rows = lines.groupBy("file", "ord").agg(*(F.max(F.when(F.col("part") == i, F.col("value"))).alias(c) for i, c in ((0, "head"), (1, "seq"), (3, "qual"))))
+    the file has a null quality.
+
+    A first pass counts the lines of every part of a file that a task reads, and keeps its outermost three, so that the
+    second knows where in a record each part starts: records inside a part never leave their task. Those across parts
+    are put together from the outermost lines alone, a few a part.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), "value")
+    edges = stored(lines.mapInArrow(_outermost, "file string, block long, n long, at array<long>, values array<string>"), "fastq-parts")
+    along = W.Window.partitionBy("file").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = edges.select("*", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))  # a row a part
+    starts = stored(starts, "fastq-starts")
+    rows = lines.join(F.broadcast(starts.select("file", "block", "before")), ["file", "block"]).select("file", "block", "before", "value")
+    fields = "file string, ord long, head string, seq string, qual string"
+    inside = rows.mapInArrow(_whole_records, fields)
+    # Lines before a part's first record and from its last, unfinished one on.
+    first, last = F.pmod(-F.col("before"), F.lit(4)), F.pmod(F.col("before") + F.col("n"), F.lit(4))
+    cut = starts.select("file", "before", "n", first.alias("first"), last.alias("last"), F.explode(F.arrays_zip("at", "values")).alias("x"))
+    cut = cut.filter((F.col("x.at") < F.col("first")) | (F.col("x.at") >= F.col("n") - F.col("last")))
+    line = F.col("before") + F.col("x.at")
+    loose = cut.select("file", F.floor(line / 4).alias("ord"), (line % 4).alias("part"), F.col("x.values").alias("value"))
+    across = loose.groupBy("file", "ord").agg(*(F.max(F.when(F.col("part") == i, F.col("value"))).alias(c) for i, c in ((0, "head"), (1, "seq"), (3, "qual"))))
+    rows = inside.unionByName(across)
     name = F.split(F.regexp_replace("head", "^@", ""), r"\s", 2)
     whole = F.when(F.length("qual") == F.length("seq"), F.col("qual"))
     return rows.select("file", "ord", name[0].alias("name"), "seq", _barcode(F.get(name, F.lit(1))).alias("bx"), whole.alias("qual"))
 
 
+def _parts(batch: pa.RecordBatch):
+    """(file, block, rows) of each run of rows from one part of a file."""
+    file, block = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+    cuts = [0, *(i for i in range(1, len(file)) if file[i] != file[i - 1] or block[i] != block[i - 1]), len(file)]
+    for a, z in zip(cuts, cuts[1:]):
+        yield file[a], int(block[a]), batch.slice(a, z - a)
+
+
+def _outermost(batches):
+    """For each part of a file: its lines' number, and the first and last three lines with their places."""
+    seen: dict[tuple, list] = {}
+    for batch in batches:
+        for file, block, rows in _parts(batch):
+            n, low, high = seen.setdefault((file, block), [0, [], []])
+            values = rows.column(rows.schema.get_field_index("value"))
+            low += [(n + i, values[i].as_py()) for i in range(min(len(values), 3 - len(low)))]
+            high += [(n + i, values[i].as_py()) for i in range(max(0, len(values) - 3), len(values))]
+            seen[file, block] = [n + len(values), low, high[-3:]]
+    rows = [(file, block, n, *zip(*sorted({*low, *high}))) for (file, block), (n, low, high) in seen.items()]
+    kinds = pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "n", "at", "values"])
+
+
+def _whole_records(batches):
+    """The records whose four lines are all in one part of a file; its lines come in order."""
+    parts: dict[tuple, list] = {}  # lines to skip, number of the next record, lines held over
+    for batch in batches:
+        before, at = batch.column(2).to_numpy(), 0
+        for file, block, rows in _parts(batch):
+            start, at, values = int(before[at]), at + rows.num_rows, rows.column(3)
+            state = parts.setdefault((file, block), [-start % 4, -(-start // 4), values.slice(0, 0)])
+            skip = min(state[0], len(values))
+            state[0] -= skip
+            values = pa.concat_arrays([state[2], values.slice(skip)])
+            n = len(values) // 4
+            head, seq, qual = (values.take(pa.array(np.arange(n) * 4 + i)) for i in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(np.arange(n) + state[1]), head, seq, qual], names=["file", "ord", "head", "seq", "qual"])
+            state[1], state[2] = state[1] + n, values.slice(4 * n)
+
+
 def fasta_dictionary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, seq, bx) with each name once: of records of one name the last counts, by order of the files and within them."""
     given = [path] if isinstance(path, str) else list(path)
