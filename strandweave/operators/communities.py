@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from strandweave.plans.shared import numbered, stored
 
@@ -280,6 +281,62 @@ VAST = {
 }
 
 
+def weighted_cosine_split(weight: dict, squared: bool, threshold: float = 0.5, small: int = 10) -> list[set]:
+    """As cosine_split, with the edges' weights in the matrix; a graph of fewer than `small` vertices keeps all its edges."""
+    names = sorted(weight)
+    at = {u: i for i, u in enumerate(names)}
+    a = np.zeros((len(names),) * 2)
+    for u, vs in weight.items():
+        a[at[u], [at[v] for v in vs]] = list(vs.values())
+    rows = a @ a if squared else a
+    dots = rows @ rows.T  # of whole numbers, so that a cosine just at the threshold is found to be
+    near = (dots**2 >= threshold**2 * np.outer(np.diag(dots), np.diag(dots))) | (len(names) < small)
+    return components({u: {v for v in vs if near[at[u], at[v]]} for u, vs in weight.items()})
+
+
+def refined(weight: dict, steps: list[str]) -> list[set]:
+    """Communities of two or more of a weighted graph: those of the first step, each refined by the steps that follow."""
+    if not steps:
+        return [set(weight)]
+    g = {u: set(vs) for u, vs in weight.items()}
+    if steps[0] == "bc":
+        cuts = cut_vertices(g)
+        found = [c - cuts for c in biconnected(g)]
+    elif steps[0] in ("cos", "coss", "cosq"):
+        found = weighted_cosine_split(weight, steps[0] == "cosq")
+    else:
+        raise ValueError(f"no such step: {steps[0]}")
+    return [c for f in found if len(f) > 1 for c in refined({u: {v: m for v, m in weight[u].items() if v in f} for u in f}, steps[1:])]
+
+
+def binned_molecules(edges: DataFrame, strategy: str = "bc+cosq") -> DataFrame:
+    """(u, nbr, mid): every vertex's neighbours are first dealt into bins of 50 at most, of nearly equal size; each bin's
+    weighted graph is refined by the steps in turn (bc: biconnected components without cut vertices; cos, coss, cosq: cosine of the
+    rows of the matrix, or of its square). Communities of two or more are numbered by bin, then by falling size.
+
+    A bin is a task's work whatever the degree, so there are no hubs here. Bins are dealt by a hash of the two names.
+    """
+    near = both_ways(edges).select(F.col("u").alias("g"), F.col("u").alias("ego"), F.col("v"))
+    spread = hubs.dealt(near, lambda n: F.ceil(n / hubs.BIN))
+    a, b = spread.select("ego", "bin", "v"), spread.select("ego", "bin", F.col("v").alias("w"))
+    inner = ego_edges(edges).join(a, ["ego", "v"]).join(b, ["ego", "bin", "w"]).select("ego", "bin", "v", "w", "m")
+    steps = strategy.split("+")
+
+    def fold(key, group):
+        weight: dict = {}
+        for v, w, m in zip(group["v"], group["w"], group["m"]):
+            weight.setdefault(v, {})[w] = m
+            weight.setdefault(w, {})[v] = m
+        found = sorted(refined(weight, steps), key=lambda c: (-len(c), min(c)))
+        return pd.DataFrame([(*key, i, v) for i, c in enumerate(found) for v in c], columns=["ego", "bin", "i", "v"])
+
+    kind = dict(edges.dtypes)["u"]
+    rows = stored(inner.groupBy("ego", "bin").applyInPandas(fold, f"ego {kind}, bin long, i int, v {kind}"), "binned")
+    mid = F.row_number().over(W.Window.partitionBy("ego").orderBy("bin", "i")) - 1
+    names = rows.select("ego", "bin", "i").distinct().withColumn("mid", mid.cast("int"))
+    return rows.join(names, ["ego", "bin", "i"]).select(F.col("ego").alias("u"), F.col("v").alias("nbr"), "mid")
+
+
 def molecule_graph(edges: DataFrame, strategy: str = "bc+k3", only: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) after splitting: ids are u_mid; molecules without an edge are gone."""
     found = relabel_molecules(edges, molecules(edges, strategy, only, **options))

@@ -91,16 +91,22 @@ def percolated(member: DataFrame, links: DataFrame, k: int) -> tuple[DataFrame,
     return renumbered(rows.select("label", "g", "ego", "v"), links)
 
 
-def binned(member: DataFrame, links: DataFrame, fold: Callable[[dict], list[set]], more_than: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Vertices are dealt into bins in an order that the ego fixes, fold(graph) splits each bin's graph, and groups with more
-    than `more_than` edges between them become one, transitively."""
+def dealt(member: DataFrame, bins: Callable[[Column], Column]) -> DataFrame:
+    """member(g, ego, v) with `bin`: each graph's vertices are dealt out, in an order that the ego fixes, to bins(n) bins, n
+    being their number. Graphs are sorted over all tasks, so none is gathered."""
     keyed = member.withColumn("crc", F.crc32(F.concat_ws("/", F.col("ego").cast("string"), F.col("v").cast("string")).cast("binary")))
     places = stored(numbered(keyed, [F.col("g"), F.col("crc"), F.col("v")], "at"), "places")
     sizes = places.groupBy("g").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    dealt = stored(places.join(sizes, "g").select("g", "ego", "v", ((F.col("at") - F.col("first")) % (1 + F.floor(F.col("n") / BIN))).alias("bin")), "dealt")
-    a, b = dealt.select("g", "bin", "v"), dealt.select("g", "bin", F.col("v").alias("w"))
+    return stored(places.join(sizes, "g").select("g", "ego", "v", ((F.col("at") - F.col("first")) % bins(F.col("n"))).alias("bin")), "dealt")
+
+
+def binned(member: DataFrame, links: DataFrame, fold: Callable[[dict], list[set]], more_than: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Vertices are dealt into bins in an order that the ego fixes, fold(graph) splits each bin's graph, and groups with more
+    than `more_than` edges between them become one, transitively."""
+    spread = dealt(member, lambda n: 1 + F.floor(n / BIN))
+    a, b = spread.select("g", "bin", "v"), spread.select("g", "bin", F.col("v").alias("w"))
     inner = links.join(a, ["g", "v"]).join(b, ["g", "bin", "w"]).select("g", "bin", "v", "w")
-    rows = dealt.select("g", "bin", "v", F.lit(None).cast(links.schema["w"].dataType).alias("w")).unionByName(inner)
+    rows = spread.select("g", "bin", "v", F.lit(None).cast(links.schema["w"].dataType).alias("w")).unionByName(inner)
 
     def split(key, group):
         g: dict = {}

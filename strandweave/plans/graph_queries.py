@@ -250,6 +250,11 @@ def molecules_biconnected(spark, sf_dir):
     return communities.molecules(thinned(spark, sf_dir), "bicon")
 
 
+@query()
+def molecules_in_bins(spark, sf_dir):
+    return communities.binned_molecules(thinned(spark, sf_dir))
+
+
 @query("""WITH mol AS (SELECT DISTINCT l_suppkey AS bx, l_partkey % 3 AS i, l_partkey AS mx FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal >= 2000),
     pairs AS (SELECT l_orderkey AS pair, min(l_suppkey) AS bx FROM lineitem GROUP BY 1), mk AS (SELECT DISTINCT pair, bx, l_partkey AS mx FROM pairs JOIN lineitem ON l_orderkey = pair WHERE pair % 7 <> 0),
     best AS (SELECT pair, i FROM (SELECT pair, i, count(*) AS n FROM mk JOIN mol USING (bx, mx) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY n DESC, i) = 1)

@@ -83,3 +83,49 @@ def test_counting_molecules_of_hubs(spark, monkeypatch):
     folded = sorted(map(tuple, com.count_molecules(edges).collect()))
     monkeypatch.setattr(com, "FOLD", 20)
     assert sorted(map(tuple, com.count_molecules(edges).collect())) == folded and folded[-1][0] == 99
+
+
+def plain_binned(edges, steps):
+    """binned_molecules() by loops over plain lists and full matrices."""
+    import zlib
+
+    weight = {}
+    for u, v, m in edges:
+        weight.setdefault(u, {})[v] = m
+        weight.setdefault(v, {})[u] = m
+
+    def alike(a, b):
+        dot = lambda p, q: sum(x * y for x, y in zip(p, q))
+        return 4 * dot(a, b) ** 2 >= dot(a, a) * dot(b, b)
+
+    def split(nodes, step):
+        links = {(x, y) for x in nodes for y in nodes if y in weight[x]}
+        linked = sorted({x for p in links for x in p})
+        if step == "bc":
+            block = {frozenset(p): i for i, c in enumerate(com.biconnected(sets_of([(x, y) for x, y in links if x < y]))) for p in combinations(sorted(c), 2) if p in links}
+            of = {x: {block[frozenset((x, y))] for y in linked if (x, y) in links} for x in linked}
+            return [{x for x in linked if of[x] == {i}} for i in set(block.values())]
+        rows = [[weight[x].get(y, 0) if y in nodes else 0 for y in linked] for x in linked]
+        if step == "cosq":
+            rows = [[sum(r[k] * rows[k][j] for k in range(len(rows))) for j in range(len(rows))] for r in rows]
+        keep = {(x, y) for (i, x) in enumerate(linked) for (j, y) in enumerate(linked) if (x, y) in links and (len(linked) < 10 or alike(rows[i], rows[j]))}
+        return com.components({x: {y for y in linked if (x, y) in keep} for x in linked})
+
+    found = []
+    for ego, near in weight.items():
+        order = sorted(near, key=lambda v: (zlib.crc32(f"{ego}/{v}".encode()), v))
+        n = -(-len(order) // 50)
+        for i in range(n):
+            groups = [set(order[i::n])]
+            for step in steps:
+                groups = [c for g in groups for c in split(g, step) if len(c) > 1]
+            found += [(ego, tuple(sorted(c))) for c in groups]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("strategy", ["bc+cosq", "coss"])
+def test_bins_come_first(spark, strategy):
+    edges = graph_of(4, 16, 0.5) + [(u + 100, v + 100, m) for u, v, m in graph_of(6, 60, 0.12)] + [(u, 500, 2) for u in range(100, 160)] + [(u, 500, 7) for u in range(9)]
+    rows = com.binned_molecules(frame(spark, edges), strategy).collect()
+    assert communities_of(rows) == plain_binned(edges, strategy.split("+"))
+    assert all(sorted({r.mid for r in rows if r.u == u}) == list(range(1 + max(r.mid for r in rows if r.u == u))) for u in {r.u for r in rows})
