@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.plans.shared import stored
+from strandweave.plans.shared import new_path, stored
 
 from .components import connected_components
 from .overlap import both_ways, ends, induced
@@ -138,26 +138,35 @@ def shortest_paths(edges: DataFrame, tips: DataFrame) -> DataFrame:
     near = both_ways(edges).select(F.col("u").alias("from"), F.col("v").alias("id"))
     tips = stored(tips.select("tid", "a", "b"), "tips")
     kind = edges.schema["u"].dataType
-    reached = [tips.select("tid", F.col("a").alias("id"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("d"))]
+    path, fields = new_path(edges.sparkSession, "bfs"), ["tid", "id", "parent"]
+
+    def level(d: int, rows: DataFrame) -> DataFrame:
+        """Writes the level's rows beside the others': all levels are one table, whatever their number."""
+        rows.select(*fields).write.parquet(f"{path}/d={d}")
+        return edges.sparkSession.read.parquet(f"{path}/d={d}")
+
     goal = tips.select("tid", F.col("b").alias("id"))
-    found = [reached[0].join(goal, ["tid", "id"], "left_semi")]
-    front = reached[0].join(tips.filter("a <> b").select("tid"), "tid", "left_semi")
+    now, before, d = level(0, tips.select("tid", F.col("a").alias("id"), F.lit(None).cast(kind).alias("parent"))), None, 0
+    front = now.join(tips.filter("a <> b").select("tid"), "tid", "left_semi")
     while True:
         step = front.select("tid", F.col("id").alias("from")).join(near, "from").groupBy("tid", "id").agg(F.min("from").alias("parent"))
         # In an undirected graph a level's neighbours lie in it, in the one before or in the next.
-        known = front.select("tid", "id") if len(reached) < 2 else front.select("tid", "id").unionByName(reached[-2].select("tid", "id"))
-        front = stored(step.join(known, ["tid", "id"], "left_anti").withColumn("d", F.lit(len(reached))), "bfs")
-        if front.isEmpty():
+        known = now.select("tid", "id") if before is None else now.select("tid", "id").unionByName(before.select("tid", "id"))
+        d += 1
+        before, now = now, level(d, step.join(known, ["tid", "id"], "left_anti"))
+        if now.isEmpty():
             break
-        reached.append(front)
-        found.append(front.join(goal, ["tid", "id"], "left_semi"))
-        front = front.join(found[-1].select("tid"), "tid", "left_anti")
-    path, step = None, None
-    for level, ends_here in zip(reversed(reached), reversed(found)):  # back along the parents, a level at a time
-        step = ends_here if step is None else ends_here.unionByName(level.join(step.select("tid", F.col("parent").alias("id")), ["tid", "id"], "left_semi"))
-        step = stored(step.select("tid", "id", "parent", "d"), "back")
-        path = step if path is None else path.unionByName(step)
-    return path.select("tid", F.col("d").alias("pos"), "id")
+        front = now.join(goal, ["tid", "id"], "left_anti").join(now.join(goal, ["tid", "id"], "left_semi").select("tid"), "tid", "left_anti")
+    reached = edges.sparkSession.read.parquet(path).withColumn("d", F.col("d").cast("int"))
+    found = new_path(edges.sparkSession, "paths")
+    wanted = reached.join(goal, ["tid", "id"], "left_semi")
+    for back in range(d - 1, -1, -1):  # along the parents, a level at a time
+        here = wanted.filter(F.col("d") == back)
+        if back < d - 1:
+            asked = edges.sparkSession.read.parquet(f"{found}/d={back + 1}").select("tid", F.col("parent").alias("id"))
+            here = here.unionByName(reached.filter(F.col("d") == back).join(asked, ["tid", "id"], "left_semi")).distinct()
+        here.select(*fields).write.parquet(f"{found}/d={back}")
+    return edges.sparkSession.read.parquet(found).select("tid", F.col("d").cast("int").alias("pos"), "id")
 
 
 def shortest_path(edges: DataFrame, source, target) -> DataFrame:

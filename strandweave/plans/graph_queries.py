@@ -97,7 +97,9 @@ def mutual_best_edges(spark, sf_dir):
     return overlap.mutual_best_edges(thinned(spark, sf_dir), 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH}, d AS (SELECT u AS id, row_number() OVER (ORDER BY count(*) DESC, u) - 1 AS i FROM s GROUP BY u),
+    turn(k, u, v, m) AS (SELECT 0, u, v, m FROM g UNION ALL SELECT k + 1, u, v, m FROM (SELECT turn.*, id, row_number() OVER (PARTITION BY id IN (u, v) ORDER BY m DESC, CASE WHEN id = u THEN v ELSE u END) AS r FROM turn JOIN d ON d.i = turn.k) WHERE r <= 3 OR id NOT IN (u, v))
+    SELECT u, v, m FROM turn WHERE k = (SELECT count(*) FROM d)""")
 def best_edges(spark, sf_dir):
     return overlap.best_edges(thinned(spark, sf_dir), 3)
 
@@ -195,27 +197,57 @@ def molecules_by_components(spark, sf_dir):
     return communities.molecules(thinned(spark, sf_dir), "cc")
 
 
-@query()
-def molecules_default(spark, sf_dir):
-    return communities.molecules(thinned(spark, sf_dir), "bc+k3")
-
-
 @query()
 def molecules_distributed(spark, sf_dir):
     return communities.molecules(thinned(spark, sf_dir), "distributed+sqcosbin")
 
 
-#: The neighbour graph of every vertex; its edges whose ends have two common neighbours there; what each vertex x leaves
-#: connected when it goes; the cut vertices; components without them, numbered by falling size.
-CN2 = f"""{GRAPH}, i AS (SELECT a.u AS ego, g.u AS v, g.v AS w FROM s g JOIN s a ON a.v = g.u JOIN s b ON b.u = a.u AND b.v = g.v),
-    k AS (SELECT i.ego, i.v, i.w FROM i JOIN i a ON a.ego = i.ego AND a.v = i.v JOIN i b ON b.ego = i.ego AND b.v = i.w AND b.w = a.w GROUP BY ALL HAVING count(*) >= 2),
-    gone(ego, x, a, b) AS (SELECT DISTINCT k.ego, q.v, k.v, k.v FROM k JOIN (SELECT DISTINCT ego, v FROM k) q ON q.ego = k.ego AND q.v <> k.v
-        UNION SELECT r.ego, r.x, r.a, k.w FROM gone r JOIN k ON k.ego = r.ego AND k.v = r.b AND k.w <> r.x),
-    cuts AS (SELECT DISTINCT p.ego, p.v AS x FROM k p JOIN k q ON q.ego = p.ego AND q.v = p.v AND q.w <> p.w WHERE NOT EXISTS (SELECT 1 FROM gone r WHERE r.ego = p.ego AND r.x = p.v AND r.a = p.w AND r.b = q.w)),
-    h AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.ego = k.ego AND c.x IN (k.v, k.w))),
-    walk(ego, a, b) AS (SELECT DISTINCT ego, v, v FROM h UNION SELECT t.ego, t.a, h.w FROM walk t JOIN h ON h.ego = t.ego AND h.v = t.b),
+#: The neighbour graph of every vertex, edges in both directions.
+EGO = f"{GRAPH}, i AS (SELECT a.u AS ego, g.u AS v, g.v AS w FROM s g JOIN s a ON a.v = g.u JOIN s b ON b.u = a.u AND b.v = g.v)"
+
+
+def uncut(k: str) -> str:
+    """For graphs k(ego, v, w): gone, what each vertex x leaves connected when it goes; cuts, the cut vertices; h, the rest."""
+    return f"""gone(ego, x, a, b) AS (SELECT DISTINCT {k}.ego, q.v, {k}.v, {k}.v FROM {k} JOIN (SELECT DISTINCT ego, v FROM {k}) q ON q.ego = {k}.ego AND q.v <> {k}.v
+        UNION SELECT r.ego, r.x, r.a, {k}.w FROM gone r JOIN {k} ON {k}.ego = r.ego AND {k}.v = r.b AND {k}.w <> r.x),
+    cuts AS (SELECT DISTINCT p.ego, p.v AS x FROM {k} p JOIN {k} q ON q.ego = p.ego AND q.v = p.v AND q.w <> p.w WHERE NOT EXISTS (SELECT 1 FROM gone r WHERE r.ego = p.ego AND r.x = p.v AND r.a = p.w AND r.b = q.w)),
+    h AS (SELECT * FROM {k} WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.ego = {k}.ego AND c.x IN ({k}.v, {k}.w)))"""
+
+
+#: Components of h, numbered by falling size.
+PARTS = """walk(ego, a, b) AS (SELECT DISTINCT ego, v, v FROM h UNION SELECT t.ego, t.a, h.w FROM walk t JOIN h ON h.ego = t.ego AND h.v = t.b),
     c AS (SELECT ego, a AS nbr, min(b) AS c FROM walk GROUP BY ego, a), z AS (SELECT ego, c, count(*) AS n FROM c GROUP BY ego, c),
     mids AS (SELECT u, v, dense_rank() OVER (PARTITION BY u ORDER BY n DESC, c) - 1 AS i FROM (SELECT c.ego AS u, nbr AS v, n, c.c AS c FROM c JOIN z ON z.ego = c.ego AND z.c = c.c))"""
+CN2 = f"""{EGO},
+    k AS (SELECT i.ego, i.v, i.w FROM i JOIN i a ON a.ego = i.ego AND a.v = i.v JOIN i b ON b.ego = i.ego AND b.v = i.w AND b.w = a.w GROUP BY ALL HAVING count(*) >= 2),
+    {uncut("k")}, {PARTS}"""
+#: Edges of a neighbour graph belong to one block if, at a common end, the other ends stay connected without it; by steps.
+BLOCKS = f"""{EGO}, {uncut("i")}, piece AS (SELECT ego, x, a, min(b) AS c FROM gone WHERE EXISTS (SELECT 1 FROM i WHERE i.ego = gone.ego AND i.v = gone.x AND i.w = gone.a) GROUP BY ego, x, a),
+    side AS (SELECT ego, least(x, a) AS u, greatest(x, a) AS v, x, c FROM piece), inner_ AS (SELECT ego, v, w FROM i WHERE v < w),
+    same(ego, u, v, a, b) AS (SELECT ego, v, w, v, w FROM inner_ UNION SELECT r.ego, r.u, r.v, q.u, q.v FROM same r JOIN side p ON p.ego = r.ego AND p.u = r.a AND p.v = r.b JOIN side q ON q.ego = p.ego AND q.x = p.x AND q.c = p.c),
+    block AS (SELECT ego, u, v, min(a * 1000000 + b) AS block FROM same GROUP BY ego, u, v), inside AS (SELECT ego, block, u AS id FROM block UNION SELECT ego, block, v FROM block)"""
+#: Triangles of h link their sides; linked sides are a community, and a vertex is in the last of its own.
+K3 = """tri AS (SELECT p.ego, p.v AS a, p.w AS b, q.w AS c FROM h p JOIN h q ON q.ego = p.ego AND q.v = p.w JOIN h r ON r.ego = p.ego AND r.v = p.v AND r.w = q.w WHERE p.v < p.w AND q.v < q.w),
+    face AS (SELECT ego, a * 1000000 + b AS f, a * 1000000 + b AS t FROM tri UNION SELECT ego, a * 1000000 + c, a * 1000000 + b FROM tri UNION SELECT ego, b * 1000000 + c, a * 1000000 + b FROM tri),
+    pair AS (SELECT DISTINCT ego, a * 1000000 + b AS f, a * 1000000 + c AS g FROM tri UNION SELECT ego, a * 1000000 + b, b * 1000000 + c FROM tri), link AS (SELECT ego, f, g FROM pair UNION SELECT ego, g, f FROM pair),
+    grown(ego, f, g) AS (SELECT DISTINCT ego, f, f FROM face UNION SELECT r.ego, r.f, l.g FROM grown r JOIN link l ON l.ego = r.ego AND l.f = r.g), named AS (SELECT ego, f, min(g) AS c FROM grown GROUP BY ego, f),
+    held AS (SELECT ego, c, f // 1000000 AS v FROM named UNION SELECT ego, c, f % 1000000 FROM named), ksize AS (SELECT ego, c, count(*) AS n, min(v) AS low FROM held GROUP BY ego, c),
+    kmid AS (SELECT ego, c, row_number() OVER (PARTITION BY ego ORDER BY n DESC, low, c) - 1 AS i FROM ksize)"""
+
+
+@query(f"WITH RECURSIVE {EGO}, {uncut('i')}, {PARTS} SELECT u, v AS nbr, CAST(i AS INTEGER) AS mid FROM mids JOIN z ON z.ego = mids.u AND z.c = (SELECT c FROM c WHERE c.ego = mids.u AND c.nbr = mids.v)")
+def molecules_without_cuts(spark, sf_dir):
+    return communities.molecules(thinned(spark, sf_dir), "bc")
+
+
+@query(f"WITH RECURSIVE {EGO}, h AS (SELECT * FROM i), {K3} SELECT held.ego AS u, v AS nbr, CAST(max(i) AS INTEGER) AS mid FROM held JOIN kmid USING (ego, c) GROUP BY held.ego, v")
+def molecules_by_triangles(spark, sf_dir):
+    return communities.molecules(thinned(spark, sf_dir), "k3")
+
+
+@query(f"WITH RECURSIVE {EGO}, {uncut('i')}, {K3} SELECT held.ego AS u, v AS nbr, CAST(max(i) AS INTEGER) AS mid FROM held JOIN kmid USING (ego, c) GROUP BY held.ego, v")
+def molecules_default(spark, sf_dir):
+    return communities.molecules(thinned(spark, sf_dir), "bc+k3")
 
 
 @query(f"""WITH RECURSIVE {CN2}, e2 AS (SELECT g.u || '_' || a.i AS x, g.v || '_' || b.i AS y, m FROM g JOIN mids a ON a.u = g.u AND a.v = g.v JOIN mids b ON b.u = g.v AND b.v = g.u)
@@ -224,7 +256,8 @@ def molecule_graph(spark, sf_dir):
     return communities.molecule_graph(thinned(spark, sf_dir), "cn2")[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS}, n AS (SELECT ego, block, count(*) AS n FROM inside GROUP BY ego, block)
+    SELECT id, (SELECT count(*) FROM n WHERE n.ego = id AND n >= 4) AS mol FROM (SELECT DISTINCT u AS id FROM s)""")
 def count_molecules(spark, sf_dir):
     return communities.count_molecules(thinned(spark, sf_dir))
 
@@ -245,7 +278,8 @@ def split_markers(spark, sf_dir):
     return overlap.split_markers(found, rows, vertices).select("id", F.size("mxs").alias("n"), F.array_join(F.transform("mxs", lambda x: x.cast("string")), " ").alias("mxs"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS}, own AS (SELECT * FROM inside WHERE NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.ego = inside.ego AND x = id)), n AS (SELECT ego, block, count(*) AS n, min(id) AS low FROM own GROUP BY ego, block HAVING count(*) > 1),
+    r AS (SELECT ego, block, row_number() OVER (PARTITION BY ego ORDER BY n DESC, low) - 1 AS i FROM n) SELECT ego AS u, id AS nbr, CAST(i AS INTEGER) AS mid FROM own JOIN r USING (ego, block)""")
 def molecules_biconnected(spark, sf_dir):
     return communities.molecules(thinned(spark, sf_dir), "bicon")
 
@@ -393,6 +427,10 @@ def backbones_without_chimera(spark, sf_dir):
     return trees.backbones_without_chimera(thinned(spark, sf_dir), 3, 2, 3, least_branch=2)[0]
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH}, {PATHS}, tips AS (SELECT tid, arg_min(elem, pos) AS a, arg_max(elem, pos) AS b FROM paths GROUP BY tid),
+    far(id, other, d) AS (SELECT DISTINCT u, u, 0 FROM s UNION SELECT f.id, s.v, f.d + 1 FROM far f JOIN s ON s.u = f.other WHERE f.d < 12), near AS (SELECT id, other, min(d) AS d FROM far GROUP BY id, other),
+    back(tid, a, id, d) AS (SELECT tid, a, b, d FROM tips JOIN near ON near.id = a AND other = b
+        UNION ALL SELECT k.tid, k.a, min(s.v), k.d - 1 FROM back k JOIN s ON s.u = k.id JOIN near n ON n.id = k.a AND n.other = s.v AND n.d = k.d - 1 GROUP BY k.tid, k.a, k.id, k.d)
+    SELECT u, v, m FROM g WHERE u IN (SELECT id FROM back) AND v IN (SELECT id FROM back)""")
 def tiling_graph(spark, sf_dir):
     return graph.tiling_graph(thinned(spark, sf_dir), nation_paths(spark, sf_dir))

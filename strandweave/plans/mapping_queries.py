@@ -194,7 +194,11 @@ def number_scaffolds(spark, sf_dir):
     return scaffold.number_scaffolds(scaffold.assemble(paths, seqs, 10), scaffold.unused_sequences(paths, seqs))
 
 
-EVIDENCE = "pairs AS (SELECT l_suppkey % 40 AS u, l_partkey % 40 + 40 AS v, count(*) FILTER (l_linenumber = 1) AS hh, count(*) FILTER (l_linenumber = 2) AS ht, count(*) FILTER (l_linenumber = 3) AS th, count(*) FILTER (l_linenumber >= 4) AS tt FROM lineitem GROUP BY 1, 2)"
+#: A kind, 0 to 3, of each line of a supplier: by line number, turned by its key, so that one kind stands out; or evenly, in debt.
+PAIRS_OF_LINES = """nb AS (SELECT elem AS u, lead(elem) OVER (PARTITION BY tid ORDER BY pos) AS v FROM paths), kinds AS (SELECT u, v, CASE WHEN s_acctbal < 0 THEN l_linenumber % 4 ELSE (least(l_linenumber - 1, 3) + u) % 4 END AS k
+    FROM nb JOIN supplier ON s_suppkey = u JOIN lineitem ON l_suppkey = u WHERE v IS NOT NULL),
+    pairs AS (SELECT u, v, count(*) FILTER (k = 0) AS hh, count(*) FILTER (k = 1) AS ht, count(*) FILTER (k = 2) AS th, count(*) FILTER (k = 3) AS tt FROM kinds GROUP BY 1, 2)"""
+EVIDENCE = f"{PATHS}, {PAIRS_OF_LINES}"
 
 
 @query(f"""WITH {EVIDENCE}, x AS (SELECT *, list_sort([hh, ht, th, tt], 'DESC') AS o FROM pairs)
@@ -205,15 +209,35 @@ def significant_links(spark, sf_dir):
 
 
 def evidence(spark, sf_dir):
-    n = F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("u"), (F.col("l_partkey") % 40 + 40).alias("v")).agg(*(F.count_if(c).alias(k) for k, c in (("hh", n == 1), ("ht", n == 2), ("th", n == 3), ("tt", n >= 4))))
+    """(u, v, hh, ht, th, tt) of neighbours in the nations' paths, from the kinds of the first one's lines."""
+    along = W.Window.partitionBy("tid").orderBy("pos")
+    nb = nation_paths(spark, sf_dir).select(F.col("elem").alias("u"), F.lead("elem").over(along).alias("v")).filter("v IS NOT NULL")
+    owners = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), "s_acctbal")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), "l_linenumber")
+    kind = F.when(F.col("s_acctbal") < 0, F.col("l_linenumber") % 4).otherwise((F.least(F.col("l_linenumber") - 1, F.lit(3)) + F.col("u")) % 4)
+    rows = nb.join(owners, "u").join(lines, "u").withColumn("k", kind)
+    return rows.groupBy("u", "v").agg(*(F.count_if(F.col("k") == i).alias(c) for i, c in enumerate(("hh", "ht", "th", "tt"))))
 
 
-@query()
+def _named_evidence(spark, sf_dir):
+    return evidence(spark, sf_dir).withColumns({"u": F.col("u").cast("string"), "v": F.col("v").cast("string")})
+
+
+#: oriented(tid, pos, name, sign): signs carried forward, and then backward over what is open, along significant pairs.
+ORIENTED = f"""{SIGNED}, {PAIRS_OF_LINES}, ways AS (SELECT CAST(u AS VARCHAR) AS u, CAST(v AS VARCHAR) AS v, hh, ht, th, tt FROM pairs UNION ALL SELECT CAST(v AS VARCHAR), CAST(u AS VARCHAR), hh, th, ht, tt FROM pairs),
+    sorted AS (SELECT *, list_sort([hh, ht, th, tt], 'DESC') AS o FROM ways),
+    sure AS (SELECT u, v, ['-+', '--', '++', '+-'][max(list_position([hh, ht, th, tt], o[1]))] AS p FROM sorted WHERE o[1] + o[2] > 0 AND o[1] - (o[1] + o[2]) / 2.0::DOUBLE > 1.6448536269514722::DOUBLE * sqrt((o[1] + o[2]) / 4.0::DOUBLE) GROUP BY u, v),
+    chain AS (SELECT tid, pos, name, sign, p, n FROM (SELECT *, lead(name) OVER (PARTITION BY tid ORDER BY pos) AS after, count(*) OVER (PARTITION BY tid) AS n FROM signed) LEFT JOIN sure ON u = name AND v = after),
+    fwd(tid, pos, sign) AS (SELECT tid, pos, CASE WHEN n = 1 AND sign = '.' THEN '+' ELSE sign END FROM chain WHERE pos = 0
+        UNION ALL SELECT c.tid, c.pos, CASE WHEN f.sign <> '.' AND b.p[1] = f.sign THEN b.p[2] ELSE c.sign END FROM fwd f JOIN chain b ON b.tid = f.tid AND b.pos = f.pos JOIN chain c ON c.tid = f.tid AND c.pos = f.pos + 1),
+    bwd(tid, pos, sign) AS (SELECT f.tid, f.pos, f.sign FROM fwd f JOIN chain c ON c.tid = f.tid AND c.pos = f.pos WHERE f.pos = c.n - 1
+        UNION ALL SELECT f.tid, f.pos, CASE WHEN f.sign = '.' AND b.sign <> '.' AND c.p[2] = b.sign THEN c.p[1] ELSE f.sign END FROM bwd b JOIN fwd f ON f.tid = b.tid AND f.pos = b.pos - 1 JOIN chain c ON c.tid = f.tid AND c.pos = f.pos),
+    oriented AS (SELECT bwd.tid, bwd.pos, name, bwd.sign FROM bwd JOIN chain ON chain.tid = bwd.tid AND chain.pos = bwd.pos)"""
+
+
+@query(f"WITH RECURSIVE {ORIENTED} SELECT tid, pos, name || sign AS elem FROM oriented")
 def orient_paths(spark, sf_dir):
-    paths = signed_paths(spark, sf_dir)
-    pairs = evidence(spark, sf_dir)
-    return scaffold.orient_paths(paths, pairs.withColumns({"u": F.col("u").cast("string"), "v": (F.col("v") - 39).cast("string")}))
+    return scaffold.orient_paths(signed_paths(spark, sf_dir), _named_evidence(spark, sf_dir))
 
 
 @query("""WITH x AS (SELECT l_suppkey AS name, l_partkey AS s, l_partkey + l_linenumber AS e FROM lineitem), y AS (SELECT name, e, greatest(s, coalesce(max(e) OVER (PARTITION BY name ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS n FROM x)
@@ -329,7 +353,6 @@ def repeat_threshold(spark, sf_dir):
     return scaffold.repeat_threshold(depth)
 
 
-@query()
+@query(f"WITH RECURSIVE {ORIENTED} SELECT tid, string_agg({PIECE}, repeat('N', 10) ORDER BY pos) AS seq, count(*) AS n FROM oriented JOIN seqs USING (name) GROUP BY tid")
 def assemble_with_evidence(spark, sf_dir):
-    pairs = evidence(spark, sf_dir).withColumns({"u": F.col("u").cast("string"), "v": (F.col("v") - 39).cast("string")})
-    return scaffold.assemble_with_evidence(signed_paths(spark, sf_dir), sequences(spark, sf_dir), pairs, 10)
+    return scaffold.assemble_with_evidence(signed_paths(spark, sf_dir), sequences(spark, sf_dir), _named_evidence(spark, sf_dir), 10)
