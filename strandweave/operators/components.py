@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from strandweave.plans.shared import stored
 
 #: Neighbours that never make a vertex a hub, and edges in all that any task may gather.
 HUB, FEW = 256, 10_000
+#: Edges in all that one task unites where the caller allows it; more go through rounds.
+ONE_TASK = 100_000
 
 
 def _smallest(near: DataFrame) -> DataFrame:
@@ -40,15 +44,39 @@ def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     return linked.unionByName(_smallest(near).select(F.col("m").alias("u"), F.col("x").alias("v"))).filter("u < v").distinct()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def _unite(frames):
+    """(id, component) of the vertices of all edges(u, v) of one task."""
+    frames = [f for f in frames if len(f)]
+    if not frames:
+        return
+    edges = pd.concat(frames)
+    ids, codes = np.unique(np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy()]), return_inverse=True)
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in zip(codes[: len(edges)].tolist(), codes[len(edges) :].tolist()):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"id": ids, "component": ids[[find(i) for i in range(len(ids))]]})
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", gather: bool = False) -> DataFrame:
     """(id, component) for every vertex of an edge; the component is its smallest id. Ids may be longs or strings.
 
     Each round costs two joins over the edges, which never grow in number; after O(log^2) rounds every edge leads to
     its component's smallest id. A vertex with more than its part of all edges (twice the edges by the number of shuffle
     partitions) is a hub, whose neighbours no task gathers. Loops keep their vertex; edges with a null end are dropped; no edges give no rows.
+    With `gather`, a graph of up to ONE_TASK edges in all, of long or string ids, is united in one task.
     """
     ends = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).dropna()
     ends = stored(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc")
+    kind = dict(ends.dtypes)["u"]
+    if gather and kind in ("int", "bigint", "string") and ends.count() <= ONE_TASK:
+        return ends.coalesce(1).mapInPandas(_unite, f"id {kind}, component {kind}")
     alone = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     stars, before = ends.filter("u < v"), None
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -36,7 +36,7 @@ def labelled_forest(edges: DataFrame, known: DataFrame | None = None) -> DataFra
         chosen = stored(sides.groupBy("side").agg(best).select("best.*").distinct().select("u", "v", (-F.col("w")).alias("m"), "a", "b"), "msf")
         if chosen.isEmpty():
             return forest
-        name = stored(connected_components(chosen, "a", "b").withColumnRenamed("component", "tree"), "names")
+        name = stored(connected_components(chosen, "a", "b", gather=True).withColumnRenamed("component", "tree"), "names")
         grown = forest.unionByName(chosen.select("u", "v", "m", F.col("a").alias("tree"))).withColumnRenamed("tree", "id")
         forest = stored(grown.join(name, "id", "left").select("u", "v", "m", F.coalesce("tree", "id").alias("tree")), "forest")
         left = _contract(left, name)
@@ -101,7 +101,7 @@ def contiguous_paths(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     junctions = degree.filter("degree >= 3").select("id")
     rest = degree.filter("degree < 3").select("id")
     kept = induced(edges, rest)
-    named = rest.join(connected_components(kept), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    named = rest.join(connected_components(kept, gather=True), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return named, junctions
 
 

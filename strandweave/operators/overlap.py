@@ -100,7 +100,7 @@ def drop_small_components(vertices: DataFrame, edges: DataFrame, least: int) ->
 
 def component_of(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex; an isolated vertex is its own component."""
-    return vertices.select("id").join(connected_components(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return vertices.select("id").join(connected_components(edges, gather=True), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def filter_graph(vertices: DataFrame, edges: DataFrame, least: int = 0, below_molecules: int | None = None, least_component: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +171,7 @@ def best_edges(edges: DataFrame, best: int) -> DataFrame:
     """
     if best is None:
         return edges
-    named = stored(edges.join(connected_components(edges), edges["u"] == F.col("id")).select("u", "v", "m", "component"), "named")
+    named = stored(edges.join(connected_components(edges, gather=True), edges["u"] == F.col("id")).select("u", "v", "m", "component"), "named")
     large = stored(named.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD).select("component"), "large")
 
     def fold(group):

@@ -187,7 +187,7 @@ def blocks(edges: DataFrame) -> DataFrame:
     leaves = seen.join(span, "since").join(upper, "parent").filter(F.col("inner") & ((F.col("low") < F.col("ps")) | (F.col("high") > F.col("pe"))))
     apart = F.greatest("su", "sv") > F.when(F.col("su") < F.col("sv"), F.col("eu")).otherwise(F.col("ev"))
     together = leaves.select(F.col("parent").alias("u"), F.col("id").alias("v")).unionByName(beyond.filter(apart).select("u", "v"))
-    named = connected_components(together)
+    named = connected_components(together, gather=True)
     lower = placed.withColumn("id", F.when(F.col("su") < F.col("sv"), F.col("v")).otherwise(F.col("u")))
     return lower.join(named, "id", "left").select("u", "v", "m", F.coalesce("component", "id").alias("block"))
 

@@ -198,7 +198,7 @@ def _prune_vast(forest: DataFrame, least: int) -> DataFrame:
         if roots.isEmpty():
             return forest
         rest = stored(marked.filter("NOT cu AND NOT cv").select(*forest.columns), "rest")
-        named = connected_components(rest)
+        named = connected_components(rest, gather=True)
         short = named.join(roots, "id", "left_semi").select("component").distinct()
         gone = named.join(short, "component", "left_semi").select("id").unionByName(roots).distinct()
         forest = stored(rest.join(gone.select(F.col("id").alias("u")), "u", "left_anti").select(*forest.columns), "pruned")
@@ -220,7 +220,7 @@ def _backbones_vast(forest: DataFrame, least_branch: int, least_junction: int) -
         cut = stored(_junctions_vast(left, least_junction), "cut") if least_junction else left.select(F.col("u").alias("id")).limit(0)
         vertices = left.select(F.explode(F.array("u", "v")).alias("id")).distinct().unionByName(alone).distinct()
         inside = stored(without(left, cut), "inside")
-        named = connected_components(inside)
+        named = connected_components(inside, gather=True)
         pieces = inside.join(named.select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
         paths = tours.far_paths(stored(pieces, "pieces"))
         single = vertices.join(named, "id", "left_anti").select(F.col("id").alias("tree"), F.lit(0).alias("pos"), F.col("id").alias("elem"))
@@ -342,7 +342,7 @@ def unbridged(edges: DataFrame, least_branch: int, length: int) -> tuple[DataFra
         found = found.unionByName(calm.select("u", "v", "m", "tree", F.coalesce("inside", F.lit(False)).alias("inside")))
         rest = stored(without(named.join(hurt, "tree", "left_semi"), bad), "rest")
         kept = stored(without(forest.join(hurt, "tree", "left_semi"), bad), "kept")
-        pieces = kept.join(connected_components(kept).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
+        pieces = kept.join(connected_components(kept, gather=True).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
         forest = labelled_forest(rest, stored(pieces, "pieces"))
         named = rest.join(forest.select(F.explode(F.array("u", "v")).alias("u"), "tree").distinct(), "u").select("u", "v", "m", "tree")
     found = stored(found, "unbridged")
@@ -452,7 +452,7 @@ def without_cut_vertices(edges: DataFrame) -> DataFrame:
 
 
 def _components_named(edges: DataFrame) -> DataFrame:
-    return edges.join(connected_components(edges).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
+    return edges.join(connected_components(edges, gather=True).select(F.col("id").alias("u"), F.col("component").alias("tree")), "u").select("u", "v", "m", "tree")
 
 
 __all__ = ["articulation_points", "backbones", "backbone_graph", "backbones_without_chimera", "biconnected_components", "bridges_of", "junctions", "pruned_forest", "remove_bridges", "spanning_tree", "tree_with_branch_lengths", "unbridged", "without_cut_vertices"]

@@ -106,7 +106,7 @@ def best_edges(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {GRAPH}, {REACH} SELECT id, component FROM comp")
 def connected_components(spark, sf_dir):
-    return components.connected_components(thinned(spark, sf_dir))
+    return components.connected_components(thinned(spark, sf_dir), gather=True)
 
 
 @query(f"WITH RECURSIVE {GRAPH}, {REACH} SELECT g.u, g.v, g.m FROM g JOIN comp ON comp.id = g.u WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 4)")
@@ -404,7 +404,7 @@ def filter_graph(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {GRAPH}, {REACH}, z AS (SELECT component, count(*) AS n FROM comp GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT id FROM comp JOIN z USING (component)")
 def largest_component(spark, sf_dir):
-    return overlap.largest_component(components.connected_components(thinned(spark, sf_dir)))
+    return overlap.largest_component(components.connected_components(thinned(spark, sf_dir), gather=True))
 
 
 @query(f"WITH {GRAPH}, r AS (SELECT u, v, m, row_number() OVER (PARTITION BY u ORDER BY m DESC, v) AS r FROM s) SELECT u, v, m FROM r WHERE r > 2")

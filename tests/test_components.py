@@ -31,3 +31,12 @@ def test_hubs_are_not_gathered(spark, monkeypatch):
         monkeypatch.setattr(components, "HUB", hub)
         monkeypatch.setattr(components, "FEW", 0)
         assert {r.id: r.component for r in connected_components(frame).collect()} == expected
+
+
+def test_small_graphs_are_united_in_one_task(spark):
+    for kind, name in (("long", lambda i: i), ("string", lambda i: f"v{i}")):
+        edges = [(name(a), name(b)) for a, b in ((1, 2), (30, 2), (4, 5), (6, 6), (7, 30))] + [(None, name(3))]
+        frame = spark.createDataFrame(edges, f"u {kind}, v {kind}")
+        rounds, one = (sorted(map(tuple, connected_components(frame, gather=g).collect())) for g in (False, True))
+        assert one == rounds and len(one) == 7
+        assert connected_components(frame.limit(0), gather=True).collect() == []
