@@ -96,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The checksum of a list of bytes by DuckDB: each byte is taken in with its first of eight shifts.
 _CRC32 = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform({bytes}, lambda b: [CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
                 lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"""
-_BYTES = "list_transform(range(1, 2 * strlen({text}) + 1, 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+_BYTES = "list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
 
 
 def _crc32(text: str) -> str:
@@ -130,6 +130,13 @@ def _leaf(text: str) -> str:
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": f"""
+        WITH s AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, CAST({_crc32("coalesce(text, '')")} AS BIGINT) AS text_crc32 FROM documents),
+        p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total,
+                     row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS row FROM s),
+        c AS (SELECT *, CAST(least(floor((2 * before + size) * 24 / (2.0::DOUBLE * total)), 23) AS INTEGER) AS shard FROM p)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM c
+    """,
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
