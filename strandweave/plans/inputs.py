@@ -69,11 +69,12 @@ PATHS = "paths AS (SELECT CAST(s_nationkey AS BIGINT) AS tid, CAST(row_number()
 
 
 def customer_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, qpos, mx): the parts that a customer ordered, in order of time."""
+    """(qid, qpos, mx): the parts that a customer ordered, in order of time. Stored, since mapping counts them before it joins them."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     along = W.Window.partitionBy("o_custkey").orderBy("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey")
-    return lines.join(orders, "l_orderkey").select(F.col("o_custkey").alias("qid"), (F.row_number().over(along) - 1).alias("qpos"), F.col("l_partkey").alias("mx"))
+    rows = lines.join(orders, "l_orderkey").select(F.col("o_custkey").alias("qid"), (F.row_number().over(along) - 1).alias("qpos"), F.col("l_partkey").alias("mx"))
+    return stored(rows, "markers")
 
 
 QUERY = "qmx AS (SELECT o_custkey AS qid, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey) - 1 AS INTEGER) AS qpos, l_partkey AS mx FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"

@@ -113,7 +113,7 @@ def paf_metrics(spark, sf_dir):
     k AS (SELECT *, CASE WHEN a > b AND a > d THEN '+' WHEN b > a AND b > d THEN '-' ELSE '.' END AS sign FROM c QUALIFY row_number() OVER (PARTITION BY qname ORDER BY n DESC, t) = 1)
     SELECT t AS tid, CAST(row_number() OVER (PARTITION BY t ORDER BY start, sign, qname) - 1 AS INTEGER) AS pos, qname || sign AS elem FROM k""")
 def bed_to_path(spark, sf_dir):
-    return scaffold.bed_to_path(bed(spark, sf_dir))
+    return scaffold.bed_to_path(stored(bed(spark, sf_dir), "bed"))
 
 
 @query(f"WITH {PATHS}, r AS (SELECT 'bed' AS tname, l_linenumber AS tstart, l_linenumber + 1 AS tend, l_suppkey AS qname, CAST(l_quantity AS BIGINT) AS score, '.' AS orientation FROM lineitem) SELECT tid, pos, r.* FROM paths JOIN r ON qname = elem")

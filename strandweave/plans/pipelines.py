@@ -39,7 +39,7 @@ def mapped(found: PhysicalMap, queries: DataFrame, least: int = 10, reach: int =
 
 def scaffolds(found: PhysicalMap, queries: DataFrame, sequences: DataFrame, least: int = 10, reach: int = 10, gap: int = 100, shortest: int = 0) -> DataFrame:
     """Draft sequences(name, seq), whose markers are queries(qid, qpos, mx), ordered and joined along the map; those left over follow."""
-    paths = stored(scaffold.bed_to_path(mapping.best_per_position(mapped(found, queries, least, reach))), "paths")
+    paths = stored(scaffold.bed_to_path(stored(mapping.best_per_position(mapped(found, queries, least, reach)), "best")), "paths")
     return scaffold.number_scaffolds(scaffold.assemble(paths, sequences, gap, shortest), scaffold.unused_sequences(paths, sequences, shortest))
 
 
