@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +32,11 @@ SIZES, CELLS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192,
 
 @dataclass(frozen=True)
 class Model:
-    """Restaurants: one for each of 2**context_bits classes of the word before (by hash), all with one parent for words
-    alone, whose base is uniform over the training words and one unknown word."""
+    """Restaurants: one for each word before, all with one parent for words alone, whose base is uniform over the training
+    words and one unknown word. A restaurant is named by context_bits bits of its word's hash (40 at most): with 40, one word
+    in a million shares its restaurant in a vocabulary of a million words, one in a thousand among a billion."""
 
-    context_bits: int = 16
+    context_bits: int = 40
     concentration: float = 1.0
     #: Gibbs sweeps before the first sample, samples, and sweeps between them. A sweep seats every customer anew.
     burn_in: int = 5
@@ -71,6 +72,26 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _pack_sorted(names: np.ndarray) -> bytes:
+    return _pack(np.diff(names, prepend=0).astype(np.int64))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.int64), dtype=np.int64)
+
+
+def _pack_contexts(contexts: np.ndarray) -> bytes:
+    """Distinct names in order, then each pair's place among them: a name is written once, however many pairs have it."""
+    names, places = np.unique(contexts, return_inverse=True)
+    head = _pack_sorted(names)
+    return len(head).to_bytes(4, "little") + head + _pack(places.astype(np.int32))
+
+
+def _unpack_contexts(b: bytes) -> np.ndarray:
+    n = 4 + int.from_bytes(b[:4], "little")
+    return _unpack_sorted(b[4:n])[_unpack(b[n:], np.int32)]
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -79,7 +100,7 @@ class _Ids(dict):
 
 # --- blocks: documents as codes of (word, context) pairs, and the pairs with their training counts, by part
 
-BLOCKS = "block long, part int, ids array<long>, held array<boolean>, lengths binary, codes binary, words binary, sizes binary, contexts binary, counts binary, context_counts binary"
+BLOCKS = "block long, part int, ids array<long>, held array<boolean>, lengths binary, codes binary, words binary, sizes binary, contexts binary, counts binary"
 _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
@@ -101,18 +122,17 @@ def _block_rows(block: int, parts: int, model: Model, ids: list, held: list, doc
     counts = np.bincount(codes[learned], minlength=len(keys))
     word_of = keys >> model.context_bits
     used, firsts, sizes = np.unique(word_of, return_index=True, return_counts=True)
-    by_context = np.bincount(context[before][learned], minlength=model.contexts)
-    yield block, -1, ids, held, _pack(lengths.astype(np.int32)), _pack(codes.astype(np.int32)), None, None, None, None, _pack(by_context)
+    yield block, -1, ids, held, _pack(lengths.astype(np.int32)), _pack(codes.astype(np.int32)), None, None, None, None
     ordered_hashes, ordered_part = hashes[order], part[order]
     cuts = np.flatnonzero(np.diff(ordered_part[used], prepend=-1, append=parts + 1))
     for a, b in zip(cuts, cuts[1:]):
         lo, hi = firsts[a], firsts[b] if b < len(firsts) else len(keys)
-        yield block, int(ordered_part[used[a]]), None, None, None, None, _pack(ordered_hashes[used[a:b]]), _pack(sizes[a:b].astype(np.int32)), _pack((keys[lo:hi] & (model.contexts - 1)).astype(np.int32)), _pack(counts[lo:hi].astype(np.int32)), None
+        yield block, int(ordered_part[used[a]]), None, None, None, None, _pack(ordered_hashes[used[a:b]]), _pack(sizes[a:b].astype(np.int32)), _pack_contexts(keys[lo:hi] & (model.contexts - 1)), _pack(counts[lo:hi].astype(np.int32))
 
 
 def make_blocks(docs: DataFrame, held, parts: int, model: Model, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), held.alias("held"))
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 6]
 
     def emit(task, n, ids, held, found, words):
         made = list(_block_rows((task << 24) + n, parts, model, ids, held, found, words))
@@ -226,7 +246,7 @@ def draw_tables(random: np.random.Generator, customers: np.ndarray, now: np.ndar
 
 @dataclass(frozen=True)
 class Corpus:
-    """What every task knows before sampling: customers of each context, their sum, discounts, and distinct words."""
+    """What is known before sampling: customers of each context (of those of a part), all tokens, discounts, distinct words."""
 
     context_counts: np.ndarray
     tokens: int
@@ -236,7 +256,7 @@ class Corpus:
 
 @dataclass(frozen=True)
 class Totals:
-    """Tables in each context restaurant, and customers and tables of the parent, over all parts."""
+    """Tables in each context restaurant (of those of a part), and customers and tables of the parent, over all parts."""
 
     in_context: np.ndarray
     customers: int
@@ -252,10 +272,15 @@ class Totals:
 
 
 class Part:
-    """The words of one part, which are in no other: every pair with its training count, and its tables as they stand."""
+    """The words of one part, which are in no other: pairs with their training counts, and their tables as they stand.
+
+    `contexts` are places in the part's sorted list of `names`. `closed` counts each word's pairs that occur once and are
+    left out: each has one table whatever is drawn."""
 
     def __init__(self, row: dict, model: Model):
         self.model, self.context = model, _unpack(row["contexts"], np.int32).astype(np.int64)
+        self.n_contexts = len(_unpack_sorted(row["names"])) if row.get("names") is not None else model.contexts
+        self.closed = _unpack(row["closed"], np.int32).astype(np.int64) if row.get("closed") is not None else 0
         sizes = _unpack(row["sizes"], np.int32)
         self.word, self.n_words = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
         self.count = _unpack(row["counts"], np.int32).astype(np.int64)
@@ -266,12 +291,14 @@ class Part:
 
     def customers(self) -> np.ndarray:
         """Customers of each word in the parent restaurant: its tables in all contexts."""
-        return np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
+        return np.bincount(self.word, self.tables, self.n_words).astype(np.int64) + self.closed
+
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, values, self.n_contexts).astype(np.int64)
 
     def sums(self) -> np.ndarray:
         """The part's share of the totals."""
-        by_context = np.bincount(self.context, self.tables, self.model.contexts).astype(np.int64)
-        return np.concatenate([by_context, [self.tables.sum(), self.seated.sum()]])
+        return np.concatenate([self.by_context(self.tables), [self.customers().sum(), self.seated.sum()]])
 
     def sweep(self, corpus: Corpus, totals: Totals, random: np.random.Generator) -> None:
         """Seats all customers anew: every dish of every context restaurant, in random groups, then every word's tables in
@@ -301,7 +328,7 @@ class Part:
 
             new = draw_tables(random, self.count[dishes], old, d2, step, log_steps)
             self.tables[dishes] = new
-            in_context += np.bincount(context, new - old, self.model.contexts).astype(np.int64)
+            in_context += np.bincount(context, new - old, self.n_contexts).astype(np.int64)
             customers += np.bincount(word, new - old, self.n_words).astype(np.int64)
             all_customers += int((new - old).sum())
         used = np.flatnonzero(customers > 0)
@@ -322,39 +349,44 @@ def discounts_of(ones: list[int]) -> tuple[float, float]:
     return tuple(min(0.95, max(0.3, a / (a + 2 * b))) if a else 0.6 for a, b in (ones[:2], ones[2:4]))
 
 
-#: A part: what is fixed (of_block: for each block, the steps from each of its pairs to the next among the part's), and what a sweep changes.
-FIXED = "part int, sizes binary, contexts binary, counts binary, blocks array<long>, of_block array<binary>"
-STATE = f"{FIXED}, tables binary, seated binary, samples array<binary>, sums binary"
-_STATE = [c.split()[0] for c in STATE.split(", ")]
+#: A part before any seating. of_block: for each block, the steps from each of its pairs to the next among the part's.
+FIXED = "part int, names binary, sizes binary, contexts binary, counts binary, blocks array<long>, of_block array<binary>, sums binary"
+#: What a sweep reads and changes: pairs that occur more than once, the contexts they are in, and those contexts' tables at
+#: the `start` over all parts; customers and tables of the part's words in the parent.
+STATE = "part int, names binary, sizes binary, contexts binary, counts binary, closed binary, start binary, tables binary, seated binary, samples array<binary>, customers long, seats long"
+#: Values (one or several a name) that a part has for some names, cut by the owner of the names; and the owner's answer.
+MESSAGES, ANSWERS = "owner int, part int, wanted boolean, names binary, sums binary", "part int, owner int, sums binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
 
-def _state_row(row: dict, tables, seated, samples: list, sums) -> pa.RecordBatch:
-    values = [*(row[c.split()[0]] for c in FIXED.split(", ")), tables, seated, samples, sums]
-    kinds = [pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.binary()), *[pa.binary()] * 2, pa.list_(pa.binary()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=_STATE)
+def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in columns], names=[n for n, _ in columns])
 
 
 def whole_parts(dealt: DataFrame, model: Model) -> DataFrame:
     """A row a part: its pairs with counts over all blocks, before any seating. `sums` holds the words and then the pairs
-    that occur once and twice in the corpus, and the number of words that occur."""
+    that occur once and twice in the corpus, the number of words that occur, of their tokens, and of tables at the start."""
 
     def merge(batches):
-        for part, rows in _parts(batches, ["block", "words", "sizes", "contexts", "counts"]):
+        for part, rows in _groups(batches, "part", ["block", "words", "sizes", "contexts", "counts"]):
             words, sizes = [_unpack(r["words"], U) for r in rows], [_unpack(r["sizes"], np.int32) for r in rows]
             distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
-            contexts = np.concatenate([_unpack(r["contexts"], np.int32) for r in rows])
+            contexts = np.concatenate([_unpack_contexts(r["contexts"]) for r in rows])
             keys, of_row = np.unique((np.repeat(inverse, np.concatenate(sizes)) << model.context_bits) | contexts, return_inverse=True)
             counts = np.bincount(of_row, np.concatenate([_unpack(r["counts"], np.int32) for r in rows]), len(keys)).astype(np.int64)
             word = keys >> model.context_bits
             by_word = np.bincount(word, counts, len(distinct)).astype(np.int64)
-            columns = {"sizes": np.bincount(word, minlength=len(distinct)).astype(np.int32), "contexts": (keys & (model.contexts - 1)).astype(np.int32), "counts": counts.astype(np.int32)}
+            names, places = np.unique(keys & (model.contexts - 1), return_inverse=True)
+            columns = {"sizes": np.bincount(word, minlength=len(distinct)).astype(np.int32), "contexts": places.astype(np.int32), "counts": counts.astype(np.int32)}
             ones = [int((x == i).sum()) for x in (by_word, counts) for i in (1, 2)]
             ends = np.cumsum([s.sum() for s in sizes])
             steps = [_pack(np.diff(x, prepend=0).astype(np.int32)) for x in np.split(of_row, ends[:-1])]  # a block's pairs are in order
-            row = {"part": part, **{k: _pack(v) for k, v in columns.items()}, "blocks": [r["block"] for r in rows], "of_block": steps}
-            yield _state_row(row, None, None, [], _pack(np.array([*ones, (by_word > 0).sum()], np.int64)))
+            sums = [*ones, (by_word > 0).sum(), counts.sum(), (counts if model.start_apart else np.minimum(counts, 1)).sum()]
+            packed = {k: _pack(v) for k, v in columns.items()}
+            yield _batch([{"part": part, "names": _pack_sorted(names), **packed, "blocks": [r["block"] for r in rows], "of_block": steps, "sums": _pack(np.array(sums, np.int64))}], FIXED)
 
-    return stored(dealt.mapInArrow(merge, STATE), "lm-parts", compression="none")
+    return stored(dealt.mapInArrow(merge, FIXED), "lm-parts", compression="none")
 
 
 def added(rows: DataFrame, column: str) -> np.ndarray | None:
@@ -376,65 +408,143 @@ def added(rows: DataFrame, column: str) -> np.ndarray | None:
     return None if found is None else _unpack(found[0], np.int64)
 
 
-def gibbs(state: DataFrame, model: Model, corpus: Corpus) -> tuple[DataFrame, list[Totals]]:
-    """The parts after all sweeps with the tables of every sample, and each sample's totals.
+def _groups(batches, key: str, columns: list[str]):
+    """(key, its rows) with all rows of a key together; input is sorted by the key, its first column."""
+    for rows, cuts in grouped(batches, 1):
+        cuts = np.append(cuts, rows.num_rows) if cuts[-1] != rows.num_rows else cuts
+        keys = rows.column(key).to_pylist()
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            yield keys[a], rows.slice(a, b - a).select(columns).to_pylist()
+
+
+def messages(part: int, names: np.ndarray, values: np.ndarray, owners: int, model: Model, wanted: bool) -> list[dict]:
+    """A part's values (a row of `values` a quantity) for its sorted names, a message an owner; names are hashes, and an owner has a range of them."""
+    owner = (names * owners) >> model.context_bits
+    cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(names)).tolist()
+    return [{"owner": int(owner[a]), "part": part, "wanted": wanted, "names": _pack_sorted(names[a:b]), "sums": _pack(np.ascontiguousarray(values[:, a:b]).reshape(-1))} for a, b in zip(cuts, cuts[1:])]
+
+
+def exchanged(sent: DataFrame, owners: int) -> DataFrame:
+    """For each message that wants an answer, the sums of its names' values over all messages, in its order. A name's
+    values meet in the task of its owner: one entry a part that has the name."""
+
+    def add(batches):
+        for owner, rows in _groups(batches, "owner", ["part", "wanted", "names", "sums"]):
+            names = [_unpack_sorted(r["names"]) for r in rows]
+            distinct, inverse = np.unique(np.concatenate(names), return_inverse=True)
+            values = np.concatenate([_unpack(r["sums"], np.int64).reshape(-1, len(x)) for r, x in zip(rows, names)], axis=1)
+            sums = np.stack([np.bincount(inverse, v, len(distinct)).astype(np.int64) for v in values])
+            for row, x in zip(rows, names):
+                if row["wanted"]:
+                    yield _batch([{"part": row["part"], "owner": owner, "sums": _pack(sums[:, np.searchsorted(distinct, x)].reshape(-1))}], ANSWERS)
+
+    return sent.repartition(owners, "owner").sortWithinPartitions("owner", "part").mapInArrow(add, ANSWERS)
+
 
-    A sweep is one pass over the parts, and their totals are summed before the next, so all parts sample one model. The
-    passes' tables replace each other in the shared folder; the samples' tables ride along, packed.
+def _answer(rows: list[dict], quantities: int) -> np.ndarray:
+    """All owners' answers to a part, [quantity, name]; rows are sorted by owner."""
+    found = [_unpack(r["sums"], np.int64).reshape(quantities, -1) for r in rows]
+    return np.concatenate(found, axis=1) if found else np.zeros((quantities, 0), np.int64)
+
+
+def _with_answers(parts: int, answers: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Each part's rows together: of `tables` in order, then its answers by owner."""
+    rows = [t.withColumn("owner", F.lit(i - len(tables))) for i, t in enumerate(tables)]
+    for more in (*rows[1:], answers):
+        rows[0] = rows[0].unionByName(more, allowMissingColumns=True)
+    columns = [c for c in rows[0].columns if c not in ("part", "owner")]
+    return rows[0].select("part", "owner", *columns).repartition(parts, "part").sortWithinPartitions("part", "owner")
+
+
+def _opened(row: dict, model: Model) -> dict:
+    """The state of a part before the first sweep, from its fixed row."""
+    whole = Part(row, model)
+    some = whole.count > 1
+    used, places = np.unique(whole.context[some], return_inverse=True)
+    sizes, closed = (np.bincount(whole.word[x], minlength=whole.n_words).astype(np.int32) for x in (some, whole.count == 1))
+    columns = {"sizes": sizes, "closed": closed, "contexts": places.astype(np.int32), "counts": whole.count[some].astype(np.int32)}
+    return {"part": row["part"], "names": _pack_sorted(_unpack_sorted(row["names"])[used]), **{k: _pack(v) for k, v in columns.items()}, "samples": []}
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def gibbs(fixed: DataFrame, parts: int, model: Model, corpus: Corpus, begin: Totals) -> tuple[DataFrame, list[Totals]]:
+    """The parts' states after all sweeps with the tables of every sample, and each sample's totals of the parent.
+
+    Before a sweep the parts exchange how many tables they have in every context restaurant with a pair that occurs more
+    than once (the others' tables never change), keyed by context: a part gets the totals of its own contexts alone, and
+    no task holds all contexts. The passes' tables replace each other in the shared folder; the samples' tables ride along, packed.
     """
-    spark = state.sparkSession
-    known = spark.sparkContext.broadcast(corpus)
 
-    def begin(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = Part(row, model)
-                yield _state_row(row, _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32)), [], _pack(part.sums()))
-
-    def replaced(old: DataFrame, run) -> tuple[DataFrame, Totals]:
-        new = stored(old.mapInArrow(run, STATE), "lm-seating", compression="none")
-        sums = added(new, "sums")
-        discard(old)
-        return new, Totals.of(np.zeros(model.contexts + 2, np.int64) if sums is None else sums)
-
-    state, totals = replaced(state, begin)
-    kept = []
-    for sweep in range(model.sweeps):
-        shared = spark.sparkContext.broadcast(totals)
+    def first(batches):
+        for row in _rows(batches):
+            whole, state = Part(row, model), _opened(row, model)
+            used = _unpack_sorted(state["names"])
+            sent = messages(row["part"], _unpack_sorted(row["names"]), whole.by_context(whole.tables)[None], parts, model, False)
+            yield _batch(sent + messages(row["part"], used, np.zeros((1, len(used)), np.int64), parts, model, True), MESSAGES)
 
-        def seat(batches, sweep=sweep, shared=shared):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    part = Part(row, model)
-                    part.sweep(known.value, shared.value, np.random.default_rng([model.seed, row["part"], sweep]))
-                    tables, seated = _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32))
-                    yield _state_row(row, tables, seated, row["samples"] + [tables, seated] * model.is_sample(sweep), _pack(part.sums()))
+    def opened(batches):
+        for row in _rows(batches):
+            yield _batch([_opened(row, model)], STATE)
 
-        state, totals = replaced(state, seat)
+    def send(batches):
+        for row in _rows(batches):
+            part, before = Part(row, model), Part({**row, "tables": None}, model)
+            yield _batch(messages(row["part"], _unpack_sorted(row["names"]), part.by_context(part.tables - before.tables)[None], parts, model, True), MESSAGES)
+
+    state, answers, totals, kept = fixed.mapInArrow(opened, STATE), exchanged(fixed.mapInArrow(first, MESSAGES), parts), begin, []
+    for sweep in range(model.sweeps):
+
+        def seat(batches, sweep=sweep, totals=totals):
+            for number, (row, *rest) in _groups(batches, "part", [*(c.split()[0] for c in STATE.split(", ")), "sums"]):
+                part, came = Part(row, model), _answer(rest, 1)[0]
+                start = _unpack(row["start"], np.int64) if sweep else came
+                part.sweep(corpus, replace(totals, in_context=start + came if sweep else start), np.random.default_rng([model.seed, number, sweep]))
+                tables, seated = _pack(part.tables.astype(np.int32)), _pack(part.seated.astype(np.int32))
+                now = {"start": _pack(start), "tables": tables, "seated": seated, "samples": row["samples"] + [tables, seated] * model.is_sample(sweep)}
+                yield _batch([{**row, **now, "customers": int(part.customers().sum()), "seats": int(part.seated.sum())}], STATE)
+
+        old, state = state, stored(_with_answers(parts, answers, state).mapInArrow(seat, STATE), "lm-seating", compression="none")
+        if sweep:
+            discard(old)
+        customers, seats = state.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("seats"), F.lit(0))).first()
+        totals, answers = Totals(np.zeros(0, np.int64), customers, seats), exchanged(state.mapInArrow(send, MESSAGES), parts)
         if model.is_sample(sweep):
             kept.append(totals)
-        shared.unpersist()
     return state, kept
 
 
-def _parts(batches, columns):
-    """(part, its rows) with the whole of a part together; input is sorted by part."""
-    for rows, cuts in grouped(batches, 1):
-        cuts = np.append(cuts, rows.num_rows) if cuts[-1] != rows.num_rows else cuts
-        part = rows.column("part").to_pylist()
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            yield part[a], rows.slice(a, b - a).select(columns).to_pylist()
+def of_samples(fixed: DataFrame, state: DataFrame, parts: int, model: Model) -> DataFrame:
+    """Answers to every part for all its contexts: training customers, and tables in each sample."""
+
+    def whole(batches):
+        for row in _rows(batches):
+            part = Part(row, model)
+            values = np.stack([part.by_context(part.count), *[part.by_context(part.tables)] * model.samples])
+            yield _batch(messages(row["part"], _unpack_sorted(row["names"]), values, parts, model, True), MESSAGES)
+
+    def changed(batches):
+        for row in _rows(batches):
+            before = Part({**row, "tables": None}, model)
+            changes = [before.by_context(_unpack(x, np.int32) - before.tables) for x in row["samples"][::2]]
+            values = np.stack([np.zeros(before.n_contexts, np.int64), *changes])
+            yield _batch(messages(row["part"], _unpack_sorted(row["names"]), values, parts, model, False), MESSAGES)
+
+    return exchanged(fixed.mapInArrow(whole, MESSAGES).unionByName(state.mapInArrow(changed, MESSAGES)), parts)
 
 
 def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every whole text with a model learned outside the held-out fold of crc32(id).
 
     Tokens: the words of the text with A-Z lowered, then one end. Blocks of documents turn tokens into pairs of word and
-    context class; each word's pairs meet in one part (one entry a block and pair, so a frequent word is no larger than
-    its contexts), where its counts over all blocks are summed, which give the discounts. Sweeps then seat all customers
-    (gibbs), and every pair's probability is averaged over the samples; its logarithm goes to the blocks as a 32-bit float,
-    which errs by less than one in 10 million. Each block adds up its documents. Nothing whole
-    passes the driver: only one number a context class, and a few sums.
+    word before; each word's pairs meet in one part (an entry a block and pair), where its counts over all blocks are
+    summed, which give the discounts. Sweeps then seat all customers (gibbs), parts exchange the tables of their contexts
+    by context, and every pair's probability is averaged over the samples; its logarithm goes to the blocks as a 32-bit
+    float, which errs by less than one in 10 million. Each block adds up its documents. Nothing passes the driver but a few
+    sums, and nothing that grows is broadcast.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is the end alone; a
     very long text is one document of its block, and tokens in training count each time they occur; words tied in count
@@ -448,34 +558,31 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
     held = crc_of_id(id_col) % folds == held_fold
     blocks = make_blocks(docs, held, parts, model, id_col, text_col)
     heads, pairs = blocks.filter("part < 0"), blocks.filter("part >= 0").select("part", "block", "words", "sizes", "contexts", "counts")
-    counts = added(heads, "context_counts")
-    counts = np.zeros(model.contexts, np.int64) if counts is None else counts
-    state = whole_parts(pairs.repartition(parts, "part").sortWithinPartitions("part", "block"), model)
-    ones = added(state, "sums")
-    *ones, vocabulary = [0] * 5 if ones is None else ones.tolist()
-    corpus = Corpus(counts, int(counts.sum()), discounts_of(ones), vocabulary)
-    state, totals = gibbs(state, model, corpus)
-    known = spark.sparkContext.broadcast((corpus, totals))
+    fixed = whole_parts(pairs.repartition(parts, "part").sortWithinPartitions("part", "block"), model)
+    found = added(fixed, "sums")
+    *ones, vocabulary, tokens, tables = [0] * 7 if found is None else found.tolist()
+    corpus = Corpus(np.zeros(0, np.int64), tokens, discounts_of(ones), vocabulary)
+    state, totals = gibbs(fixed, parts, model, corpus, Totals(np.zeros(0, np.int64), tables, vocabulary))
 
     def predict(batches):
         """For every block, the logs of its pairs' probabilities, and the training count of each of its words in this part."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                part, average = Part(row, model), 0.0
-                for i, at in enumerate(known.value[1]):
-                    part.tables, part.seated = (_unpack(x, np.int32).astype(np.int64) for x in row["samples"][2 * i : 2 * i + 2])
-                    average = average + part.probabilities(known.value[0], at)
-                logs, learned = np.log10(average / len(known.value[1])).astype(np.float32), np.bincount(part.word, part.count, part.n_words).astype(np.int64)
-                for block, steps in zip(row["blocks"], row["of_block"]):
-                    pairs = np.cumsum(_unpack(steps, np.int32), dtype=np.int64)
-                    starts = np.flatnonzero(np.diff(part.word[pairs], prepend=-1))
-                    sizes = np.diff(starts, append=len(pairs)).astype(np.int32)
-                    values = (block, row["part"], _pack(logs[pairs]), _pack(learned[part.word[pairs[starts]]]), _pack(sizes))
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["block", "part", "scores", "learned", "sizes"])
-
-    scored = state.mapInArrow(predict, "block long, part int, scores binary, learned binary, sizes binary")
+        for _, (row, sampled, *rest) in _groups(batches, "part", ["part", "names", "sizes", "contexts", "counts", "blocks", "of_block", "samples", "sums"]):
+            part, average, came = Part(row, model), 0.0, _answer(rest, 1 + model.samples)
+            here, some = replace(corpus, context_counts=came[0]), part.count > 1
+            for i, at in enumerate(totals):
+                part.tables = np.minimum(part.count, 1)
+                part.tables[some], part.seated = (_unpack(x, np.int32).astype(np.int64) for x in sampled["samples"][2 * i : 2 * i + 2])
+                average = average + part.probabilities(here, replace(at, in_context=came[1 + i]))
+            logs, learned = np.log10(average / len(totals)).astype(np.float32), np.bincount(part.word, part.count, part.n_words).astype(np.int64)
+            for block, steps in zip(row["blocks"], row["of_block"]):
+                pairs = np.cumsum(_unpack(steps, np.int32), dtype=np.int64)
+                starts = np.flatnonzero(np.diff(part.word[pairs], prepend=-1))
+                sizes = np.diff(starts, append=len(pairs)).astype(np.int32)
+                values = (block, row["part"], _pack(logs[pairs]), _pack(learned[part.word[pairs[starts]]]), _pack(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["block", "part", "scores", "learned", "sizes"])
+
+    scored = _with_answers(parts, of_samples(fixed, state, parts, model), fixed.drop("sums"), state.select("part", "samples")).mapInArrow(predict, "block long, part int, scores binary, learned binary, sizes binary")
     both = heads.select("block", "part", "ids", "held", "lengths", "codes").unionByName(scored, allowMissingColumns=True)
-    tokens = corpus.tokens
 
     def finish(batches):
         for rows, cuts in grouped(batches, 1):
