@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strandweave.plans.shared import discard
 
-from .common import crc_of_id, stored
+from .common import crc_of_id, new_path, stored
 from .neardup import grouped, mixed
 
 U = np.uint64
@@ -156,7 +156,16 @@ def make_blocks(docs: DataFrame, held, parts: int, model: Model, id_col: str, te
         if found:
             yield from emit(task, n, ids, held, found, words)
 
-    return stored(rows.mapInArrow(block, BLOCKS), "lm-blocks", compression="none")
+    path, spark = new_path(docs.sparkSession, "lm-blocks"), docs.sparkSession
+    rows.mapInArrow(block, BLOCKS).withColumn("pairs", F.col("part") >= 0).write.partitionBy("pairs").parquet(path, compression="none")
+    return spark.read.schema(f"{BLOCKS}, pairs boolean").parquet(path)
+
+
+def discard_pairs(blocks: DataFrame) -> None:
+    """Deletes the pairs of make_blocks, once they are merged; the documents stay."""
+    files = [f for f in blocks.inputFiles() if "/pairs=true/" in f]
+    if files:
+        discard(blocks.sparkSession.read.schema(BLOCKS).parquet(files[0]))
 
 
 # --- seating
@@ -557,8 +566,9 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, model: Mode
     parts = max(1, -(-size // PART_BYTES))
     held = crc_of_id(id_col) % folds == held_fold
     blocks = make_blocks(docs, held, parts, model, id_col, text_col)
-    heads, pairs = blocks.filter("part < 0"), blocks.filter("part >= 0").select("part", "block", "words", "sizes", "contexts", "counts")
+    heads, pairs = blocks.filter("not pairs"), blocks.filter("pairs").select("part", "block", "words", "sizes", "contexts", "counts")
     fixed = whole_parts(pairs.repartition(parts, "part").sortWithinPartitions("part", "block"), model)
+    discard_pairs(blocks)
     found = added(fixed, "sums")
     *ones, vocabulary, tokens, tables = [0] * 7 if found is None else found.tolist()
     corpus = Corpus(np.zeros(0, np.int64), tokens, discounts_of(ones), vocabulary)
