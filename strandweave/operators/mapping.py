@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from strandweave.functions.scalar import bare_name, direction
-from strandweave.plans.shared import stored
+from strandweave.plans.shared import numbered, stored
 
 
 def positional_index(paths: DataFrame, bxmx: DataFrame, split: bool = False) -> DataFrame:
@@ -44,8 +47,11 @@ def hits(queries: DataFrame, index: DataFrame) -> DataFrame:
     return queries.join(index, "mx").select("qid", "qpos", "tid", "tpos")
 
 
-#: Rows of a group whose values are gathered in one array; ranks of larger groups are found by chunks of WIDTH values.
+#: Rows of a group whose values are gathered in one array, and hits of a query that one task folds at once; ranks of larger
+#: groups are found by chunks of WIDTH values.
 LONG, WIDTH = 1_000_000, 1024
+#: Positions of a marker in one row; those of a marker that stands at more are spread over several.
+SPOTS = 256
 
 
 def large_groups(rows: DataFrame, key: str) -> DataFrame | None:
@@ -78,21 +84,225 @@ def values_at(rows: DataFrame, keys: list[str], value: str, places: dict[str, Ca
     return found.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places))
 
 
-def _in_two(found: DataFrame, queries: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """small(hits) for the hits of most queries and large(hits) for those of queries of more than LONG markers: no position
-    has more hits of a query than that has markers."""
-    long = large_groups(queries, "qid")
+class Spots(NamedTuple):
+    """rows(mx, first, n, spots): the n positions of each marker in parts of about SPOTS, one of them the first, as _packed
+    gives them; the paths' names(tid, _t) where paths are numbered, None where tid is the number; and index, stored."""
+
+    rows: DataFrame
+    names: DataFrame | None
+    index: DataFrame
+
+
+def _packed(spots: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Lists of n ascending numbers path << 32 | tpos as bytes: what path and tpos gain on the one before, the latter with its
+    sign in the lowest bit, each in groups of 7 bits of which all but the last have the eighth set."""
+    heads = np.cumsum(n) - n
+    gains = np.empty((len(spots), 2), np.int64)
+    for i, part in enumerate((spots >> 32, spots & 0xFFFFFFFF)):
+        gains[:, i] = np.diff(part, prepend=0)
+        gains[heads, i] = part[heads]
+    gains[:, 1] = (gains[:, 1] << 1) ^ (gains[:, 1] >> 63)
+    values = gains.ravel()
+    width = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(width > k)
+        out[ends[some] - width[some] + k] = (values[some] >> 7 * k & 127) | np.where(width[some] > k + 1, 128, 0)
+    offsets = np.concatenate([[0], ends[2 * np.cumsum(n) - 1]]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists that _packed gave, and how many each has (null: none)."""
+    lists = pc.fill_null(lists.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+    held = lists.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    last = data < 128
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    values = (data[starts] & 127).astype(np.int64)
+    for k in range(1, 5):
+        some = np.flatnonzero(ends - starts > k)
+        values[some] |= (data[starts[some] + k] & 127).astype(np.int64) << 7 * k
+    upto = np.concatenate([[0], np.cumsum(last)])[offsets - offsets[0]] // 2
+    n = np.diff(upto)
+    path, tpos = values[::2], values[1::2]
+    spots = np.zeros(len(path), np.int64)
+    for gains, shift in ((path, 32), ((tpos >> 1) ^ -(tpos & 1), 0)):
+        total = np.concatenate([[0], np.cumsum(gains)])
+        spots += (total[1:] - np.repeat(total[upto[:-1]], n)) << shift
+    return spots, n
+
+
+def _spots(index: DataFrame) -> Spots:
+    index = stored(index.select("mx", "tid", "tpos"), "index")
+    names, rows = None, index.withColumn("_t", F.col("tid"))
+    fits = isinstance(index.schema["tid"].dataType, T.IntegralType)
+    if fits:
+        low, high, null = index.agg(F.min("tid"), F.max("tid"), F.count_if(F.col("tid").isNull())).first()
+        fits = not null and (low is None or (low >= 0 and high < 2**31))
+    if not fits:
+        names = stored(numbered(index.select("tid").distinct(), [F.col("tid")], "_t"), "paths")
+        rows = index.join(names.withColumnRenamed("tid", "_name"), F.col("tid").eqNullSafe(F.col("_name")))
+    parts = F.ceil(F.count("*").over(W.Window.partitionBy("mx")) / SPOTS)
+    spot = F.shiftleft(F.col("_t").cast("long"), 32).bitwiseOR(F.col("tpos").cast("long"))
+    placed = rows.select("mx", spot.alias("spot"), F.pmod(F.xxhash64("_t", "tpos"), parts).alias("_p"))
+    lists = placed.groupBy("mx", "_p").agg(F.array_sort(F.collect_list("spot")).alias("spots"))
+    first = F.row_number().over(W.Window.partitionBy("mx").orderBy("_p")) == 1
+    lists = lists.select("mx", first.alias("first"), F.size("spots").cast("long").alias("n"), "spots")
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.set_column(3, "spots", _packed(batch.column("spots").flatten().to_numpy(), batch.column("n").to_numpy()))
+
+    kinds = T.StructType([*lists.schema.fields[:3], T.StructField("spots", T.BinaryType())])
+    return Spots(stored(lists.mapInArrow(pack, kinds), "spots"), names, index)
+
+
+def _large_queries(queries: DataFrame, spots: Spots) -> DataFrame | None:
+    """(qid) of the queries of more than LONG hits, None if there is none."""
+    most = spots.rows.groupBy("mx").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    may = stored(queries.groupBy("qid").agg(F.count("*").alias("_n")).filter(F.col("_n") * most > LONG).select("qid"), "may")
+    if may.isEmpty():
+        return None
+    weights = queries.join(may, "qid", "left_semi").join(spots.rows.select("mx", "n"), "mx").groupBy("qid").agg(F.sum("n").alias("_n"))
+    large = stored(weights.filter(F.col("_n") > LONG).select("qid"), "large")
+    return None if large.isEmpty() else large
+
+
+class Found(NamedTuple):
+    """Hits of whole queries, by query, position and query position: q numbers the queries, spot is path << 32 | tpos. Hits of
+    one query and position are a group: starts, sizes, and the groups' q and spot."""
+
+    qpos: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    q: np.ndarray
+    spot: np.ndarray
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The query position at a 0-based place of each group."""
+        return self.qpos[self.starts + places]
+
+
+def _sorted_hits(q: np.ndarray, spot: np.ndarray, qpos: np.ndarray) -> Found:
+    order = np.lexsort((qpos, spot, q))
+    q, spot = q[order], spot[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (spot[1:] != spot[:-1])
+    starts = np.flatnonzero(new)
+    return Found(qpos[order], starts, np.diff(starts, append=len(q)), q[starts], spot[starts])
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of whole queries, from batches in the order of queries."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = batch.column("qid").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        last = int(np.searchsorted(code, code[-1]))  # codes rise, as queries come in order
+        if held and last == 0 and held[-1].column("qid")[-1].as_py() == batch.column("qid")[0].as_py():
+            held.append(batch)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _folded(queries: DataFrame, spots: Spots, columns: dict[str, T.DataType], make: Callable[[Found], tuple[np.ndarray, dict]]) -> DataFrame:
+    """(qid, qlength, tid, tpos, score) and `columns` of the positions that make(hits) keeps, with the columns' values there.
+
+    Only rows of queries are shuffled, each with the list of its marker's positions; a task sorts them by query and folds
+    whole queries, some LONG hits at a time, so hits are never rows of Spark's.
+    """
+    lists = queries.select("qid", "qpos", "mx").join(spots.rows.drop("n"), "mx", "left").select("qid", F.col("qpos").cast("long").alias("qpos"), F.coalesce("first", F.lit(True)).alias("first"), "spots")
+    ordered = lists.repartition("qid").sortWithinPartitions("qid", "qpos")
+    bound = LONG
+    kinds = [T.StructField("qid", queries.schema["qid"].dataType), *(T.StructField(c, T.LongType()) for c in ("qlength", "_t", "tpos", "score")), *(T.StructField(c, t) for c, t in columns.items())]
+
+    def fold(batches):
+        for table in _pieces(batches):
+            if not table.num_rows:
+                continue
+            qid = table.column("qid").combine_chunks()
+            code = qid.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            heads = np.flatnonzero(np.diff(code, prepend=-1))
+            flat, counts = _unpacked(table.column("spots").combine_chunks())
+            qpos, first = table.column("qpos").to_numpy(), table.column("first").to_numpy()
+            lengths, upto = np.add.reduceat(first.astype(np.int64), heads), np.concatenate([[0], np.cumsum(counts)])
+            ends = upto[np.append(heads[1:], len(code))]  # hits up to the end of each query
+            done = 0
+            while done < len(heads):
+                begin = upto[heads[done]]
+                until = max(int(np.searchsorted(ends, begin + bound, "right")), done + 1)
+                rows = slice(heads[done], heads[until] if until < len(heads) else len(code))
+                done = until
+                if upto[rows.stop] == begin:
+                    continue
+                found = _sorted_hits(np.repeat(code[rows], counts[rows]), flat[begin : upto[rows.stop]], np.repeat(qpos[rows], counts[rows]))
+                keep, made = make(found)
+                q, spot = found.q[keep], found.spot[keep]
+                values = [qid.take(pa.array(heads[q])), pa.array(lengths[q]), pa.array(spot >> 32), pa.array(spot & 0xFFFFFFFF), pa.array(found.sizes[keep]), *(pa.array(made[c]) for c in columns)]
+                yield pa.RecordBatch.from_arrays(values, names=[k.name for k in kinds])
+
+    rows = ordered.mapInArrow(fold, T.StructType(kinds))
+    path, kind = F.col("_t"), spots.index.schema
+    if spots.names is not None:
+        rows, path = rows.join(spots.names, "_t"), F.col("tid")
+    return rows.select("qid", "qlength", path.cast(kind["tid"].dataType).alias("tid"), F.col("tpos").cast(kind["tpos"].dataType).alias("tpos"), "score", *columns)
+
+
+def _in_two(queries: DataFrame, index: DataFrame, small: Callable[[DataFrame, Spots], DataFrame], large: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """small(queries, spots) for most queries and large(queries, index) for those of more than LONG hits."""
+    spots = _spots(index)
+    long = _large_queries(queries, spots)
     if long is None:
-        return small(found)
-    return small(found.join(F.broadcast(long), "qid", "left_anti")).unionByName(large(found.join(F.broadcast(long), "qid", "left_semi")))
+        return small(queries, spots)
+    rest = queries.join(long.withColumnRenamed("qid", "_q"), F.col("qid").eqNullSafe(F.col("_q")), "left_anti")
+    return small(rest, spots).unionByName(large(queries.join(long, "qid", "left_semi"), spots.index))
 
 
-def scored_positions(found: DataFrame, queries: DataFrame) -> DataFrame:
+def scored_positions(found: DataFrame) -> DataFrame:
     """(qid, tid, tpos, score, median): hits of each query at each position and the lower median of their query positions."""
-    keys = ["qid", "tid", "tpos"]
-    gathered = lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("score"), median_low(F.array_sort(F.collect_list("qpos"))).alias("median"))
-    chunked = lambda rows: values_at(rows, keys, "qpos", {"median": lambda n: F.floor((n - 1) / 2)}).withColumnRenamed("n", "score")
-    return _in_two(found, queries, gathered, chunked)
+    return values_at(found, ["qid", "tid", "tpos"], "qpos", {"median": lambda n: F.floor((n - 1) / 2)}).withColumnRenamed("n", "score")
+
+
+def _turns(found: Found, here: np.ndarray, reach: int) -> np.ndarray:
+    """The orientation of each group, as _neighbour_direction tells it."""
+    n = len(here)
+    if reach == 1:
+        next_to = np.zeros(n + 1, bool)
+        next_to[1:n] = (found.q[1:] == found.q[:-1]) & (found.spot[1:] == found.spot[:-1] + 1)
+        has_before, has_after = next_to[:n], next_to[1:]
+        before, after = np.roll(here, 1), np.roll(here, -1)
+    else:
+        has_before = has_after = np.ones(n, bool)
+        before, after = (_middle(found, here, reach, side) for side in (-1, 1))
+    rises = np.where(has_before & has_after, (before <= here) & (here <= after), np.where(has_before, before < here, has_after & (here < after)))
+    falls = np.where(has_before & has_after, (before >= here) & (here >= after), np.where(has_before, before > here, has_after & (here > after)))
+    return np.where(rises & ~falls, "+", np.where(falls & ~rises, "-", "."))
+
+
+def _middle(found: Found, here: np.ndarray, reach: int, side: int) -> np.ndarray:
+    """The lower median over the positions from reach - 1 before up to here (side -1), or the upper one over those after."""
+    out = np.empty_like(here)
+    rows = np.arange(len(here))
+    step = max(1, LONG // reach)
+    for low in range(0, len(here), step):
+        own = rows[low : low + step, None]
+        at = own + side * np.arange(min(reach, len(here)))[None, :]
+        inside = (at >= 0) & (at < len(here))
+        at = np.where(inside, at, own)
+        inside &= (found.q[at] == found.q[own]) & (np.abs(found.spot[at] - found.spot[own]) < reach)
+        values = np.sort(np.where(inside, here[at], np.iinfo(here.dtype).max), axis=1)
+        n = inside.sum(axis=1)
+        out[low : low + step] = values[np.arange(len(own)), (n - 1) // 2 if side < 0 else n // 2]
+    return out
 
 
 def _neighbour_direction(here: str, reach: int) -> Column:
@@ -112,7 +322,17 @@ def map_to_bed(queries: DataFrame, index: DataFrame, least: int = 1, reach: int
     """
     if reach < 1:
         raise ValueError("reach must be 1 or more")
-    rows = scored_positions(hits(queries, index), queries).withColumn("orientation", _neighbour_direction("median", reach)).filter(F.col("score") >= least)
+    def small(some: DataFrame, spots: Spots) -> DataFrame:
+        def make(found: Found) -> tuple[np.ndarray, dict]:
+            keep = found.sizes >= least
+            return keep, {"orientation": _turns(found, found.at((found.sizes - 1) // 2), reach)[keep]}
+
+        return _folded(some, spots, {"orientation": T.StringType()}, make).drop("qlength")
+
+    def large(some: DataFrame, index: DataFrame) -> DataFrame:
+        return scored_positions(hits(some, index)).withColumn("orientation", _neighbour_direction("median", reach)).filter(F.col("score") >= least).drop("median")
+
+    rows = _in_two(queries, index, small, large)
     return rows.select(F.col("tid").alias("tname"), F.col("tpos").alias("tstart"), (F.col("tpos") + 1).alias("tend"), F.col("qid").alias("qname"), "score", "orientation")
 
 
@@ -126,23 +346,28 @@ def map_to_paf(queries: DataFrame, index: DataFrame, paths: DataFrame, least: in
 
     mapq is 100 * score / (qend - qstart), truncated; where start and end are equal it is 0. Lengths are marker and element counts.
     """
-    sizes = queries.groupBy("qid").agg(F.count("*").alias("qlength"))
     lengths = paths.groupBy("tid").agg(F.count("*").alias("tlength"))
     keys, shares = ["qid", "tid", "tpos"], {f"q{i}": i / 4 for i in range(5)}
+    kind = queries.schema["qpos"].dataType
+
+    def small(some: DataFrame, spots: Spots) -> DataFrame:
+        def make(found: Found) -> tuple[np.ndarray, dict]:
+            keep = found.sizes >= least
+            q = {c: found.at(np.rint(p * (found.sizes - 1)).astype(np.int64)) for c, p in shares.items()}
+            return keep, {c: v[keep] for c, v in q.items()} | {"orientation": _turns(found, q["q2"], 1)[keep]}
 
-    def gathered(rows: DataFrame) -> DataFrame:
-        arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("qpos")).alias("q"), F.count("*").alias("score"))
-        return arrays.withColumns({c: rank_value(F.col("q"), p) for c, p in shares.items()}).drop("q")
+        rows = _folded(some, spots, dict.fromkeys(shares, T.LongType()) | {"orientation": T.StringType()}, make).filter("qid IS NOT NULL")
+        return rows.withColumns({c: F.col(c).cast(kind) for c in shares})
 
-    def chunked(rows: DataFrame) -> DataFrame:
+    def large(some: DataFrame, index: DataFrame) -> DataFrame:
         places = {c: lambda n, p=p: F.rint(F.lit(p) * (n - 1)) for c, p in shares.items()}
-        return values_at(rows, keys, "qpos", places).withColumnRenamed("n", "score")
+        rows = values_at(hits(some, index), keys, "qpos", places).withColumnRenamed("n", "score").withColumn("orientation", _neighbour_direction("q2", 1))
+        return rows.filter(F.col("score") >= least).join(some.groupBy("qid").agg(F.count("*").alias("qlength")), "qid")
 
-    grouped = _in_two(hits(queries, index), queries, gathered, chunked)
     q0, q1, q3, q4 = (F.col(c) for c in ("q0", "q1", "q3", "q4"))
     reach = coef * (q3 - q1)
-    rows = grouped.withColumns({"qstart": F.greatest(q0, (q1 - reach).cast("int")), "qend": F.least(q4, (q3 + reach).cast("int"))})
-    rows = rows.withColumn("orientation", _neighbour_direction("q2", 1)).filter(F.col("score") >= least).join(sizes, "qid").join(lengths, "tid")
+    rows = _in_two(queries, index, small, large).join(lengths, "tid")
+    rows = rows.withColumns({"qstart": F.greatest(q0, (q1 - reach).cast("int")), "qend": F.least(q4, (q3 + reach).cast("int"))})
     mapq = F.coalesce(F.try_divide(100 * F.col("score"), F.col("qend") - F.col("qstart")).cast("int"), F.lit(0))
     return rows.select(
         F.col("qid").alias("qname"), "qlength", "qstart", "qend", "orientation", F.col("tid").alias("tname"), "tlength", F.col("tpos").alias("tstart"), (F.col("tpos") + 1).alias("tend"), "score", F.col("qlength").alias("length"), mapq.alias("mapq")
@@ -210,6 +435,67 @@ def mann_kendall(x: np.ndarray, t: np.ndarray | None = None, eps: float = 1.0, a
     return Trend(s, z, tails[alternative] if abs(s) > eps else 0.5, accepted, slope, float(x.mean() - slope * t.mean()) if n else 0.0)
 
 
+#: Values of a group that are compared with each other in one matrix with other groups' values.
+PAIRED = 256
+
+
+def _trend_signs(x: np.ndarray, t: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p_value: float) -> np.ndarray:
+    """+, - or . of each group of integers x at t, in order: the sign of the line where mann_kendall's p is below p_value.
+
+    Groups of up to PAIRED values are tested together, those of about the same size as one matrix.
+    """
+    owner, law = np.repeat(np.arange(len(sizes)), sizes), NormalDist()
+    s, ties = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    width = -(-sizes // 16) * 16
+    for w in np.unique(width[sizes <= PAIRED]):
+        for part in np.array_split(np.flatnonzero(width == w), max(1, int((width == w).sum() * w // LONG))):
+            places = np.arange(w)[None, :]
+            inside = places < sizes[part, None]
+            values = np.where(inside, x[np.where(inside, starts[part, None] + places, 0)], np.nan)
+            for d in range(1, int(sizes[part].max(initial=0))):
+                gap = values[:, d:] - values[:, :-d]
+                s[part] += (gap > 1).sum(axis=1) - (gap < -1).sum(axis=1)
+    for i in np.flatnonzero(sizes > PAIRED):
+        rises, falls = _earlier(x[starts[i] : starts[i] + sizes[i]].astype(float), 1.0)
+        s[i] = rises - falls
+    order = np.lexsort((x, owner))
+    heads = np.flatnonzero((np.diff(x[order], prepend=0) != 0) | (np.diff(owner[order], prepend=-1) != 0))
+    same = np.diff(heads, append=len(x))
+    np.add.at(ties, owner[order][heads], same * (same - 1) * (2 * same + 5))
+    spread = (sizes * (sizes - 1) * (2 * sizes + 5) - ties) / 18
+    tested = (spread > 0) & (np.abs(s) > 1)
+    z = np.where(tested, (s - np.sign(s)) / np.sqrt(np.where(spread > 0, spread, 1)), 0.0)
+    p = np.where(np.abs(s) > 1, [0.5 * (1 - law.cdf(v)) for v in np.abs(z).tolist()], 0.5)
+    total = lambda v: np.add.reduceat(v, starts) if len(starts) else v
+    x0, t0 = x - x[starts][owner], t - t[starts][owner]
+    line = sizes * total(x0 * t0) - total(x0) * total(t0)
+    return np.where((p >= p_value) | (line == 0), ".", np.where(line > 0, "+", "-"))
+
+
+def _trends(found: Found, least: int, p_value: float, most: int) -> tuple[np.ndarray, dict]:
+    median, head = found.at((found.sizes - 1) // 2), found.at(np.zeros_like(found.sizes))
+    path = found.spot >> 32
+    beside = np.zeros(len(median) + 1, bool)
+    beside[1:-1] = (found.q[1:] == found.q[:-1]) & (found.spot[1:] == found.spot[:-1] + 1)
+    joined = beside[:-1] | beside[1:]
+    new = np.ones(len(median), bool)
+    new[1:] = (found.q[1:] != found.q[:-1]) | (path[1:] != path[:-1])
+    line = np.cumsum(new) - 1  # a query on a path
+    count = lambda w: np.bincount(line, weights=w, minlength=line[-1] + 1).astype(np.int64)
+    thin = (count(joined) > most) | (count(joined * found.sizes) > 50_000)
+    times = np.where(joined, np.where(thin[line], 1, found.sizes), 0)
+    group = np.repeat(np.arange(len(times)), times)
+    place = np.arange(len(group)) - np.repeat(np.cumsum(times) - times, times)
+    x = np.where(thin[line[group]], median[group], found.qpos[found.starts[group] + place])
+    t = (found.spot & 0xFFFFFFFF)[group]
+    order = np.lexsort((x, t, head[group], line[group]))
+    signs = np.full(line[-1] + 1, ".", dtype="<U1")
+    present, starts, sizes = np.unique(line[group], return_index=True, return_counts=True)
+    signs[present] = _trend_signs(x[order], t[order], starts, sizes, p_value)
+    keep = found.sizes >= least
+    return keep, {"orientation": signs[line][keep]}
+
+
 def map_trend(queries: DataFrame, index: DataFrame, least: int = 1, p_value: float = 0.01, most: int = 50) -> DataFrame:
     """BED rows as map_to_bed, oriented by a Mann-Kendall trend of query positions along each path.
 
@@ -217,8 +503,18 @@ def map_trend(queries: DataFrame, index: DataFrame, least: int = 1, p_value: flo
     each position's lower median stands for it. Points follow the order in which the query first meets a position; their
     trend says whether there is an orientation, and the slope of their line over the path which it is.
     """
+
+    def small(some: DataFrame, spots: Spots) -> DataFrame:
+        return _folded(some, spots, {"orientation": T.StringType()}, lambda found: _trends(found, least, p_value, most)).drop("qlength")
+
+    rows = _in_two(queries, index, small, lambda some, index: _trends_by_path(some, index, least, p_value, most))
+    return rows.select(F.col("tid").alias("tname"), F.col("tpos").alias("tstart"), (F.col("tpos") + 1).alias("tend"), F.col("qid").alias("qname"), "score", "orientation")
+
+
+def _trends_by_path(queries: DataFrame, index: DataFrame, least: int, p_value: float, most: int) -> DataFrame:
+    """map_trend's rows for queries of many hits, whose hits on one path meet in a task."""
     found = hits(queries, index)
-    spots = scored_positions(found, queries)
+    spots = scored_positions(found)
     along = W.Window.partitionBy("qid", "tid").orderBy("tpos").rangeBetween
     joined = (F.max("median").over(along(-1, -1)).isNotNull()) | (F.max("median").over(along(1, 1)).isNotNull())
     trended = spots.withColumn("joined", joined).filter("joined").select("qid", "tid", "tpos", "median")
@@ -240,7 +536,7 @@ def map_trend(queries: DataFrame, index: DataFrame, least: int = 1, p_value: flo
     kinds = dict(points.dtypes)
     trends = points.groupBy("qid", "tid").applyInPandas(trend, f"qid {kinds['qid']}, tid {kinds['tid']}, trend string")
     rows = spots.filter(F.col("score") >= least).join(trends, ["qid", "tid"], "left")
-    return rows.select(F.col("tid").alias("tname"), F.col("tpos").alias("tstart"), (F.col("tpos") + 1).alias("tend"), F.col("qid").alias("qname"), "score", F.coalesce("trend", F.lit(".")).alias("orientation"))
+    return rows.select("qid", "tid", "tpos", "score", F.coalesce("trend", F.lit(".")).alias("orientation"))
 
 
 def liftover(paf: DataFrame, positions: DataFrame) -> DataFrame:
