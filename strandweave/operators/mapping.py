@@ -541,11 +541,25 @@ def _trends_by_path(queries: DataFrame, index: DataFrame, least: int, p_value: f
 
 def liftover(paf: DataFrame, positions: DataFrame) -> DataFrame:
     """PAF intervals in marker numbers as nucleotide positions, by positions(qid, idx, pos); qlength becomes the last position."""
-    at = positions.select(F.col("qid").alias("qname"), "idx", "pos")
-    start, end = at.withColumnsRenamed({"idx": "qstart", "pos": "lifted_start"}), at.withColumnsRenamed({"idx": "qend", "pos": "lifted_end"})
-    last = positions.groupBy(F.col("qid").alias("qname")).agg(F.max("pos").alias("last"))
-    rows = paf.join(start, ["qname", "qstart"]).join(end, ["qname", "qend"]).join(last, "qname")
-    return rows.withColumns({"qstart": F.col("lifted_start"), "qend": F.col("lifted_end"), "qlength": F.col("last")}).select(*paf.columns)
+    columns, own = paf.columns, positions.select(F.col("qid").alias("qname"), "idx", "pos")
+    counts = own.groupBy("qname").agg(F.count("*").alias("_n"), F.min("idx").alias("_low"), F.max("idx").alias("_high"), F.count_distinct("idx").alias("_idx"))
+    # Queries whose numbers run without a gap or a repeat are a list each, so that a record meets its query once.
+    plain = (F.col("_n") <= LONG) & (F.col("_n") == F.col("_idx")) & (F.col("_n") == F.col("_high") - F.col("_low") + 1)
+    rest = stored(counts.filter(~plain).select("qname"), "rest")
+    none = rest.isEmpty()
+    lists = (own if none else own.join(rest, "qname", "left_anti")).groupBy("qname").agg(F.array_sort(F.collect_list(F.struct("idx", "pos"))).alias("_a"), F.max("pos").alias("_last"))
+    low, n = F.col("_a")[0]["idx"], F.size("_a")
+    inside = lambda c: (F.col(c) >= low) & (F.col(c) < low + n)
+    lifted = lambda c: F.get("_a", (F.col(c) - low).cast("int"))["pos"]
+    found = paf.join(lists, "qname").filter(inside("qstart") & inside("qend"))
+    rows = found.select(*({"qstart": lifted("qstart"), "qend": lifted("qend"), "qlength": F.col("_last")}.get(c, F.col(c)).alias(c) for c in columns))
+    if none:
+        return rows
+    own = own.join(rest, "qname", "left_semi")
+    start, end = own.withColumnsRenamed({"idx": "qstart", "pos": "lifted_start"}), own.withColumnsRenamed({"idx": "qend", "pos": "lifted_end"})
+    last = own.groupBy("qname").agg(F.max("pos").alias("last"))
+    other = paf.join(start, ["qname", "qstart"]).join(end, ["qname", "qend"]).join(last, "qname")
+    return rows.unionByName(other.withColumns({"qstart": F.col("lifted_start"), "qend": F.col("lifted_end"), "qlength": F.col("last")}).select(*columns))
 
 
 def best_per_position(bed: DataFrame) -> DataFrame:

@@ -74,3 +74,16 @@ def test_trends_of_many_groups_are_those_of_one(monkeypatch):
     for s, n, sign in zip(starts, sizes, got, strict=True):
         one, line = mapping.mann_kendall(x[s : s + n].astype(float), t[s : s + n].astype(float), alpha=0.01), n * (x[s : s + n] * t[s : s + n]).sum() - x[s : s + n].sum() * t[s : s + n].sum()
         assert sign == ("." if one.p >= 0.01 or line == 0 else "+" if line > 0 else "-")
+
+
+def test_lifted_once(spark):
+    """Queries whose markers are numbered without gaps, with gaps and with repeats; a record meets its query once."""
+    paf = spark.createDataFrame([(q, 9, a, b, "x") for q in "abc" for a, b in ((0, 2), (1, 4), (2, 2))], "qname string, qlength long, qstart int, qend int, tname string")
+    spots = [("a", i, i * 10) for i in range(4)] + [("b", i, i * 10) for i in (0, 1, 2, 4)] + [("c", i, p) for i, p in ((0, 5), (2, 7), (2, 8))]
+    found = mapping.liftover(paf, spark.createDataFrame(spots, "qid string, idx int, pos long"))
+    assert sorted(map(tuple, found.collect())) == sorted([
+        ("a", 30, 0, 20, "x"), ("a", 30, 20, 20, "x"), ("b", 40, 0, 20, "x"), ("b", 40, 10, 40, "x"), ("b", 40, 20, 20, "x"),
+        ("c", 8, 5, 7, "x"), ("c", 8, 5, 8, "x"), *[("c", 8, a, b, "x") for a in (7, 8) for b in (7, 8)],
+    ])
+    plain = mapping.liftover(paf, spark.createDataFrame(spots[:4], "qid string, idx int, pos long"))._jdf.queryExecution().executedPlan().toString()
+    assert "qstart" not in "".join(x for x in plain.splitlines() if "Exchange hashpartitioning" in x)
