@@ -22,7 +22,7 @@ class PhysicalMap(NamedTuple):
 
 def physical_map(bxmx: DataFrame, least: int = 100, below: int | None = 5000, depth: int = 0, shared: int = 10, percent: float = 90, strategy: str = "distributed+sqcosbin", branch: int = 10, bridge: int = 10, junction: int = 200) -> PhysicalMap:
     """From barcode x marker rows to backbones. The filtered rows, the thinned graph and the molecule graph are stored."""
-    rows = stored(incidence.filter_incidence(incidence.filter_barcodes(bxmx, least, below), 1, None, depth), "filtered")
+    rows = stored(incidence.filter_incidence(stored(incidence.filter_barcodes(bxmx, least, below), "barcodes"), 1, None, depth), "filtered")
     thin = stored(overlap.filter_percentile(stored(overlap.overlap_edges(rows, shared), "edges"), percent), "graph")
     edges = stored(communities.molecule_graph(thin, strategy)[1], "molecules")
     vertices = overlap.ends(edges).distinct()
