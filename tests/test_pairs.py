@@ -54,3 +54,19 @@ def test_nulls_and_repeats(spark):
     rows = [(None, 1), (1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (4, None), (5, None)]
     found = overlap.overlap_edges(spark.createDataFrame(rows, "bx long, mx long"), 1)
     assert sorted(map(tuple, found.collect())) == [(1, 2, 4), (1, 3, 2), (2, 3, 2)]
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_pairs_are_counted_from_lists(spark, kind):
+    """Barcodes whose lists come in many batches, and batches of many barcodes; no pair is a row of Spark's."""
+    rows = rows_of(kind)
+    expected = {k: len(x) for k, x in brute(rows).items()}
+    bxmx = spark.createDataFrame(rows, f"bx {'long' if kind is int else 'string'}, mx long")
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            edges = overlap.overlap_edges(bxmx, 1)
+            assert {(u, v): m for u, v, m in edges.collect()} == expected
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Generate explode(vs" not in edges._jdf.queryExecution().executedPlan().toString()
