@@ -85,7 +85,7 @@ def values_at(rows: DataFrame, keys: list[str], value: str, places: dict[str, Ca
 
 
 class Spots(NamedTuple):
-    """rows(mx, first, n, spots): the n positions of each marker in parts of about SPOTS, one of them the first, as _packed
+    """rows(mx, first, n, spots): the n positions of each marker in parts of up to SPOTS, one of them the first, as _packed
     gives them; the paths' names(tid, _t) where paths are numbered, None where tid is the number; and index, stored."""
 
     rows: DataFrame
@@ -146,20 +146,27 @@ def _spots(index: DataFrame) -> Spots:
     if not fits:
         names = stored(numbered(index.select("tid").distinct(), [F.col("tid")], "_t"), "paths")
         rows = index.join(names.withColumnRenamed("tid", "_name"), F.col("tid").eqNullSafe(F.col("_name")))
-    parts = F.ceil(F.count("*").over(W.Window.partitionBy("mx")) / SPOTS)
     spot = F.shiftleft(F.col("_t").cast("long"), 32).bitwiseOR(F.col("tpos").cast("long"))
-    placed = rows.select("mx", spot.alias("spot"), F.pmod(F.xxhash64("_t", "tpos"), parts).alias("_p"))
-    lists = placed.groupBy("mx", "_p").agg(F.array_sort(F.collect_list("spot")).alias("spots"))
-    first = F.row_number().over(W.Window.partitionBy("mx").orderBy("_p")) == 1
-    lists = lists.select("mx", first.alias("first"), F.size("spots").cast("long").alias("n"), "spots")
+    ordered = rows.select("mx", spot.alias("spot")).repartition("mx").sortWithinPartitions("mx", "spot")
+    bound = SPOTS
 
     def pack(batches):
+        last = None  # the marker of the row before
         for batch in batches:
-            if batch.num_rows:
-                yield batch.set_column(3, "spots", _packed(batch.column("spots").flatten().to_numpy(), batch.column("n").to_numpy()))
-
-    kinds = T.StructType([*lists.schema.fields[:3], T.StructField("spots", T.BinaryType())])
-    return Spots(stored(lists.mapInArrow(pack, kinds), "spots"), names, index)
+            if not batch.num_rows:
+                continue
+            code = batch.column("mx").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            heads = np.flatnonzero(np.diff(code, prepend=-1))  # codes rise, as markers come in order
+            place = np.arange(len(code)) - np.repeat(heads, np.diff(heads, append=len(code)))
+            starts = np.flatnonzero(place % bound == 0)
+            n = np.diff(starts, append=len(code))
+            first = place[starts] == 0
+            first[0] = last is None or last != batch.column("mx")[:1]
+            last = batch.column("mx")[-1:]
+            yield pa.RecordBatch.from_arrays([batch.column("mx").take(pa.array(starts)), pa.array(first), pa.array(n), _packed(batch.column("spot").to_numpy(), n)], names=["mx", "first", "n", "spots"])
+
+    kinds = T.StructType([index.schema["mx"], T.StructField("first", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("spots", T.BinaryType())])
+    return Spots(stored(ordered.mapInArrow(pack, kinds), "spots"), names, index)
 
 
 def _large_queries(queries: DataFrame, spots: Spots) -> DataFrame | None:

@@ -28,7 +28,8 @@ WHISKERS = f"""{HITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid,
 
 
 def index(spark, sf_dir):
-    return mapping.positional_index(nation_paths(spark, sf_dir), supplied(spark, sf_dir), split=True)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bx"), F.col("l_partkey").alias("mx")).dropna()  # the index drops repeats
+    return mapping.positional_index(nation_paths(spark, sf_dir), lines, split=True)
 
 
 def bed(spark, sf_dir):

@@ -57,6 +57,22 @@ def test_paths_of_any_name(spark, relations):
         assert [sorted(x.replace(f"tname={t},", f"tname={n!r},") for x in rows for t, n in enumerate(names) if f"tname={t}," in x) for rows in plain] == got
 
 
+def test_positions_come_in_bounded_parts(spark, monkeypatch):
+    """Markers of many positions, in parts of up to SPOTS, one of them the first, however Arrow cuts the rows."""
+    index = {(m, t, p) for m in range(9) for t in range(3) for p in range(1 + 7 * m)}
+    monkeypatch.setattr(mapping, "SPOTS", 8)
+    try:
+        for size in ("5", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            rows = mapping._spots(spark.createDataFrame(sorted(index), "mx long, tid long, tpos int")).rows.collect()
+            assert max(r["n"] for r in rows) <= 8 and sorted(r["mx"] for r in rows if r["first"]) == list(range(9))
+            spots, n = mapping._unpacked(pa.array([bytes(r["spots"]) for r in rows], pa.binary()))
+            assert n.tolist() == [r["n"] for r in rows]
+            assert sorted(zip(np.repeat([r["mx"] for r in rows], n).tolist(), (spots >> 32).tolist(), (spots & 0xFFFFFFFF).tolist(), strict=True)) == sorted(index)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_hits_are_not_shuffled(spark, relations):
     queries, index = frames(spark, relations)
     for found in (mapping.map_to_bed(queries, index), mapping.map_trend(queries, index)):
