@@ -70,3 +70,28 @@ def test_pairs_are_counted_from_lists(spark, kind):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "Generate explode(vs" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", [int, str])
+@pytest.mark.parametrize("held", [1_000_000, 60, 0])
+def test_shared_markers_are_gathered_in_arrays(spark, monkeypatch, kind, held):
+    """Barcodes whose lists come in many batches, batches of many barcodes, and barcodes of too many pairs; no pair is a row of
+    Spark's but for the last."""
+    monkeypatch.setattr(overlap, "HELD", held, raising=False)
+    rows = rows_of(kind)
+    expected = {k: x for k, x in brute(rows).items() if len(x) >= 2}
+    bxmx = spark.createDataFrame(rows, f"bx {'long' if kind is int else 'string'}, mx long")
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            pairs = overlap.shared_markers(bxmx, 2)
+            assert sorted((u, v, list(x)) for u, v, x in pairs.collect()) == sorted((u, v, x) for (u, v), x in expected.items())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ("Generate explode(vs" in pairs._jdf.queryExecution().executedPlan().toString()) == (held < 1_000_000)
+
+
+def test_shared_markers_of_nulls_and_repeats(spark):
+    rows = [(None, "a"), (1, "a"), (1, "a"), (2, "b"), (2, "a"), (3, "a"), (3, "b"), (4, None), (5, None)]
+    found = overlap.shared_markers(spark.createDataFrame(rows, "bx int, mx string"))
+    assert sorted((u, v, list(x)) for u, v, x in found.collect()) == [(1, 2, ["a", "a"]), (1, 3, ["a", "a"]), (2, 3, ["a", "b"])]
