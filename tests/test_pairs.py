@@ -50,6 +50,16 @@ def test_filters_on_spread_rows(spark, monkeypatch):
     assert sorted(map(tuple, incidence.filter_incidence(rows, 2).collect())) == expected and expected
 
 
+def test_incidence_of_bounded_shares(spark, monkeypatch):
+    """Repeated rows are told apart by as many tasks as there are shares, not by as many as Spark shuffles to."""
+    held = rows_of(int)
+    rows = spark.createDataFrame([*held, *held, (None, 1), (1, None)], "a long, b long")
+    monkeypatch.setattr(shared, "MANY", 50)
+    shares = [sorted(map(tuple, x)) for x in incidence.incidence(rows, "a", "b").rdd.glom().collect()]
+    assert sorted(sum(shares, [])) == held
+    assert len(shares) == -(-(2 * len(held) + 2) // 50) and max(map(len, shares)) < 100
+
+
 def test_nulls_and_repeats(spark):
     rows = [(None, 1), (1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (4, None), (5, None)]
     found = overlap.overlap_edges(spark.createDataFrame(rows, "bx long, mx long"), 1)
