@@ -25,7 +25,9 @@ def kept(lines: DataFrame, what: str, **options: str) -> str:
 
 @query(f"WITH {BXMX} SELECT CAST(bx AS VARCHAR) AS bx, mx FROM bxmx")
 def markers_file(spark, sf_dir):
-    return text.read_markers(spark, kept(sinks.marker_lines(supplied(spark, sf_dir)), "markers", compression="gzip"))
+    """The lines of the file tell repeated rows apart, so they are shuffled once."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bx"), F.col("l_partkey").alias("mx")).dropna()
+    return text.read_markers(spark, kept(sinks.marker_lines(rows), "markers", compression="gzip"))
 
 
 @query(f"WITH {QUERY} SELECT CAST(qid AS VARCHAR) AS qid, qpos, mx, CAST(qpos * 10 + mx % 10 AS BIGINT) AS pos FROM qmx")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.scalar import print_unsigned
 from strandweave.plans.shared import discard, spread, stored
 
 
@@ -53,9 +55,45 @@ def chromosome_graphviz_lines(annotated: DataFrame, edges: DataFrame) -> DataFra
 
 
 def marker_lines(bxmx: DataFrame) -> DataFrame:
-    """Barcode, tab, its markers as unsigned numbers in order."""
-    rows = bxmx.groupBy("bx").agg(F.array_sort(F.collect_list("mx")).alias("mxs"))
-    return rows.select(F.concat(F.col("bx").cast("string"), F.lit("\t"), F.array_join(F.transform("mxs", print_unsigned), " ")).alias("value"))
+    """Barcode, tab, its markers as unsigned numbers in order, each once; rows without nulls, repeated ones too.
+
+    Rows are dealt by barcode, about a million a task, and sorted; a barcode's line is put together from them as they pass.
+    """
+    rows = bxmx.select("bx", F.col("mx").cast("long").alias("mx"))
+    dealt = spread(rows.repartition("bx"), "bx", rows.count()).sortWithinPartitions("bx", "mx")
+    kind = rows.schema["bx"].dataType.simpleString()
+    return dealt.mapInArrow(_marker_lists, f"bx {kind}, mxs string").select(F.concat(F.col("bx").cast("string"), F.lit("\t"), "mxs").alias("value"))
+
+
+def _marker_lists(batches):
+    """(bx, mxs) of sorted rows (bx, mx); the last barcode of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bx = batch.column(0)
+        last = int(np.flatnonzero(_changes(bx))[-1])
+        if last or (held and held[-1].column(0)[-1] != bx[0]):
+            yield _joined([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _joined(held)
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Where a value is not the one before it; the first is not."""
+    return np.concatenate([[True], pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False)])
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    bx, mx = (pa.concat_arrays([p.column(i) for p in parts]) for i in (0, 1))
+    first = _changes(bx)
+    kept = first | _changes(mx)
+    at = np.flatnonzero(first)
+    ends = np.append(np.cumsum(kept)[at] - 1, kept.sum()).astype(np.int32)
+    text = mx.filter(pa.array(kept)).view(pa.uint64()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([bx.take(pa.array(at)), pc.binary_join(pa.ListArray.from_arrays(ends, text), " ")], names=["bx", "mxs"])
 
 
 def path_lines(paths: DataFrame) -> DataFrame:

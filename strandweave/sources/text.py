@@ -137,10 +137,15 @@ def linked_barcode(name: Column, bx: Column, fastq: Column) -> Column:
 
 
 def read_markers(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(bx, mx), distinct: barcode, tab, markers; positions behind a colon are dropped, rows without markers too."""
+    """(bx, mx), distinct: barcode, tab, markers; positions behind a colon are dropped, rows without markers too.
+
+    A line is split once and its markers told apart in it; they are shuffled only if a barcode has several lines.
+    """
     parts = F.split(F.trim("value"), r"\s+", 2)
-    rows = spark.read.text(path).select(parts[0].alias("bx"), F.explode(F.split(F.get(parts, F.lit(1)), r"\s+")).alias("t"))
-    return rows.filter("t <> ''").select("bx", parse_unsigned(F.split("t", ":")[0]).alias("mx")).distinct()
+    lists = spark.read.text(path).select(parts[0].alias("bx"), F.split(F.get(parts, F.lit(1)), r"\s+").alias("ts"))
+    marker = lambda t: parse_unsigned(F.substring_index(t, ":", 1))
+    rows = lists.select("bx", F.array_distinct(F.transform(F.filter("ts", lambda t: t != ""), marker)).alias("mxs")).select("bx", F.explode("mxs").alias("mx"))
+    return rows if lists.groupBy("bx").count().filter("count > 1").isEmpty() else rows.distinct()
 
 
 def read_marker_lists(spark: SparkSession, path: str | list[str], positions: bool = False) -> DataFrame:
